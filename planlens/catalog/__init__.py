@@ -1,0 +1,4 @@
+from . import tables  # noqa: F401
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -8,12 +8,13 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: legal forms cut from the front of an organization name
 LEGAL_FORMS = ["гбу", "гку", "гауз", "фгбу", "обуз", "бу", "ао"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility normalization; Spark has no built-in for it."""
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
