@@ -92,7 +92,7 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.count_distinct("s_nationkey").alias("k"))
 
 
-@query("snk5_export_csv", "SELECT count(*) AS n, sum(length(c_name)) AS chars FROM customer")
+@query("snk5_export_csv", "SELECT count(*) AS n, CAST(sum(length(c_name)) AS BIGINT) AS chars FROM customer")
 def _(t):
     path = _roundtrip(t, t.customer, "export")
     sinks.export_csv(t.customer, path)
@@ -163,10 +163,10 @@ def _(t):
 
 
 @query("prj3_calculated_field", """
-SELECT l_orderkey, l_linenumber, round((l_extendedprice * (1 - l_discount)) / nullif(l_quantity - 10, 0), 3) AS net FROM lineitem""")
+SELECT l_orderkey, l_linenumber, (l_extendedprice * (1 - l_discount)) / nullif(l_quantity - 10, 0) AS net FROM lineitem""")
 def _(t):
     return R.with_calculated(t.lineitem, "net", "(l_extendedprice*(1-l_discount))/(l_quantity-10)").select(
-        "l_orderkey", "l_linenumber", F.round("net", 3).alias("net"))
+        "l_orderkey", "l_linenumber", "net")
 
 
 # --- filters ----------------------------------------------------------------------------------
