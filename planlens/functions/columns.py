@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +43,36 @@ def label(name: str, empty: str = EMPTY_LABEL) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(empty))
 
 
+_COLLECT: ContextVar[bool] = ContextVar("collect_statistics", default=False)
+
+
+@contextmanager
+def collected_statistics() -> Iterator[None]:
+    """Inside, one-row aggregates run at once and enter the plan as literals.
+
+    A chain of steps stays linear that way: as subqueries, each step's statistics would repeat all
+    earlier steps, twice as much work per step.
+    """
+    token = _COLLECT.set(True)
+    try:
+        yield
+    finally:
+        _COLLECT.reset(token)
+
+
+def _literal(value: Any, kind: T.DataType) -> Column:
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        return F.array(*[_literal(v, kind.elementType) for v in value])
+    return F.lit(value).cast(kind)
+
+
 def one_row(df: DataFrame) -> Column:
-    """A one-row aggregate as a struct-valued scalar subquery: no cross join, nothing collected."""
+    """A one-row aggregate as a struct column: a scalar subquery, so no cross join and nothing collected."""
+    if _COLLECT.get():
+        row = df.head()
+        return F.struct(*[_literal(row[f.name], f.dataType).alias(f.name) for f in df.schema.fields])
     return df.select(F.struct("*").alias("s")).scalar()
 
 

@@ -325,8 +325,9 @@ def bh_adjust(df: DataFrame, p: str = "p_value", tie_break: Sequence[str] = ())
     valid = df.filter(F.col(p).isNotNull())
     up = Window.partitionBy(F.lit(0)).orderBy(p, *tie_break)
     n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    down = Window.partitionBy(F.lit(0)).orderBy(F.desc(p), *[F.desc(c) for c in tie_break])
     stepped = valid.withColumn("__q", F.col(p) * n / F.row_number().over(up))
-    adj = stepped.withColumn("p_adj", F.least(F.lit(1.0), F.min("__q").over(up.rowsBetween(0, Window.unboundedFollowing)))).drop("__q")
+    adj = stepped.withColumn("p_adj", F.least(F.lit(1.0), F.min("__q").over(down.rowsBetween(Window.unboundedPreceding, 0)))).drop("__q")
     return adj.unionByName(df.filter(F.col(p).isNull()).withColumn("p_adj", F.lit(None).cast("double")))
 
 

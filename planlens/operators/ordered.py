@@ -27,9 +27,6 @@ KEYS_PER_CHUNK = 16
 MAX_CHUNKS = 4096
 BLOCK_ROWS = 1 << 17
 
-FORWARD = {"sum", "sum_before", "count", "last", "last_before", "max", "min"}
-BACKWARD = {"first", "first_after"}
-
 
 def sort_key(name: str) -> Column:
     """A sort column; a leading ``-`` means descending (numeric columns)."""
@@ -80,11 +77,14 @@ def scan(
     base = with_chunk(df, order_by, parts, chunks)
     base = base.withColumns({f"__v_{o}": c for o, (_, c) in specs.items()})
     order = [sort_key(c) for c in order_by]
-    local = Window.partitionBy(CHUNK, *parts).orderBy(*order)
     whole = Window.partitionBy(CHUNK, *parts)
+    forward = whole.orderBy(*order)
+    # a frame that ends at "unbounded following" is recomputed for every row; looking back over the
+    # reversed order is one running pass
+    backward = whole.orderBy(*[k.desc() for k in order])
     before, upto, after, onward = (
-        local.rowsBetween(Window.unboundedPreceding, -1), local.rowsBetween(Window.unboundedPreceding, 0),
-        local.rowsBetween(1, Window.unboundedFollowing), local.rowsBetween(0, Window.unboundedFollowing))
+        forward.rowsBetween(Window.unboundedPreceding, -1), forward.rowsBetween(Window.unboundedPreceding, 0),
+        backward.rowsBetween(Window.unboundedPreceding, -1), backward.rowsBetween(Window.unboundedPreceding, 0))
 
     # one row per (chunk, partition): partial aggregates run map-side
     key = F.struct(*[k.alias(f"o{i}") for i, k in enumerate(order)])
@@ -100,7 +100,7 @@ def scan(
     across = Window.partitionBy(*(parts or [F.lit(0)]))
     walk = across.orderBy(CHUNK)
     prev = walk.rowsBetween(Window.unboundedPreceding, -1)
-    nxt = walk.rowsBetween(1, Window.unboundedFollowing)
+    nxt = across.orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []
     for out, (kind, _) in specs.items():
         c = F.col(f"__c_{out}")
@@ -113,7 +113,7 @@ def scan(
         elif kind in ("last", "last_before"):
             e = F.last(c, ignorenulls=True).over(prev)
         else:
-            e = F.first(c, ignorenulls=True).over(nxt)
+            e = F.last(c, ignorenulls=True).over(nxt)
         carry_cols.append(e.alias(f"__k_{out}"))
     # only a chunk's first and last partition can reach into another chunk: <= 2 rows per chunk
     carry = (per_chunk.select(CHUNK, *parts, F.count(F.lit(1)).over(across).alias("__span"), *carry_cols)
@@ -129,8 +129,8 @@ def scan(
             "max": lambda: F.max(v).over(upto), "min": lambda: F.min(v).over(upto),
             "last": lambda: F.last(v, ignorenulls=True).over(upto),
             "last_before": lambda: F.last(v, ignorenulls=True).over(before),
-            "first": lambda: F.first(v, ignorenulls=True).over(onward),
-            "first_after": lambda: F.first(v, ignorenulls=True).over(after)}[kind]()
+            "first": lambda: F.last(v, ignorenulls=True).over(onward),
+            "first_after": lambda: F.last(v, ignorenulls=True).over(after)}[kind]()
     scanned = base.withColumns(local_exprs)
     cond = F.lit(True)
     for i, c in enumerate([CHUNK, *parts]):

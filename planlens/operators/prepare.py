@@ -6,7 +6,6 @@ left join, so a step stays one lazy plan.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -14,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import is_numeric, number, one_row, type_of
+from ..functions.columns import collected_statistics, number, one_row, type_of
+from ..session import can_cut
 from .joins import lookup
 from .ordered import row_numbers, scan
 from .quantiles import quantile_scalars
@@ -48,7 +48,7 @@ def constant_for(kind: T.DataType, raw: Any) -> Any:
 def mode_scalar(df: DataFrame, col: str) -> Column:
     """Most frequent non-null value; ties go to the smallest."""
     freq = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    return freq.agg(F.min_by("v", F.struct((-F.col("c")).alias("c"), F.col("v").alias("v"))).alias("m")).scalar()
+    return one_row(freq.agg(F.min_by("v", F.struct((-F.col("c")).alias("c"), F.col("v").alias("v"))).alias("m"))).getField("m")
 
 
 def fill_along(df: DataFrame, cols: Sequence[str], direction: str, order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
@@ -163,7 +163,7 @@ def encode_label(df: DataFrame, col: str) -> DataFrame:
     """Sorted distinct values (case-insensitive) to 0..k-1, null to k."""
     cats = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("__c")).distinct().withColumn("__l", F.lower("__c"))
     codes = scan(cats, {"__code": ("sum", F.lit(1).cast("long"))}, ["__l", "__c"]).select(F.col("__c"), (F.col("__code") - 1).alias("__code"))
-    k = cats.agg(F.count(F.lit(1)).alias("k")).scalar()
+    k = one_row(cats.agg(F.count(F.lit(1)).alias("k"))).getField("k")
     out = lookup(df.withColumn("__c", F.col(col).cast("string")), codes, "__c")
     return _replace(out.select(*df.columns, "__code"), col, F.coalesce("__code", k), "__code")
 
@@ -181,7 +181,7 @@ def encode_count(df: DataFrame, col: str, share: bool = False) -> DataFrame:
     text = df.withColumn(col, F.col(col).cast("string"))
     counts = text.groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
     if share:
-        total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+        total = one_row(df.agg(F.count(F.lit(1)).alias("n"))).getField("n")
         counts = counts.withColumn("__n", F.round(F.col("__n") / total, 8))
     out = lookup(text, counts, col)
     return _replace(out.select(*df.columns, "__n"), col, F.col("__n"), "__n")
@@ -305,11 +305,42 @@ def preview_outliers(df: DataFrame, config: Config, ddof: int = 0) -> DataFrame:
 
 # --- steps ------------------------------------------------------------------------------------
 
-def run_steps(df: DataFrame, steps: Sequence[Mapping[str, Any]], order_by: Sequence[str] | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Apply ``[{type, config}]`` in order; unknown types are skipped."""
+TWICE = {"ffill", "bfill", "linear", "polynomial_fill", "spline_fill", "ewm", "rolling_mean", "rolling_mean_fill", "rolling_median",
+         "diff", "seasonal_diff", "lag_feature"}  # ordered methods read their input for numbering and for values
+
+
+def reads_twice(step: Mapping[str, Any]) -> bool:
+    """Whether a step's plan contains its input more than once (a category table, an ordered scan)."""
+    cfg = step.get("config", {})
+    if step["type"] == "encode":
+        return any(x.get("method", "label") not in ("onehot", "ordinal") for x in cfg.values())
+    if step["type"] == "impute":
+        return any(x.get("method") in TWICE for x in cfg.values())
+    return step["type"] == "timeseries" and cfg.get("method") in TWICE
+
+
+def run_steps(
+    df: DataFrame, steps: Sequence[Mapping[str, Any]], order_by: Sequence[str] | None = None, partition_by: Sequence[str] = (),
+    cut_every: int = 2,
+) -> DataFrame:
+    """Apply ``[{type, config}]`` in order; unknown types are skipped.
+
+    Statistics of a step are computed when it is added.  After ``cut_every`` steps that contain their
+    input twice the result is checkpointed, if the session names a checkpoint folder, so a long chain
+    does not repeat its beginning.
+    """
     from .series import timeseries, window_split
     ops = {
         "impute": lambda d, c: impute(d, c, order_by, partition_by), "scale": scale, "encode": encode, "outliers": remove_outliers,
         "timeseries": lambda d, c: timeseries(d, c, order_by, partition_by),
         "window_split": lambda d, c: window_split(d, c["field"], c.get("unit", "year"))}
-    return functools.reduce(lambda d, s: ops[s["type"]](d, s.get("config", {})) if s["type"] in ops else d, steps, df)
+    pending = 0
+    with collected_statistics():
+        for step in steps:
+            if step["type"] not in ops:
+                continue
+            if pending >= cut_every and can_cut(df):
+                df, pending = df.checkpoint(), 0
+            df = ops[step["type"]](df, step.get("config", {}))
+            pending += reads_twice(step)
+    return df

@@ -113,7 +113,7 @@ def rank_types(df: DataFrame, code: str, status: str = "requirement_status", man
 
 
 # fixed values: severity order of findings
-SEVERITIES = ["critical", "warning", "info"]
+SEVERITIES = ["error", "warning", "info"]
 
 
 def severity_rank(c: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "planlens") -> SparkSession:
@@ -21,3 +21,11 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, ap
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def can_cut(df: DataFrame) -> bool:
+    """Whether ``checkpoint()`` has a shared folder: the one named in ``spark.checkpoint.dir``."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None and (named := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir() is not None
