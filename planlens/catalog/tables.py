@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import parse, text
@@ -12,6 +14,7 @@ from ..operators import joins as J
 from ..operators import predicates as P
 from ..operators import projection as R
 from ..operators import ranking as K
+from ..session import shared_folder
 from ..sources import readers, sinks
 from .base import query
 
@@ -39,10 +42,7 @@ def _(t):
 # --- sources ----------------------------------------------------------------------------------
 
 def _roundtrip(t, df, fmt):
-    import tempfile
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    import uuid
-    return f"{root.rstrip('/')}/planlens-{uuid.uuid4().hex}/{fmt}"
+    return f"{shared_folder(t.spark)}/planlens-{uuid.uuid4().hex}/{fmt}"
 
 
 @query("src1_csv_inferred", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
@@ -502,9 +502,10 @@ def _(t):
     return C.table_widget(_seg(t), "x", ["v", "k"], "count_distinct", "value_desc")
 
 
-@query("agg14_scatter", "SELECT l_orderkey, l_linenumber, l_quantity AS x, l_extendedprice AS y_l_extendedprice FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 5000")
+@query("agg14_scatter", "SELECT l_orderkey, l_linenumber, l_quantity AS x, l_extendedprice AS y_l_extendedprice FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 5000")
 def _(t):
-    return C.scatter(t.lineitem, "l_quantity", ["l_extendedprice"], ["l_orderkey", "l_linenumber"])
+    out = C.scatter(t.lineitem, "l_quantity", ["l_extendedprice"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    return out.drop("l_partkey", "l_suppkey", "l_extendedprice")
 
 
 @query("agg14_bubble", "SELECT o_orderkey, o_totalprice AS x, o_custkey::DOUBLE AS y, 1.0::DOUBLE AS r FROM orders ORDER BY o_orderkey LIMIT 5000")

@@ -100,8 +100,8 @@ def rule_verdicts(rules: DataFrame, orgs: DataFrame, subdivisions: DataFrame, ru
     j = (dense.join(F.broadcast(r), "rule_id")  # the coded rule table, at most 10,000 rows
          .join(has.drop("__pattern_day"), ["organization_oid", "__type", "__kind"], "left")
          .join(of_type, ["organization_oid", "__type"], "left").join(inpatient, "organization_oid", "left")
-         .join(listed, ["rule_id", "organization_oid"], "left").join(F.broadcast(resolved), "rule_id", "left")
-         .join(by_plan, ["organization_oid", "type_id"], "left").join(present, "organization_oid", "left").join(F.broadcast(zero), "type_id", "left"))
+         .join(listed, ["rule_id", "organization_oid"], "left").join(resolved, "rule_id", "left")
+         .join(by_plan, ["organization_oid", "type_id"], "left").join(present, "organization_oid", "left").join(zero, "type_id", "left"))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     on_plan = F.coalesce(F.array_contains("grounds", PLAN_GROUND), F.lit(False))
     status = F.when(on_plan, F.coalesce("plan_status", F.lit("unknown"))).otherwise("unknown")

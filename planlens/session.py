@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,3 +31,12 @@ def can_cut(df: DataFrame) -> bool:
     if sc.getCheckpointDir() is None and (named := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
         sc.setCheckpointDir(named)
     return sc.getCheckpointDir() is not None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can write: ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.gettempdir()
