@@ -168,12 +168,29 @@ def _(t):
     return rounded(S.multicollinearity(t.lineitem, LI[:2]), 6, "eigenvalue", "condition_index", "condition_number")
 
 
-@query("sta14_pvalue_matrix")
-def _(t):
-    return S.pvalue_matrix(nulled(t))
+RANKED = "(SELECT {v} AS v, {g} AS g, rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY {v}) AS t FROM {src} WHERE {v} IS NOT NULL AND {g} IS NOT NULL)"
 
 
-RANKED = "(SELECT {v} AS v, {g} AS g, rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY {v}) AS t FROM {src} WHERE {v} IS NOT NULL AND {g} IS NOT NULL)"
+RANK_TESTS = """SELECT '{v}' AS col_a, '{g}' AS col_b, any_value(n)::BIGINT AS n, CASE WHEN count(*) = 2 THEN 'Mann-Whitney' ELSE 'KW' END AS test,
+ round(CASE WHEN count(*) = 2 THEN least(arg_min(s, g) - min(ng) FILTER (g = g0) * (min(ng) FILTER (g = g0) + 1) / 2, min(ng) FILTER (g = g0) * (any_value(n) - min(ng) FILTER (g = g0)) - arg_min(s, g) + min(ng) FILTER (g = g0) * (min(ng) FILTER (g = g0) + 1) / 2)
+  ELSE (12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / ng) - 3 * (any_value(n) + 1)) / (CORR) END, 3) AS stat
+ FROM (SELECT g, count(*)::DOUBLE AS ng, sum(r) AS s, any_value(n)::DOUBLE AS n, any_value(ties) AS ties, any_value(g0) AS g0 FROM (SELECT *, count(*) OVER () AS n, sum(t * t - 1) OVER ()::DOUBLE AS ties, min(g) OVER () AS g0 FROM {x}) GROUP BY g)"""
+TIED = "1 - any_value(ties) / (pow(any_value(n), 3) - any_value(n))"
+
+
+def rank_tests(values, groups, table, corrected=True, k2="Mann-Whitney", kn="KW"):
+    sql = RANK_TESTS.replace("CORR", TIED if corrected else "1").replace("'Mann-Whitney'", f"'{k2}'").replace("'KW'", f"'{kn}'")
+    return " UNION ALL ".join(sql.format(v=v, g=g, x=RANKED.format(v=v, g=g, src=table)) for v in values for g in groups)
+
+
+def statistics(df, digits=3):
+    return rounded(df, digits, "stat").select("col_a", "col_b", "n", "test", "stat")
+
+
+@query("sta14_pvalue_matrix", "SELECT col_a, col_b, n, 'Spearman' AS test, round(r, 3) AS stat FROM (" + pair_sql("abc", SPEAR.replace("SRC", NULLED)) + ") UNION ALL SELECT * FROM ("
+       + pair_sql("fsg", CHI.replace("SRC", NULLED).replace("RESULT", "'chi2' AS test, round(sum((o - e) * (o - e) / e), 3) AS stat")) + ") UNION ALL SELECT * FROM (" + rank_tests("abc", "fsg", NULLED) + ")")
+def _(t):
+    return statistics(S.pvalue_matrix(nulled(t)))
 
 
 @query("sta15_mann_whitney", f"""
@@ -218,10 +235,16 @@ def _(t):
     return rounded(S.chi2_or_fisher(nulled(t), [("f", "g")]), 4, "stat").select("col_a", "col_b", "n", "stat", "df")
 
 
-@query("sta18_fisher")
+LOG_HYPER = "lgamma(c1 + 1) - lgamma(k + 1) - lgamma(c1 - k + 1) + lgamma(n - c1 + 1) - lgamma(r1 - k + 1) - lgamma(n - c1 - r1 + k + 1) - (lgamma(n + 1) - lgamma(r1 + 1) - lgamma(n - r1 + 1))"
+
+
+@query("sta18_fisher", f"""
+WITH t AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (NOT x)::DOUBLE AS r1, count(*) FILTER (NOT y)::DOUBLE AS c1, count(*) FILTER (NOT x AND NOT y)::DOUBLE AS a FROM (SELECT s_acctbal > 9800 AS x, s_nationkey = 3 AS y FROM supplier)),
+ h AS (SELECT t.*, k, {LOG_HYPER} AS lp FROM t, (SELECT unnest(range(0, 100001))::DOUBLE AS k) WHERE k BETWEEN greatest(0, r1 + c1 - n) AND least(r1, c1)), o AS (SELECT lp AS seen FROM h WHERE k = a)
+SELECT 'rich' AS col_a, 'nation' AS col_b, any_value(n)::BIGINT AS n, 'Fisher' AS test, round(least(1, sum(exp(lp)) FILTER (lp <= seen + 1e-10)), 8) AS p_value FROM h, o""")
 def _(t):
     d = t.supplier.select((F.col("s_acctbal") > 9800).alias("rich"), (F.col("s_nationkey") == 3).alias("nation"))
-    return S.chi2_or_fisher(d, [("rich", "nation")])
+    return rounded(S.chi2_or_fisher(d, [("rich", "nation")]), 8, "p_value").select("col_a", "col_b", "n", "test", "p_value")
 
 
 KENDALL = """WITH c AS (SELECT {a} AS x, {b} AS y, count(*)::DOUBLE AS c FROM {src} GROUP BY 1, 2), n AS (SELECT sum(c) AS m, sum(c * (c - 1) / 2) AS bo FROM c),
@@ -260,19 +283,32 @@ def _labelled(t):
     return t.documents.join(t.labels, "doc_id").select("n_chars", "lang", "source", "toxic", F.col("quality").cast("string").alias("quality"))
 
 
-@query("sta22_target_tests_rank")
+LAB = "(SELECT n_chars, lang, source, toxic, CAST(quality AS VARCHAR) AS quality FROM documents JOIN labels USING (doc_id))"
+CHI_Q = CHI.replace("SRC", LAB).replace("RESULT", "CASE WHEN any_value(nr) = 2 AND any_value(nc) = 2 AND min(e) < 5 THEN 'Fisher' ELSE 'chi2' END AS test, round(sum((o - e) * (o - e) / e), 3) AS stat")
+
+
+@query("sta22_target_tests_rank", "SELECT col_a AS field, n, test, stat FROM (" + rank_tests(["n_chars", "toxic"], ["quality"], LAB, False, kn="Kruskal-Wallis") + ") UNION ALL SELECT col_a, n, test, stat FROM ("
+       + CHI_Q.format(a="lang", b="quality") + ") UNION ALL SELECT col_a, n, test, stat FROM (" + CHI_Q.format(a="source", b="quality") + ")")
 def _(t):
-    return S.target_tests(_labelled(t), "quality")
+    return rounded(S.target_tests(_labelled(t), "quality"), 3, "stat").select("field", "n", "test", "stat")
 
 
-@query("sta22_target_tests_parametric")
+MEANS = """SELECT '{g}' AS field, CAST(sum(n) AS BIGINT) AS n, CASE WHEN count(*) = 2 THEN 'Welch' ELSE 'ANOVA' END AS test, round(CASE WHEN count(*) = 2 THEN (arg_min(m, g) - arg_max(m, g)) / sqrt(sum(v / n)) ELSE (sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum(v * (n - 1)) / (sum(n) - count(*))) END, 3) AS stat
+ FROM (SELECT {g} AS g, count(*) AS n, avg(n_chars) AS m, var_samp(n_chars) AS v FROM LAB GROUP BY 1), (SELECT avg(n_chars) AS gm FROM LAB)""".replace("LAB", LAB)
+
+
+@query("sta22_target_tests_parametric", each_group := " UNION ALL ".join(MEANS.format(g=g) for g in ("lang", "source", "quality")) + f" UNION ALL SELECT 'toxic', count(*), 'Pearson', round(corr(toxic, n_chars), 3) FROM {LAB}")
 def _(t):
-    return S.target_tests(_labelled(t), "n_chars", parametric=True)
+    return rounded(S.target_tests(_labelled(t), "n_chars", parametric=True), 3, "stat").select("field", "n", "test", "stat")
+
+
+QDT = "(SELECT l_quantity, l_discount, l_tax, l_returnflag FROM lineitem)"
 
 
-@query("sta23_pairwise_kendall")
+@query("sta23_pairwise_kendall", " UNION ALL ".join("SELECT '{a}' AS col_a, '{b}' AS col_b, n_used AS n, 'Kendall' AS test, round(tau, 3) AS stat FROM (".format(a=a, b=b) + KENDALL.format(a=a, b=b, src="lineitem") + ")"
+       for a, b in (("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_tax"))) + " UNION ALL SELECT * FROM (" + rank_tests(["l_quantity", "l_discount", "l_tax"], ["l_returnflag"], QDT, False) + ")")
 def _(t):
-    return S.pvalue_matrix(t.lineitem.select("l_quantity", "l_discount", "l_tax", "l_returnflag"), method="kendall", browser=True)
+    return statistics(S.pvalue_matrix(t.lineitem.select("l_quantity", "l_discount", "l_tax", "l_returnflag"), method="kendall", browser=True))
 
 
 @query("sta24_pca")

@@ -87,7 +87,8 @@ def scan(
         backward.rowsBetween(Window.unboundedPreceding, -1), backward.rowsBetween(Window.unboundedPreceding, 0))
 
     # one row per (chunk, partition): partial aggregates run map-side
-    key = F.struct(*[k.alias(f"o{i}") for i, k in enumerate(order)])
+    # a single numeric key and value keep the aggregation hash-based
+    key = order[0] if len(order) == 1 else F.struct(*[k.alias(f"o{i}") for i, k in enumerate(order)])
     partial = []
     for out, (kind, _) in specs.items():
         v = F.col(f"__v_{out}")
