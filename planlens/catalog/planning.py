@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import rnd
 from ..functions.text import name_key
 from ..operators.joins import grid
 from ..operators.ordered import framed
@@ -31,7 +32,7 @@ BASE = """WITH f AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS period_id, l_su
  sp AS (SELECT period_id, organization_oid, sheet_code, coalesce(8 * mo, annual) AS cum, annual, mo IS NULL AND annual > 0 AS fb FROM pl JOIN tg USING (period_id, organization_oid)),
  de AS (SELECT period_id, organization_oid, indicator_id, sum(cum) AS cum, sum(annual) AS ann, bool_or(fb) AS fb FROM sp JOIN cs USING (sheet_code) GROUP BY 1, 2, 3),
  vv AS (SELECT period_id, indicator_id, organization_oid, coalesce(num, 0) AS numerator, CASE WHEN ann > 0 THEN cum END AS denominator, CASE WHEN ann > 0 THEN ann END AS annual_denominator, coalesce(fb, false) AS used_annual_fallback,
-  CASE WHEN ann > 0 THEN 'calculated' WHEN num > 0 THEN 'no_approved_volume' ELSE 'not_participating' END AS status, CASE WHEN ann > 0 AND cum > 0 THEN round(coalesce(num, 0) / cum * 100, 2) END AS percent
+  CASE WHEN ann > 0 THEN 'calculated' WHEN num > 0 THEN 'no_approved_volume' ELSE 'not_participating' END AS status, CASE WHEN ann > 0 AND cum > 0 THEN round(coalesce(num, 0) / cum * 10000) / 100 END AS percent
   FROM (SELECT * FROM tg, (VALUES ('I1'), ('I2')) i(indicator_id)) LEFT JOIN nu USING (period_id, organization_oid, indicator_id) LEFT JOIN de USING (period_id, organization_oid, indicator_id)),
  ld AS (SELECT DISTINCT period_id, month FROM f WHERE month <> 5 AND NOT (period_id = '2000' AND month > 9)),
  mo AS (SELECT unnest(range(1, 13))::INT AS month),
@@ -39,8 +40,8 @@ BASE = """WITH f AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS period_id, l_su
  pa AS (SELECT period_id, indicator_id, month, sum(v) AS plan FROM pm GROUP BY 1, 2, 3), fa AS (SELECT period_id, indicator_id, month, sum(numerator)::DOUBLE AS fact FROM fm GROUP BY 1, 2, 3),
  pt0 AS (SELECT period_id, indicator_id, month, CASE WHEN (period_id, indicator_id) IN (SELECT (period_id, indicator_id) FROM pm) THEN coalesce(plan, 0) END AS plan, CASE WHEN (period_id, month) IN (SELECT (period_id, month) FROM ld) THEN coalesce(fact, 0) END AS fact
   FROM (SELECT * FROM (SELECT DISTINCT period_id FROM tg), (VALUES ('I1'), ('I2')) i(indicator_id), mo) LEFT JOIN pa USING (period_id, indicator_id, month) LEFT JOIN fa USING (period_id, indicator_id, month)),
- pt AS (SELECT *, CASE WHEN plan > 0 THEN round(fact / plan * 100, 2) END AS ratio FROM pt0),
- po AS (SELECT period_id, indicator_id, organization_oid, month, plan, fact, CASE WHEN plan > 0 THEN round(fact / plan * 100, 2) END AS ratio FROM (
+ pt AS (SELECT *, CASE WHEN plan > 0 THEN round(fact / plan * 10000) / 100 END AS ratio FROM pt0),
+ po AS (SELECT period_id, indicator_id, organization_oid, month, plan, fact, CASE WHEN plan > 0 THEN round(fact / plan * 10000) / 100 END AS ratio FROM (
   SELECT g.period_id, g.indicator_id, g.organization_oid, g.month, CASE WHEN (g.period_id, g.indicator_id, g.organization_oid) IN (SELECT (period_id, indicator_id, organization_oid) FROM pm) THEN coalesce(p.plan, 0) END AS plan, CASE WHEN (g.period_id, g.month) IN (SELECT (period_id, month) FROM ld) THEN coalesce(numerator, 0)::DOUBLE END AS fact
   FROM (SELECT * FROM tg, (VALUES ('I1'), ('I2')) i(indicator_id), mo) g LEFT JOIN (SELECT period_id, indicator_id, organization_oid, month, sum(v) AS plan FROM pm GROUP BY 1, 2, 3, 4) p USING (period_id, indicator_id, organization_oid, month) LEFT JOIN fm USING (period_id, indicator_id, organization_oid, month))),
  sl AS (SELECT DISTINCT period_id, indicator_id, 3 AS a, 7 AS b, 40.0::DOUBLE AS ef FROM vv),
@@ -103,7 +104,7 @@ def breakdown(t):
 
 RATIO_SRC = "SELECT o_orderkey, CASE WHEN o_custkey % 11 <> 0 THEN o_totalprice END AS numerator, (o_custkey - 50) * 1000.0::DOUBLE AS denominator, CASE WHEN o_orderkey % 13 <> 0 THEN 40.0::DOUBLE END AS target_value, CASE WHEN o_orderkey % 17 = 0 THEN 'in_development' ELSE 'approved' END AS ms, CASE WHEN o_orderkey % 3 = 0 THEN 25.0 WHEN o_orderkey % 3 = 1 THEN -1.0 END AS pts FROM orders"
 RATIO = f"""WITH s AS ({RATIO_SRC}), r AS (SELECT *, CASE WHEN ms = 'in_development' THEN 'methodology_in_development' WHEN numerator IS NULL OR denominator <= 0 THEN 'awaiting_data' ELSE 'calculated' END AS status FROM s),
- v AS (SELECT *, CASE WHEN status = 'calculated' THEN round(numerator / denominator * 100, 2) END AS fact_value FROM r), d AS (SELECT *, round(fact_value - target_value, 2) AS deviation_value, CASE WHEN pts > 0 THEN pts ELSE 10 END AS lim FROM v)
+ v AS (SELECT *, CASE WHEN status = 'calculated' THEN round(numerator / denominator * 10000) / 100 END AS fact_value FROM r), d AS (SELECT *, round(fact_value - target_value, 2) AS deviation_value, CASE WHEN pts > 0 THEN pts ELSE 10 END AS lim FROM v)
 SELECT o_orderkey, status, fact_value, deviation_value, CASE WHEN deviation_value IS NULL THEN 'not_assessed' WHEN deviation_value >= 0 THEN 'target_met' WHEN deviation_value <= -lim THEN 'critical' ELSE 'below_target' END AS business_status FROM d"""
 
 
@@ -141,7 +142,7 @@ def _(t):
 
 @query("ind6_region", BASE + """SELECT period_id, indicator_id, sum(numerator) AS numerator, coalesce(sum(denominator), 0) AS denominator, coalesce(sum(annual_denominator), 0) AS annual_denominator, count(*) FILTER (used_annual_fallback) AS annual_fallback_organizations,
  count(*) AS organizations, count(*) FILTER (status = 'calculated') AS calculated, count(*) FILTER (status = 'no_approved_volume') AS no_approved_volume, count(*) FILTER (status = 'not_participating') AS not_participating,
- coalesce(sum(numerator) FILTER (annual_denominator IS NULL), 0) AS numerator_without_plan, round(sum(numerator) / sum(denominator) * 100, 2) AS percent FROM vv GROUP BY 1, 2""")
+ coalesce(sum(numerator) FILTER (annual_denominator IS NULL), 0) AS numerator_without_plan, round(sum(numerator) / sum(denominator) * 10000) / 100 AS percent FROM vv GROUP BY 1, 2""")
 def _(t):
     return I.plan_ratio_region(values(t))
 
@@ -179,14 +180,14 @@ def _reg_inputs(t):
     return f, reg, targets(t), req
 
 
-@query("ind8_type_coverage", BASE + "," + REG[:-1] + """ SELECT period_id, organization_oid, count(fp.type_id) AS registered_types, round(count(fp.type_id) / (SELECT count(*) FROM rg) * 100, 2) AS percent, count(fp.type_id) - count(rg.type_id) AS types_outside_registry
+@query("ind8_type_coverage", BASE + "," + REG[:-1] + """ SELECT period_id, organization_oid, count(fp.type_id) AS registered_types, round(count(fp.type_id) / (SELECT count(*) FROM rg) * 10000) / 100 AS percent, count(fp.type_id) - count(rg.type_id) AS types_outside_registry
  FROM tg LEFT JOIN fp USING (period_id, organization_oid) LEFT JOIN rg ON rg.type_id = fp.type_id GROUP BY 1, 2""")
 def _(t):
     f, reg, tg, _ = _reg_inputs(t)
     return I.type_coverage(f, reg, tg)
 
 
-@query("ind8_type_coverage_region", BASE + "," + REG[:-1] + """ SELECT period_id, count(DISTINCT fp.type_id) AS registered_types, round(count(DISTINCT fp.type_id) / (SELECT count(*) FROM rg) * 100, 2) AS percent, count(DISTINCT fp.type_id) - count(DISTINCT rg.type_id) AS types_outside_registry,
+@query("ind8_type_coverage_region", BASE + "," + REG[:-1] + """ SELECT period_id, count(DISTINCT fp.type_id) AS registered_types, round(count(DISTINCT fp.type_id) / (SELECT count(*) FROM rg) * 10000) / 100 AS percent, count(DISTINCT fp.type_id) - count(DISTINCT rg.type_id) AS types_outside_registry,
  (SELECT count(*) FROM tg x WHERE x.period_id = tg.period_id AND (period_id, organization_oid) NOT IN (SELECT (period_id, organization_oid) FROM fp WHERE type_id IN (FROM rg))) AS organizations_without_registration
  FROM tg LEFT JOIN fp USING (period_id, organization_oid) LEFT JOIN rg ON rg.type_id = fp.type_id GROUP BY 1""")
 def _(t):
@@ -203,7 +204,7 @@ def _(t):
 
 
 @query("ind9_plan_execution", BASE + "," + REG + REQ + """ SELECT period_id, organization_oid, count(*) FILTER (status = 'required') AS required_types, count(*) FILTER (status = 'required' AND d IS NOT NULL) AS registered_required_types, count(*) FILTER (status = 'unknown') AS undefined_types,
- CASE WHEN count(*) FILTER (status = 'required') > 0 THEN round(count(*) FILTER (status = 'required' AND d IS NOT NULL) / count(*) FILTER (status = 'required') * 100, 2) END AS plan_percent
+ CASE WHEN count(*) FILTER (status = 'required') > 0 THEN round(count(*) FILTER (status = 'required' AND d IS NOT NULL) / count(*) FILTER (status = 'required') * 10000) / 100 END AS plan_percent
  FROM tg LEFT JOIN (SELECT * FROM rq WHERE type_id IN (FROM rg)) q USING (period_id, organization_oid) LEFT JOIN fp USING (period_id, organization_oid, type_id) GROUP BY 1, 2""")
 def _(t):
     f, reg, tg, req = _reg_inputs(t)
@@ -234,13 +235,13 @@ def _(t):
     return M.type_count_series(months(t), targets(t))
 
 
-@query("ind13_execution_summary", BASE + """SELECT period_id, indicator_id, a AS from_month, b AS to_month, coalesce(sum(plan), 0) AS plan_value, ef AS fact_value, coalesce(sum(fact), 0) AS document_value, round(coalesce(sum(fact), 0) / ef * 100, 2) AS percent_of_fact, count(*) FILTER (fact IS NULL) AS missing
+@query("ind13_execution_summary", BASE + """SELECT period_id, indicator_id, a AS from_month, b AS to_month, coalesce(sum(plan), 0) AS plan_value, ef AS fact_value, coalesce(sum(fact), 0) AS document_value, round(coalesce(sum(fact), 0) / ef * 10000) / 100 AS percent_of_fact, count(*) FILTER (fact IS NULL) AS missing
  FROM pt JOIN sl USING (period_id, indicator_id) WHERE month BETWEEN a AND b GROUP BY period_id, indicator_id, a, b, ef""")
 def _(t):
     return M.execution_summary(points(t), slices(t)).withColumn("missing", F.size("missing_months").cast("long")).drop("missing_months")
 
 
-@query("ind14_org_breakdown", BASE + "SELECT period_id, indicator_id, organization_oid, top AS top_ratio, case_fact, docs AS documents_in_slice, CASE WHEN case_fact > 0 THEN round(docs / case_fact * 100, 2) END AS percent_of_fact FROM bd")
+@query("ind14_org_breakdown", BASE + "SELECT period_id, indicator_id, organization_oid, top AS top_ratio, case_fact, docs AS documents_in_slice, CASE WHEN case_fact > 0 THEN round(docs / case_fact * 10000) / 100 END AS percent_of_fact FROM bd")
 def _(t):
     return breakdown(t).withColumn("top_ratio", F.array_max("monthly_ratios")).drop("monthly_ratios")
 
@@ -293,7 +294,7 @@ def pilot_orgs(t):
 
 
 @query("ind15_regional_coverage", PILOT + """, a AS (SELECT period_id, count(*) FILTER (type_id IN (SELECT type_id FROM tt)) AS actual_types FROM ft GROUP BY 1)
- SELECT period_id, 'ready' AS readiness, actual_types, (SELECT count(*) FROM tt) AS planned_types, round(actual_types / (SELECT count(*) FROM tt) * 100, 2) AS coverage_percent, actual_types - 12 AS deviation_value,
+ SELECT period_id, 'ready' AS readiness, actual_types, (SELECT count(*) FROM tt) AS planned_types, round(actual_types / (SELECT count(*) FROM tt) * 10000) / 100 AS coverage_percent, actual_types - 12 AS deviation_value,
  CASE WHEN actual_types >= 12 THEN 'target_met' WHEN actual_types - 12 <= -10 THEN 'critical' ELSE 'below_target' END AS business_status FROM a""")
 def _(t):
     types, facts, *_ = pilot_inputs(t)
@@ -301,7 +302,7 @@ def _(t):
 
 
 @query("ind16_organization_coverage", PILOT + """SELECT period_id, organization_oid, CASE WHEN NOT complete THEN 'applicability_incomplete' WHEN req = 0 THEN 'not_applicable' ELSE 'ready' END AS readiness, NOT complete AND req > 0 AS is_preliminary,
- CASE WHEN complete OR req > 0 THEN act END AS actual_types, CASE WHEN complete OR req > 0 THEN req END AS planned_types, CASE WHEN req > 0 THEN round(act / req * 100, 2) END AS coverage_percent, blocked, missing_at_organization, handled_externally, unexpected,
+ CASE WHEN complete OR req > 0 THEN act END AS actual_types, CASE WHEN complete OR req > 0 THEN req END AS planned_types, CASE WHEN req > 0 THEN round(act / req * 10000) / 100 END AS coverage_percent, blocked, missing_at_organization, handled_externally, unexpected,
  CASE WHEN NOT complete THEN CASE WHEN req > 0 THEN 'calculated' ELSE 'awaiting_data' END WHEN req = 0 THEN 'not_calculated' ELSE 'calculated' END AS status,
  CASE WHEN NOT complete OR req = 0 THEN 'not_assessed' WHEN act >= req THEN 'target_met' WHEN act - req <= -greatest(1, ceil(req * 0.25)) THEN 'critical' ELSE 'below_target' END AS business_status, CASE WHEN complete AND req > 0 THEN act - req END AS deviation_value FROM oc""")
 def _(t):
@@ -382,13 +383,13 @@ def register_inputs(t):
     return reg, facts
 
 
-@query("ind21_register_coverage", REGISTER + """SELECT period_id, n AS numerator, d AS denominator, round(n / d * 100, 2) AS percent, organizations, register_fact FROM (SELECT period_id, CAST(CASE WHEN bool_or(has) THEN count(*) FILTER (plan_value > 0 AND t) ELSE sum(fact_value) END AS BIGINT) AS n, CAST(sum(plan_value) AS BIGINT) AS d,
+@query("ind21_register_coverage", REGISTER + """SELECT period_id, n AS numerator, d AS denominator, round(n / d * 10000) / 100 AS percent, organizations, register_fact FROM (SELECT period_id, CAST(CASE WHEN bool_or(has) THEN count(*) FILTER (plan_value > 0 AND t) ELSE sum(fact_value) END AS BIGINT) AS n, CAST(sum(plan_value) AS BIGINT) AS d,
  count(DISTINCT organization_oid) AS organizations, CAST(sum(fact_value) AS BIGINT) AS register_fact FROM mk GROUP BY 1)""")
 def _(t):
     return G.register_coverage(*register_inputs(t))
 
 
-@query("ind21_register_by_org", REGISTER + "SELECT period_id, organization_oid, CAST(sum(plan_value) AS BIGINT) AS denominator, count(*) FILTER (t) AS numerator, count(*) AS buildings, round(count(*) FILTER (t) / sum(plan_value) * 100, 2) AS percent FROM mk GROUP BY 1, 2")
+@query("ind21_register_by_org", REGISTER + "SELECT period_id, organization_oid, CAST(sum(plan_value) AS BIGINT) AS denominator, count(*) FILTER (t) AS numerator, count(*) AS buildings, round(count(*) FILTER (t) / sum(plan_value) * 10000) / 100 AS percent FROM mk GROUP BY 1, 2")
 def _(t):
     return G.register_by_org(*register_inputs(t))
 
@@ -550,10 +551,10 @@ def _(t):
 # --- targets ----------------------------------------------------------------------------------
 
 @query("ind31_apply_targets", """WITH v AS (SELECT CAST(s_suppkey AS VARCHAR) AS indicator_id, s_acctbal AS numerator, 5000.0::DOUBLE AS denominator, round(s_acctbal / 100, 2) AS fv, CASE WHEN s_suppkey % 2 = 0 THEN 'ratio_percent' ELSE 'other' END AS ct, CASE WHEN s_suppkey % 3 = 0 THEN 60.0 ELSE 20.0 END::DOUBLE AS target_value FROM supplier),
- w AS (SELECT indicator_id, target_value, CASE WHEN ct = 'ratio_percent' THEN round(numerator / denominator * 100, 2) ELSE fv END AS fact_value FROM v), d AS (SELECT *, round(fact_value - target_value, 2) AS deviation_value FROM w)
+ w AS (SELECT indicator_id, target_value, CASE WHEN ct = 'ratio_percent' THEN round(numerator / denominator * 10000) / 100 ELSE fv END AS fact_value FROM v), d AS (SELECT *, round(fact_value - target_value, 2) AS deviation_value FROM w)
 SELECT indicator_id, target_value, fact_value, deviation_value, CASE WHEN deviation_value >= 0 THEN 'target_met' WHEN deviation_value <= -10 THEN 'critical' ELSE 'below_target' END AS business_status FROM d""")
 def _(t):
-    v = t.supplier.select(F.col("s_suppkey").cast("string").alias("indicator_id"), F.lit("p").alias("period_id"), F.col("s_acctbal").alias("numerator"), F.lit(5000.0).alias("denominator"), F.round(F.col("s_acctbal") / 100, 2).alias("fact_value"),
+    v = t.supplier.select(F.col("s_suppkey").cast("string").alias("indicator_id"), F.lit("p").alias("period_id"), F.col("s_acctbal").alias("numerator"), F.lit(5000.0).alias("denominator"), rnd(F.col("s_acctbal") / 100, 2).alias("fact_value"),
                           F.when(F.col("s_suppkey") % 2 == 0, "ratio_percent").otherwise("other").alias("calculation_type"), F.lit(20.0).alias("target_value"), F.lit("approved").alias("methodology_status"), F.lit("calculated").alias("status"))
     new = v.filter(F.col("indicator_id").cast("int") % 3 == 0).select("indicator_id", "period_id", F.lit(60.0).alias("target_value"))
     return I.apply_targets(v, new).select("indicator_id", "target_value", "fact_value", "deviation_value", "business_status")
@@ -577,17 +578,17 @@ FORECAST = """, fc0 AS (SELECT period_id, indicator_id, sum(coalesce(plan, 0)) A
 """
 
 
-@query("ind33_forecast", BASE + FORECAST + "SELECT period_id, indicator_id, year_plan, fact_to_date, round(fact_to_date / year_plan * 100, 2) AS fact_share, months_with_fact, months_left, best_month, best_month_fact, required_per_month, ceiling, round(ceiling / year_plan * 100, 2) AS ceiling_share, achievable FROM fo")
+@query("ind33_forecast", BASE + FORECAST + "SELECT period_id, indicator_id, year_plan, fact_to_date, round(fact_to_date / year_plan * 100, 1) AS fact_share, months_with_fact, months_left, best_month, best_month_fact, required_per_month, ceiling, round(ceiling / year_plan * 100, 1) AS ceiling_share, achievable FROM fo")
 def _(t):
     return M.forecast(points(t))
 
 
 ANOMALY = """, sq AS (SELECT *, lag(month) OVER w AS pm_, lag(fact) OVER w AS pf, max(month) OVER (PARTITION BY period_id, indicator_id) AS last, count(*) OVER (PARTITION BY period_id, indicator_id) AS n FROM pt WHERE fact IS NOT NULL WINDOW w AS (PARTITION BY period_id, indicator_id ORDER BY month)),
- sd AS (SELECT period_id, indicator_id, arg_min(pm_, {'a': -pf / fact, 'b': month}) AS month, arg_min(month, {'a': -pf / fact, 'b': month}) AS other_month, arg_min(round((1 - fact / pf) * 100, 2), {'a': -pf / fact, 'b': month}) AS value FROM sq WHERE n >= 3 AND month = pm_ + 1 AND fact > 0 AND month <> last AND pf / fact >= 1.4 GROUP BY 1, 2),
+ sd AS (SELECT period_id, indicator_id, arg_min(pm_, {'a': -pf / fact, 'b': month}) AS month, arg_min(month, {'a': -pf / fact, 'b': month}) AS other_month, arg_min(round((1 - fact / pf) * 100, 1), {'a': -pf / fact, 'b': month}) AS value FROM sq WHERE n >= 3 AND month = pm_ + 1 AND fact > 0 AND month <> last AND pf / fact >= 1.4 GROUP BY 1, 2),
  jt AS (SELECT period_id, indicator_id, max(fact) FILTER (month = 1) AS jan, avg(fact) FILTER (month > 1) AS av, count(fact) FILTER (month > 1) AS n FROM pt GROUP BY 1, 2),
  an AS (SELECT period_id, indicator_id, 'spike_and_drop' AS code, month, other_month, value FROM sd UNION ALL SELECT period_id, indicator_id, 'january_tail', 1, NULL, jan FROM jt WHERE jan > 0 AND n >= 2 AND jan >= av * 1.25
-  UNION ALL SELECT period_id, indicator_id, 'flat_plan', NULL, NULL, round((max(plan) - min(plan)) / avg(plan) * 100, 4) FROM pt GROUP BY 1, 2 HAVING count(plan) >= 12 AND avg(plan) > 0 AND (max(plan) - min(plan)) / avg(plan) < 0.01
-  UNION ALL SELECT period_id, indicator_id, 'ratio_over_plan', arg_min(top_month, {'a': -top, 'b': top_month}), NULL, max(top) FROM bd WHERE top > 100 GROUP BY 1, 2 UNION ALL SELECT period_id, indicator_id, 'missing_execution', NULL, NULL, NULL FROM bd GROUP BY 1, 2 HAVING count(*) FILTER (case_fact IS NULL) > 0)
+  UNION ALL SELECT period_id, indicator_id, 'flat_plan', NULL, NULL, round((max(plan) - min(plan)) / avg(plan) * 100, 1) FROM pt GROUP BY 1, 2 HAVING count(plan) >= 12 AND avg(plan) > 0 AND (max(plan) - min(plan)) / avg(plan) < 0.01
+  UNION ALL SELECT period_id, indicator_id, 'ratio_over_plan', arg_min(top_month, {'a': -top, 'b': top_month}), NULL, round(max(top), 1) FROM bd WHERE top > 100 GROUP BY 1, 2 UNION ALL SELECT period_id, indicator_id, 'missing_execution', NULL, NULL, NULL FROM bd GROUP BY 1, 2 HAVING count(*) FILTER (case_fact IS NULL) > 0)
 """
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import rnd
 from ..operators import association as S
 from ..operators import profile as P
 from ..operators import ranking as K
@@ -21,7 +22,7 @@ def nulled(t):
 
 
 def rounded(df, digits, *cols):
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    return df.withColumns({c: rnd(c, digits) for c in cols})
 
 
 def each(cols, template):
@@ -52,8 +53,8 @@ PROFILE = ["column", "n", "mean", "variance", "min", "max", "skewness", "kurtosi
 
 
 def _profile(df):
-    return df.select("column", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), "min", "max",
-                     F.round("skewness", 6).alias("skewness"), F.round("kurtosis", 6).alias("kurtosis"), *[F.round(c, 6).alias(c) for c in PROFILE[8:13]], "outliers_count")
+    return df.select("column", "n", rnd("mean", 6).alias("mean"), rnd("variance", 4).alias("variance"), "min", "max",
+                     rnd("skewness", 6).alias("skewness"), rnd("kurtosis", 6).alias("kurtosis"), *[rnd(c, 6).alias(c) for c in PROFILE[8:13]], "outliers_count")
 
 
 @query("sta2_numeric_profile", each(["a", "c"], MOMENTS.replace("VARF", "var_samp").replace("QF", "quantile_disc").replace("FROM T", f"FROM {NULLED}")))

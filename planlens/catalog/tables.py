@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import parse, text
-from ..functions.columns import percent
+from ..functions.columns import percent, rnd
 from ..operators import aggregate as A
 from ..operators import charts as C
 from ..operators import joins as J
@@ -35,7 +35,7 @@ def _(t):
                         "o": rich.select(F.col("o_custkey").alias("custkey"), "o_totalprice"),
                         "n": t.nation.select(F.col("n_nationkey").alias("nationkey"), "n_name")}, ["custkey", "nationkey"], sep="__")
     out = A.group_aggregate(star, ["n__n_name"], [("o__o_totalprice", "SUM")])
-    out = out.select(F.col("n__n_name").alias("n_name"), "_count", F.round("SUM(o__o_totalprice)", 2).alias("revenue"))
+    out = out.select(F.col("n__n_name").alias("n_name"), "_count", rnd("SUM(o__o_totalprice)", 2).alias("revenue"))
     return K.page(out, "revenue", "desc", 1000, tie_break=["n_name"])
 
 
@@ -78,12 +78,26 @@ def _(t):
     return t.spark.table("customer_source").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("snk1_csv_sink", "SELECT p_partkey, p_name, p_size::BIGINT AS p_size, p_retailprice FROM part")
+def _(t):
+    path = _roundtrip(t, t.part, "csv")
+    sinks.write(t.part, path, "csv")
+    return readers.read_csv(t.spark, path).select("p_partkey", "p_name", "p_size", "p_retailprice")
+
+
+@query("snk2_parquet_sink", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def _(t):
+    path = _roundtrip(t, t.orders, "parquet")
+    sinks.write(t.orders, path)
+    return readers.scan_parquet(t.spark, path).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 @query("snk3_write_formats", "SELECT 'csv' AS fmt, count(*) AS n, round(sum(p_retailprice), 2) AS s FROM part UNION ALL SELECT 'parquet', count(*), round(sum(p_retailprice), 2) FROM part")
 def _(t):
     paths = sinks.write_formats(t.part, _roundtrip(t, t.part, "all"), ["Parquet", "csv", "parquet"])
     parts = [readers.read_csv(t.spark, p) if f == "csv" else t.spark.read.parquet(p) for f, p in sorted(paths.items())]
-    return parts[0].agg(F.lit("csv").alias("fmt"), F.count(F.lit(1)).alias("n"), F.round(F.sum("p_retailprice"), 2).alias("s")).unionByName(
-        parts[1].agg(F.lit("parquet").alias("fmt"), F.count(F.lit(1)).alias("n"), F.round(F.sum("p_retailprice"), 2).alias("s")))
+    return parts[0].agg(F.lit("csv").alias("fmt"), F.count(F.lit(1)).alias("n"), rnd(F.sum("p_retailprice"), 2).alias("s")).unionByName(
+        parts[1].agg(F.lit("parquet").alias("fmt"), F.count(F.lit(1)).alias("n"), rnd(F.sum("p_retailprice"), 2).alias("s")))
 
 
 @query("snk4_staged_table", "SELECT count(*) AS n, count(DISTINCT s_nationkey) AS k FROM supplier")
@@ -125,6 +139,16 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+@query("snk7_replace_facts", f"""
+WITH f AS ({FACTS}) SELECT period_id, org, typ, n FROM f WHERE NOT (period_id = 1995 AND typ <> 'R')""")
+def _(t):
+    f = _facts(t)
+    path = _roundtrip(t, f, "facts")
+    sinks.load_facts(f, path, ["period_id", "org", "typ"], "replace")
+    sinks.load_facts(f.filter("period_id = 1995 AND typ = 'R'"), path, ["period_id", "org", "typ"], "replace")
+    return t.spark.read.parquet(path)
+
+
 @query("snk8_upsert_values", f"""
 WITH f AS ({FACTS}) SELECT period_id, org, typ, n FROM f WHERE NOT (period_id = 1995 AND n <= 2)""")
 def _(t):
@@ -308,7 +332,7 @@ def _(t):
 @query("jon6_unknown_members", "SELECT l_suppkey, round(sum(l_quantity), 2) AS total, count(*) AS fact_rows FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1")
 def _(t):
     known = t.supplier.filter("s_acctbal > 0").withColumnRenamed("s_suppkey", "l_suppkey")
-    return J.unknown_members(t.lineitem, known, "l_suppkey", "l_quantity").withColumn("total", F.round("total", 2))
+    return J.unknown_members(t.lineitem, known, "l_suppkey", "l_quantity").withColumn("total", rnd("total", 2))
 
 
 @query("jon7_capability_cascade", """
@@ -392,7 +416,7 @@ SELECT l_returnflag, l_linestatus, count(*) AS _count, round(sum(l_quantity), 2)
  min(l_discount) AS "MIN(l_discount)", max(l_tax) AS "MAX(l_tax)", count(*) AS "COUNT(l_tax)" FROM lineitem GROUP BY 1, 2""")
 def _(t):
     out = A.group_aggregate(t.lineitem, ["l_returnflag", "l_linestatus"], [("l_quantity", "SUM"), ("l_extendedprice", "AVG"), ("l_discount", "MIN"), ("l_tax", "MAX"), ("l_tax", "COUNT")])
-    return out.withColumn("SUM(l_quantity)", F.round("SUM(l_quantity)", 2))
+    return out.withColumn("SUM(l_quantity)", rnd("SUM(l_quantity)", 2))
 
 
 SEG = "(SELECT CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE o_orderpriority END AS x, o_orderstatus AS s, o_totalprice AS v, o_custkey AS k, o_orderdate FROM orders)"
@@ -409,7 +433,7 @@ for _fn, _sqlfn in {"sum": "round(sum({}), 4)", "mean": "round(avg({}), 4)", "me
         def run(t):
             out = C.chart_aggregate(_seg(t), "x", ["v", "k"], fn)
             if fn in ("sum", "mean", "median", "min", "max"):
-                out = out.select("_x", F.round("v", 2).alias("v"), F.round(F.col("k").cast("double"), 2).alias("k"))
+                out = out.select("_x", rnd("v", 2).alias("v"), rnd(F.col("k").cast("double"), 2).alias("k"))
             return out
         return run
     _w = (lambda e: f"round({e}::DOUBLE, 2)") if _fn not in ("count", "count_distinct") else (lambda e: e)
@@ -425,7 +449,7 @@ def _(t):
 
 @query("agg4_part_of_whole", f"SELECT coalesce(x, '{EMPTY}') AS name, round(round(avg(v), 4), 2) AS value FROM {SEG} GROUP BY 1")
 def _(t):
-    return C.part_of_whole(_seg(t), "x", "v", "mean").withColumn("value", F.round("value", 2))
+    return C.part_of_whole(_seg(t), "x", "v", "mean").withColumn("value", rnd("value", 2))
 
 
 @query("agg5_histogram", """
@@ -433,7 +457,7 @@ WITH m AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice
  c AS (SELECT least(19, floor((o_totalprice - lo) / w))::INT AS bin, count(*) AS n FROM orders, m GROUP BY 1)
 SELECT r.range::INT AS bin, round(lo + r.range * w, 4) AS lo, round(lo + (r.range + 1) * w, 4) AS hi, coalesce(n, 0) AS count FROM range(20) r, m LEFT JOIN c ON c.bin = r.range""")
 def _(t):
-    return C.histogram(t.orders, "o_totalprice").withColumns({"lo": F.round("lo", 4), "hi": F.round("hi", 4)})
+    return C.histogram(t.orders, "o_totalprice").withColumns({"lo": rnd("lo", 4), "hi": rnd("hi", 4)})
 
 
 @query("agg6_heatmap", f"""
@@ -443,7 +467,7 @@ WITH b AS (SELECT coalesce(x, '{EMPTY}') AS x, CAST(year(o_orderdate) AS VARCHAR
 SELECT x, y, value, (SELECT min(value) FROM d) AS min, (SELECT max(value) FROM d) AS max FROM d""")
 def _(t):
     out = C.heatmap(_seg(t).withColumn("y", F.year("o_orderdate")), "x", "y", "v", "sum")
-    return out.withColumns({c: F.round(c, 2) for c in ("value", "min", "max")})
+    return out.withColumns({c: rnd(c, 2) for c in ("value", "min", "max")})
 
 
 @query("agg7_waterfall", f"""
@@ -451,7 +475,7 @@ WITH g AS (SELECT coalesce(x, '{EMPTY}') AS _x, sum(v - 190000) AS d FROM {SEG}
 SELECT _x, round(CASE WHEN d >= 0 THEN run - d ELSE run END, 2) AS base, round(abs(d), 2) AS delta, d >= 0 AS is_positive, round(run, 2) AS total FROM r""")
 def _(t):
     out = C.waterfall(_seg(t).withColumn("v", F.col("v") - 190000), "x", "v", "sum")
-    return out.withColumns({c: F.round(c, 2) for c in ("base", "delta", "total")})
+    return out.withColumns({c: rnd(c, 2) for c in ("base", "delta", "total")})
 
 
 @query("agg8_boxplot", f"""
@@ -459,7 +483,7 @@ WITH q AS (SELECT coalesce(x, '{EMPTY}') AS _x, quantile_cont(v, 0.25) AS q1, qu
 SELECT _x, round(min(v) FILTER (v >= q1 - 1.5 * (q3 - q1)), 4) AS min, round(any_value(q1), 4) AS q1, round(any_value(median), 4) AS median, round(any_value(q3), 4) AS q3,
  round(max(v) FILTER (v <= q3 + 1.5 * (q3 - q1)), 4) AS max FROM {SEG} b JOIN q ON coalesce(x, '{EMPTY}') = _x GROUP BY _x""")
 def _(t):
-    return C.boxplot_by(_seg(t), "x", "v").select("_x", *[F.round(c, 4).alias(c) for c in ("min", "q1", "median", "q3", "max")])
+    return C.boxplot_by(_seg(t), "x", "v").select("_x", *[rnd(c, 4).alias(c) for c in ("min", "q1", "median", "q3", "max")])
 
 
 @query("agg9_pareto", """
@@ -473,7 +497,7 @@ def _(t):
 @query("agg10_sankey", f"""
 SELECT * FROM (SELECT coalesce(x, '{EMPTY}') AS source, s AS target, round(sum(v), 2) AS value FROM {SEG} GROUP BY 1, 2) WHERE source <> target AND value > 0""")
 def _(t):
-    return C.sankey(_seg(t), "x", "s", "v", "sum").withColumn("value", F.round("value", 2))
+    return C.sankey(_seg(t), "x", "s", "v", "sum").withColumn("value", rnd("value", 2))
 
 
 @query("agg10_sankey_counts", "SELECT l_returnflag AS source, l_linestatus AS target, count(*) AS value FROM lineitem WHERE l_returnflag <> l_linestatus GROUP BY 1, 2")
@@ -486,7 +510,7 @@ WITH y AS (SELECT year(o_orderdate) AS y FROM orders GROUP BY 1 ORDER BY count(D
  d AS (SELECT CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1)
 SELECT CAST(CAST(r.range AS DATE) AS VARCHAR) AS day, value FROM y, range(make_date(y::INT, 1, 1)::TIMESTAMP, make_date(y::INT + 1, 1, 1)::TIMESTAMP, INTERVAL 1 DAY) r LEFT JOIN d ON d.day = CAST(r.range AS DATE)""")
 def _(t):
-    return C.calendar(t.orders, "o_orderdate", "o_totalprice", "sum").select(F.col("day").cast("string").alias("day"), F.round("value", 2).alias("value"))
+    return C.calendar(t.orders, "o_orderdate", "o_totalprice", "sum").select(F.col("day").cast("string").alias("day"), rnd("value", 2).alias("value"))
 
 
 @query("agg12_kpi", """
@@ -494,7 +518,12 @@ WITH g AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, avg(o_totalprice) AS v FR
 SELECT round(a.v, 2) AS value, round(b.v, 2) AS prev_value, round((round(a.v, 4) - round(b.v, 4)) / round(b.v, 4) * 100, 4) AS change, a.m AS group_label, b.m AS prev_label FROM r a, r b WHERE a.rn = 1 AND b.rn = 2""")
 def _(t):
     out = C.kpi(t.orders.withColumn("m", F.date_format("o_orderdate", "yyyy-MM")), "o_totalprice", "mean", "m")
-    return out.withColumns({"value": F.round("value", 2), "prev_value": F.round("prev_value", 2), "change": F.round("change", 4)})
+    return out.withColumns({"value": rnd("value", 2), "prev_value": rnd("prev_value", 2), "change": rnd("change", 4)})
+
+
+@query("agg12_kpi_total", "SELECT round(quantile_cont(o_totalprice, 0.5), 2) AS value FROM orders")
+def _(t):
+    return C.kpi(t.orders, "o_totalprice", "median").withColumn("value", rnd("value", 2))
 
 
 @query("agg13_table_widget", f"SELECT coalesce(x, '{EMPTY}') AS _x, count(DISTINCT v) AS v, count(DISTINCT k) AS k FROM {SEG} GROUP BY 1")
@@ -515,7 +544,7 @@ def _(t):
 
 @query("agg15_xy_chart", "SELECT strftime(l_shipdate, '%Y-%m') AS _x, round(round(sum(l_quantity), 4), 2) AS l_quantity FROM lineitem GROUP BY 1")
 def _(t):
-    return C.xy_chart(t.lineitem.withColumn("m", F.date_format("l_shipdate", "yyyy-MM")), "m", ["l_quantity"], "sum", "name_asc").withColumn("l_quantity", F.round("l_quantity", 2))
+    return C.xy_chart(t.lineitem.withColumn("m", F.date_format("l_shipdate", "yyyy-MM")), "m", ["l_quantity"], "sum", "name_asc").withColumn("l_quantity", rnd("l_quantity", 2))
 
 
 @query("agg16_stacked_bar", """
@@ -575,7 +604,7 @@ SELECT k, round(sum(num) FILTER (c), 2) AS numerator, count(*) FILTER (c) AS org
 def _(t):
     d = t.orders.select(F.col("o_orderpriority").alias("k"), "o_orderstatus", F.col("o_totalprice").alias("num"),
                         F.when(~((F.col("o_orderpriority") == "5-LOW") & (F.col("o_custkey") % 10 == 0)), F.col("o_custkey")).alias("den"))
-    return A.guarded_denominator(d, ["k"], F.col("o_orderstatus") != "P", "num", "den").withColumn("numerator", F.round("numerator", 2))
+    return A.guarded_denominator(d, ["k"], F.col("o_orderstatus") != "P", "num", "den").withColumn("numerator", rnd("numerator", 2))
 
 
 WIDE = "SELECT l_suppkey AS org, count(*) FILTER (l_returnflag = 'A') AS \"A\", count(*) FILTER (l_returnflag = 'N') AS \"N\", count(*) FILTER (l_returnflag = 'R' AND l_quantity > 49) AS \"R\" FROM lineitem GROUP BY 1"
@@ -655,7 +684,7 @@ def _(t):
 SELECT event_id, CASE WHEN count(value) OVER w = 5 THEN round(avg(value) OVER w, 6) END AS rolling_mean, CASE WHEN count(value) OVER w = 5 THEN round(stddev_pop(value) OVER w, 6) END AS rolling_std
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def _(t):
-    return K.rolling(t.events, "value", 5, ["ts", "event_id"], ["user_id"]).select("event_id", F.round("rolling_mean", 6).alias("rolling_mean"), F.round("rolling_std", 6).alias("rolling_std"))
+    return K.rolling(t.events, "value", 5, ["ts", "event_id"], ["user_id"]).select("event_id", rnd("rolling_mean", 6).alias("rolling_mean"), rnd("rolling_std", 6).alias("rolling_std"))
 
 
 @query("win7_lag_pairs", "SELECT * FROM (SELECT event_id, lag(value, 3) OVER (ORDER BY ts, event_id) AS x, value AS y FROM events) WHERE x IS NOT NULL")
@@ -803,6 +832,6 @@ def _(t):
     return t.part.select("p_partkey", text.section_code(F.concat(F.lit(" "), "p_size", F.lit("."), "p_partkey", F.lit(" title"))).alias("v"))
 
 
-@query("sca12_percent", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity - 5 > 0 THEN round(l_tax / (l_quantity - 5) * 100, 2) END AS p FROM lineitem")
+@query("sca12_percent", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity - 5 > 0 THEN round(l_tax / (l_quantity - 5) * 10000) / 100 END AS p FROM lineitem")
 def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", percent(F.col("l_tax"), F.col("l_quantity") - 5).alias("p"))

@@ -85,6 +85,12 @@ def bounded_values(df: DataFrame, name: str, limit: int) -> Column:
                       .otherwise(F.col("a")).alias("a")).scalar()
 
 
+def rnd(c: str | Column, digits: int = 0) -> Column:
+    """Half away from zero on the scaled value: decides ties by the double itself, not by its decimal text."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.round(col) if digits == 0 else F.round(col * float(10 ** digits)) / float(10 ** digits)
+
+
 def percent(num: Column, den: Column, digits: int = 2) -> Column:
     """num / den * 100, null when the denominator is null or not positive."""
-    return F.when(den > 0, F.round(num / den * 100, digits))
+    return F.when(den > 0, F.round(num / den * float(10 ** (digits + 2))) / float(10 ** digits))

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import number, type_of
+from ..functions.columns import number, rnd, type_of
 from .quantiles import quantiles
 
-FUNCS = {"SUM": lambda v: F.coalesce(F.sum(v), F.lit(0.0)), "AVG": lambda v: F.round(F.avg(v), 4),
+FUNCS = {"SUM": lambda v: F.coalesce(F.sum(v), F.lit(0.0)), "AVG": lambda v: rnd(F.avg(v), 4),
          "MIN": F.min, "MAX": F.max}
 
 
@@ -161,10 +161,10 @@ def agg_column(df: DataFrame, field: str, fn: str) -> Column:
     if fn in ("min", "max"):
         f = F.min if fn == "min" else F.max
         if isinstance(type_of(df, field), T.NumericType):
-            return F.round(f(v), 4)
-        return F.coalesce(F.round(f(v), 4).cast("string"), f(raw.cast("string")))
+            return rnd(f(v), 4)
+        return F.coalesce(rnd(f(v), 4).cast("string"), f(raw.cast("string")))
     if fn in ("sum", "mean"):
-        return F.round((F.sum if fn == "sum" else F.avg)(v), 4)
+        return rnd((F.sum if fn == "sum" else F.avg)(v), 4)
     raise ValueError(f"unknown aggregate {fn!r}")
 
 
@@ -175,5 +175,5 @@ def grouped(df: DataFrame, keys: Mapping[str, Column], ys: Sequence[str], fn: st
     if fn != "median":
         return named.groupBy(*names).agg(*[agg_column(df, y, fn).alias(y) for y in ys])
     q = quantiles(named, ys, [0.5], names)
-    wide = q.groupBy(*names).agg(*[F.round(F.max(F.when(F.col("column") == y, F.col("q")[0])), 4).alias(y) for y in ys])
+    wide = q.groupBy(*names).agg(*[rnd(F.max(F.when(F.col("column") == y, F.col("q")[0])), 4).alias(y) for y in ys])
     return named.select(*names).distinct().join(wide, names, "left")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bounded_values, label, number, one_row
+from ..functions.columns import bounded_values, label, number, one_row, rnd
 from .aggregate import grouped
 from .ordered import scan
 from .quantiles import quantiles
@@ -52,7 +52,7 @@ def stacked_pct(df: DataFrame, x: str, ys: Sequence[str], fn: str) -> DataFrame:
     base = chart_aggregate(df, x, ys, fn)
     total = row_total(ys)
     return base.select("_x", *[F.when(total == 0, 0.0).otherwise(
-        F.round(F.coalesce(number(y), F.lit(0.0)) * 1000 / F.nullif(total, F.lit(0.0))) / 10).alias(y) for y in ys])
+        rnd(F.coalesce(number(y), F.lit(0.0)) * 1000 / F.nullif(total, F.lit(0.0))) / 10).alias(y) for y in ys])
 
 
 def part_of_whole(df: DataFrame, name: str, value: str, fn: str) -> DataFrame:
@@ -96,8 +96,8 @@ def waterfall(df: DataFrame, x: str, y: str, fn: str, order: str | None = None)
     g = g.select("_x", F.coalesce(F.col(y).cast("double"), F.lit(0.0)).alias("d"))
     s = scan(g, {"run": ("sum", F.col("d"))}, [order or "_x"])
     base = F.when(F.col("d") >= 0, F.col("run") - F.col("d")).otherwise(F.col("run"))
-    return s.select("_x", F.round(base, 4).alias("base"), F.round(F.abs("d"), 4).alias("delta"),
-                    (F.col("d") >= 0).alias("is_positive"), F.round("run", 4).alias("total"))
+    return s.select("_x", rnd(base, 4).alias("base"), rnd(F.abs("d"), 4).alias("delta"),
+                    (F.col("d") >= 0).alias("is_positive"), rnd("run", 4).alias("total"))
 
 
 def boxplot_by(df: DataFrame, x: str, y: str, empty: str | None = None) -> DataFrame:
@@ -117,7 +117,7 @@ def pareto(df: DataFrame, x: str, y: str, fn: str) -> DataFrame:
     g = grouped(df, {"_x": label(x)}, [y], "sum" if fn == "none" else fn)
     g = g.withColumn("__v", F.coalesce(F.col(y).cast("double"), F.lit(0.0)))
     s = scan(g, {"cum": ("sum", F.col("__v")), "tot": ("total", F.col("__v"))}, ["-__v", "_x"])
-    return s.select("_x", y, F.when(F.col("tot") > 0, F.round(F.col("cum") / F.nullif(F.col("tot"), F.lit(0.0)) * 1000) / 10)
+    return s.select("_x", y, F.when(F.col("tot") > 0, rnd(F.col("cum") / F.nullif(F.col("tot"), F.lit(0.0)) * 1000) / 10)
                     .otherwise(0.0).alias("cum_pct"))
 
 
@@ -177,4 +177,4 @@ def stacked_bar(df: DataFrame, x: str, stack: str, value: str | None, top: int =
         return cells.groupBy(c).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), c).limit(k).select(c)
     return (cells.join(F.broadcast(leaders("x", bars)), "x", "left_semi")
             .join(F.broadcast(leaders("stack", top)), "stack", "left_semi")
-            .select("x", "stack", F.round(F.coalesce("value", F.lit(0.0)), 4).alias("value")))
+            .select("x", "stack", rnd(F.coalesce("value", F.lit(0.0)), 4).alias("value")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import collected_statistics, number, one_row, type_of
+from ..functions.columns import collected_statistics, number, one_row, rnd, type_of
 from ..session import can_cut
 from .joins import lookup
 from .ordered import row_numbers, scan
@@ -182,7 +182,7 @@ def encode_count(df: DataFrame, col: str, share: bool = False) -> DataFrame:
     counts = text.groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
     if share:
         total = one_row(df.agg(F.count(F.lit(1)).alias("n"))).getField("n")
-        counts = counts.withColumn("__n", F.round(F.col("__n") / total, 8))
+        counts = counts.withColumn("__n", rnd(F.col("__n") / total, 8))
     out = lookup(text, counts, col)
     return _replace(out.select(*df.columns, "__n"), col, F.col("__n"), "__n")
 
@@ -205,9 +205,9 @@ def encode_target(df: DataFrame, col: str, target: str, leave_one_out: bool = Fa
     out = df.join(sums, F.col(col) == F.col("__k"), "left")
     s, n = F.col("__s"), F.col("__n")
     if leave_one_out:
-        value = F.when(n > 1, F.round((s - t) / F.nullif(n - 1, F.lit(0)), 8)).otherwise(whole)
+        value = F.when(n > 1, rnd((s - t) / F.nullif(n - 1, F.lit(0)), 8)).otherwise(whole)
     else:
-        value = F.coalesce(F.round(s / F.nullif(n, F.lit(0)), 8), whole)
+        value = F.coalesce(rnd(s / F.nullif(n, F.lit(0)), 8), whole)
     return _replace(out, col, value, "__k", "__s", "__n")
 
 
@@ -220,7 +220,7 @@ def encode_woe(df: DataFrame, col: str, target: str) -> DataFrame:
         return df
     table = df.groupBy(F.col(col).alias("__k")).agg(ones.alias("__e"), zeros.alias("__z"))
     ratio = (F.greatest(F.col("__e"), F.lit(0.5)) / totals["e"]) / (F.greatest(F.col("__z"), F.lit(0.5)) / totals["z"])
-    out = df.join(table.select("__k", F.round(F.ln(ratio), 8).alias("__w")), F.col(col) == F.col("__k"), "left")
+    out = df.join(table.select("__k", rnd(F.ln(ratio), 8).alias("__w")), F.col(col) == F.col("__k"), "left")
     return _replace(out, col, F.col("__w"), "__k", "__w")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import is_numeric, number, numeric_columns, one_row
+from ..functions.columns import is_numeric, number, numeric_columns, one_row, rnd
 from .aggregate import duplicates
 from .quantiles import quantiles, ranked_counts, value_counts
 
@@ -151,7 +151,7 @@ def column_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols or numeric_columns(df))
     med = quantiles(df, cols, [0.5]).select("column", F.col("q")[0].alias("median"))
     return _moments(df, cols, True).join(med, "column").select(
-        "column", *[F.round(c, 8).alias(c) for c in ("min", "max", "mean", "std", "median")])
+        "column", *[rnd(c, 8).alias(c) for c in ("min", "max", "mean", "std", "median")])
 
 
 def normality(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import percent
+from ..functions.columns import percent, rnd
 from .indicators import KEY, ORG_KEY, _sheets, numerators, valid_months
 
 MONTHS = list(range(1, 13))
@@ -115,9 +115,9 @@ def forecast(points: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     left = F.greatest(F.lit(0), 12 - F.col("__last"))
     g = g.withColumn("months_left", left).withColumn("ceiling", F.col("fact_to_date") + F.col("best_month_fact") * F.col("months_left"))
     need = F.when(F.col("months_left") > 0, F.greatest(F.lit(0), F.ceil((F.col("year_plan") - F.col("fact_to_date")) / F.nullif(F.col("months_left"), F.lit(0))))).otherwise(0)
-    return g.select(*keys, "year_plan", "fact_to_date", F.round(F.col("fact_to_date") / F.col("year_plan") * 100, 2).alias("fact_share"), "months_with_fact", "months_left",
+    return g.select(*keys, "year_plan", "fact_to_date", rnd(F.col("fact_to_date") / F.col("year_plan") * 100, 1).alias("fact_share"), "months_with_fact", "months_left",
                     "best_month", "best_month_fact", need.cast("long").alias("required_per_month"), "ceiling",
-                    F.round(F.col("ceiling") / F.col("year_plan") * 100, 2).alias("ceiling_share"), (F.col("ceiling") >= F.col("year_plan")).alias("achievable"))
+                    rnd(F.col("ceiling") / F.col("year_plan") * 100, 1).alias("ceiling_share"), (F.col("ceiling") >= F.col("year_plan")).alias("achievable"))
 
 
 def _finding(df: DataFrame, keys: Sequence[str], code: str, **evidence: Column) -> DataFrame:
@@ -135,8 +135,8 @@ def spike_and_drop(points: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     drop = seq.filter("n >= 3 AND month = pm + 1 AND fact > 0 AND month <> last").withColumn("ratio", F.col("pf") / F.col("fact")).filter(F.col("ratio") >= DROP_RATIO)
     deepest = drop.groupBy(*keys).agg(F.max_by(F.struct("month", "fact", "pm", "pf", "bm", "bf"), F.struct("ratio", -F.col("month"))).alias("d")).select(*keys, "d.*")
     rise = F.when((F.col("bm") == F.col("pm") - 1) & (F.col("bf") > 0), F.col("pf") / F.nullif(F.col("bf"), F.lit(0.0)))
-    return _finding(deepest, keys, "spike_and_drop", month=F.col("pm"), other_month=F.col("month"), value=F.round((1 - F.col("fact") / F.col("pf")) * 100, 2),
-                    base=F.when(rise >= SPIKE_RATIO, F.round((rise - 1) * 100, 2)))
+    return _finding(deepest, keys, "spike_and_drop", month=F.col("pm"), other_month=F.col("month"), value=rnd((1 - F.col("fact") / F.col("pf")) * 100, 1),
+                    base=F.when(rise >= SPIKE_RATIO, rnd((rise - 1) * 100, 1)))
 
 
 def january_tail(points: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -144,7 +144,7 @@ def january_tail(points: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     rest = F.when(F.col("month") > 1, F.col("fact"))
     g = points.groupBy(*keys).agg(F.max(F.when(F.col("month") == 1, F.col("fact"))).alias("jan"), F.avg(rest).alias("avg"), F.count(rest).alias("n"))
     return _finding(g.filter((F.col("jan") > 0) & (F.col("n") >= 2) & (F.col("avg") > 0) & (F.col("jan") >= F.col("avg") * JANUARY_TAIL_RATIO)), keys,
-                    "january_tail", month=F.lit(1), value=F.col("jan"), base=F.round("avg", 2))
+                    "january_tail", month=F.lit(1), value=F.col("jan"), base=rnd("avg"))
 
 
 def flat_plan(points: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -152,7 +152,7 @@ def flat_plan(points: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     g = points.groupBy(*keys).agg(F.count("plan").alias("n"), F.min("plan").alias("lo"), F.max("plan").alias("hi"), F.avg("plan").alias("avg"))
     spread = (F.col("hi") - F.col("lo")) / F.nullif(F.col("avg"), F.lit(0.0))
     return _finding(g.filter((F.col("n") >= 12) & (F.col("avg") > 0) & (spread < FLAT_PLAN_SPREAD)), keys, "flat_plan",
-                    value=F.round(spread * 100, 4), base=F.round("avg", 2))
+                    value=rnd(spread * 100, 1), base=rnd("avg"))
 
 
 def ratio_over_plan(breakdown: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -162,7 +162,7 @@ def ratio_over_plan(breakdown: DataFrame, keys: Sequence[str] = KEY) -> DataFram
     over = F.when(F.col("top") > 100, F.col("top"))
     g = rows.groupBy(*keys).agg(F.count("top").alias("with_data"), F.count(over).alias("n"), F.max(over).alias("v"),
                                 F.max_by("m", F.when(over.isNotNull(), F.struct(over, -F.col("m")))).alias("m")).filter("n > 0")
-    return _finding(g, keys, "ratio_over_plan", month=F.col("m"), value=F.col("v"), base=F.col("with_data"), n=F.col("n"))
+    return _finding(g, keys, "ratio_over_plan", month=F.col("m"), value=rnd("v", 1), base=F.col("with_data"), n=F.col("n"))
 
 
 def missing_execution(breakdown: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -221,7 +221,7 @@ def gap_rows(values: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     v = v.withColumns({"__null": F.col("gap").isNull(), "__neg": -F.coalesce("gap", F.lit(0.0))})
     s = scan(v, {"place": ("sum", F.lit(1).cast("long")), "cum_gap": ("sum", F.coalesce("gap", F.lit(0.0))), "total_gap": ("total", F.coalesce("gap", F.lit(0.0)))},
              ["__null", "__neg", "organization_name", "organization_oid"], keys)
-    share = F.when(F.col("gap").isNotNull() & (F.col("total_gap") > 0), F.round(F.col("gap") / F.nullif(F.col("total_gap"), F.lit(0.0)) * 100, 2))
+    share = F.when(F.col("gap").isNotNull() & (F.col("total_gap") > 0), rnd(F.col("gap") / F.nullif(F.col("total_gap"), F.lit(0.0)) * 100, 2))
     return s.select(*keys, "organization_oid", "organization_name", "status", "fact", "plan", "gap", share.alias("share_of_gap"), "place", "cum_gap", "total_gap")
 
 

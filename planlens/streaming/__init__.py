@@ -1,0 +1,5 @@
+"""No streaming operators: fact files arrive as batches.
+
+The import operators (``plans.registers.aggregate_interval``, ``sources.sinks.load_facts``) are
+functions of one batch, so a ``writeStream.foreachBatch`` can call them as they are.
+"""
