@@ -107,7 +107,7 @@ def _(t):
 
 CAT = f"(SELECT c AS g, sum(v) AS s, count(v) AS n, count(*) FILTER (y = 1) AS e, count(*) FILTER (y = 0) AS z FROM {SRC} GROUP BY 1)"
 query("enc6_target", f"SELECT id, round(coalesce(s / n, (SELECT avg(v) FROM {SRC})), 6) AS c FROM {SRC} s LEFT JOIN {CAT} ON g = c")(_enc8("target", targetField="v"))
-query("enc7_leave_one_out", f"SELECT id, round(CASE WHEN n > 1 THEN (s - v) / (n - 1) ELSE (SELECT avg(v) FROM {SRC}) END, 4) AS c FROM {SRC} s LEFT JOIN {CAT} ON g = c")(_enc8("loo", 4, targetField="v"))
+query("enc7_leave_one_out", f"SELECT id, round(CASE WHEN n > 1 THEN round((s - v) / (n - 1), 8) ELSE (SELECT avg(v) FROM {SRC}) END, 4) AS c FROM {SRC} s LEFT JOIN {CAT} ON g = c")(_enc8("loo", 4, targetField="v"))
 query("enc8_weight_of_evidence", f"SELECT id, CASE WHEN g IS NOT NULL THEN round(ln((greatest(e, 0.5) / (SELECT count(*) FROM {SRC} WHERE y = 1)) / (greatest(z, 0.5) / (SELECT count(*) FROM {SRC} WHERE y = 0))), 6) END AS c FROM {SRC} s LEFT JOIN {CAT} ON g = c")(_enc8("woe", targetField="y"))
 
 
