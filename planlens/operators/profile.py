@@ -57,10 +57,14 @@ def column_quality(df: DataFrame) -> DataFrame:
                     ((F.col("uniq") == 1) | (F.col("uniq") == F.col("n"))).alias("constant_or_id")))
 
 
+def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, v) of all finite values."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("v")) for c in cols]))).filter("v IS NOT NULL")
+
+
 def _moments(df: DataFrame, cols: Sequence[str], population: bool) -> DataFrame:
     var = F.var_pop if population else F.var_samp
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("v")) for c in cols]))).filter("v IS NOT NULL")
-    m = long.groupBy("column").agg(
+    m = _long(df, cols).groupBy("column").agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), var("v").alias("variance"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.skewness("v").alias("skewness"), F.kurtosis("v").alias("kurtosis"))
     return m.withColumns({"variance": F.coalesce("variance", F.lit(0.0)), "std": F.sqrt(F.coalesce("variance", F.lit(0.0))),
@@ -75,16 +79,12 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, variant: s
     linear quantiles.
     """
     cols = list(cols or numeric_columns(df))
-    counts = value_counts(df, cols)
-    ranked = ranked_counts(counts)
-    from .quantiles import pick
-    method = "linear" if variant == "pop" else "disc"
     names = {"p5": .05, "p25": .25, "median": .5, "p75": .75, "p95": .95}
-    q = ranked.groupBy("column").agg(*[pick(p, method).alias(k) for k, p in names.items()])
-    q = q.withColumn("iqr", F.col("p75") - F.col("p25"))
+    q = quantiles(df, cols, list(names.values()), (), "linear" if variant == "pop" else "disc")
+    q = q.select("column", *[F.col("q")[i].alias(k) for i, k in enumerate(names)]).withColumn("iqr", F.col("p75") - F.col("p25"))
     fence = q.select("column", (F.col("p25") - 1.5 * F.col("iqr")).alias("lo"), (F.col("p75") + 1.5 * F.col("iqr")).alias("hi"))
-    out = counts.join(F.broadcast(fence), "column").groupBy("column").agg(  # one fence row per column
-        F.coalesce(F.sum(F.when((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi")), F.col("c"))), F.lit(0)).alias("outliers_count"))
+    out = _long(df, cols).join(F.broadcast(fence), "column").groupBy("column").agg(  # one fence row per column
+        F.count_if((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).alias("outliers_count"))
     return _moments(df, cols, variant == "pop").join(q, "column").join(out, "column")
 
 

@@ -2,7 +2,8 @@
 
 ``percentile`` keeps every distinct value of a group in one task.  Here values are counted with a
 normal partial aggregation, the counts get a running total by an ordered scan, and a quantile is
-the first value whose running total passes its position.
+the first value whose running total passes its position.  For whole columns of a large table a sketch
+first tells where each quantile lies, so that only values near it are counted one by one.
 """
 
 from __future__ import annotations
@@ -40,10 +41,69 @@ def pick(p: float, method: str) -> Column:
     return lo + (hi - lo) * frac
 
 
+ACCURACY = 10_000        # rank error of the sketch is n / ACCURACY
+MARGIN = 4               # band half-width in rank errors
+NARROW_FROM = 1_000_000  # below this many values the plain counting is cheaper
+
+
+def _bands(df: DataFrame, cols: Sequence[str], probs: Sequence[float], narrow_from: int) -> tuple[dict, dict] | None:
+    """Sketch every column once: ({column: n}, {column: [(lo, hi)…]}) around each quantile, or None for a small table."""
+    edges = [min(1.0, max(0.0, p + s * MARGIN / ACCURACY)) for p in probs for s in (-1, 1)]
+    nums = [number(c) for c in cols]
+    row = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(nums)],
+                 *[F.percentile_approx(v, F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias(f"e{i}") for i, v in enumerate(nums)]).head()
+    n = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+    if max(n.values(), default=0) < narrow_from:
+        return None
+    # the ends are open: a sketch need not hold the smallest and the largest value
+    open_lo = [p - MARGIN / ACCURACY <= 0 for p in probs]
+    open_hi = [p + MARGIN / ACCURACY >= 1 for p in probs]
+    few = {c for c in cols if n[c] < narrow_from}
+    bands = {c: [(None if open_lo[j] or c in few else row[f"e{i}"][2 * j], None if open_hi[j] or c in few else row[f"e{i}"][2 * j + 1])
+                 for j in range(len(probs))] for i, c in enumerate(cols)}
+    return n, bands
+
+
+def _narrow_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str, n: dict, bands: dict) -> DataFrame:
+    """Exact quantiles from the few values near each of them.
+
+    Values inside a band are counted one by one, all values below it as a single null entry that sorts
+    first, so the running total is exact although almost nothing is shuffled.
+    """
+    def slot(c: str, j: int) -> Column:
+        lo, hi = bands[c][j]
+        v = number(c)
+        keep = v.isNotNull() if hi is None else v <= hi
+        return F.when(keep, F.struct(F.lit(c).alias("column"), F.lit(j).alias("j"), (v if lo is None else F.when(v >= lo, v)).alias("v")))
+    slots = F.array_compact(F.array(*[slot(c, j) for c in cols for j in range(len(probs))]))
+    counts = df.select(F.inline(slots)).groupBy("column", "j", "v").agg(F.count(F.lit(1)).alias("c"))
+    size = F.element_at(F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(n[c]))]), F.col("column"))
+    ranked = scan(counts, {"cum": ("sum", F.col("c"))}, ["v"], ["column", "j"]).withColumn("n", size)
+    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("j") + 1)
+    first = F.ceil(F.col("n") * prob) if method == "disc" else F.floor((F.col("n") - 1) * prob) + 1
+    last = F.ceil(F.col("n") * prob) if method == "disc" else F.ceil((F.col("n") - 1) * prob) + 1
+    per = ranked.withColumns({"first": first, "last": last}).groupBy("column", "j").agg(
+        F.max("n").alias("n"), F.max("first").alias("first"), F.max("last").alias("last"), F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("cum"))), F.lit(0)).alias("below"),
+        F.max("cum").alias("reach"), F.min(F.when(F.col("cum") >= F.col("first"), F.col("v"))).alias("lo"), F.min(F.when(F.col("cum") >= F.col("last"), F.col("v"))).alias("hi"))
+    h = (F.col("n") - 1) * prob
+    frac = F.lit(0.0) if method == "disc" else h - F.floor(h)
+    inside = (F.col("below") < F.greatest("first", F.lit(1))) & (F.col("reach") >= F.col("last"))
+    value = F.when(inside, F.col("lo") + (F.col("hi") - F.col("lo")) * frac).otherwise(F.raise_error(F.lit("quantile outside its band")).cast("double"))
+    return per.withColumn("x", value).groupBy("column").agg(
+        F.max("n").alias("n"), F.array(*[F.max(F.when(F.col("j") == j, F.col("x"))) for j in range(len(probs))]).alias("q"))
+
+
 def quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), method: str = "linear"
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), method: str = "linear",
+    narrow_from: int = NARROW_FROM,
 ) -> DataFrame:
-    """(by…, column, n, q array) of exact quantiles; ``method`` is ``linear`` or ``disc``."""
+    """(by…, column, n, q array) of exact quantiles; ``method`` is ``linear`` or ``disc``.
+
+    Whole columns of a large table are sketched first, and only values near a quantile are shuffled;
+    groups and small tables count all values.
+    """
+    if not by and (found := _bands(df, cols, probs, narrow_from)):
+        return _narrow_quantiles(df, cols, probs, method, *found)
     ranked = ranked_counts(value_counts(df, cols, by), by)
     return ranked.groupBy(*by, "column").agg(
         F.max("n").alias("n"), F.array(*[pick(p, method) for p in probs]).alias("q"))
