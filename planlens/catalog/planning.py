@@ -15,7 +15,6 @@ from ..plans import indicators as I
 from ..plans import registers as G
 from ..plans import series as M
 from .base import query
-from .stats import rounded
 
 CONFIG = [{"indicator_id": "I1", "types": ["Brand#11", "Brand#12"], "aggregate": "sum", "sheets": ["ECONOMY"]},
           {"indicator_id": "I2", "types": ["Brand#21", "Brand#22"], "aggregate": "max", "additional": ["Brand#3"], "sheets": ["PROMO", "SMALL"]}]

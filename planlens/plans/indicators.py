@@ -15,7 +15,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import number, percent, rnd
+from ..functions.columns import bounded_values, number, percent, rnd
+from ..operators.joins import grid
 
 DEFAULT_CRITICAL_POINTS = 10  # fixed value
 KEY = ["period_id", "indicator_id"]
@@ -213,7 +214,6 @@ def registry_types(facts: DataFrame, registry: DataFrame, targets: DataFrame) ->
     reg, _, pairs, _ = _registered(facts, registry, targets, None)
     periods = targets.select("period_id").distinct()
     per = pairs.groupBy("period_id", "type_id").agg(F.count(F.lit(1)).alias("organizations"), F.sum("documents").alias("documents"))
-    from ..operators.joins import grid
     dense = grid(periods, reg, "type_id").withColumn("__in", F.lit(True))
     zero = F.lit(0).cast("long")
     return dense.join(per, ["period_id", "type_id"], "full").select(
@@ -227,8 +227,9 @@ def prior_year(annual: DataFrame, periods: DataFrame) -> DataFrame:
     annual: reporting_year, organization_oid, type_id, document_count; periods: period_id, year.
     """
     per = annual.groupBy("reporting_year", "type_id").agg(F.sum("document_count").alias("documents"), F.count_distinct("organization_oid").alias("organizations"))
-    years = per.select("reporting_year").distinct()
-    last = periods.join(years, F.col("reporting_year") < F.col("year")).groupBy("period_id").agg(F.max("reporting_year").alias("reporting_year"))
+    years = bounded_values(annual, "reporting_year", 10_000)
+    last = periods.withColumn("__years", years).withColumn("reporting_year", F.array_max(F.filter("__years", lambda y: y < F.col("year")))).filter(
+        "reporting_year IS NOT NULL")
     return last.join(per, "reporting_year").select("period_id", "reporting_year", "type_id", "documents", "organizations")
 
 

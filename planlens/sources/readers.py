@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,12 +48,10 @@ def detect_types(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, str
     """number / date / datetime / time / string per column.
 
     Looks at the first 100 non-empty values of each column within the first ``sample_rows`` rows;
-    one job for all columns.  Only the counts reach the driver.
+    one job for all columns, over at most ``sample_rows`` rows.  Only the counts reach the driver.
     """
     cells = (df.limit(sample_rows).select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])).alias("i", "v"))
              .filter("v <> ''"))
-    # limited head: at most sample_rows rows per column, in file order within the sample
-    from pyspark.sql import Window
     ranked = cells.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.monotonically_increasing_id())))
     s = ranked.filter(F.col("r") <= SAMPLE_VALUES).withColumn("k", parse.classify(F.col("v")))
     rows = s.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.count(parse.parse_number(F.col("v"))).alias("num"),
