@@ -72,6 +72,10 @@ def scan(
     Kinds: ``sum`` ``count`` ``max`` ``min`` ``last`` (up to this row), ``sum_before``
     ``last_before`` (rows strictly before), ``first`` ``first_after`` (from / strictly after this
     row, nulls skipped), ``total`` (the whole partition).  ``order_by`` must end in a unique key.
+
+    The input is read for the limits, for the rows and for the range totals, each time only the columns
+    needed; it must therefore be deterministic.  Put a ``checkpoint()`` or a written table in front of an
+    expensive or random one.
     """
     parts = list(partition_by)
     base = with_chunk(df, order_by, parts, chunks)
