@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planlens.llm import graph, packing, simhash, topk
+from planlens.llm import graph, langid, licences, mixing, packing, quality, simhash, suffix, topk
 from planlens.llm.common import table
 
 
@@ -26,6 +26,28 @@ def op4_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op5_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest_rows(table(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_binary_packing, op3_ball_tree_topk, op4_pruned_graph_ann)}
-SQL: dict[str, str] = {}
+    f.__name__: f for f in (
+        op1_simhash_near_dedup, op2_binary_packing, op3_ball_tree_topk, op4_pruned_graph_ann, op5_licence_sentences,
+        op7_suffix_dedup, op8_source_mixing, op9_quality_machine, op10_language_ppm)}
+SQL: dict[str, str] = {"op5_licence_sentences": licences.sql()}
