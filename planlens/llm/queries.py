@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planlens.llm import graph, langid, licences, mixing, packing, quality, simhash, suffix, topk
+from planlens.llm import graph, langid, licences, lm, mixing, packing, quality, simhash, suffix, topk
 from planlens.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest_rows(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_binary_packing, op3_ball_tree_topk, op4_pruned_graph_ann, op5_licence_sentences,
-        op7_suffix_dedup, op8_source_mixing, op9_quality_machine, op10_language_ppm)}
+        op6_recurrent_lm, op7_suffix_dedup, op8_source_mixing, op9_quality_machine, op10_language_ppm)}
 SQL: dict[str, str] = {"op5_licence_sentences": licences.sql()}
