@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from planlens.llm.common import WORD, text_batches, written
 from planlens.operators.ordered import scan
@@ -136,9 +137,11 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     placed, cut = _drawn(rows, _plan(rows, block), block, seed)
     takes = cut.filter("times > 0").groupBy("doc_id", "mark", "source", "size", "begin").agg(F.sort_array(F.collect_list(F.struct("block", "times"))).alias("takes"))
     takes = takes.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("source").alias("__source"), "size", "begin", "takes")
-    base = docs.withColumn("mark", F.xxhash64(F.col("text").cast("string")))
-    joined = base.join(takes, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")) & F.col("source").eqNullSafe(F.col("__source")))
-    joined = joined.dropDuplicates(["__id", "mark", "__source"]) if docs.groupBy("doc_id", "source", F.xxhash64("text")).count().filter("count > 1").limit(1).count() else joined
+    text = F.col("text").cast("string")
+    base = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("m"), F.col("source").cast("string").alias("s"))
+    joined = base.join(takes, F.col("id").eqNullSafe(F.col("__id")) & (F.col("m") == F.col("__mark")) & F.col("s").eqNullSafe(F.col("__source")))
+    if base.groupBy("id", "m", "s").count().filter("count > 1").limit(1).count():
+        joined = joined.dropDuplicates(["id", "m", "s"])
     text_batches(docs.sparkSession)
     word = re.compile(WORD.encode())
 
@@ -167,13 +170,11 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
                             texts.append(data[spans[lo][0]:spans[hi - 1][1]].decode())
                         index.append(i)
                         at = end + 1
-            rest = [c.take(pa.array(index, pa.int64())) for c in b.columns[4:]]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string())], [*b.schema.names[4:], "text"])
-
-    others = [c for c in docs.columns if c != "text"]
-    from pyspark.sql.types import StringType, StructType
-    kind = StructType([docs.schema[c] for c in others]).add("text", StringType())
-    out = joined.select(F.col("text").cast("string").alias("text"), "size", "begin", "takes", *others).mapInArrow(run, kind)
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+            yield pa.RecordBatch.from_arrays([b.column(4).take(pa.array(index, pa.int64())), pa.array(texts, pa.string())], ["row", "new"])
+
+    kind = StructType([joined.schema["row"]]).add("new", StringType())
+    out = joined.select("text", "size", "begin", "takes", "row").mapInArrow(run, kind)
+    columns = {c: F.col(f"row.{c}") for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[c.alias(name) for name, c in columns.items()])

@@ -22,6 +22,7 @@ BUCKETS, RANK = 1 << 14, 8
 FIT_ROWS, EPOCHS, STEP_ROWS = 8_000, 8, 64
 RATE, DECAY = 0.2, 1e-5
 THRESHOLD = 0.3
+SCORE = "__quality"
 STRUCTURE = 16
 FEATURES = BUCKETS + STRUCTURE
 PUNCTUATION = b".,;:!?'\"()-"
@@ -130,7 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
 
 
 def score_texts(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with a column ``quality_score`` in 0 to 1; the last column of the result."""
+    """``docs`` with a column ``SCORE`` in 0 to 1; the last column of the result."""
     text_batches(docs.sparkSession)
     where = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))  # of fixed size
@@ -145,10 +146,10 @@ def score_texts(docs: DataFrame, machine: Machine) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])[:-1]])
                 raw = m.raw(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), starts)[0]
                 score = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*b.schema.names, SCORE])
 
     from pyspark.sql.types import DoubleType, StructType
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("quality_score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(SCORE, DoubleType()))
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,9 +163,9 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the text itself does not come back from the tasks
     scored = score_texts(slim, machine)
-    return scored.select("doc_id", F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects."""
-    return score_texts(docs, learn(docs, labels)).filter(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+    return score_texts(docs, learn(docs, labels)).filter(F.col(SCORE) >= THRESHOLD).drop(SCORE)

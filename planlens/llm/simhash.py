@@ -209,8 +209,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """``docs`` with one document of each group of ``near_groups``; repeats of the kept row go too."""
     keep = written(near_groups(docs, shingle, similarity).filter("doc_id <=> keep_id and digest = keep_digest"), "keep")
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    k = keep.select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"))
-    left = docs.withColumn("__digest", digest).join(k, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("__digest") == F.col("k_digest")), "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), digest.alias("d"))
+    k = keep.select("keep_id", "keep_digest")
+    left = rows.join(k, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("d") == F.col("keep_digest")), "left_semi")
     if keep.filter("copies > 1").limit(1).count():
-        left = left.dropDuplicates(["doc_id", "__digest"])
-    return left.drop("__digest")
+        left = left.dropDuplicates(["id", "d"])
+    return left.select("row.*")

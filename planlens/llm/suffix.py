@@ -312,14 +312,13 @@ def drop_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     Characters of several bytes that a cut would part are kept.  Null texts stay null.
     """
-    base = keyed(docs)
-    slim = written(base.select("id", "dg", F.md5("text").alias("digest"), F.octet_length("text").alias("n")), "slim")
-    firsts = written(_firsts(slim), "firsts")
+    base = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    firsts = written(_firsts(base.select("id", "dg", F.md5("text").alias("digest"))), "firsts")
     spans, _ = repeat_spans(base.select("id", "dg", "text"), firsts.select("id", "dg"), least)
     marks = written(firsts.join(spans, ["id", "dg"], "left").select("digest", F.col("id").alias("first_id"), "spans"), "cuts")
-    wide = base.drop("text").withColumn("old", docs["text"]).withColumn("digest", F.md5(F.coalesce(F.col("old"), F.lit(""))))
-    joined = wide.join(spread(marks), "digest").withColumn("copy", (F.col("id") != F.col("first_id")) & (F.octet_length("old") >= least))
-    joined = joined.filter(~F.coalesce("copy", F.lit(False))).withColumn("spans", F.when(F.col("id") == F.col("first_id"), F.col("spans")))
+    joined = base.select("id", "row", F.md5("text").alias("digest")).join(marks, "digest")
+    first = F.col("id") == F.col("first_id")
+    joined = joined.filter(first | (F.octet_length(F.coalesce("row.text", F.lit(""))) < least)).select("row", F.when(first, F.col("spans")).alias("spans"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -327,7 +326,7 @@ def drop_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
             if s is None or t is None:
                 return t
             data, whole = t.encode(), []
-            for a, e in merged([{"start": x["start"], "end": x["end"]} for x in s]):
+            for a, e in merged(s):
                 while a < e and data[a] & 0xC0 == 0x80:
                     a += 1
                 while e > a and e < len(data) and data[e] & 0xC0 == 0x80:
@@ -336,7 +335,9 @@ def drop_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
             return without(data, whole).decode()
         return pd.Series([one(t, s) for t, s in zip(texts, cuts)], dtype=object)
 
-    new = F.when(F.col("spans").isNotNull(), cut("old", "spans")).otherwise(F.col("old"))
-    out = joined.withColumn("text", new).filter("spans is null or text <> ''")
-    fields = {"n_chars": F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return out.withColumns(fields).select(*docs.columns)
+    changed = F.col("spans").isNotNull()
+    out = joined.select("row", "spans", F.when(changed, cut("row.text", "spans")).otherwise(F.col("row.text")).alias("new")).filter("spans is null or new <> ''")
+    columns = {c: F.col(f"row.{c}") for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(changed, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*[c.alias(name) for name, c in columns.items()])
