@@ -32,6 +32,8 @@ KNOWN_WORDS = 200_000
 START_TEXTS, TRAIN_SHARE = 2_000, 8
 WINDOW, LANES, RATE_START, RATE = 32, 64, 4e-3, 1e-3
 SCORED_TOKENS = 2_000_000
+#: Of an output weight: STATE states of at most 1 keep every exponent far from overflow.
+BOUND = 3.0
 END = b""
 COUNTED = 500_000
 
@@ -64,6 +66,13 @@ def _count(docs: DataFrame) -> DataFrame:
     return part.groupBy("word").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
+class Places(dict):
+    """Numbers of the words whose counts are at hand; any other word has its tail class."""
+
+    def __missing__(self, word: bytes) -> int:
+        return HEAD + tail_class(word)
+
+
 class Words:
     """Numbers of tokens: below HEAD an own place, from there on the tail class; counts of the most frequent ones."""
 
@@ -71,7 +80,7 @@ class Words:
         """``top``: words by falling count; n tokens, v words; of each tail class tokens and words in all."""
         self.n, self.v = n, v
         self.count = dict(top)
-        self.number = {w: i for i, (w, _) in enumerate(top[:HEAD])}
+        self.number = Places((w, i if i < HEAD else HEAD + tail_class(w)) for i, (w, _) in enumerate(top))
         sizes = np.array([tails.get(j, (0, 0)) for j in range(TAIL_CLASSES)], float)
         for w, c in top[:HEAD]:
             sizes[tail_class(w)] -= (c, 1)
@@ -85,8 +94,7 @@ class Words:
         self.word_bias = np.where(self.filled, np.log(np.maximum(head, 1e-9) / np.maximum(head.sum(1, keepdims=True), 1e-9)), -1e4).astype(np.float32)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        known = self.number
-        return np.fromiter((known[w] if w in known else HEAD + tail_class(w) for w in words), np.int32, len(words))
+        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -115,19 +123,18 @@ class Network:
 
     def log_probs(self, states: np.ndarray, number: np.ndarray) -> np.ndarray:
         """Natural log of the class, and in head classes of the word, that ``number`` names."""
-        logits = states @ self.p["cls"] + self.p["cls_bias"]
-        logits -= logits.max(1, keepdims=True)
+        logits = states @ self.p["cls"] + self.p["cls_bias"]  # below 80, see BOUND
         head = number < HEAD
         cls = np.where(head, number // CLASS_WORDS, number - HEAD + HEAD_CLASSES)
-        out = logits[np.arange(len(cls)), cls] - np.log(np.exp(logits).sum(1))
+        out = logits[np.arange(len(cls)), cls]
+        out -= np.log(np.exp(logits) @ np.ones(CLASSES, np.float32))
         by = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[by], np.arange(HEAD_CLASSES + 1))
         for c in range(HEAD_CLASSES):
             rows = by[ends[c]:ends[c + 1]]
             if len(rows):
                 w = states[rows] @ self.p["word"][c] + self.p["word_bias"][c]
-                w -= w.max(1, keepdims=True)
-                out[rows] += w[np.arange(len(rows)), number[rows] % CLASS_WORDS] - np.log(np.exp(w).sum(1))
+                out[rows] += w[np.arange(len(rows)), number[rows] % CLASS_WORDS] - np.log(np.exp(w) @ np.ones(CLASS_WORDS, np.float32))
         return out
 
     def train(self, texts: list[np.ndarray], rate: float) -> int:
@@ -191,6 +198,8 @@ class Network:
                 m[k] += 0.1 * (a - m[k])
                 v[k] += 0.01 * (a * a - v[k])
                 self.p[k] -= slow * (m[k] / (1 - 0.9 ** i)) / (np.sqrt(v[k] / (1 - 0.99 ** i)) + 1e-8)
+            for k in ("cls", "word"):
+                np.clip(self.p[k], -BOUND, BOUND, out=self.p[k])
         return lanes * length
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -269,7 +278,14 @@ def learn(rows: DataFrame) -> tuple[object, bytes, DataFrame, Words]:
     training = rows.filter("not held_out")
     counts = written(_count(training), "counts")
     tails = {r[0]: (r[1], r[2]) for r in counts.groupBy("tail").agg(F.sum("c"), F.count(F.lit(1))).collect()}  # one row per tail class
-    top = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("c"), "word").select("word", "c").limit(KNOWN_WORDS).toArrow().to_pandas().itertuples(index=False)]
+    level = F.floor(F.log2("c") * 64)
+    most, room = float("inf"), KNOWN_WORDS  # levels of counts, some thousands at most, as far down as the words fit
+    for at, n in sorted(counts.groupBy(level).count().collect(), reverse=True):
+        if n > room:
+            break
+        most, room = at, room - n
+    found = counts.filter(level >= F.lit(most)).select("word", "c").toArrow()
+    top = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist()), key=lambda x: (-x[1], x[0]))
     words = Words(top, sum(n for n, _ in tails.values()), sum(v for _, v in tails.values()), tails)
     shared = spark.sparkContext.broadcast(words)  # KNOWN_WORDS entries at most
     chosen = F.broadcast(training.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_TEXTS))
@@ -326,7 +342,7 @@ def score(docs: DataFrame) -> DataFrame:
                         if g is None:
                             g = logs[c] = float(np.log10(c + 1))
                         head_logs += n * g
-                        if x not in w.number:
+                        if w.number[x] >= HEAD:
                             tail += n * g
                 ids.append(doc_id), held.append(number), flags.append(flag), facts.append((len(words_), head_known, head_logs, tail, rare))
                 size += len(words_)
