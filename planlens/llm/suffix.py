@@ -73,20 +73,24 @@ def runs(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` symbols, by doubling; ties in order of position."""
-    n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    rank, size = rank.astype(np.int64) + 1, 1
+    """Suffixes in order of at least their first ``depth`` symbols, by folding the ranks of neighbours into keys;
+    ties in any order."""
+    n, size = len(text), 1
+    rank = np.cumsum(np.bincount(text) > 0)[text]
     while True:
-        key = rank * np.int64(int(rank.max()) + 1)
-        key[:n - size] += rank[size:]
-        order = np.argsort(key, kind="stable")
-        if 2 * size >= depth:
+        top = int(rank.max()) + 1
+        fold = min(max(2, 63 // top.bit_length()), -(-depth // size))
+        key = rank.copy()
+        for j in range(1, fold):
+            key *= top
+            if j * size < n:
+                key[:n - j * size] += rank[j * size:]
+        order, size = np.argsort(key), size * fold
+        if size >= depth:
             return order
         s = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[1], 1 + np.cumsum(s[1:] != s[:-1])])
-        rank, size = new, 2 * size
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[1], 1 + np.cumsum(s[1:] != s[:-1])])
 
 
 def equal_prefixes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +104,7 @@ def equal_prefixes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     n = len(text)
     order = sorted_suffixes(text, least + 1)
     bwt = text[order - 1]
+    bwt = bwt.astype(np.uint16) if len(text) and text.max() < 1 << 16 else bwt
     back = np.empty(n, np.int64)
     back[np.argsort(bwt, kind="stable")] = np.arange(n)
     head = text[order]
