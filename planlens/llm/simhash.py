@@ -97,15 +97,13 @@ def ring_links(prints: DataFrame) -> DataFrame:
     keys = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "part"))
     a, b = keys.alias("a"), keys.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    viable = F.lit(False)
-    first = F.lit(None).cast("int")
+    first = F.lit(None).cast("int")  # a pair is kept where it first meets with a viable chain, and some chain is
     for k in reversed(range(len(chains))):
         i, _ = chains[k]
-        ring = (_differs(x, i, i + 1) == 0) & (_differs(x, i, i + 1, i + 2) <= 1) & (_differs(x, i, i + 1, i + 2, i + 3) <= 1)
-        viable = F.when(F.col("a.k") == k, ring).otherwise(viable)
-        first = F.when(x.bitwiseAND(F.lit(masks[k])) == 0, F.lit(k)).otherwise(first)  # a pair is kept where it meets first
+        ring = (_differs(x, i, i + 1, i + 2) <= 1) & (_differs(x, i, i + 1, i + 2, i + 3) <= 1)
+        first = F.when((x.bitwiseAND(F.lit(masks[k])) == 0) & ring, F.lit(k)).otherwise(first)
     return (a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.fp") < F.col("b.fp"))
-                   & viable & (F.bit_count(x) <= DISTANCE) & (F.col("a.k") == first))
+                   & (F.bit_count(x) <= DISTANCE) & (F.col("a.k") == first))
             .select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")))
 
 
