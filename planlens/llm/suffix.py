@@ -208,10 +208,10 @@ def _expand(least: int, salt: int):
                 label = np.where(mine, 1, np.maximum(g >> np.uint64(1), np.uint64(2)).astype(np.int64))
             for a, e in zip(*runs(label)):
                 if label[a] == 1:
-                    out.append((None, i, dg, start + int(a), start + int(e) - 1 + least, None))
+                    out.append((0, i, dg, start + int(a), start + int(e) - 1 + least, None))
                 elif heavy:
                     out.append((int(label[a]), i, dg, start + int(a), 0, data[a:e + least - 1]))
-        return pd.DataFrame(out, columns=["home", "id", "dg", "start", "end", "data"]).astype({"home": "Int64"})
+        return pd.DataFrame(out, columns=["home", "id", "dg", "start", "end", "data"])  # no null among the numbers: pandas would round them
 
     return run
 
