@@ -126,8 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     order = np.argsort(ids, kind="stable")[np.unique(np.sort(ids, kind="stable"), return_index=True)[1]] if len(ids) else np.empty(0, int)
     at, value = sample.column("at").combine_chunks(), sample.column("value").combine_chunks()
     rows = [(at[int(i)].values.to_numpy(), value[int(i)].values.to_numpy().astype(float)) for i in order]
-    machine = Machine(np.random.default_rng(5))
-    return machine.fit(rows, sample.column("quality").to_numpy()[order].astype(float)) if rows else machine
+    return Machine(np.random.default_rng(5)).fit(rows, sample.column("quality").to_numpy()[order].astype(float)) if rows else Machine()
 
 
 def score_texts(docs: DataFrame, machine: Machine) -> DataFrame:
