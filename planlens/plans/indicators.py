@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import bounded_values, number, percent, rnd
+from ..functions.columns import bounded_values, number, percent
 from ..operators.joins import grid
 
 DEFAULT_CRITICAL_POINTS = 10  # fixed value
@@ -25,7 +25,7 @@ ORG_KEY = [*KEY, "organization_oid"]
 
 def assess(df: DataFrame, fact: str = "fact_value", target: str = "target_value", points: str | None = None) -> DataFrame:
     """Adds deviation_value and business_status (target_met / below_target / critical / not_assessed)."""
-    d = rnd(F.col(fact) - F.col(target), 2)
+    d = F.floor((F.col(fact) - F.col(target)) * 100 + 0.5) / 100  # ties go up, also below zero
     raw = number(points) if points else F.lit(None).cast("double")
     limit = F.when(raw > 0, raw).otherwise(float(DEFAULT_CRITICAL_POINTS))
     return df.withColumns({

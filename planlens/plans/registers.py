@@ -65,7 +65,8 @@ def interval_class(df: DataFrame, start: str = "from_date", end: str = "to_date"
 def _matched(rows: DataFrame, targets: DataFrame, active: DataFrame, aliases: DataFrame, name_key: Callable[[Column], Column]) -> DataFrame:
     """Rows of target organizations with ``__active`` and ``type_id``; names are normalized once per distinct name."""
     names = rows.select("document_type_name").distinct().withColumn("__k", name_key(F.col("document_type_name")))
-    keyed = names.join(aliases.select(name_key(F.col("alias")).alias("__k"), "type_id").dropDuplicates(["__k"]), "__k", "left").drop("__k")
+    known = aliases.select(name_key(F.col("alias")).alias("__k"), "type_id").groupBy("__k").agg(F.min("type_id").alias("type_id"), F.max("type_id").alias("__other"))
+    keyed = names.join(known.filter("type_id = __other").drop("__other"), "__k", "left").drop("__k")  # an alias of several types stays unmatched
     return (rows.join(targets.select("organization_oid").distinct(), "organization_oid", "left_semi")
             .join(active.select("organization_oid", F.lit(True).alias("__active")).distinct(), "organization_oid", "left")
             .join(keyed, "document_type_name", "left"))

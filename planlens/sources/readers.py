@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,24 +13,21 @@ from ..functions import parse
 BY_EXTENSION = {"csv": "csv", "txt": "csv", "tsv": "csv", "parquet": "parquet", "json": "json", "jsonl": "json"}
 BY_MIME = {"text/csv": "csv", "text/plain": "csv", "application/json": "json", "application/x-ndjson": "json",
            "application/vnd.apache.parquet": "parquet"}
-SAMPLE_VALUES = 100      # fixed value: non-empty cells looked at per column
-SAMPLE_ROWS = 10_000     # fixed value: rows looked at to infer a schema
 RECOGNIZED_SHARE = 0.7   # fixed value: share of dates or times that makes a column temporal
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None) -> DataFrame:
-    """CSV with header.  The schema is inferred from the first 10,000 rows, then the file is scanned once.
+    """CSV with header.  The schema is inferred from all rows in one aggregation, so every cell fits its type.
 
-    Extra tokens on ragged lines are dropped and missing ones are null.  A cell that does not fit the
-    inferred type is null, so a late surprise never fails the job; '' is null.
+    Extra tokens on ragged lines are dropped and missing ones are null; '' is null.  With a ``schema`` of the
+    caller's, a cell that does not fit is null; ``misfits`` counts such cells.
     """
     text = spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE", emptyValue=None, multiLine=False)
     if schema is None:
         kinds = ["bigint", "double", "boolean", "timestamp_ntz"]
-        head = text.limit(SAMPLE_ROWS)
-        tests = [F.count(c).alias(f"n{i}") for i, c in enumerate(text.columns)]
-        tests += [F.count(F.col(f"`{c}`").try_cast(k)).alias(f"{k}{i}") for i, c in enumerate(text.columns) for k in kinds]
-        seen = head.agg(*tests).head()
+        tests = [F.count(F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`"))).alias(f"n{i}") for i, c in enumerate(text.columns)]
+        tests += [F.count(F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")).try_cast(k)).alias(f"{k}{i}") for i, c in enumerate(text.columns) for k in kinds]
+        seen = text.agg(*tests).head()
         types = [next((k for k in kinds if seen[f"n{i}"] and seen[f"{k}{i}"] == seen[f"n{i}"]), "string")
                  for i in range(len(text.columns))]
     else:
@@ -44,18 +41,16 @@ def read_text_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE")
 
 
-def detect_types(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, str]:
-    """number / date / datetime / time / string per column.
+def detect_types(df: DataFrame) -> dict[str, str]:
+    """number / date / datetime / time / string per column, from all its non-empty values.
 
-    Looks at the first 100 non-empty values of each column within the first ``sample_rows`` rows;
-    one job for all columns, over at most ``sample_rows`` rows.  Only the counts reach the driver.
+    One aggregation over all rows and columns; only the counts reach the driver.  A temporal column may hold
+    up to three tenths of other values, which ``cast_types`` turns to null; ``misfits`` counts them.
     """
-    cells = (df.limit(sample_rows).select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])).alias("i", "v"))
-             .filter("v <> ''"))
-    ranked = cells.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.monotonically_increasing_id())))
-    s = ranked.filter(F.col("r") <= SAMPLE_VALUES).withColumn("k", parse.classify(F.col("v")))
-    rows = s.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.count(parse.parse_number(F.col("v"))).alias("num"),
-                              *[F.count_if(F.col("k") == k).alias(k) for k in ("time", "date", "datetime")]).collect()
+    cells = (df.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])).alias("i", "v"))
+             .filter("v <> ''").withColumn("k", parse.classify(F.col("v"))))
+    rows = cells.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.count(parse.parse_number(F.col("v"))).alias("num"),
+                                  *[F.count_if(F.col("k") == k).alias(k) for k in ("time", "date", "datetime")]).collect()
     out = dict.fromkeys(df.columns, "string")
     for r in rows:
         found = r["time"] + r["date"] + r["datetime"]
@@ -85,6 +80,12 @@ def cast_types(df: DataFrame, kinds: Mapping[str, str], row_id: str | None = Non
     return out.withColumn(row_id, F.monotonically_increasing_id()) if row_id else out
 
 
+def misfits(df: DataFrame, kinds: Mapping[str, str]) -> dict[str, int]:
+    """Of each text column the non-empty cells that ``cast_types`` would turn to null."""
+    counts = [F.count_if((F.col(f"`{c}`") != "") & typed(F.col(f"`{c}`"), kinds.get(c, "string")).isNull()).alias(c) for c in df.columns]
+    return df.agg(*counts).head().asDict()
+
+
 def route(path: str, mime: str | None = None) -> str:
     """Format by extension, then MIME type; unknown is tried as CSV."""
     ext = path.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""

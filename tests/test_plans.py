@@ -143,3 +143,9 @@ def test_gap_summary(spark):
     rows = [("p", "i", "1", "A", "calculated", 0.0, 80.0), ("p", "i", "2", "B", "calculated", 10.0, 25.0), ("p", "i", "3", "C", "calculated", 30.0, 10.0), ("p", "i", "4", "D", "no_approved_volume", 7.0, None)]
     s = M.gap_summary(spark.createDataFrame(rows, "period_id string, indicator_id string, organization_oid string, organization_name string, status string, numerator double, denominator double")).head()
     assert (s.total_gap, s.organizations_to_close, s.fact_without_plan, s.calculated) == (95, 1, 7, 3)
+
+
+def test_deviation_ties_go_up(spark):
+    from planlens.plans.indicators import assess
+    d = spark.createDataFrame([(10.0, 10.125), (10.125, 10.0)], "fact_value double, target_value double")
+    assert [r.deviation_value for r in assess(d).collect()] == [-0.12, 0.13]

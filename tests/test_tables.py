@@ -189,3 +189,14 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.clean_formats(["xlsx"])
     assert sinks.clean_formats([" CSV", "csv"]) == ["csv"] and sinks.clean_formats(None) == ["parquet"]
+
+
+def test_csv_keeps_cells_after_the_first_ten_thousand(spark, tmp_path):
+    p = tmp_path / "late.csv"
+    p.write_text("a,b\n" + "".join(f"{i},{i}\n" for i in range(12_000)) + "late text,1.5\n")
+    d = readers.read_csv(spark, str(p))
+    assert dict(d.dtypes) == {"a": "string", "b": "double"}
+    assert d.filter("a = 'late text' and b = 1.5").count() == 1 and d.filter("a is null or b is null").count() == 0
+    raw = readers.read_text_csv(spark, str(p))
+    assert readers.detect_types(raw) == {"a": "string", "b": "number"}
+    assert readers.misfits(raw, {"a": "number", "b": "number"}) == {"a": 1, "b": 0}
