@@ -60,12 +60,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the undirected ``edges`` (a, b); root: the smallest node reachable.
 
     Large-star / small-star rounds: each round links the neighbours of a node to their minimum, so the number
-    of rounds follows the logarithm of the longest path.  Each round is a written table.
+    of rounds follows the logarithm of the longest path.  Each round is a written table.  It is over when the edges
+    are stars: no node has two edges down, and none with an edge down has one coming from above.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = lambda t: tuple(t.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
-    seen = mark(now)
-    while seen[0]:
+
+    def stars(t: DataFrame) -> bool:
+        ends = (t.select("u", F.lit(1).alias("down"), F.lit(0).alias("above"))
+                .unionByName(t.select(F.col("v").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("above"))))
+        loose = ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("above").alias("above")).filter("down + above > 1 and down > 0")
+        return loose.isEmpty()
+
+    while not stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (both.filter("v > u").join(spread(low), "u")
@@ -75,7 +81,4 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(spread(low), "u")
         now = written(small.select("u", F.col("m").alias("v"))
                       .unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
-        if (mine := mark(now)) == seen:
-            break
-        seen = mine
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
