@@ -287,17 +287,17 @@ def daily(t):
 
 
 SPECTRUM = f"""WITH s AS (SELECT y - avg(y) OVER () AS v, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM {DAILY}),
- p AS (SELECT k, any_value(n) AS n, (pow(sum(v * cos(2 * pi() * ((i * k) % n) / n)), 2) + pow(sum(v * sin(2 * pi() * ((i * k) % n) / n)), 2)) / any_value(n) AS power FROM s, (SELECT unnest(range(1, 41)) AS k) GROUP BY k)"""
+ p AS (SELECT k, any_value(n) AS n, (pow(sum(v * cos(2 * pi() * ((i * k) % n) / n)), 2) + pow(sum(v * sin(2 * pi() * ((i * k) % n) / n)), 2)) / any_value(n) AS power FROM s, (SELECT unnest(range(1, (SELECT max(n) // 2 + 1 FROM s))) AS k) GROUP BY k)"""
 
 
 @query("tsa6_periodogram", SPECTRUM + " SELECT k::INT AS k, round(k / n, 8) AS freq, round(n / k, 6) AS period, round(power, 2) AS power FROM p")
 def _(t):
-    return rounded(rounded(rounded(S.periodogram(daily(t), "y", ["d"], 1, 40), 8, "freq"), 6, "period"), 2, "power")
+    return rounded(rounded(rounded(S.periodogram(daily(t), "y", ["d"]), 8, "freq"), 6, "period"), 2, "power")
 
 
 @query("tsa6_top_periods", SPECTRUM + " SELECT k::INT AS k, round(power, 2) AS power FROM p ORDER BY power DESC, k LIMIT 3")
 def _(t):
-    return rounded(S.top_periods(S.periodogram(daily(t), "y", ["d"], 1, 40)), 2, "power").select("k", "power")
+    return rounded(S.top_periods(S.periodogram(daily(t), "y", ["d"])), 2, "power").select("k", "power")
 
 
 @query("tsa7_stationarity", f"""

@@ -70,9 +70,16 @@ def _(t):
     return rounded(P.numeric_histograms(nulled(t), ["a", "b"]), 4, "lo", "hi").withColumn("count", F.col("count").cast("long"))
 
 
-@query("sta2_boxplots", "SELECT 'c_acctbal' AS \"column\", round(min(c_acctbal), 4) AS min, quantile_disc(c_acctbal, 0.25) AS q1, quantile_disc(c_acctbal, 0.5) AS median, quantile_disc(c_acctbal, 0.75) AS q3, max(c_acctbal) AS max FROM customer")
+@query("sta2_boxplots", "SELECT 'c_acctbal' AS \"column\", round(min(c_acctbal), 4) AS min, quantile_disc(c_acctbal, 0.25) AS q1, quantile_disc(c_acctbal, 0.5) AS median, quantile_disc(c_acctbal, 0.75) AS q3, max(c_acctbal) AS max, round(quantile_disc(c_acctbal, 0.25) - 1.5 * (quantile_disc(c_acctbal, 0.75) - quantile_disc(c_acctbal, 0.25)), 4) AS w_low, round(quantile_disc(c_acctbal, 0.75) + 1.5 * (quantile_disc(c_acctbal, 0.75) - quantile_disc(c_acctbal, 0.25)), 4) AS w_high FROM customer")
 def _(t):
-    return P.boxplots(t.customer, ["c_acctbal"]).select("column", "min", "q1", "median", "q3", "max")
+    return rounded(P.boxplots(t.customer, ["c_acctbal"]), 4, "w_low", "w_high")
+
+
+@query("sta2_outlier_values", """
+WITH q AS (SELECT quantile_disc(n_chars, 0.25) AS a, quantile_disc(n_chars, 0.75) AS b FROM documents)
+SELECT 'n_chars' AS "column", n_chars::DOUBLE AS v, count(*) AS n FROM documents, q WHERE n_chars < a - 1.5 * (b - a) OR n_chars > b + 1.5 * (b - a) GROUP BY 2""")
+def _(t):
+    return P.outlier_values(t.documents, ["n_chars"])
 
 
 @query("sta3_categorical_profile", f"""

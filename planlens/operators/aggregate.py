@@ -28,9 +28,10 @@ def group_aggregate(df: DataFrame, keys: Sequence[str], aggs: Sequence[tuple[str
     return grouped.agg(*out)
 
 
-def distinct_values(df: DataFrame, col: str, n: int = 200) -> DataFrame:
-    """The first n distinct values as text (a pick list)."""
-    return df.select(F.col(col).cast("string").alias("value")).filter("value IS NOT NULL").distinct().orderBy("value").limit(n)
+def distinct_values(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
+    """The distinct values as text, in order (a pick list); the first n if that is given."""
+    values = df.select(F.col(col).cast("string").alias("value")).filter("value IS NOT NULL").distinct().orderBy("value")
+    return values if n is None else values.limit(n)
 
 
 def unique_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -44,9 +45,10 @@ def unique_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return unique_values(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
 
 
-def capped_count(df: DataFrame, cap: int = 100_001) -> DataFrame:
-    """Row count for paging, at most ``cap``."""
-    return df.limit(cap).agg(F.count(F.lit(1)).alias("total")).withColumn("capped", F.col("total") >= cap)
+def capped_count(df: DataFrame, cap: int | None = None) -> DataFrame:
+    """Row count for paging (total, capped): exact, or at most ``cap`` if that is given."""
+    total = (df if cap is None else df.limit(cap)).agg(F.count(F.lit(1)).alias("total"))
+    return total.withColumn("capped", F.lit(False) if cap is None else F.col("total") >= cap)
 
 
 def prefix_group(c: Column) -> Column:

@@ -13,7 +13,6 @@ from .ordered import scan
 from .quantiles import quantiles
 
 MAX_LABELS = 10_000  # dense outputs are the product of two label sets: refuse, never cut
-RAW_POINTS = 5_000   # fixed value: rows a raw point chart draws
 
 
 def chart_aggregate(df: DataFrame, x: str, ys: Sequence[str], fn: str) -> DataFrame:
@@ -91,10 +90,12 @@ def heatmap(df: DataFrame, x: str, y: str, value: str, fn: str, dense: bool = Tr
 
 
 def waterfall(df: DataFrame, x: str, y: str, fn: str, order: str | None = None) -> DataFrame:
-    """(_x, base, delta, is_positive, total) in group order; ``order`` defaults to the label."""
+    """(_x, base, delta, is_positive, total) in group order: by the label, or by the smallest ``order`` of a group, then the label."""
     g = grouped(df, {"_x": label(x)}, [y], "sum" if fn == "none" else fn)
     g = g.select("_x", F.coalesce(F.col(y).cast("double"), F.lit(0.0)).alias("d"))
-    s = scan(g, {"run": ("sum", F.col("d"))}, [order or "_x"])
+    if order is not None:
+        g = g.join(df.groupBy(label(x).alias("_x")).agg(F.min(order).alias("__order")), "_x")
+    s = scan(g, {"run": ("sum", F.col("d"))}, ["_x"] if order is None else ["__order", "_x"])
     base = F.when(F.col("d") >= 0, F.col("run") - F.col("d")).otherwise(F.col("run"))
     return s.select("_x", rnd(base, 4).alias("base"), rnd(F.abs("d"), 4).alias("delta"),
                     (F.col("d") >= 0).alias("is_positive"), rnd("run", 4).alias("total"))
@@ -154,27 +155,29 @@ def kpi(df: DataFrame, y: str, fn: str, group: str | None = None) -> DataFrame:
                        F.col("hi").alias("group_label"), F.when(has, F.col("lo")).alias("prev_label"))
 
 
-def scatter(df: DataFrame, x: str, ys: Sequence[str], order_by: Sequence[str], limit: int = RAW_POINTS) -> DataFrame:
-    """Points (order_by…, x, y_<field>…) of the first ``limit`` rows whose x is a number."""
-    first = df.orderBy(*order_by).limit(limit)
+def scatter(df: DataFrame, x: str, ys: Sequence[str], order_by: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Points (order_by…, x, y_<field>…) of the rows whose x is a number; of the first ``limit`` rows if that is given."""
+    first = df if limit is None else df.orderBy(*order_by).limit(limit)
     return first.select(*order_by, number(x).alias("x"), *[number(y).alias(f"y_{y}") for y in ys]).filter("x IS NOT NULL")
 
 
-def bubble(df: DataFrame, x: str, y: str, order_by: Sequence[str], r: str | None = None, limit: int = RAW_POINTS) -> DataFrame:
-    """Points (order_by…, x, y, r); a size that is no number is 0, no size field means 1."""
-    first = df.orderBy(*order_by).limit(limit)
+def bubble(df: DataFrame, x: str, y: str, order_by: Sequence[str], r: str | None = None, limit: int | None = None) -> DataFrame:
+    """Points (order_by…, x, y, r); a size that is no number is 0, no size field means 1; ``limit`` as for ``scatter``."""
+    first = df if limit is None else df.orderBy(*order_by).limit(limit)
     size = F.coalesce(number(r), F.lit(0.0)) if r else F.lit(1.0)
     return first.select(*order_by, number(x).alias("x"), number(y).alias("y"), size.alias("r")).filter(
         "x IS NOT NULL AND y IS NOT NULL")
 
 
-def stacked_bar(df: DataFrame, x: str, stack: str, value: str | None, top: int = 15, bars: int = 30) -> DataFrame:
-    """(x, stack, value) of the ``top`` most frequent stacks and ``bars`` most frequent x (a top-k report)."""
+def stacked_bar(df: DataFrame, x: str, stack: str, value: str | None, top: int | None = None, bars: int | None = None) -> DataFrame:
+    """(x, stack, value) of all cells, or of the ``top`` most frequent stacks and ``bars`` most frequent x (a top-k report)."""
     named = df.select(label(x).alias("x"), label(stack).alias("stack"), (number(value) if value else F.lit(1.0)).alias("v"))
     cells = named.groupBy("x", "stack").agg(F.sum("v").alias("value"), F.count(F.lit(1)).alias("n"))
 
     def leaders(c: str, k: int) -> DataFrame:
         return cells.groupBy(c).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), c).limit(k).select(c)
-    return (cells.join(F.broadcast(leaders("x", bars)), "x", "left_semi")
-            .join(F.broadcast(leaders("stack", top)), "stack", "left_semi")
-            .select("x", "stack", rnd(F.coalesce("value", F.lit(0.0)), 4).alias("value")))
+    shown = cells
+    for c, k in (("x", bars), ("stack", top)):
+        if k is not None:
+            shown = shown.join(leaders(c, k), c, "left_semi")
+    return shown.select("x", "stack", rnd(F.coalesce("value", F.lit(0.0)), 4).alias("value"))

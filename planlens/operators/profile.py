@@ -12,7 +12,6 @@ from ..functions.columns import is_numeric, number, numeric_columns, one_row, rn
 from .aggregate import duplicates
 from .quantiles import quantiles, ranked_counts, value_counts
 
-OUTLIERS_SHOWN = 50  # fixed value: outliers listed in a box plot
 TOP_VALUES, HISTOGRAM_VALUES = 10, 20  # fixed values
 
 
@@ -91,10 +90,10 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, variant: s
 def numeric_histograms(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 20) -> DataFrame:
     """(column, bin, lo, hi, count) for all columns in one pass; empty bins are listed."""
     cols = list(cols or numeric_columns(df))
-    counts = value_counts(df, cols)
-    lim = counts.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("w", (F.col("hi") - F.col("lo")) / bins)
+    values = _long(df, cols)
+    lim = values.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("w", (F.col("hi") - F.col("lo")) / bins)
     b = F.when(F.col("w") == 0, 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("w"), F.lit(0.0)))))
-    hit = counts.join(F.broadcast(lim), "column").groupBy("column", b.cast("int").alias("bin")).agg(F.sum("c").alias("count"))
+    hit = values.join(F.broadcast(lim), "column").groupBy("column", b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     every = lim.withColumn("bin", F.explode(F.when(F.col("w") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(bins - 1)))))
     return every.join(hit, ["column", "bin"], "left").select(
         "column", "bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("lo"),
@@ -102,18 +101,17 @@ def numeric_histograms(df: DataFrame, cols: Sequence[str] | None = None, bins: i
 
 
 def boxplots(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column, min, q1, median, q3, max, w_low, w_high) plus up to 50 outliers per column, smallest first."""
-    p = numeric_profile(df, cols)
-    box = p.select("column", "min", F.col("p25").alias("q1"), "median", F.col("p75").alias("q3"), "max",
-                   (F.col("p25") - 1.5 * F.col("iqr")).alias("w_low"), (F.col("p75") + 1.5 * F.col("iqr")).alias("w_high"))
-    far = (value_counts(df, list(cols or numeric_columns(df))).join(F.broadcast(box.select("column", "w_low", "w_high")), "column")
-           .filter("v < w_low OR v > w_high"))
-    # distinct values first, then at most 50 per column reach the array
-    shown = (far.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("v"))).filter(F.col("r") <= OUTLIERS_SHOWN)
-             .withColumn("c", F.least(F.col("c"), F.lit(OUTLIERS_SHOWN)))
-             .groupBy("column").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat("v", F.col("c").cast("int"))))).alias("o"))
-             .select("column", F.slice("o", 1, OUTLIERS_SHOWN).alias("outliers")))
-    return box.join(shown, "column", "left")
+    """(column, min, q1, median, q3, max, w_low, w_high); ``outlier_values`` has what lies outside the fences."""
+    return numeric_profile(df, cols).select(
+        "column", "min", F.col("p25").alias("q1"), "median", F.col("p75").alias("q3"), "max",
+        (F.col("p25") - 1.5 * F.col("iqr")).alias("w_low"), (F.col("p75") + 1.5 * F.col("iqr")).alias("w_high"))
+
+
+def outlier_values(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(column, v, n): every value outside the fences of its box plot, with how often it comes."""
+    cols = list(cols or numeric_columns(df))
+    far = _long(df, cols).join(F.broadcast(boxplots(df, cols).select("column", "w_low", "w_high")), "column").filter("v < w_low OR v > w_high")
+    return far.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def frequency_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import number
 
 BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: F.try_divide}
+NUMBER = r"\d+(?:\.\d*)?|\.\d+"
 UNARY = {ast.UAdd: lambda c: c, ast.USub: operator.neg}
 
 
@@ -32,16 +33,22 @@ def project_joined(df: DataFrame, wanted: Sequence[str], sep: str = ".") -> Data
 def with_calculated(df: DataFrame, name: str, formula: str) -> DataFrame:
     """Arithmetic over column names: ``+ - * / ( )`` and numbers.
 
-    A missing or non-finite operand counts as 0; a non-finite result is null.
+    The formula is read once from left to right, the longest column name first; a number that is a column's name is
+    that column.  A missing or non-finite operand counts as 0; a non-finite result is null.
     """
-    text, slots = formula, {}
-    for i, col in enumerate(sorted(df.columns, key=len, reverse=True)):
-        if col in text:
-            slots[f"v{i}"] = F.coalesce(number(col), F.lit(0.0))
-            text = text.replace(col, f"\x00{i}\x00")
-    if not re.fullmatch(r"(\x00\d+\x00|[\d.+\-*/()\s])*", text):
-        raise ValueError(f"formula {formula!r} may only use columns, numbers and + - * / ( )")
-    tree = ast.parse(re.sub(r"\x00(\d+)\x00", r"v\1", text.strip()), mode="eval")
+    known = {c: f"v{i}" for i, c in enumerate(df.columns)}
+    names = sorted((c for c in known if c and not re.fullmatch(NUMBER, c)), key=len, reverse=True)
+    token = re.compile("|".join([*map(re.escape, names), NUMBER, r"[+\-*/()]", r"\s+"]))
+    text, slots, at = "", {}, 0
+    while at < len(formula):
+        found = token.match(formula, at)
+        if not found:
+            raise ValueError(f"formula {formula!r} may only use columns, numbers and + - * / ( )")
+        word, at = found.group(), found.end()
+        if word in known:
+            slots[known[word]] = F.coalesce(number(word), F.lit(0.0))
+        text += known.get(word, word)
+    tree = ast.parse(text.strip(), mode="eval")
     return df.withColumn(name, number(_arithmetic(tree.body, slots)))
 
 

@@ -4,7 +4,7 @@ through ``partition_by``, and one long series is still spread over many tasks.""
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import numpy as np
@@ -21,6 +21,7 @@ from .prepare import fill_along, impute, interpolate, scale
 from .quantiles import ranked_counts
 
 EWM_MIN_ALPHA = 0.001  # fixed value: smallest smoothing factor
+SPECTRUM_STEP = 64
 
 
 def centred_frame(window: int) -> tuple[int, int]:
@@ -250,24 +251,30 @@ def stationarity(df: DataFrame, y: str, window: int, max_lag: int, order_by: Seq
     return rolling_band(df, y, window, order_by, partition_by), acf(df, y, max_lag, order_by, partition_by)
 
 
-def periodogram(df: DataFrame, y: str, order_by: Sequence[str], first_k: int = 1, last_k: int = 500, per_scan: int = 100) -> DataFrame:
-    """(k, freq, period, power) for k = first_k..min(last_k, n / 2).
+def periodogram(df: DataFrame, y: str, order_by: Sequence[str], first_k: int = 1, last_k: int | None = None) -> DataFrame:
+    """(k, freq, period, power) for k = first_k..n / 2, or up to ``last_k`` if that is smaller.
 
-    Each frequency is two sums over the numbered rows; rows are not multiplied by frequencies.  Any part
-    of the spectrum is reached by its range of k.
+    Each batch of numbered rows gives its part of the two sums of every frequency, ``SPECTRUM_STEP`` frequencies
+    at a time; the parts are added up per k.  Rows are neither gathered nor multiplied by frequencies.
     """
-    rows = _numbered(df, y, order_by, ()).withColumn("__d", F.col("__y") - F.col("__mean"))
-    out = None
-    for start in range(first_k, last_k + 1, per_scan):
-        ks = range(start, min(last_k, start + per_scan - 1) + 1)
-        # reduce the phase exactly before it becomes an angle
-        angle = lambda k: 2 * math.pi * (((F.col(ROW) - 1) * k) % F.col("__n")) / F.col("__n")
-        s = rows.agg(F.max("__n").alias("n"), *[e for k in ks for e in (
-            F.sum(F.col("__d") * F.cos(angle(k))).alias(f"c{k}"), F.sum(F.col("__d") * F.sin(angle(k))).alias(f"s{k}"))])
-        part = s.select("n", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), (F.col(f"c{k}") * F.col(f"c{k}") + F.col(f"s{k}") * F.col(f"s{k}")).alias("e")) for k in ks])))
-        out = part if out is None else out.unionByName(part)
-    return out.filter(F.col("k") <= F.floor(F.col("n") / 2)).select(
-        "k", (F.col("k") / F.col("n")).alias("freq"), (F.col("n") / F.col("k")).alias("period"), (F.col("e") / F.col("n")).alias("power"))
+    rows = _numbered(df, y, order_by, ()).select((F.col(ROW) - 1).alias("i"), (F.col("__y") - F.col("__mean")).alias("d"), F.col("__n").alias("n"))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            i, d, n = (c.to_numpy() for c in b.columns)
+            size = int(n[0])
+            end = size // 2 if last_k is None else min(last_k, size // 2)
+            for start in range(first_k, end + 1, SPECTRUM_STEP):
+                k = np.arange(start, min(end, start + SPECTRUM_STEP - 1) + 1)
+                # reduce the phase exactly before it becomes an angle
+                angle = i[:, None] * k % size * (2 * math.pi / size)
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(np.full(len(k), size)), pa.array(d @ np.cos(angle)), pa.array(d @ np.sin(angle))], ["k", "n", "c", "s"])
+
+    sums = rows.mapInArrow(parts, "k int, n long, c double, s double").groupBy("k", "n").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    return sums.select("k", (F.col("k") / F.col("n")).alias("freq"), (F.col("n") / F.col("k")).alias("period"),
+                       ((F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n")).alias("power"))
 
 
 def top_periods(spectrum: DataFrame, n: int = 3) -> DataFrame:
@@ -288,11 +295,12 @@ def seasonal_box(df: DataFrame, x: str, y: str, by: str = "month") -> DataFrame:
         (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
 
 
-def seasonal_overlay(df: DataFrame, x: str, y: str, by: str, order_by: Sequence[str], series: int = 12) -> DataFrame:
-    """(key, i, y): position within each year or weekday, for the first ``series`` keys."""
+def seasonal_overlay(df: DataFrame, x: str, y: str, by: str, order_by: Sequence[str], series: int | None = None) -> DataFrame:
+    """(key, i, y): position within each year or weekday, of all keys or the first ``series``."""
     rows = df.select(seasonal_key(x, by).alias("key"), number(y).alias("y"), *order_by).filter("y IS NOT NULL AND key IS NOT NULL")
-    keys = rows.select("key").distinct().orderBy("key").limit(series)
-    return row_numbers(rows.join(F.broadcast(keys), "key", "left_semi"), order_by, ["key"], "i").select("key", "i", "y")
+    if series is not None:
+        rows = rows.join(rows.select("key").distinct().orderBy("key").limit(series), "key", "left_semi")
+    return row_numbers(rows, order_by, ["key"], "i").select("key", "i", "y")
 
 
 def calendar_points(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -195,13 +195,16 @@ def finding_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.withColumn("delta", F.col("now") - F.col("was"))
 
 
-UNCONDITIONAL = "unconditional"
+NO_CONDITION = "unconditional"
 
 
-def condition_of(c: Column) -> Column:
-    """The condition inside ``… (row 28: condition; …)`` of a requirement's reason: the first one, else unconditional."""
-    body = F.trim(F.regexp_extract(F.coalesce(c, F.lit("")), r"\((?:row|строка)[^:)]*:?\s*(.*?)\)\.?\s*$", 1))
-    return F.when(body == "", UNCONDITIONAL).otherwise(F.trim(F.split(body, ";")[0]))
+def stated_condition(reason: Column) -> Column:
+    """The condition that a requirement's reason states in brackets, ``… (row 28: condition; …)``: from the first colon
+    inside to the first semicolon or the closing bracket."""
+    brackets = F.get(F.split(F.coalesce(reason, F.lit("")), "[(]", 2), F.lit(1))
+    closed = F.regexp_replace(brackets, "[)][^)]*$", "")
+    first = F.trim(F.get(F.split(F.get(F.split(closed, ":", 2), F.lit(1)), ";"), F.lit(0)))
+    return F.coalesce(F.nullif(first, F.lit("")), F.lit(NO_CONDITION))
 
 
 def requirement_breakdown(requirements: DataFrame, keys: Sequence[str] = ("organization_oid",)) -> DataFrame:
@@ -209,5 +212,5 @@ def requirement_breakdown(requirements: DataFrame, keys: Sequence[str] = ("organ
 
     requirements: organization_oid, type_id, status, reason, registered boolean.
     """
-    r = requirements.filter("status = 'required'").withColumn("condition", condition_of(F.col("reason")))
+    r = requirements.filter("status = 'required'").withColumn("condition", stated_condition(F.col("reason")))
     return r.groupBy(*keys, "condition").agg(F.count(F.lit(1)).alias("types"), F.count_if("registered").alias("registered"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.projection import export_columns
+from ..session import shared_folder
 
 FORMATS = ("csv", "parquet", "json")
 ZSTD_LEVEL = "3"  # fixed value
@@ -85,7 +87,7 @@ def load_facts(df: DataFrame, path: str, keys: Sequence[str], mode: str = "merge
     """``replace``: the periods present in ``df`` are replaced.  ``merge``: rows win by key.
 
     Only the touched periods are read and rewritten.  Spark cannot overwrite a path that the same
-    plan reads, so a merge is staged beside the table first.
+    plan reads, so a merge is staged in the shared folder first, under a name of its own.
     """
     spark = df.sparkSession
     if mode == "replace" or not _exists(spark, path):
@@ -94,7 +96,7 @@ def load_facts(df: DataFrame, path: str, keys: Sequence[str], mode: str = "merge
     if mode != "merge":
         raise ValueError(f"unknown mode {mode!r}")
     old = spark.read.parquet(path).join(df.select(partition).distinct(), partition, "left_semi")
-    staged = f"{path.rstrip('/')}__merge"
+    staged = f"{shared_folder(spark)}/merge-{uuid.uuid4().hex}"
     write(merge_rows(old.select(*df.columns), df, keys), staged)
     _overwrite_partitions(spark.read.parquet(staged), path, [partition])
 

@@ -135,8 +135,8 @@ def test_plan_rule_and_conditions(spark):
 
 
 def test_condition_text(spark):
-    d = spark.createDataFrame([("Обязателен (строка 28: Амбулаторный · население; строка 29: x).",), ("Required (row 3)",), (None,)], "r string")
-    assert [r.c for r in d.select(G.condition_of(F.col("r")).alias("c")).collect()] == ["Амбулаторный · население", "unconditional", "unconditional"]
+    d = spark.createDataFrame([("Обязателен (строка 28: Амбулаторный · население; строка 29: x).",), ("Required (row 3)",), (None,), ("Required (row 3: day ward (adults)).",)], "r string")
+    assert [r.c for r in d.select(G.stated_condition(F.col("r")).alias("c")).collect()] == ["Амбулаторный · население", "unconditional", "unconditional", "day ward (adults)"]
 
 
 def test_gap_summary(spark):

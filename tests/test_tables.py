@@ -200,3 +200,36 @@ def test_csv_keeps_cells_after_the_first_ten_thousand(spark, tmp_path):
     raw = readers.read_text_csv(spark, str(p))
     assert readers.detect_types(raw) == {"a": "string", "b": "number"}
     assert readers.misfits(raw, {"a": "number", "b": "number"}) == {"a": 1, "b": 0}
+
+
+def test_formula_with_numeric_and_nested_names(spark):
+    from planlens.operators.projection import with_calculated
+    d = spark.createDataFrame([(3.0, 5.0, 7.0)], ["ab", "0", "a"])
+    assert with_calculated(d, "r", "ab*2 + 10 - a").head().r == 9.0
+    assert with_calculated(d, "r", "ab + 0").head().r == 8.0
+
+
+def test_waterfall_in_another_order(spark):
+    from planlens.operators.charts import waterfall
+    d = spark.createDataFrame([("a", 1.0, 3), ("b", 2.0, 1), ("c", -4.0, 2), ("a", 1.0, 9)], "x string, v double, o int")
+    assert [tuple(r) for r in waterfall(d, "x", "v", "sum", order="o").orderBy("total").select("_x", "total").collect()] == [("c", -2.0), ("a", 0.0), ("b", 2.0)]
+
+
+def test_merges_stage_under_names_of_their_own(spark, tmp_path):
+    from planlens.sources import sinks
+    path = str(tmp_path / "facts")
+    one = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "period_id int, k string, n int")
+    sinks.load_facts(one, path, ["k"], "replace")
+    sinks.load_facts(one.filter("k = 'a'").withColumn("n", one.n + 9), path, ["k"])
+    assert {(r.k, r.n) for r in spark.read.parquet(path).collect()} == {("a", 10), ("b", 2)}
+    assert [p.name for p in tmp_path.iterdir()] == ["facts"]
+
+
+
+def test_charts_and_lists_show_all_rows(spark):
+    from planlens.operators import aggregate, charts
+    d = spark.range(6000).selectExpr("id", "id as v")
+    assert charts.scatter(d, "id", ["v"], ["id"]).count() == charts.bubble(d, "id", "v", ["id"]).count() == 6000
+    assert charts.scatter(d, "id", ["v"], ["id"], limit=10).count() == 10
+    assert aggregate.distinct_values(d, "id").count() == 6000 and aggregate.distinct_values(d, "id", 3).count() == 3
+    assert tuple(aggregate.capped_count(d).head()) == (6000, False) and tuple(aggregate.capped_count(d, 10).head()) == (10, True)
