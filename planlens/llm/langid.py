@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planlens.llm.common import crc_fold, text_batches
+from planlens.llm.common import crc_fold, spread, text_batches
 
 ORDER = 3
-#: Bound of the fit: documents of a language, those of the smallest hash of their id.
+#: Bound of the fit: documents of a language, those of the smallest hash of their id (read as unsigned).
 FIT_ROWS = 2_000
 CHUNK = 1 << 18
 
@@ -155,8 +155,13 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
     text_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     base = base.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(crc_fold("doc_id", 5) != 0, F.lit(False)))
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = base.select("lang", "doc_id").distinct().withColumn("n", F.row_number().over(by)).filter(F.col("n") <= fit_rows).drop("n")
+    # the hashes are even, so the lowest share of them holds the first fit_rows of a language and about three times as many
+    # more; a language of any size then sends some thousand rows to the window
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(2.0 ** 63)
+    share = base.groupBy("lang").agg((F.lit(4.0 * fit_rows) / F.approx_count_distinct("doc_id")).alias("share"))
+    low = base.select("lang", "doc_id").withColumn("place", place).join(spread(share), "lang").filter("place <= share or share >= 1")
+    by = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = low.select("lang", "doc_id", "place").distinct().withColumn("n", F.row_number().over(by)).filter(F.col("n") <= fit_rows).drop("n", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
