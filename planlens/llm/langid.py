@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planlens.llm.common import crc_fold, spread, text_batches
+from planlens.llm.common import crc_fold, text_batches
 
 ORDER = 3
 #: Bound of the fit: documents of a language, those of the smallest hash of their id (read as unsigned).
@@ -159,7 +159,8 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
     # more; a language of any size then sends some thousand rows to the window
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(2.0 ** 63)
     share = base.groupBy("lang").agg((F.lit(4.0 * fit_rows) / F.approx_count_distinct("doc_id")).alias("share"))
-    low = base.select("lang", "doc_id").withColumn("place", place).join(spread(share), "lang").filter("place <= share or share >= 1")
+    low = base.select("lang", "doc_id").withColumn("place", place).join(F.broadcast(share), "lang").filter("place <= share or share >= 1")
+    # both broadcasts are bounded like the trees: one row, and fit_rows rows, of each language
     by = Window.partitionBy("lang").orderBy("place", "doc_id")
     chosen = low.select("lang", "doc_id", "place").distinct().withColumn("n", F.row_number().over(by)).filter(F.col("n") <= fit_rows).drop("n", "place")
 
@@ -171,7 +172,7 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
                 k, c = np.unique(np.concatenate(g), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.astype(np.int64)), pa.array(c.astype(np.int64))], ["lang", "gram", "n"])
 
-    found = (base.join(chosen, ["lang", "doc_id"]).select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+    found = (base.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
              .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow())
     langs = np.array(found.column("lang").to_pylist(), object)
     gram, n = found.column("gram").to_numpy().astype(np.uint32), found.column("n").to_numpy().astype(float)
