@@ -284,7 +284,7 @@ def _(t):
 WITH p AS (SELECT s_suppkey, abs(s_acctbal) / 20000 AS p_value FROM supplier), r AS (SELECT *, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value, s_suppkey) AS q FROM p)
 SELECT s_suppkey, p_value, round(least(1, min(q) OVER (ORDER BY p_value, s_suppkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS p_adj FROM r""")
 def _(t):
-    return rounded(S.bh_adjust(t.supplier.select("s_suppkey", (F.abs("s_acctbal") / 20000).alias("p_value")), tie_break=["s_suppkey"]), 8, "p_adj")
+    return rounded(S.bh_adjust(t.supplier.select("s_suppkey", (F.abs("s_acctbal") / 20000).alias("p_value"))), 8, "p_adj")
 
 
 def _labelled(t):

@@ -43,6 +43,15 @@ def label(name: str, empty: str = EMPTY_LABEL) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(empty))
 
 
+def dealt(aggregate: DataFrame) -> DataFrame:
+    """An aggregate on the key of the join it enters, dealt out anew.
+
+    As it stands it has no exchange of its own for that join, and AQE then leaves the hot keys of the other side
+    whole.  The rows dealt are one per group; a small table is still broadcast at run time.
+    """
+    return aggregate.hint("rebalance")
+
+
 _COLLECT: ContextVar[bool] = ContextVar("collect_statistics", default=False)
 
 

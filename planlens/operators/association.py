@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import number, numeric_columns, present
+from ..functions.columns import dealt, number, numeric_columns, present
 from ..functions.tails import chi2_p, corr_p, f_p, fisher_p, normal_p, t_p
 from .ordered import scan
 from .ranking import systematic_sample, with_avg_rank
@@ -320,15 +320,25 @@ def pvalue_matrix(df: DataFrame, cols: Sequence[str] | None = None, method: str
     return res.filter(F.col("n") >= MIN_PAIRS)
 
 
-def bh_adjust(df: DataFrame, p: str = "p_value", tie_break: Sequence[str] = ()) -> DataFrame:
-    """Benjamini-Hochberg ``p_adj``; null p stays null.  The table has one row per test."""
-    valid = df.filter(F.col(p).isNotNull())
-    up = Window.partitionBy(F.lit(0)).orderBy(p, *tie_break)
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc(p), *[F.desc(c) for c in tie_break])
-    stepped = valid.withColumn("__q", F.col(p) * n / F.row_number().over(up))
-    adj = stepped.withColumn("p_adj", F.least(F.lit(1.0), F.min("__q").over(down.rowsBetween(Window.unboundedPreceding, 0)))).drop("__q")
-    return adj.unionByName(df.filter(F.col(p).isNull()).withColumn("p_adj", F.lit(None).cast("double")))
+def bh_adjust(df: DataFrame, p: str = "p_value") -> DataFrame:
+    """Benjamini-Hochberg ``p_adj``; null p stays null.
+
+    Equal values of p share the highest rank among them, so ranks are running totals of counts; both passes are
+    scans, and no task holds all tests.
+    """
+    counts = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = scan(counts, {"__rank": ("sum", F.col("__c")), "__all": ("total", F.col("__c"))}, ["__p"])
+    least = scan(ranked, {"__q": ("min", F.col("__p") * F.col("__all") / F.col("__rank"))}, ["-__p"])
+    adjusted = least.select("__p", F.least(F.lit(1.0), F.col("__q")).alias("p_adj"))
+    return df.join(dealt(adjusted), F.col(p) == F.col("__p"), "left").drop("__p")
+
+
+def _adjusted_few(tests: DataFrame) -> DataFrame:
+    """``bh_adjust`` of a table with one row per column of a table: small enough for a window, costly to work out twice."""
+    every = Window.partitionBy(F.col("p_value").isNull())
+    p, n = F.col("p_value"), F.count(F.lit(1)).over(every)
+    q = tests.withColumn("__q", p * n / F.count(F.lit(1)).over(every.orderBy("p_value")))
+    return q.withColumn("p_adj", F.when(p.isNotNull(), F.least(F.lit(1.0), F.min("__q").over(every.orderBy(F.desc("p_value")))))).drop("__q")
 
 
 def target_tests(df: DataFrame, target: str, cols: Sequence[str] | None = None, parametric: bool = False) -> DataFrame:
@@ -358,7 +368,7 @@ def target_tests(df: DataFrame, target: str, cols: Sequence[str] | None = None,
         res = res.unionByName(o)
     named = res.filter(F.col("n") >= MIN_PAIRS).select(
         F.when(F.col("col_a") == target, F.col("col_b")).otherwise(F.col("col_a")).alias("field"), "test", "n", "stat", "p_value")
-    return bh_adjust(named, tie_break=["field"]).orderBy(F.col("p_value").asc_nulls_last(), "field")
+    return _adjusted_few(named).orderBy(F.col("p_value").asc_nulls_last(), "field")
 
 
 def feature_correlations(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bounded_values, label, number, one_row, rnd
+from ..functions.columns import bounded_values, dealt, label, number, one_row, rnd
 from .aggregate import grouped
 from .ordered import scan
 from .quantiles import quantiles
@@ -107,7 +107,7 @@ def boxplot_by(df: DataFrame, x: str, y: str, empty: str | None = None) -> DataF
     q = quantiles(named, ["v"], [0.25, 0.5, 0.75], ["_x"]).select(
         "_x", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    ends = named.join(q, "_x").groupBy("_x").agg(
+    ends = named.join(dealt(q), "_x").groupBy("_x").agg(
         F.min(F.when(F.col("v") >= F.col("q1") - reach, F.col("v"))).alias("min"),
         F.max(F.when(F.col("v") <= F.col("q3") + reach, F.col("v"))).alias("max"))
     return q.join(ends, "_x").select("_x", "min", "q1", "median", "q3", "max")

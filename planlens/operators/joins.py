@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bounded_values
+from ..functions.columns import bounded_values, dealt
 from .predicates import effective_predicate
 
 Variants = Callable[[Column], Column]  # text -> array of normalised keys
@@ -32,8 +32,9 @@ def star_join(tables: Mapping[str, DataFrame], key_priority: Sequence[str], sep:
 
 
 def lookup(df: DataFrame, table: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Left lookup; null keys do not match.  AQE broadcasts a small table and splits hot keys."""
-    return df.join(table, on, "left")
+    """Left lookup; null keys do not match.  AQE broadcasts a small table and splits hot keys, also where the
+    table is an aggregate on the key."""
+    return df.join(dealt(table), on, "left")
 
 
 def resolve_overrides(imported: DataFrame, manual: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -109,7 +110,7 @@ def resolve_names(
     v = one_variant(normalise)
     pairs = _alias_pairs(directory, id_col, F.array_compact(F.array(*aliases)), v).withColumn("__g", F.lit(0))
     index = _match(df, pairs, name, v).groupBy("__name").agg(F.min("__id").alias("__lo"), F.max("__id").alias("__hi"))
-    return (df.join(index, F.col(name) == F.col("__name"), "left")
+    return (df.join(dealt(index), F.col(name) == F.col("__name"), "left")
             .withColumns({out: F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")),
                           "match": F.when(F.col("__lo").isNull(), "none")
                           .when(F.col("__lo") == F.col("__hi"), "single").otherwise("ambiguous")})
@@ -139,7 +140,7 @@ def resolve_groups(
     index = group_members(df, directory, name, id_col, aliases, group_aliases, variants).groupBy(
         F.col(name).alias("__name")).agg(F.count(F.lit(1)).alias("__n"), F.count_if("declared").alias("__ng"),
                                          F.min(id_col).alias("__id"))
-    return (df.join(index, F.col(name) == F.col("__name"), "left")
+    return (df.join(dealt(index), F.col(name) == F.col("__name"), "left")
             .withColumns({"match": F.when(F.col("__n").isNull(), "none").when(F.col("__n") == 1, "single")
                           .when(F.col("__n") == F.col("__ng"), "group").otherwise("ambiguous"),
                           "member_count": F.coalesce("__n", F.lit(0)),

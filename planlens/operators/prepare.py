@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import collected_statistics, number, one_row, rnd, type_of
+from ..functions.columns import collected_statistics, dealt, number, one_row, rnd, type_of
 from ..session import can_cut
 from .joins import lookup
 from .ordered import row_numbers, scan
@@ -202,7 +202,7 @@ def encode_target(df: DataFrame, col: str, target: str, leave_one_out: bool = Fa
     t = number(target)
     whole = one_row(df.agg(F.avg(t).alias("m"))).getField("m")
     sums = df.groupBy(F.col(col).alias("__k")).agg(F.sum(t).alias("__s"), F.count(t).alias("__n"))
-    out = df.join(sums, F.col(col) == F.col("__k"), "left")
+    out = df.join(dealt(sums), F.col(col) == F.col("__k"), "left")
     s, n = F.col("__s"), F.col("__n")
     if leave_one_out:
         value = F.when(n > 1, rnd((s - t) / F.nullif(n - 1, F.lit(0)), 8)).otherwise(whole)
@@ -220,7 +220,7 @@ def encode_woe(df: DataFrame, col: str, target: str) -> DataFrame:
         return df
     table = df.groupBy(F.col(col).alias("__k")).agg(ones.alias("__e"), zeros.alias("__z"))
     ratio = (F.greatest(F.col("__e"), F.lit(0.5)) / totals["e"]) / (F.greatest(F.col("__z"), F.lit(0.5)) / totals["z"])
-    out = df.join(table.select("__k", rnd(F.ln(ratio), 8).alias("__w")), F.col(col) == F.col("__k"), "left")
+    out = df.join(dealt(table.select("__k", rnd(F.ln(ratio), 8).alias("__w"))), F.col(col) == F.col("__k"), "left")
     return _replace(out, col, F.col("__w"), "__k", "__w")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import dealt
 from .ordered import framed, row_numbers, scan
 
 
@@ -59,7 +60,7 @@ def avg_rank(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 def with_avg_rank(df: DataFrame, col: str, by: Sequence[str] = (), out: str = "avg_rank") -> DataFrame:
     """Every row with its average-tie rank; null values get no rank."""
     ranks = avg_rank(df, col, by).select(*by, F.col("v").alias(col), F.col("avg_rank").alias(out))
-    return df.join(ranks, [*by, col], "left")
+    return df.join(dealt(ranks), [*by, col], "left")
 
 
 def rolling(df: DataFrame, col: str, window: int, order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
