@@ -309,7 +309,13 @@ def _(t):
                                 "handled_externally", "unexpected", "status", "business_status", "deviation_value")
 
 
-@query("ind17_readiness", PILOT + "SELECT DISTINCT period_id, CASE WHEN period_id < '1998' THEN 'reference_incomplete' ELSE 'reference_incomplete' END AS readiness, (SELECT count(*) FROM ty WHERE ref) AS catalog, (SELECT count(*) FROM ty WHERE ref AND n % 4 = 0) AS unknown, (SELECT count(*) FROM ty WHERE ref AND rv) AS available FROM tg")
+@query("ind17_readiness", PILOT + "SELECT DISTINCT period_id, CASE WHEN period_id IN (SELECT period_id FROM fo WHERE period_id < '1997') THEN 'ready' ELSE 'data_missing' END AS readiness, (SELECT count(*) FROM ty WHERE ref) AS catalog, 0 AS unknown, (SELECT count(*) FROM ty WHERE ref AND coalesce(rv, dv)) AS available FROM tg")
+def _(t):
+    types, facts, *_ = pilot_inputs(t)
+    return V.readiness(types, facts.filter("period_id < '1997'"), periods(t))
+
+
+@query("ind17_readiness_incomplete", PILOT + "SELECT DISTINCT period_id, CASE WHEN period_id IN (SELECT period_id FROM fo UNION ALL SELECT period_id FROM fr) THEN 'reference_incomplete' ELSE 'data_missing' END AS readiness, (SELECT count(*) FROM ty WHERE ref) AS catalog, (SELECT count(*) FROM ty WHERE ref AND n % 4 = 0) AS unknown, (SELECT count(*) FROM ty WHERE ref AND rv) AS available FROM tg")
 def _(t):
     types, facts, *_ = pilot_inputs(t)
     return V.readiness(types.withColumn("reference_visible", F.lit(None).cast("boolean")), facts, periods(t))
@@ -336,9 +342,28 @@ def pilot_findings(t):
     return V.all_findings(V.pair_findings(pairs, orgs), V.source_mismatch_findings(types, periods(t)), V.capability_conflicts(facts, directory))
 
 
-@query("ind19_findings", PILOT + PAIR_FINDINGS + "SELECT period_id, CAST(organization_oid AS VARCHAR) AS organization_oid, type_id, finding_code FROM ff")
+REASON_ROWS = ", ".join(f"('{code}', '{cause}', '{advice}')" for code, (cause, advice) in V.REASONS.items())
+
+
+@query("ind19_findings", PILOT + PAIR_FINDINGS + f"SELECT period_id, CAST(organization_oid AS VARCHAR) AS organization_oid, type_id, finding_code, cause, recommendation FROM ff JOIN (VALUES {REASON_ROWS}) w(code, cause, recommendation) ON code = finding_code")
 def _(t):
-    return pilot_findings(t).select("period_id", "organization_oid", "type_id", "finding_code")
+    return pilot_findings(t).select("period_id", "organization_oid", "type_id", "finding_code", "cause", "recommendation")
+
+
+PAIR_EVIDENCE = PILOT + """, pe AS (SELECT *, CASE WHEN pair_status = 'required_unavailable' THEN 'type_not_implemented' WHEN pair_status = 'required_missing' AND external THEN 'type_handled_in_external_system' WHEN pair_status = 'required_missing' THEN 'required_type_not_registered'
+ WHEN pair_status = 'required_unknown' THEN 'capability_unknown' WHEN pair_status = 'not_required_registered' THEN 'registered_when_not_required' END AS finding_code FROM ps),
+ ev AS (SELECT period_id, finding_code, unnest(['requirement_status', 'registered', 'available', 'external', 'is_manual']) AS name, unnest([requirement_status, CAST(registered AS VARCHAR), CAST(available AS VARCHAR), CAST(external AS VARCHAR), CAST(is_manual AS VARCHAR)]) AS value
+  FROM pe WHERE finding_code IS NOT NULL)
+"""
+
+
+@query("ind20_finding_evidence", PAIR_EVIDENCE + "SELECT period_id, finding_code, name, value, count(*) AS n FROM ev WHERE value IS NOT NULL GROUP BY ALL UNION ALL SELECT period_id, 'applicability_incomplete', name, CAST(value AS VARCHAR), count(*) FROM "
+       + "(SELECT period_id, unnest(['required', 'missing_rules', 'unknown_rules']) AS name, unnest([req, mis, unk]) AS value FROM oc WHERE NOT complete) GROUP BY ALL")
+def _(t):
+    types, facts, tg, req, external = pilot_inputs(t)
+    pairs = V.classify_pairs(types, facts, tg, req, external)
+    found = V.pair_findings(pairs, V.pilot_org(pairs, V.readiness(types, facts, periods(t))))
+    return V.finding_evidence(found, ["period_id", "finding_code"])
 
 
 @query("ind19_data_quality", PILOT + """SELECT period_id, NULL AS organization_oid, 'document_type_unmapped' AS finding_code FROM (SELECT DISTINCT period_id FROM f) UNION ALL SELECT DISTINCT period_id, NULL, 'organization_not_in_directory' FROM f WHERE organization_oid = 9
@@ -360,7 +385,7 @@ def _(t):
 
 @query("ind20_finding_members", PILOT + PAIR_FINDINGS + "SELECT DISTINCT period_id, finding_code, 'organization' AS kind, CAST(organization_oid AS VARCHAR) AS member FROM ff WHERE organization_oid IS NOT NULL UNION ALL SELECT DISTINCT period_id, finding_code, 'type', type_id FROM ff WHERE type_id IS NOT NULL")
 def _(t):
-    return V.finding_members(pilot_findings(t)).drop("responsibility_area")
+    return V.finding_members(pilot_findings(t)).drop("responsibility_area", "cause", "recommendation")
 
 
 # --- registers and imports ------------------------------------------------------------------------

@@ -143,14 +143,38 @@ RULES = {
     "capability_unknown": ("warning", "system supplier"), "registered_when_not_required": ("info", "analyst")}
 
 
+#: Code → (why it arises, what to do about it).
+REASONS = {
+    "data_missing": ("the period has no facts", "load the facts of the period"),
+    "reference_missing": ("the type directory is empty or states no visibility", "load the type directory"),
+    "reference_incomplete": ("some types of the directory state no visibility", "complete the visibility flags"),
+    "reference_empty": ("the directory marks no type as visible", "check the visibility flags"),
+    "visibility_source_mismatch": ("registry and reference disagree on the visibility of the type", "decide which source holds and correct the other"),
+    "document_type_unmapped": ("imported names match no type of the directory", "add the names as aliases of a type"),
+    "organization_not_in_directory": ("facts name an organization that the directory lacks", "add the organization or correct its identifier"),
+    "subdivision_not_in_directory": ("facts name subdivisions that the directory lacks", "add the subdivisions or correct their identifiers"),
+    "applicability_matrix_not_loaded": ("the period has no applicability rules", "load the applicability matrix"),
+    "organization_without_subdivisions": ("the directory lists no subdivision of the organization", "add its subdivisions"),
+    "requirement_waived_organization_absent": ("the organization is not in the plan of the period", "confirm that the requirement does not hold"),
+    "capability_contradicts_facts": ("organizations register a type that the directory calls unavailable", "correct the availability in the directory"),
+    "applicability_incomplete": ("rules are missing or undecided for the organization", "decide the open rules"),
+    "type_not_implemented": ("the type is required, its system does not support it", "plan the support of the type"),
+    "type_handled_in_external_system": ("the type is required and kept in another system", "connect the other system"),
+    "required_type_not_registered": ("the type is required and available, nothing is registered", "begin to register the type"),
+    "capability_unknown": ("the type is required, its availability is not stated", "state the availability of the type"),
+    "registered_when_not_required": ("the type is registered though not required", "check the rule of the type")}
+FINDING_GROUP = ("period_id", "finding_code", "responsibility_area", "cause", "recommendation")
+
+
 def finding(df: DataFrame, code: str, organization: Column | None = None, typ: Column | None = None, **evidence: Column) -> DataFrame:
-    """Rows of one rule: (period_id, organization_oid, type_id, finding_code, severity, responsibility_area, evidence json)."""
+    """Rows of one rule: (period_id, organization_oid, type_id, finding_code, severity, responsibility_area, cause, recommendation, evidence json)."""
     severity, area = RULES[code]
+    cause, advice = REASONS[code]
     proof = F.to_json(F.struct(*[c.alias(k) for k, c in evidence.items()])) if evidence else F.lit("{}")
     none = F.lit(None).cast("string")
     return df.select("period_id", (organization.cast("string") if organization is not None else none).alias("organization_oid"),
-                     (typ.cast("string") if typ is not None else none).alias("type_id"), F.lit(code).alias("finding_code"),
-                     F.lit(severity).alias("severity"), F.lit(area).alias("responsibility_area"), proof.alias("evidence"))
+                     (typ.cast("string") if typ is not None else none).alias("type_id"), F.lit(code).alias("finding_code"), F.lit(severity).alias("severity"),
+                     F.lit(area).alias("responsibility_area"), F.lit(cause).alias("cause"), F.lit(advice).alias("recommendation"), proof.alias("evidence"))
 
 
 def reference_findings(ready: DataFrame) -> DataFrame:
@@ -201,10 +225,12 @@ def pair_findings(pairs: DataFrame, orgs: DataFrame) -> DataFrame:
     code = (F.when(st == "required_unavailable", "type_not_implemented").when((st == "required_missing") & F.col("external"), "type_handled_in_external_system")
             .when(st == "required_missing", "required_type_not_registered").when(st == "required_unknown", "capability_unknown")
             .when(st == "not_required_registered", "registered_when_not_required"))
-    rules = F.create_map(*[x for k, v in RULES.items() for x in (F.lit(k), F.array(F.lit(v[0]), F.lit(v[1])))])
+    rules = F.create_map(*[x for k, v in RULES.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in (*v, *REASONS[k])]))])
     p = pairs.withColumn("finding_code", code).filter("finding_code IS NOT NULL").withColumn("__r", F.element_at(rules, F.col("finding_code")))
+    named = ("severity", "responsibility_area", "cause", "recommendation")
     one = p.select("period_id", F.col("organization_oid").cast("string").alias("organization_oid"), F.col("type_id").cast("string").alias("type_id"),
-                   "finding_code", F.col("__r")[0].alias("severity"), F.col("__r")[1].alias("responsibility_area"), F.lit("{}").alias("evidence"))
+                   "finding_code", *[F.col("__r")[i].alias(c) for i, c in enumerate(named)],
+                   F.to_json(F.struct("requirement_status", "registered", "available", "external", "is_manual")).alias("evidence"))
     gaps = orgs.filter("readiness = 'applicability_incomplete'")
     return one.unionByName(finding(gaps, "applicability_incomplete", F.col("organization_oid"), required=F.col("required_types"),
                                    missing_rules=F.col("missing_rules"), unknown_rules=F.col("unknown_rules")))
@@ -217,10 +243,11 @@ def all_findings(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def group_findings(findings: DataFrame, keys: Sequence[str] = ("period_id", "finding_code", "responsibility_area")) -> DataFrame:
+def group_findings(findings: DataFrame, keys: Sequence[str] = FINDING_GROUP) -> DataFrame:
     """One row per reason: worst severity, number of findings, distinct organizations and types; errors first.
 
-    Members are listed by ``finding_members`` as rows, so a reason that touches everybody stays spread out.
+    Members and evidence are listed by ``finding_members`` and ``finding_evidence`` as rows, so a reason that
+    touches everybody stays spread out.
     """
     g = findings.groupBy(*keys).agg(F.min(severity_rank("severity")).alias("__w"), F.count(F.lit(1)).alias("finding_count"),
                                     F.count_distinct("organization_oid").alias("organizations"), F.count_distinct("type_id").alias("types"))
@@ -228,7 +255,13 @@ def group_findings(findings: DataFrame, keys: Sequence[str] = ("period_id", "fin
     return g.withColumn("severity", worst).drop("__w").orderBy(severity_rank("severity"), F.desc("finding_count"), *keys)
 
 
-def finding_members(findings: DataFrame, keys: Sequence[str] = ("period_id", "finding_code", "responsibility_area")) -> DataFrame:
+def finding_evidence(findings: DataFrame, keys: Sequence[str] = FINDING_GROUP) -> DataFrame:
+    """(keys…, name, value, n): each value that the evidence of a reason states, and in how many findings."""
+    stated = F.explode(F.from_json("evidence", "map<string,string>")).alias("name", "value")
+    return findings.select(*keys, stated).groupBy(*keys, "name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def finding_members(findings: DataFrame, keys: Sequence[str] = FINDING_GROUP) -> DataFrame:
     """(keys…, kind, member) of the organizations and types behind each reason."""
     parts = F.array(F.struct(F.lit("organization").alias("kind"), F.col("organization_oid").alias("member")), F.struct(F.lit("type").alias("kind"), F.col("type_id").alias("member")))
     return findings.select(*keys, F.inline(parts)).filter("member IS NOT NULL").distinct()
