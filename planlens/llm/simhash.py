@@ -6,11 +6,13 @@ For T = 2 and m = 5 that means: two equal segments in a row (budgets 0.4 and 0.8
 one differing bit (1.2 and 1.6), so one of these is equal too.  The three equal segments are the join key (38
 bits or more), which keeps even a crowded region of fingerprints apart; the chain budgets are tested on the pairs
 that meet, then the whole distance.  No link is lost.
+
+The pipeline links by shingle sets instead: a prefix filter finds all pairs, ``near_groups``.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,8 @@ SEED = 42
 DISTANCE = 2
 EDGES = (0, 13, 26, 39, 52, 64)
 SEGMENTS = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(EDGES, EDGES[1:])]
-#: Wide fingerprints: words of 64 bits; a segment is a byte, a chain that starts a pair is three of them.
-WIDE, CHAIN, RING_BUDGET = 8, 8, 0.22
-MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bounds of what sets the order of shingles in prefixes; the links do not depend on it.
+SAMPLE_TEXTS, COMMON_SHINGLES = 20_000, 200_000
 
 
 def _signed(x: int) -> int:
@@ -55,14 +56,6 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * votes > n, bitorder="little").view(np.uint64)
 
 
-def widened(h: np.ndarray, words: int) -> np.ndarray:
-    """(n, words) hashes from n hashes: a mixing step per word."""
-    x = h[:, None] + MIX * np.arange(1, words + 1, dtype=np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _texts(batch: pa.RecordBatch, i: int = 1) -> list[bytes | None]:
     return batch.column(i).cast(pa.binary()).to_pylist()
 
@@ -124,22 +117,6 @@ def near_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, digest, ring array<long>): the wide fingerprint over ``shingle`` words."""
-    text_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            digests, rings = [], []
-            for t in _texts(b):
-                h = shingle_hashes((t or b"").lower().split(), shingle)
-                digests.append(hashlib.md5(t or b"", usedforsecurity=False).hexdigest())
-                rings.append(majority(widened(h, WIDE)).view(np.int64) if len(h) else np.zeros(WIDE, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests), pa.array(rings, pa.list_(pa.int64()))], ["doc_id", "digest", "ring"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest string, ring array<long>")
-
-
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """(node, s array<long>): the distinct hashed runs of ``size`` words of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,53 +127,95 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, s array<long>")
 
 
-def _segment(j: int, length: int) -> Column:
-    """``length`` bytes of the ring from byte j on, as a long; length 7 at most."""
-    j, (word, byte) = j % (8 * WIDE), divmod(j % (8 * WIDE), 8)
-    out = F.shiftrightunsigned(F.get("ring", F.lit(word)), 8 * byte)
-    if byte:
-        out = out.bitwiseOR(F.shiftleft(F.get("ring", F.lit((word + 1) % WIDE)), 64 - 8 * byte))
-    return out.bitwiseAND(F.lit((1 << 8 * length) - 1))
+def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles that several texts of a sample have.  They only set the order of
+    shingles; any order gives the same links, this one keeps the buckets small."""
+    share = min(1.0, SAMPLE_TEXTS / max(rows.count(), 1))
+    some = rows.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    counts = _shingle_sets(some, size).select(F.explode("s").alias("k")).groupBy("k").count().filter("count > 2").orderBy(F.desc("count"), "k").limit(COMMON_SHINGLES).toArrow()
+    k, c = np.asarray(counts.column(0), np.int64).view(np.uint64), np.asarray(counts.column(1), np.int64)
+    by = np.argsort(k)
+    return k[by], c[by]
+
+
+def _prefixes(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, part, pos, n, weight): the first n - ceil(similarity * n) + 1 of the n shingles of a text, in one order for
+    all texts (common ones last, then by hash); weight: how common its shingles are.  Wordless texts have one part."""
+    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, size))  # COMMON_SHINGLES pairs at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value
+        for b in batches:
+            nodes, parts, places, sizes, weights = [], [], [], [], []
+            for node, t in zip(b.column(0).to_pylist(), _texts(b)):
+                s = np.unique(shingle_hashes((t or b"").lower().split(), size))
+                n, seen = len(s), np.zeros(len(s), np.int64)
+                if n and len(keys):
+                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                    seen = np.where(keys[at] == s, counts[at], 0)
+                first = s[np.lexsort((s, seen))[:n - math.ceil(similarity * n - 1e-9) + 1]] if n else np.zeros(1, np.uint64)
+                nodes.append(np.full(len(first), node, np.int64)), parts.append(first.view(np.int64)), places.append(np.arange(len(first), dtype=np.int32))
+                sizes.append(np.full(len(first), n, np.int32)), weights.append(np.full(len(first), np.log1p(seen).sum() / max(n, 1)))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, parts, places, sizes, weights)], ["node", "part", "pos", "n", "weight"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, part long, pos int, n int, weight double")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the ``pairs`` (a, b) whose shingle sets have the Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s2")), "b")
+    common = F.size(F.array_intersect("s1", "s2"))
+    return both.filter(common >= F.lit(similarity) * (F.size("s1") + F.size("s2") - common)).select("a", "b")
+
+
+def prefix_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links among the distinct texts of ``rows`` (doc_id, node, text), where node stands for the text, that
+    join exactly the texts which a chain of pairs with the similarity joins.
+
+    Two such texts share a part of their prefixes.  First each text meets the leader of its buckets, the one with
+    the most common shingles, which joins dense groups by few pairs.  Then all pairs of a bucket that are not yet in one
+    group are compared, so nothing rests on the leaders; the shared parts bound the overlap, the sets decide.
+    """
+    keys = written(_prefixes(rows, shingle, similarity).distinct(), "keys")
+    order = F.struct("weight", F.xxhash64("node", "part").alias("o"), F.col("node").alias("leader"))
+    leaders = keys.groupBy("part").agg(F.max(order).alias("l"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("part", F.col("l.leader").alias("leader"))
+    live = written(keys.join(spread(leaders), "part").select("node", "part", "pos", "n", "leader"), "live")
+    needed = rows.groupBy("node").agg(F.min("doc_id").alias("low")).join(live.select("node").distinct(), "node")
+    bodies = rows.join(spread(needed.withColumnRenamed("node", "one")), (F.col("node") == F.col("one")) & F.col("doc_id").eqNullSafe(F.col("low")))
+    sets = written(_shingle_sets(bodies, shingle).dropDuplicates(["node"]), "sets")
+    met = live.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    links = written(_alike(met, sets, similarity), "links")
+    rooted = live.join(components(links).withColumnRenamed("node", "a"), F.col("node") == F.col("a"), "left").select("part", "node", "pos", "n", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "rooted")
+    groups = rooted.select("part", "root").distinct()
+    many = groups.groupBy("part").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("part")
+    groups = written(groups.join(spread(many), "part"), "groups")
+    r, t = groups.select("part", F.col("root").alias("r")), groups.select("part", F.col("root").alias("t"))
+    a = rooted.select("part", F.col("root").alias("r"), F.col("node").alias("a"), F.col("pos").alias("i"), F.col("n").alias("m"))
+    b = rooted.select("part", F.col("root").alias("t"), F.col("node").alias("b"), F.col("pos").alias("j"), "n")
+    apart = r.join(t, "part").filter("r < t").join(a, ["part", "r"]).join(b, ["part", "t"])
+    apart = apart.filter(F.least("m", "n") >= F.greatest("m", "n") * F.lit(similarity) - 1e-6)
+    apart = apart.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("m").alias("m"), F.first("n").alias("n"))
+    most = F.col("c") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) - 1
+    apart = written(apart.filter((F.least("m", "n") == 0) | (most >= F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("n")) - 1e-6)).select("a", "b"), "apart")
+    return links.unionByName(_alike(apart, sets, similarity))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, digest, keep_id, keep_digest, copies): the group of each distinct (doc_id, text).
 
     Texts whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more are linked; the
-    group keeps its smallest doc_id (rows without one come last).  At such similarities fingerprints over 64 bits lie
-    too far apart to index, so the ring is 64 segments of 8 bits, over runs of three words.  Three equal segments in
-    a row bring two texts together; chains of up to 8 segments must then stay within their budgets, the
-    whole distance within its own, and the shingle sets decide exactly.  In a bucket each text meets one
-    leader (the smallest id, or in every other bucket the smallest hash), never all of the bucket.
+    group keeps its smallest doc_id (rows without one come last).  At such similarities fingerprints lie too far apart
+    to index without loss, so the pairs come from ``prefix_links``, which loses none.
     """
-    prints = written(_wide_prints(docs, 3), "prints")
-    texts = prints.groupBy("digest").agg(F.min("doc_id").alias("low"), F.min("ring").alias("ring"))
-    texts = written(texts.withColumn("node", F.coalesce("low", F.xxhash64("digest"))), "texts")
-    ring = 8 * WIDE
-    keys = texts.select("node", F.posexplode(F.array(*[_segment(j, 3) for j in range(ring)])).alias("start", "part"))
-    order = F.when(F.col("start") % 2 == 0, F.col("node")).otherwise(F.xxhash64("node", "start"))
-    leaders = (keys.groupBy("start", "part").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("leader"))).alias("l"), F.count(F.lit(1)).alias("n"))
-               .filter("n > 1").select("start", "part", F.col("l.leader").alias("leader")))
-    met = keys.join(spread(leaders), ["start", "part"]).filter("node <> leader").select("node", "leader", "start").groupBy("node", "leader").agg(F.min("start").alias("start"))
-    met = written(met, "met")
-    left, right = texts.select("node", F.col("ring").alias("x")), texts.select(F.col("node").alias("leader"), F.col("ring").alias("y"))
-    pairs = met.join(spread(left), "node").join(spread(right), "leader")
-    pairs = pairs.withColumn("ring", F.zip_with("x", "y", lambda p, q: p.bitwiseXOR(q)))
-    chain = F.lit(True)
-    for n in range(4, CHAIN):
-        part = F.when(F.lit(False), F.lit(0))
-        for j in range(ring):
-            part = part.when(F.col("start") == j, F.bit_count(_segment(j, n)))
-        chain = chain & (part <= F.lit(n * 8 * RING_BUDGET))
-    whole = F.aggregate("ring", F.lit(0), lambda s, v: s + F.bit_count(v))
-    pairs = written(pairs.filter(chain & (whole <= 64 * WIDE * RING_BUDGET)).select("node", "leader"), "pairs")
-    needed = pairs.select("node").union(pairs.select("leader")).distinct().join(texts.select("node", "digest", "low"), "node")
-    bodies = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("low")) & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("digest")))
-    sets = written(_shingle_sets(bodies.select("node", F.col("text").cast("string").alias("text")), shingle).dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select("node", F.col("s").alias("s1")), "node").join(sets.select(F.col("node").alias("leader"), F.col("s").alias("s2")), "leader")
-    common = F.size(F.array_intersect("s1", "s2"))
-    links = both.filter(common >= F.lit(similarity) * (F.size("s1") + F.size("s2") - common)).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    stars = components(links)
+    text_batches(docs.sparkSession)
+    text = F.col("text").cast("string")
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), digest.alias("digest"), F.xxhash64(digest).alias("node"))
+    prints = written(rows.select("doc_id", "digest", "node"), "prints")
+    texts = written(prints.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("node").alias("node")), "texts")
+    stars = components(prefix_links(rows.select("doc_id", "node", "text"), shingle, similarity))
     rooted = written(texts.join(stars, "node", "left").select("digest", "low", F.coalesce("root", "node").alias("root")), "rooted")
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("n"), "low", "digest")).alias("k"))
     named = written(rooted.join(spread(best), "root").select("digest", F.col("k.low").alias("keep_id"), F.col("k.digest").alias("keep_digest")), "named")

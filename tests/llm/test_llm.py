@@ -84,6 +84,49 @@ def test_near_copies_leave_one(docs, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def shingle_set(text):
+    w = words(text)
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def groups_by_definition(texts, similarity=0.8):
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+    def top(i):
+        return i if root[i] == i else top(root[i])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= similarity * (len(a) + len(sets[j]) - both):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return [top(i) for i in range(len(texts))]
+
+
+def kept(spark, texts):
+    got = simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r.keep_id for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def edited(text, r, n):
+    w = text.split()
+    for i in r.sample(range(len(w)), n):
+        w[i] = f"x{r.random()}"
+    return " ".join(w)
+
+
+def test_near_groups_meet_beside_any_leader(spark):
+    """Variants whose common original has any id; strangers and a line in all of them beside."""
+    r, texts = random.Random(11), []
+    for family in range(3):
+        base = prose(900 + family, 304)
+        texts += [edited(base, r, 5) for _ in range(30)] + [base]
+    texts += [f"the very same line stands in every one of these texts {prose(950 + i, 30)}" for i in range(40)] + ["", " \t", "one two", "One  two"]
+    r.shuffle(texts)
+    want = groups_by_definition(texts)
+    assert len({want[i] for i, t in enumerate(texts) if len(t.split()) == 304}) == 3
+    assert kept(spark, texts) == want
+
+
 def test_packing(docs, rows, none):
     import public_tokenizers
     from tokenizers import Tokenizer
