@@ -127,6 +127,17 @@ def test_near_groups_meet_beside_any_leader(spark):
     assert kept(spark, texts) == want
 
 
+def test_near_groups_at_the_threshold(spark):
+    """Pairs alone in their buckets, just at a similarity of 0.8: text appended, or a block written anew."""
+    texts = []
+    for i in range(40):
+        base = prose(2000 + i, 304).split()
+        other = base + prose(3000 + i, 75).split() if i % 2 else base[:100] + prose(3000 + i, 28).split() + base[128:]
+        texts += [" ".join(base), " ".join(other)]
+    want = groups_by_definition(texts)
+    assert want == [i - i % 2 for i in range(80)] and kept(spark, texts) == want
+
+
 def test_packing(docs, rows, none):
     import public_tokenizers
     from tokenizers import Tokenizer
