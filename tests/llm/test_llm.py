@@ -138,6 +138,13 @@ def test_near_groups_at_the_threshold(spark):
     assert want == [i - i % 2 for i in range(80)] and kept(spark, texts) == want
 
 
+def test_near_groups_count_a_repeated_line_once(spark):
+    line = "\n" + prose(4000, 8)
+    texts = [t for i in range(6) for t in (prose(4001 + i, 300), prose(4001 + i, 300) + line * (5, 20, 100)[i % 3])]
+    want = groups_by_definition(texts)
+    assert want == [i - i % 2 for i in range(12)] and kept(spark, texts) == want
+
+
 def test_packing(docs, rows, none):
     import public_tokenizers
     from tokenizers import Tokenizer
