@@ -5,7 +5,7 @@ Counts of all training tokens give the base and the words.  The most frequent wo
 last two bytes and has, within it, its share of the counts plus one.  The network gives each class, and each word
 of a head class, its probability from the tokens before; its state goes on over windows to the end of a
 text.  Training is truncated backpropagation: one task starts from a bounded set of texts, then every partition trains
-that start on its share of the training texts, and the weights are averaged by tokens.
+that start on all of its training texts, and the weights are averaged by tokens.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ HEAD = HEAD_CLASSES * CLASS_WORDS
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 #: Words whose counts the tasks hold; the counts of all others are joined.
 KNOWN_WORDS = 200_000
-#: Bounds of the fit: texts of the start; of the training texts, one in TRAIN_SHARE trains the weights (counts take all).
-START_TEXTS, TRAIN_SHARE = 2_000, 8
+#: Texts of the start; after it all training texts train the weights.
+START_TEXTS = 2_000
 WINDOW, LANES, RATE_START, RATE = 32, 64, 4e-3, 1e-3
 SCORED_TOKENS = 2_000_000
 #: Of an output weight: STATE states of at most 1 keep every exponent far from overflow.
@@ -290,8 +290,7 @@ def learn(rows: DataFrame) -> tuple[object, bytes, DataFrame, Words]:
     shared = spark.sparkContext.broadcast(words)  # KNOWN_WORDS entries at most
     chosen = F.broadcast(training.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_TEXTS))
     start = _averaged(_trained(training.join(chosen, "doc_id").repartition(1), shared, None, RATE_START))
-    share = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(TRAIN_SHARE)) == 0)
-    best = _averaged(_trained(share, shared, start, RATE)) if start else None
+    best = _averaged(_trained(training, shared, start, RATE if start else RATE_START))
     return shared, best or start or Network(words).packed(), counts, words
 
 

@@ -242,6 +242,16 @@ def test_language_model(docs, rows, none):
     assert lm.score(none).count() == 0
 
 
+@pytest.mark.parametrize("ids", [True, False])
+def test_language_model_trains_on_every_text(spark, monkeypatch, ids):
+    """Held-out texts apart, each one reaches the weights after the start, with or without doc_id."""
+    texts = [(i if ids else None, prose(5000 + i, 12)) for i in range(40)]
+    seen, trained = [], lm._trained
+    monkeypatch.setattr(lm, "_trained", lambda docs, *rest: seen.append(docs) or trained(docs, *rest))
+    lm.score(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r.text for r in seen[-1].select("text").collect()) == sorted(t for i, t in texts if i is None or zlib.crc32(str(i).encode()) % 7 != 2)
+
+
 def test_language_model_sums_to_one():
     top = [(b"", 30), (b"a", 20), (b"bb", 10), *((f"w{i}".encode(), 5) for i in range(40))]
     tails = {}
