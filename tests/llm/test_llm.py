@@ -145,6 +145,14 @@ def test_near_groups_count_a_repeated_line_once(spark):
     assert want == [i - i % 2 for i in range(12)] and kept(spark, texts) == want
 
 
+def test_near_groups_of_a_pair_with_a_later_viable_chain(spark):
+    """Of 512-bit prints of this pair the first shared start has no viable chain, another has."""
+    base = prose(5_010_473, 304)
+    rows = [(0, base), (2, base + " " + prose(6_010_473, 75))]
+    assert groups_by_definition([t for _, t in rows]) == [0, 0]
+    assert {r.keep_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
 def test_packing(docs, rows, none):
     import public_tokenizers
     from tokenizers import Tokenizer
