@@ -50,6 +50,13 @@ def crc_fold(column: str | Column, mod: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % mod
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of an ASCII string expression, bit by bit."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295)"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A small aggregate dealt out anew: a join on its key then has an exchange on both sides, which lets
     the skew rule split the hot keys of the other side."""

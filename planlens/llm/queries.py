@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planlens.llm import graph, langid, licences, lm, mixing, packing, quality, simhash, suffix, topk
+from planlens.llm import graph, langid, licences, lm, manifest, mixing, packing, quality, repair, simhash, suffix, topk, urlfilter
 from planlens.llm.common import table
 
 
@@ -50,8 +50,21 @@ def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_binary_packing, op3_ball_tree_topk, op4_pruned_graph_ann, op5_licence_sentences,
-        op6_recurrent_lm, op7_suffix_dedup, op8_source_mixing, op9_quality_machine, op10_language_ppm)}
-SQL: dict[str, str] = {"op5_licence_sentences": licences.sql()}
+        op6_recurrent_lm, op7_suffix_dedup, op8_source_mixing, op9_quality_machine, op10_language_ppm,
+        op11_merkle_manifest, op12_url_filter, op13_conversation_repair)}
+SQL: dict[str, str] = {"op5_licence_sentences": licences.sql(), "op11_merkle_manifest": manifest.sql(), "op13_conversation_repair": repair.sql()}
