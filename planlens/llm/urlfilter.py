@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planlens.llm.common import written
+
 #: Verdict and rule: a host with its subdomains, from its first slash on a prefix of the path.
 RULES: tuple[tuple[str, str], ...] = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Slots of the hashed statistics of one suffix.
@@ -184,7 +186,8 @@ def learn(labelled: DataFrame, fit_urls: int = FIT_URLS) -> tuple[np.ndarray, fl
     counts = np.zeros((2, 2, SUFFIXES, SLOTS))
     for r in counted:
         counts[r["half"], :, r["kind"], r["slot"]] = r["n"], r["blocks"]
-    some = known.groupBy("half", "url", "host", "path").agg(F.max("block").alias("block")).orderBy(F.xxhash64("url"), "url").limit(fit_urls).collect()
+    some = known.groupBy("half", "url", "host", "path").agg(F.max("block").alias("block")).orderBy(F.xxhash64("url"), "url").limit(fit_urls)
+    some = written(some, "urls").collect()  # a task merges the least of each partition, not the driver
     parts = [[r for r in some if r["half"] == k] for k in (0, 1)]
     x = np.concatenate([matrix([r["url"] for r in part], [r["host"] for r in part], [r["path"] for r in part], counts[1 - k]) for k, part in enumerate(parts)])
     return (counts.mean(axis=0), *boost(x, np.array([r["block"] for part in parts for r in part], float)))
