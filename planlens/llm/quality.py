@@ -129,8 +129,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     return Machine(np.random.default_rng(5)).fit(rows, sample.column("quality").to_numpy()[order].astype(float)) if rows else Machine()
 
 
-def score_texts(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with a column ``SCORE`` in 0 to 1; the last column of the result."""
+def score_texts(docs: DataFrame, machine: Machine, name: str = SCORE) -> DataFrame:
+    """``docs`` with a column ``name`` in 0 to 1; the last column of the result."""
     text_batches(docs.sparkSession)
     where = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))  # of fixed size
@@ -145,10 +145,10 @@ def score_texts(docs: DataFrame, machine: Machine) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])[:-1]])
                 raw = m.raw(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), starts)[0]
                 score = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*b.schema.names, SCORE])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*b.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructType
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(SCORE, DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -166,5 +166,12 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects."""
-    return score_texts(docs, learn(docs, labels)).filter(F.col(SCORE) >= THRESHOLD).drop(SCORE)
+    """``docs`` without the rows that the classifier rejects.
+
+    Null and empty texts are judged by their structure; without any labelled row every score is 0.5 and all stay.
+    Repeated rows and other columns stay as they are, whatever their names.
+    """
+    name = SCORE
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return score_texts(docs, learn(docs, labels), name).filter(F.col(name) >= THRESHOLD).drop(name)
