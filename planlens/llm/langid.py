@@ -107,6 +107,13 @@ class Trees:
             self.contexts.append(contexts)
             self.escapes.append(escapes)
 
+    @classmethod
+    def frozen(cls, languages: list[str], keys: list, bits: list, contexts: list, escapes: list) -> "Trees":
+        """The trees of arrays that were learned, with their tables for look-up."""
+        t = cls.__new__(cls)
+        t.languages, t.keys, t.bits, t.contexts, t.escapes = languages, keys, bits, contexts, escapes
+        return t.ready()
+
     def ready(self) -> "Trees":
         self.tables = [Table(k.astype(np.int64)) for k in self.keys]
         self.context_tables = [Table(k.astype(np.int64)) for k in self.contexts]
@@ -188,11 +195,15 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     ``und`` with score 0.  Rows without doc_id are predicted and not held out.
     """
     trees = learn(docs, fit_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by fit_rows texts of each language
+    # plain arrays, bounded by fit_rows texts of each language: executors need no copy of the package
+    shared = docs.sparkSession.sparkContext.broadcast({"parts": (trees.languages, trees.keys, trees.bits, trees.contexts, trees.escapes)})
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value.ready()
+        held = shared.value
+        if "trees" not in held:  # once in each Python worker
+            held["trees"] = Trees.frozen(*held["parts"])
+        t = held["trees"]
         names = np.array([*t.languages, "und"], object)
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
