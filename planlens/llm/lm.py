@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +26,14 @@ from planlens.llm.common import crc_fold, spread, text_batches, written
 HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES, STATE = 32, 32, 32, 24
 HEAD = HEAD_CLASSES * CLASS_WORDS
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
-#: Words whose counts the tasks hold; the counts of all others are joined.
+#: Words whose counts the tasks hold, about; the counts of all others are joined.
 KNOWN_WORDS = 200_000
 #: Texts of the start; after it all training texts train the weights.
 START_TEXTS = 2_000
-WINDOW, LANES, RATE_START, RATE = 32, 64, 4e-3, 1e-3
-SCORED_TOKENS = 2_000_000
+#: A pass has ``LANES`` lanes, fewer if it had under ``STEPS`` steps then; the rates are those of 64 lanes and go with the root of the lanes.
+WINDOW, LANES_START, LANES, STEPS, RATE_START, RATE = 32, 64, 256, 200, 4e-3, 1e-3
+#: Tokens that a task holds at once: for a pass of training, for scoring, and output rows of one product.
+TRAINED_TOKENS, SCORED_TOKENS, PRODUCT_ROWS = 2_000_000, 6_000_000, 1 << 16
 #: Of an output weight: STATE states of at most 1 keep every exponent far from overflow.
 BOUND = 3.0
 END = b""
@@ -66,11 +68,11 @@ def _count(docs: DataFrame) -> DataFrame:
     return part.groupBy("word").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
-class Places(dict):
-    """Numbers of the words whose counts are at hand; any other word has its tail class."""
+class Ranks(dict):
+    """Ranks of the words whose counts are at hand; of any other word its tail class, counted down from -1."""
 
     def __missing__(self, word: bytes) -> int:
-        return HEAD + tail_class(word)
+        return -1 - tail_class(word)
 
 
 class Words:
@@ -79,8 +81,10 @@ class Words:
     def __init__(self, top: list[tuple[bytes, int]], n: int, v: int, tails: dict[int, tuple[int, int]]) -> None:
         """``top``: words by falling count; n tokens, v words; of each tail class tokens and words in all."""
         self.n, self.v = n, v
-        self.count = dict(top)
-        self.number = Places((w, i if i < HEAD else HEAD + tail_class(w)) for i, (w, _) in enumerate(top))
+        self.rank = Ranks((w, i) for i, (w, _) in enumerate(top))
+        # by rank, and behind the ranks the tail classes from the last one on, so that a rank below zero finds its own
+        self.place = np.array([*(i if i < HEAD else HEAD + tail_class(w) for i, (w, _) in enumerate(top)), *range(HEAD + TAIL_CLASSES - 1, HEAD - 1, -1)], np.int32)
+        self.logs = np.log10(1 + np.array([*(c for _, c in top), *[0] * TAIL_CLASSES], float))
         sizes = np.array([tails.get(j, (0, 0)) for j in range(TAIL_CLASSES)], float)
         for w, c in top[:HEAD]:
             sizes[tail_class(w)] -= (c, 1)
@@ -93,12 +97,11 @@ class Words:
         self.class_bias = np.where(mass > 0, np.log(np.maximum(mass, 1e-9) / mass.sum()), -1e4).astype(np.float32)
         self.word_bias = np.where(self.filled, np.log(np.maximum(head, 1e-9) / np.maximum(head.sum(1, keepdims=True), 1e-9)), -1e4).astype(np.float32)
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
-
+    def ranks(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.rank.__getitem__, words), np.int32, len(words))
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return self.place[self.ranks(words)]
 
 
 class Network:
@@ -114,90 +117,135 @@ class Network:
             "word": rng.normal(0, 0.05, (HEAD_CLASSES, h, CLASS_WORDS)), "word_bias": words.word_bias.copy()}
         self.p = {k: np.asarray(v, np.float32) for k, v in self.p.items()}
 
-    def step(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple]:
-        h, gx, gh = STATE, self.p["inputs"][x], state @ self.p["rec"]
-        zr = sigmoid(gx[:, :2 * h] + gh[:, :2 * h])
-        z, r = zr[:, :h], zr[:, h:]
-        n = np.tanh(gx[:, 2 * h:] + r * gh[:, 2 * h:])
-        return n + z * (state - n), (x, state, z, r, n, gh[:, 2 * h:])
+    def advance(self, inputs: np.ndarray, old: np.ndarray, gates: np.ndarray, fresh: np.ndarray, recurrent: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """One token: from the inputs' part of the gates and the old state to the new one, all into given arrays."""
+        h = STATE
+        by_state = old @ self.p["rec"]
+        np.add(inputs[:, :2 * h], by_state[:, :2 * h], out=gates)
+        np.exp(np.negative(gates, out=gates), out=gates)
+        np.reciprocal(np.add(gates, np.float32(1), out=gates), out=gates)
+        recurrent[...] = by_state[:, 2 * h:]
+        np.multiply(gates[:, h:], recurrent, out=fresh)
+        fresh += inputs[:, 2 * h:]
+        np.tanh(fresh, out=fresh)
+        np.subtract(old, fresh, out=new)
+        new *= gates[:, :h]
+        new += fresh
+        return new
 
     def log_probs(self, states: np.ndarray, number: np.ndarray) -> np.ndarray:
         """Natural log of the class, and in head classes of the word, that ``number`` names."""
-        logits = states @ self.p["cls"] + self.p["cls_bias"]  # below 80, see BOUND
-        head = number < HEAD
-        cls = np.where(head, number // CLASS_WORDS, number - HEAD + HEAD_CLASSES)
-        out = logits[np.arange(len(cls)), cls]
-        out -= np.log(np.exp(logits) @ np.ones(CLASSES, np.float32))
-        by = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[by], np.arange(HEAD_CLASSES + 1))
-        for c in range(HEAD_CLASSES):
-            rows = by[ends[c]:ends[c + 1]]
-            if len(rows):
-                w = states[rows] @ self.p["word"][c] + self.p["word_bias"][c]
-                out[rows] += w[np.arange(len(rows)), number[rows] % CLASS_WORDS] - np.log(np.exp(w) @ np.ones(CLASS_WORDS, np.float32))
+        out = np.empty(len(number), np.float32)
+        for at in range(0, len(number), PRODUCT_ROWS):
+            s, n = states[at:at + PRODUCT_ROWS], number[at:at + PRODUCT_ROWS]
+            cls, by, ends = self.by_class(n)
+            logits = s @ self.p["cls"]
+            logits += self.p["cls_bias"]  # below 80, see BOUND
+            got = logits[np.arange(len(cls)), cls]
+            got -= np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, np.float32))
+            sorted_states, place = s[by[:ends[-1]]], n[by[:ends[-1]]] % CLASS_WORDS
+            for c in range(HEAD_CLASSES):
+                a, b = ends[c], ends[c + 1]
+                if a < b:
+                    w = sorted_states[a:b] @ self.p["word"][c]
+                    w += self.p["word_bias"][c]
+                    own = w[np.arange(b - a), place[a:b]]
+                    got[by[a:b]] += own - np.log(np.exp(w, out=w) @ np.ones(CLASS_WORDS, np.float32))
+            out[at:at + PRODUCT_ROWS] = got
         return out
 
-    def train(self, texts: list[np.ndarray], rate: float) -> int:
-        """One pass of truncated backpropagation over the texts in LANES lanes, by Adam; the tokens seen."""
+    @staticmethod
+    def by_class(number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The class of each number, the rows by class, and where each head class ends in them."""
+        cls = np.where(number < HEAD, number // CLASS_WORDS, number - HEAD + HEAD_CLASSES)
+        by = np.argsort(cls.astype(np.uint8), kind="stable")  # narrow numbers are sorted by radix
+        return cls, by, np.concatenate([[0], np.bincount(cls, minlength=CLASSES)[:HEAD_CLASSES].cumsum()])
+
+    def output_slopes(self, states: np.ndarray, number: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
+        """The gradients of the mean loss: of the output weights into ``g``, of the states as the result."""
+        scale = np.float32(1 / len(number))
+        cls, by, ends = self.by_class(number)
+        e = states @ self.p["cls"]
+        e += self.p["cls_bias"]
+        np.exp(e, out=e)
+        e /= (e @ np.ones(CLASSES, np.float32))[:, None]
+        e[np.arange(len(cls)), cls] -= 1
+        e *= scale
+        g["cls"], g["cls_bias"], back = states.T @ e, e.sum(0), e @ self.p["cls"].T
+        g["word"], g["word_bias"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["word_bias"])
+        rows = by[:ends[-1]]
+        sorted_states, place, part = states[rows], number[rows] % CLASS_WORDS, np.empty((len(rows), STATE), np.float32)
+        for c in range(HEAD_CLASSES):
+            a, b = ends[c], ends[c + 1]
+            if a < b:
+                w = sorted_states[a:b] @ self.p["word"][c]
+                w += self.p["word_bias"][c]
+                np.exp(w, out=w)
+                w /= (w @ np.ones(CLASS_WORDS, np.float32))[:, None]
+                w[np.arange(b - a), place[a:b]] -= 1
+                w *= scale
+                g["word"][c], g["word_bias"][c] = sorted_states[a:b].T @ w, w.sum(0)
+                np.matmul(w, self.p["word"][c].T, out=part[a:b])
+        back[rows] += part
+        return back
+
+    def slopes(self, source: np.ndarray, target: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the mean loss over one window (steps, lanes) and the state behind it; the window starts from
+        ``state`` and no slope goes back beyond it, or over the start of a text."""
+        h, one = STATE, np.float32(1)
+        steps, lanes = source.shape
+        keep = (~fresh).astype(np.float32)[:, :, None]
+        inputs = self.p["inputs"][source.ravel()].reshape(steps, lanes, 3 * h)
+        old, new, n, recurrent = (np.empty((steps, lanes, h), np.float32) for _ in range(4))
+        gates = np.empty((steps, lanes, 2 * h), np.float32)
+        for t in range(steps):
+            state = self.advance(inputs[t], np.multiply(state, keep[t], out=old[t]), gates[t], n[t], recurrent[t], new[t])
+        g: dict[str, np.ndarray] = {}
+        back = self.output_slopes(new.reshape(-1, h), target.ravel(), g).reshape(steps, lanes, h)
+        carry, to_state = np.zeros((lanes, h), np.float32), np.ascontiguousarray(self.p["rec"].T)
+        din, drec = (np.empty((steps, lanes, 3 * h), np.float32) for _ in range(2))
+        for t in reversed(range(steps)):
+            z, r, d = gates[t, :, :h], gates[t, :, h:], back[t]
+            d += carry
+            kept = d * z
+            dn = d - kept
+            dn *= one - n[t] * n[t]
+            dr = dn * recurrent[t]
+            dr *= r * (one - r)
+            din[t, :, :h], din[t, :, h:2 * h], din[t, :, 2 * h:] = kept * (one - z) * (old[t] - n[t]), dr, dn
+            drec[t, :, :2 * h] = din[t, :, :2 * h]
+            np.multiply(dn, r, out=drec[t, :, 2 * h:])
+            carry = drec[t] @ to_state
+            carry += kept
+            carry *= keep[t]
+        g["rec"] = old.reshape(-1, h).T @ drec.reshape(-1, 3 * h)
+        by = np.argsort(source.ravel().astype(np.uint16), kind="stable")
+        sorted_source = source.ravel()[by]
+        start = np.flatnonzero(np.diff(sorted_source, prepend=-1))
+        g["inputs"] = np.zeros_like(self.p["inputs"])
+        g["inputs"][sorted_source[start]] = np.add.reduceat(din.reshape(-1, 3 * h)[by], start)
+        return g, state
+
+    def train(self, texts: list[np.ndarray], rate: float, most_lanes: int) -> int:
+        """One pass of truncated backpropagation over the texts in lanes, by Adam; the tokens seen."""
         stream = np.concatenate(texts) if texts else np.empty(0, np.int32)
         fresh = np.zeros(len(stream), bool)
         fresh[np.cumsum([0, *(len(t) for t in texts)])[:-1]] = True
-        lanes = max(1, min(LANES, len(stream) // (2 * WINDOW)))
-        length = len(stream) // lanes
+        lanes = max(1, min(most_lanes, len(stream) // (STEPS * WINDOW)))
+        length, rate = len(stream) // lanes, rate * np.sqrt(lanes / 64)
         before = np.concatenate([stream[-1:], stream[:-1]])
-        target, source, fresh = (a[:lanes * length].reshape(lanes, length) for a in (stream, before, fresh))
+        target, source, fresh = (np.ascontiguousarray(a[:lanes * length].reshape(lanes, length).T) for a in (stream, before, fresh))
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        state, h = np.zeros((lanes, STATE), np.float32), STATE
-        windows = range(0, length, WINDOW)
+        state, windows = np.zeros((lanes, STATE), np.float32), range(0, length, WINDOW)
         for i, at in enumerate(windows, 1):
-            trace, states, span = [], [], range(at, min(length, at + WINDOW))
-            for t in span:
-                state, seen = self.step(source[:, t], np.where(fresh[:, t, None], 0, state).astype(np.float32))
-                trace.append(seen)
-                states.append(state)
-            hs, number = np.stack(states, 1).reshape(-1, h), target[:, at:at + WINDOW].ravel()
-            g = {k: np.zeros_like(x) for k, x in self.p.items()}
-            head, scale = number < HEAD, 1 / len(number)
-            cls = np.where(head, number // CLASS_WORDS, number - HEAD + HEAD_CLASSES)
-            e = hs @ self.p["cls"] + self.p["cls_bias"]
-            e = np.exp(e - e.max(1, keepdims=True))
-            e /= e.sum(1, keepdims=True)
-            e[np.arange(len(cls)), cls] -= 1
-            e *= scale
-            g["cls"], g["cls_bias"], back = hs.T @ e, e.sum(0), e @ self.p["cls"].T
-            for c in np.unique(cls[head]):
-                rows = np.flatnonzero(cls == c)
-                w = hs[rows] @ self.p["word"][c] + self.p["word_bias"][c]
-                w = np.exp(w - w.max(1, keepdims=True))
-                w /= w.sum(1, keepdims=True)
-                w[np.arange(len(rows)), number[rows] % CLASS_WORDS] -= 1
-                w *= scale
-                g["word"][c], g["word_bias"][c] = hs[rows].T @ w, w.sum(0)
-                back[rows] += w @ self.p["word"][c].T
-            back = back.reshape(lanes, -1, h)
-            carry, ins, dins = np.zeros((lanes, h), np.float32), [], []
-            for t in reversed(range(len(trace))):
-                x, old, z, r, n, ghn = trace[t]
-                d = back[:, t] + carry
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (old - n) * z * (1 - z)
-                dr = dn * ghn * r * (1 - r)
-                dgh = np.hstack([dz, dr, dn * r])
-                g["rec"] += old.T @ dgh
-                ins.append(x)
-                dins.append(np.hstack([dz, dr, dn]))
-                carry = np.where(fresh[:, at + t, None], 0, d * z + dgh @ self.p["rec"].T).astype(np.float32)
-            x, dx = np.concatenate(ins), np.concatenate(dins)
-            by = np.argsort(x, kind="stable")
-            own, start = np.unique(x[by], return_index=True)
-            g["inputs"][own] = np.add.reduceat(dx[by], start)
-            size = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+            g, state = self.slopes(*(a[at:at + WINDOW] for a in (source, target, fresh)), state)
+            size = np.sqrt(sum(float(np.vdot(a, a)) for a in g.values()))
             slow = rate * (1 - 0.9 * (i - 1) / len(windows))
             for k, a in g.items():
-                a *= min(1.0, 1 / max(size, 1e-9))
-                m[k] += 0.1 * (a - m[k])
-                v[k] += 0.01 * (a * a - v[k])
-                self.p[k] -= slow * (m[k] / (1 - 0.9 ** i)) / (np.sqrt(v[k] / (1 - 0.99 ** i)) + 1e-8)
+                a *= np.float32(min(1.0, 1 / max(size, 1e-9)))
+                m[k] += np.float32(0.1) * (a - m[k])
+                v[k] += np.float32(0.01) * (a * a - v[k])
+                self.p[k] -= np.float32(slow / (1 - 0.9 ** i)) * m[k] / (np.sqrt(v[k] * np.float32(1 / (1 - 0.99 ** i))) + np.float32(1e-8))
             for k in ("cls", "word"):
                 np.clip(self.p[k], -BOUND, BOUND, out=self.p[k])
         return lanes * length
@@ -205,25 +253,26 @@ class Network:
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Sum of ``log_probs`` of each whole text.  Texts go side by side, the longest first, window by window; the
         state is carried on and those that have ended drop out."""
-        order = np.argsort([-len(t) for t in texts], kind="stable")
+        order, h = np.argsort([-len(t) for t in texts], kind="stable"), STATE
         sizes = np.array([len(texts[i]) for i in order])
         flat, begin = np.concatenate([texts[i] for i in order]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        out, state, at = np.zeros(len(texts)), np.zeros((len(texts), STATE), np.float32), 0
+        out, state, at = np.zeros(len(texts)), np.zeros((len(texts), h), np.float32), 0
         end = np.int32(texts[0][-1]) if texts else 0
         last = np.full(len(texts), end, np.int32)
         while len(sizes) and at < sizes[0]:
             live = int(np.searchsorted(-sizes, -at, side="left"))
-            span = np.arange(at, min(at + WINDOW, sizes[0]))
-            inside = span[None, :] < sizes[:live, None]
-            ids = np.where(inside, flat[np.minimum(begin[:live, None] + span, len(flat) - 1)], end)
-            states, s, prev = np.empty((live, len(span), STATE), np.float32), state[:live], last[:live]
+            span = np.arange(at, min(at + WINDOW, sizes[0]))[:, None]
+            inside = span < sizes[:live]
+            ids = np.where(inside, flat[np.minimum(begin[:live] + span, len(flat) - 1)], end)
+            states, prev, s = np.empty((len(span), live, h), np.float32), last[:live], state[:live]
+            gates, n, recurrent = np.empty((live, 2 * h), np.float32), np.empty((live, h), np.float32), np.empty((live, h), np.float32)
             for j in range(len(span)):
-                s, _ = self.step(prev, s)
-                states[:, j], prev = s, ids[:, j]
+                s = self.advance(self.p["inputs"][prev], s, gates, n, recurrent, states[j])
+                prev = ids[j]
             state[:live], last[:live] = s, prev
             logs = np.zeros(inside.shape)
             logs[inside] = self.log_probs(states[inside], ids[inside])
-            out[order[:live]] += logs.sum(1)
+            out[order[:live]] += logs.sum(0)
             at += WINDOW
         return out
 
@@ -238,10 +287,18 @@ class Network:
         return self
 
 
-def _trained(docs: DataFrame, shared, start: bytes | None, rate: float) -> DataFrame:
+def words_of(shared: Broadcast) -> Words:
+    """The words of a broadcast of plain values, made once in each Python worker."""
+    held = shared.value
+    if "words" not in held:
+        held["words"] = Words(*held["counts"])
+    return held["words"]
+
+
+def _trained(docs: DataFrame, shared: Broadcast, start: bytes | None, rate: float, lanes: int) -> DataFrame:
     """(task, seen, weights): each partition's network after one pass over its texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        words = words_of(shared)
         net, seen, held, size = Network(words), 0, [], 0
         if start:
             net.unpacked(start)
@@ -249,10 +306,10 @@ def _trained(docs: DataFrame, shared, start: bytes | None, rate: float) -> DataF
             for t in b.column(0).cast(pa.binary()).to_pylist():
                 held.append(words.numbers(tokens(t)))
                 size += len(held[-1])
-                if size > SCORED_TOKENS:
-                    seen, held, size = seen + net.train(held, rate), [], 0
+                if size > TRAINED_TOKENS:
+                    seen, held, size = seen + net.train(held, rate, lanes), [], 0
         if held:
-            seen += net.train(held, rate)
+            seen += net.train(held, rate, lanes)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([net.packed()], pa.binary())], ["task", "seen", "weights"])
 
     return docs.select("text").mapInArrow(run, "task long, seen double, weights binary")
@@ -272,25 +329,28 @@ def _averaged(trained: DataFrame) -> bytes | None:
     return add(pd.DataFrame(rows).sort_values("task"))["weights"].iloc[0] if rows else None
 
 
-def learn(rows: DataFrame) -> tuple[object, bytes, DataFrame, Words]:
+def learn(rows: DataFrame) -> tuple[Broadcast, bytes, DataFrame, Words]:
     """From (doc_id, text, held_out): the broadcast words, the weights, the counts of all training tokens."""
     spark = rows.sparkSession
     training = rows.filter("not held_out")
     counts = written(_count(training), "counts")
     tails = {r[0]: (r[1], r[2]) for r in counts.groupBy("tail").agg(F.sum("c"), F.count(F.lit(1))).collect()}  # one row per tail class
-    level = F.floor(F.log2("c") * 64)
-    most, room = float("inf"), KNOWN_WORDS  # levels of counts, some thousands at most, as far down as the words fit
+    level, place = F.floor(F.log2("c") * 64), F.pmod(F.xxhash64("word"), F.lit(1 << 30))
+    most, part, room = float("inf"), 0, KNOWN_WORDS  # levels of counts, some thousands at most, as far down as the words fit
     for at, n in sorted(counts.groupBy(level).count().collect(), reverse=True):
-        if n > room:
+        if n > room:  # of this level the share that fits, by a hash of the word
+            counts_here, part = level == F.lit(at), int(room / n * (1 << 30))
             break
         most, room = at, room - n
-    found = counts.filter(level >= F.lit(most)).select("word", "c").toArrow()
+    chosen = level >= F.lit(most)
+    found = counts.filter(chosen | (counts_here & (place < part)) if part else chosen).select("word", "c").toArrow()
     top = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist()), key=lambda x: (-x[1], x[0]))
-    words = Words(top, sum(n for n, _ in tails.values()), sum(v for _, v in tails.values()), tails)
-    shared = spark.sparkContext.broadcast(words)  # KNOWN_WORDS entries at most
-    chosen = F.broadcast(training.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_TEXTS))
-    start = _averaged(_trained(training.join(chosen, "doc_id").repartition(1), shared, None, RATE_START))
-    best = _averaged(_trained(training, shared, start, RATE if start else RATE_START))
+    plain = top, sum(n for n, _ in tails.values()), sum(v for _, v in tails.values()), tails
+    words = Words(*plain)
+    shared = spark.sparkContext.broadcast({"counts": plain})  # about KNOWN_WORDS entries
+    first = F.broadcast(training.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_TEXTS))
+    start = _averaged(_trained(training.join(first, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).repartition(1), shared, None, RATE_START, LANES_START))
+    best = _averaged(_trained(training, shared, start, RATE if start else RATE_START, LANES))
     return shared, best or start or Network(words).packed(), counts, words
 
 
@@ -309,45 +369,36 @@ def score(docs: DataFrame) -> DataFrame:
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_logs double, logs double, rare array<struct<word: binary, n: int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        w = words_of(shared)
         net, rid = Network(w).unpacked(weights), TaskContext.get().partitionId() << 33
-        known, logs = w.count, {}
-        ids, held, flags, facts, size = [], [], [], [], 0
+        # what a token of a tail class adds to the score beside the network: its share in the class, and the joined counts
+        shares = np.where(w.place < HEAD, 0.0, w.logs - np.log10(w.tail_norm)[np.maximum(w.place - HEAD, 0)])
+        ids, held, flags, facts, rare, ends, size = [], [], [], [], [], [0], 0
 
         def out() -> pa.RecordBatch:
             nonlocal rid
             total = net.score(held) / np.log(10)
-            n = len(ids)
-            first, rid = rid, rid + n
-            tail = np.array([f[3] for f in facts])
+            first, rid = rid, rid + len(ids)
+            n, known, logs, tail = (np.array(x) for x in zip(*facts))
+            words = pa.StructArray.from_arrays([pa.array([x for x, _ in rare], pa.binary()), pa.array([c for _, c in rare], pa.int32())], ["word", "n"])
             return pa.RecordBatch.from_arrays([
-                pa.array(np.arange(first, first + n)), pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.array([f[0] for f in facts], pa.int64()), pa.array([f[1] for f in facts], pa.int64()),
-                pa.array([f[2] for f in facts], pa.float64()), pa.array(total + tail, pa.float64()),
-                pa.array([f[4] for f in facts], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))], ["rid", "doc_id", "held_out", "n_tokens", "head_known", "head_logs", "logs", "rare"])
+                pa.array(np.arange(first, rid)), pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
+                pa.array(logs, pa.float64()), pa.array(total + tail, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)],
+                ["rid", "doc_id", "held_out", "n_tokens", "head_known", "head_logs", "logs", "rare"])
 
-        norm = np.log10(w.tail_norm)
         for b in batches:
             for doc_id, t, flag in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                words_ = tokens(t)
-                number = w.numbers(words_)
-                head_known, head_logs, tail, rare = 0, 0.0, -float(norm[number[number >= HEAD] - HEAD].sum()), []
-                for x, n in Counter(words_).items():
-                    c = known.get(x)
-                    if c is None:
-                        rare.append({"word": x, "n": n})
-                    else:
-                        head_known += n
-                        g = logs.get(c)
-                        if g is None:
-                            g = logs[c] = float(np.log10(c + 1))
-                        head_logs += n * g
-                        if w.number[x] >= HEAD:
-                            tail += n * g
-                ids.append(doc_id), held.append(number), flags.append(flag), facts.append((len(words_), head_known, head_logs, tail, rare))
-                size += len(words_)
+                words = tokens(t)
+                ranks = w.ranks(words)
+                new = np.flatnonzero(ranks < 0).tolist()
+                rare += Counter([words[i] for i in new]).items()
+                ends.append(len(rare))
+                ids.append(doc_id), held.append(w.place[ranks]), flags.append(flag)
+                facts.append((len(words), len(words) - len(new), float(w.logs[ranks].sum()), float(shares[ranks].sum())))
+                size += len(words)
                 if size > SCORED_TOKENS:
                     yield out()
-                    ids, held, flags, facts, size = [], [], [], [], 0
+                    ids, held, flags, facts, rare, ends, size = [], [], [], [], [], [0], 0
         if ids:
             yield out()
 

@@ -1,7 +1,10 @@
 """Every operator against a plain version of itself, on rows with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -273,10 +276,101 @@ def test_language_model_sums_to_one():
     assert abs(np.exp(logs.astype(float)).sum() - 1) < 1e-4
     texts = [np.array([1, 2, 3] * 40 + [0], np.int32)] * 40
     before = net.score(texts[:2])
-    net.train(texts, 1e-2)
+    net.train(texts, 1e-2, 64)
     assert (net.score(texts[:2]) > before + 10).all()
 
 
+def small_net(seed=5):
+    top = [(b"", 30), (b"a", 20), (b"bb", 10), *((f"w{i}".encode(), 5) for i in range(60))]
+    tails = {}
+    for w, c in [*top, (b"rare", 3), (b"odd", 2)]:
+        a, b = tails.get(lm.tail_class(w), (0, 0))
+        tails[lm.tail_class(w)] = (a + c, b + 1)
+    net = lm.Network(lm.Words(top, 500, 80, tails))
+    r = np.random.default_rng(seed)
+    for k in ("inputs", "rec", "cls", "word"):
+        net.p[k] = r.normal(0, 0.4, net.p[k].shape).astype(np.float32)
+    return net, r
+
+
+def plain_score(net, text):
+    """Token by token: the gates, the class, the word in it."""
+    p, h, s, prev, out = {k: v.astype(float) for k, v in net.p.items()}, lm.STATE, np.zeros(lm.STATE), 0, 0.0
+    for x in text:
+        gx, gh = p["inputs"][prev], s @ p["rec"]
+        z, r = (1 / (1 + np.exp(-(gx[i * h:(i + 1) * h] + gh[i * h:(i + 1) * h]))) for i in (0, 1))
+        n = np.tanh(gx[2 * h:] + r * gh[2 * h:])
+        s = (1 - z) * n + z * s
+        logits = s @ p["cls"] + p["cls_bias"]
+        c = x // lm.CLASS_WORDS if x < lm.HEAD else x - lm.HEAD + lm.HEAD_CLASSES
+        out += logits[c] - np.log(np.exp(logits).sum())
+        if x < lm.HEAD:
+            w = s @ p["word"][c] + p["word_bias"][c]
+            out += w[x % lm.CLASS_WORDS] - np.log(np.exp(w).sum())
+        prev = x
+    return out
+
+
+def test_language_model_scores_token_by_token(monkeypatch):
+    monkeypatch.setattr(lm, "PRODUCT_ROWS", 50)
+    net, r = small_net()
+    every = np.array([*range(63), *range(lm.HEAD, lm.HEAD + lm.TAIL_CLASSES)], np.int32)
+    texts = [np.append(r.choice(every, n), 0).astype(np.int32) for n in (0, 1, 31, 32, 33, 64, 200, 5, 0)]
+    assert np.allclose(net.score(texts), [plain_score(net, t) for t in texts], rtol=1e-4)
+
+
+def test_language_model_gradients():
+    net, r = small_net()
+    every = np.array([*range(63), *range(lm.HEAD, lm.HEAD + lm.TAIL_CLASSES)], np.int32)
+    source, target = r.choice(every, (6, 5)), r.choice(every, (6, 5))
+    fresh = r.random((6, 5)) < 0.2
+    state = r.normal(0, 0.5, (5, lm.STATE)).astype(np.float32)
+
+    def loss():
+        s, total, a = state, 0.0, [np.empty((5, w), np.float32) for w in (2 * lm.STATE, lm.STATE, lm.STATE)]
+        for t in range(6):
+            s = net.advance(net.p["inputs"][source[t]], np.where(fresh[t][:, None], 0, s).astype(np.float32), *a, np.empty((5, lm.STATE), np.float32))
+            total -= float(net.log_probs(s, target[t]).astype(float).sum())
+        return total / 30
+
+    g, _ = net.slopes(source, target, fresh, state)
+    for name, slope in g.items():
+        for at in np.argsort(-np.abs(slope).ravel())[:12]:
+            place = np.unravel_index(at, slope.shape)
+            old, values = net.p[name][place], []
+            for step in (5e-3, -5e-3):
+                net.p[name][place] = old + step
+                values.append(loss())
+            net.p[name][place] = old
+            assert abs((values[0] - values[1]) / 1e-2 - slope[place]) < 0.03 * abs(slope[place]) + 2e-4, (name, place)
+
+
+def test_last_level_of_words_is_filled(spark, monkeypatch):
+    """Every word as frequent as the next: about as many have counts at hand as there is room for."""
+    monkeypatch.setattr(lm, "KNOWN_WORDS", 1500)
+    held = spark.createDataFrame([(" ".join(f"w{i}" for i in range(k, k + 100)), False, k) for k in range(0, 8000, 100)], "text string, held_out boolean, doc_id long")
+    *_, words = lm.learn(held)
+    assert 1300 < len(words.rank) < 1700 and words.filled.all()
+
+
+def test_executors_need_no_package(tmp_path):
+    """Both models from a folder without the package: what is broadcast is plain."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from planlens.session import session
+from planlens.llm import langid, lm
+spark = session("local[2]", 2)
+spark.sparkContext.setCheckpointDir({str(tmp_path / 'shared')!r})
+docs = spark.createDataFrame([(i, f"some text number {{i}}", "en") for i in range(40)], "doc_id long, text string, lang string")
+print("rows", lm.score(docs).count(), langid.identify(docs).filter("lang_pred = 'en'").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 40 40" in done.stdout, done.stderr[-2000:]
+
+
 def spans_of(rows, least=100):
     """Removed bytes of each distinct (doc_id, text), by the definition."""
     seen, out = set(), {}
@@ -292,6 +386,17 @@ def spans_of(rows, least=100):
     return out
 
 
+def test_quality_machine_pairs():
+    """The sum of squares equals the sum over all pairs of features."""
+    r = np.random.default_rng(2)
+    m = quality.Machine(r)
+    m.bias, m.w = 0.3, r.normal(size=quality.FEATURES)
+    texts = [b"Some words, and some more words!", b"", None, b"A B a b\nA B a b", b"one"]
+    for at, value in [quality.features(t, {}) for t in texts]:
+        pairs = sum(float(m.v[at[i]] @ m.v[at[j]]) * value[i] * value[j] for i in range(len(at)) for j in range(i + 1, len(at)))
+        assert abs(m.raw(at, value, np.array([0]))[0][0] - (m.bias + float(m.w[at] @ value) + pairs)) < 1e-9
+
+
 @pytest.mark.parametrize("group_bytes", [1 << 20, 400])
 def test_suffix(docs, rows, none, monkeypatch, group_bytes):
     monkeypatch.setattr(suffix, "GROUP_BYTES", group_bytes)
@@ -349,6 +454,8 @@ def test_quality(spark, none):
     assert quality.predict(none.select("doc_id", "text"), labels).count() == 0
     assert {r.score for r in quality.predict(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.keep_good(docs, labels).columns == docs.columns
+    clash = docs.selectExpr("*", "doc_id as __Quality")
+    assert quality.keep_good(clash, labels).columns == clash.columns and quality.keep_good(clash, labels).count() == quality.keep_good(docs, labels).count()
 
 
 def test_language_codes(spark):

@@ -9,7 +9,7 @@ from planlens.llm.queries import QUERIES, SQL
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(SQL) <= set(QUERIES) and len(corpus_pipeline.STAGES) == 5
 
 
