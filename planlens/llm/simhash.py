@@ -7,7 +7,8 @@ one differing bit (1.2 and 1.6), so one of these is equal too.  The three equal
 bits or more), which keeps even a crowded region of fingerprints apart; the chain budgets are tested on the pairs
 that meet, then the whole distance.  No link is lost.
 
-The pipeline links by shingle sets instead: a prefix filter finds all pairs, ``near_groups``.
+The pipeline links by shingle sets, ``near_groups``: a prefix filter finds all pairs, fingerprints of the sets pass
+the same pigeonring filter with a budget that follows from the similarity, and the sets of what is left decide.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ SEED = 42
 DISTANCE = 2
 EDGES = (0, 13, 26, 39, 52, 64)
 SEGMENTS = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(EDGES, EDGES[1:])]
-#: Bounds of what sets the order of shingles in prefixes; the links do not depend on it.
-SAMPLE_TEXTS, COMMON_SHINGLES = 20_000, 200_000
+#: Sizes of the counters that set the order of shingles in prefixes, in a task, from a task, in all; the links do not
+#: depend on it.
+HELD_SHINGLES, TASK_SHINGLES, COMMON_SHINGLES = 1 << 20, 50_000, 200_000
+#: Segments of the longest chain that is tested before the whole distance.
+CHAIN = 4
 
 
 def _signed(x: int) -> int:
@@ -128,86 +132,161 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the shingles that several texts of a sample have.  They only set the order of
-    shingles; any order gives the same links, this one keeps the buckets small."""
-    share = min(1.0, SAMPLE_TEXTS / max(rows.count(), 1))
-    some = rows.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    counts = _shingle_sets(some, size).select(F.explode("s").alias("k")).groupBy("k").count().filter("count > 2").orderBy(F.desc("count"), "k").limit(COMMON_SHINGLES).toArrow()
-    k, c = np.asarray(counts.column(0), np.int64).view(np.uint64), np.asarray(counts.column(1), np.int64)
+    """Hashes, sorted, and counts of the shingles that most texts have, from counters over all texts.  They only set the
+    order of shingles; any order gives the same links, this one keeps the buckets small."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for b in batches:
+            sets = [np.unique(shingle_hashes((t or b"").lower().split(), size)) for t in _texts(b, 0)]
+            new, back = np.unique(np.concatenate([keys, *sets]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, np.ones(len(back) - len(keys), np.int64)]), len(new)).astype(np.int64)
+            keys = new
+            if len(keys) > HELD_SHINGLES:  # the rare ones go, as from a counter of fixed size
+                keep = np.sort(np.argsort(-counts, kind="stable")[:HELD_SHINGLES // 2])
+                keys, counts = keys[keep], counts[keep]
+        keep = np.argsort(-counts, kind="stable")[:TASK_SHINGLES]
+        keep = keep[counts[keep] > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], ["k", "c"])
+
+    found = rows.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k").limit(COMMON_SHINGLES)
+    found = written(found, "common").toArrow()
+    k, c = np.asarray(found.column(0), np.int64).view(np.uint64), np.asarray(found.column(1), np.int64)
     by = np.argsort(k)
     return k[by], c[by]
 
 
-def _prefixes(rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(node, part, pos, n, weight): the first n - ceil(similarity * n) + 1 of the n shingles of a text, in one order for
-    all texts (common ones last, then by hash); weight: how common its shingles are.  Wordless texts have one part."""
+def parity_print(hashes: np.ndarray) -> bytes:
+    """A fingerprint of a set: each hash turns one bit over, of at least as many bits as there are hashes.  Two sets
+    differ in no fewer elements than their fingerprints in bits."""
+    bits = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_alike(a: bytes, m: int, b: bytes, n: int, similarity: float) -> bool:
+    """Whether sets of ``m`` and ``n`` elements with these fingerprints can have the similarity; never wrongly false.
+
+    The sets differ in at most (m + n)(1 - s) / (1 + s) elements.  The longer fingerprint is folded to the length of the
+    other.  Its 64-bit segments stand on a ring: if the distance is within the budget, then from some segment on each
+    chain of segments is within its share of it.  Chains come first, the whole distance after them.
+    """
+    if min(m, n) < similarity * max(m, n) - 1e-9:
+        return False
+    x, y = (np.frombuffer(p, np.uint64) for p in (a, b))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    budget = np.floor((m + n) * (1 - similarity) / (1 + similarity) + 1e-9)
+    apart = np.bitwise_count(x ^ y).astype(np.int64)
+    share, viable, chain = budget / len(apart), np.ones(len(apart), bool), np.zeros(len(apart), np.int64)
+    for k in range(min(CHAIN, len(apart))):
+        chain += np.roll(apart, -k)
+        viable &= chain <= (k + 1) * share + 1e-9
+    return bool(viable.any()) and int(apart.sum()) <= budget
+
+
+def _marks(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, n, print, lead, parts) of each text, once: its count of shingles, its fingerprint, and the first
+    n - ceil(similarity * n) + 1 of its shingles in one order for all texts (common ones last, then by hash); lead: how
+    common its shingles are.  Wordless texts share one part."""
     shared = rows.sparkSession.sparkContext.broadcast(_common(rows, size))  # COMMON_SHINGLES pairs at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
         for b in batches:
-            nodes, parts, places, sizes, weights = [], [], [], [], []
-            for node, t in zip(b.column(0).to_pylist(), _texts(b)):
+            out: list[list] = [[], [], [], []]
+            for t in _texts(b):
                 s = np.unique(shingle_hashes((t or b"").lower().split(), size))
                 n, seen = len(s), np.zeros(len(s), np.int64)
                 if n and len(keys):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     seen = np.where(keys[at] == s, counts[at], 0)
                 first = s[np.lexsort((s, seen))[:n - math.ceil(similarity * n - 1e-9) + 1]] if n else np.zeros(1, np.uint64)
-                nodes.append(np.full(len(first), node, np.int64)), parts.append(first.view(np.int64)), places.append(np.arange(len(first), dtype=np.int32))
-                sizes.append(np.full(len(first), n, np.int32)), weights.append(np.full(len(first), np.log1p(seen).sum() / max(n, 1)))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, parts, places, sizes, weights)], ["node", "part", "pos", "n", "weight"])
+                for o, x in zip(out, (n, parity_print(s), int(min(1e6, 1e4 * np.log1p(seen).sum() / max(n, 1))), first.view(np.int64))):
+                    o.append(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, t) for o, t in zip(out, (pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()))))],
+                                             ["node", "n", "print", "lead", "parts"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, part long, pos int, n int, weight double")
+    return rows.select("node", "text").mapInArrow(run, "node long, n int, print binary, lead int, parts array<long>").dropDuplicates(["node"])
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the ``pairs`` (a, b) whose shingle sets have the Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s2")), "b")
+def _buckets(marks: DataFrame) -> DataFrame:
+    """(part, node, leader): the texts of each part that several have, but for its leader, the one with the most common
+    shingles.  A bucket streams by in sorted order; the task holds none."""
+    keys = marks.select("lead", "node", F.explode("parts").alias("part")).repartition("part").sortWithinPartitions("part", F.desc("lead"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: tuple[int, int] | None = None  # part and leader of the last row
+        for b in batches:
+            part, node = (c.to_numpy() for c in b.columns)
+            if not len(part):
+                continue
+            new = np.ones(len(part), bool)
+            new[1:] = part[1:] != part[:-1]
+            new[0] = before is None or part[0] != before[0]
+            leader = node[np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))]
+            if not new[0]:
+                leader[:len(part) if not new.any() else int(new.argmax())] = before[1]  # type: ignore[index]
+            before = int(part[-1]), int(leader[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[~new]) for x in (part, node, leader)], ["part", "node", "leader"])
+
+    return keys.select("part", "node").mapInArrow(run, "part long, node long, leader long")
+
+
+def _alike(pairs: DataFrame, marks: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b): the ``pairs`` whose shingle sets have the Jaccard similarity.  Fingerprints pass those that can have it;
+    only their texts are read again."""
+    one = lambda x: marks.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("print").alias(f"p{x}"))
+    both = pairs.join(spread(one("a")), "a").join(spread(one("b")), "b").select("a", "b", "pa", "na", "pb", "nb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            prints = zip(*(c.to_pylist() for c in t.columns[2:]))
+            keep = pa.array([may_be_alike(*p, similarity) for p in prints], pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column(i).filter(keep) for i in (0, 1)], ["a", "b"])
+
+    close = written(both.mapInArrow(run, "a long, b long"), "close")
+    nodes = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    lows = rows.select("node", "doc_id").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("low"))
+    bodies = rows.join(lows.withColumnRenamed("node", "one"), (F.col("node") == F.col("one")) & F.col("doc_id").eqNullSafe(F.col("low")))
+    sets = written(_shingle_sets(bodies, size).dropDuplicates(["node"]), "sets")
+    full = close.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s2")), "b")
     common = F.size(F.array_intersect("s1", "s2"))
-    return both.filter(common >= F.lit(similarity) * (F.size("s1") + F.size("s2") - common)).select("a", "b")
+    return full.filter(common >= F.lit(similarity) * (F.size("s1") + F.size("s2") - common)).select("a", "b")
 
 
 def prefix_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): links among the distinct texts of ``rows`` (doc_id, node, text), where node stands for the text, that
     join exactly the texts which a chain of pairs with the similarity joins.
 
-    Two such texts share a part of their prefixes.  First each text meets the leader of its buckets, the one with
-    the most common shingles, which joins dense groups by few pairs.  Then all pairs of a bucket that are not yet in one
-    group are compared, so nothing rests on the leaders; the shared parts bound the overlap, the sets decide.
+    Two such texts share a part of their prefixes.  First each text meets the leaders of its buckets, which joins dense
+    groups by few pairs.  Then all other pairs of a bucket that are not yet in one group are compared, so nothing rests
+    on the leaders.  A pair passes the pigeonring filter on fingerprints, then the sets decide.
     """
-    keys = written(_prefixes(rows, shingle, similarity).distinct(), "keys")
-    order = F.struct("weight", F.xxhash64("node", "part").alias("o"), F.col("node").alias("leader"))
-    leaders = keys.groupBy("part").agg(F.max(order).alias("l"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("part", F.col("l.leader").alias("leader"))
-    live = written(keys.join(spread(leaders), "part").select("node", "part", "pos", "n", "leader"), "live")
-    needed = rows.groupBy("node").agg(F.min("doc_id").alias("low")).join(live.select("node").distinct(), "node")
-    bodies = rows.join(spread(needed.withColumnRenamed("node", "one")), (F.col("node") == F.col("one")) & F.col("doc_id").eqNullSafe(F.col("low")))
-    sets = written(_shingle_sets(bodies, shingle).dropDuplicates(["node"]), "sets")
-    met = live.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    links = written(_alike(met, sets, similarity), "links")
-    rooted = live.join(components(links).withColumnRenamed("node", "a"), F.col("node") == F.col("a"), "left").select("part", "node", "pos", "n", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted, "rooted")
-    groups = rooted.select("part", "root").distinct()
-    many = groups.groupBy("part").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("part")
-    groups = written(groups.join(spread(many), "part"), "groups")
-    r, t = groups.select("part", F.col("root").alias("r")), groups.select("part", F.col("root").alias("t"))
-    a = rooted.select("part", F.col("root").alias("r"), F.col("node").alias("a"), F.col("pos").alias("i"), F.col("n").alias("m"))
-    b = rooted.select("part", F.col("root").alias("t"), F.col("node").alias("b"), F.col("pos").alias("j"), "n")
-    apart = r.join(t, "part").filter("r < t").join(a, ["part", "r"]).join(b, ["part", "t"])
-    apart = apart.filter(F.least("m", "n") >= F.greatest("m", "n") * F.lit(similarity) - 1e-6)
-    apart = apart.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("m").alias("m"), F.first("n").alias("n"))
-    most = F.col("c") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) - 1
-    apart = written(apart.filter((F.least("m", "n") == 0) | (most >= F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("n")) - 1e-6)).select("a", "b"), "apart")
-    return links.unionByName(_alike(apart, sets, similarity))
+    marks = written(_marks(rows, shingle, similarity), "marks")
+    live = written(_buckets(marks), "live")
+    met = live.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    links = written(_alike(met, marks, rows, shingle, similarity), "links")
+    rooted = live.join(components(links).withColumnRenamed("node", "a"), F.col("node") == F.col("a"), "left").select("part", "node", F.coalesce("root", "node").alias("root"))
+    groups = rooted.groupBy("part").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("part")
+    rooted = written(rooted.join(spread(groups), "part"), "rooted")
+    roots = rooted.select("part", "root").distinct()
+    r, t = roots.select("part", F.col("root").alias("r")), roots.select("part", F.col("root").alias("t"))
+    a = rooted.select("part", F.col("root").alias("r"), F.col("node").alias("a"))
+    b = rooted.select("part", F.col("root").alias("t"), F.col("node").alias("b"))
+    apart = r.join(t, "part").filter("r < t").join(a, ["part", "r"]).join(b, ["part", "t"]).select("a", "b").distinct()
+    return links.unionByName(_alike(apart, marks, rows, shingle, similarity))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, digest, keep_id, keep_digest, copies): the group of each distinct (doc_id, text).
 
     Texts whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more are linked; the
-    group keeps its smallest doc_id (rows without one come last).  At such similarities fingerprints lie too far apart
-    to index without loss, so the pairs come from ``prefix_links``, which loses none.
+    group keeps its smallest doc_id (rows without one come last).  Null texts count as empty ones, and texts without a
+    word are one group.  At such similarities fingerprints lie too far apart to index without loss, so the pairs
+    come from ``prefix_links``, which loses none.
     """
     text_batches(docs.sparkSession)
     text = F.col("text").cast("string")

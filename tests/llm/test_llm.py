@@ -493,3 +493,22 @@ def test_code_lengths_follow_the_tree():
     for text in (b"abra", b"banana", b"xyz bandabra", b""):
         want = [sum(cost(t, (b"\0\0\0" + text)[i:i + 3], text[i]) for i in range(len(text))) for t in train.values()]
         assert np.allclose(trees.lengths([text])[0], want, atol=1e-3)
+
+
+def test_fingerprints_pass_every_similar_pair():
+    """Sets of any size at or above the similarity pass; most strangers do not."""
+    r = np.random.default_rng(7)
+    strangers = 0
+    for _ in range(400):
+        n = int(r.integers(1, 1500))
+        common = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        budget = int(n * 0.25)
+        cut = int(r.integers(0, budget + 1))
+        a, b = (np.unique(np.concatenate([common, r.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in (cut, budget - cut))
+        both = len(np.intersect1d(a, b))
+        assert both >= 0.8 * (len(a) + len(b) - both) - 1e-9
+        assert simhash.may_be_alike(simhash.parity_print(a), len(a), simhash.parity_print(b), len(b), 0.8)
+        c = np.unique(r.integers(0, 1 << 63, len(a), dtype=np.uint64))
+        strangers += simhash.may_be_alike(simhash.parity_print(a), len(a), simhash.parity_print(c), len(c), 0.8)
+    assert strangers < 20
+    assert simhash.may_be_alike(simhash.parity_print(np.empty(0, np.uint64)), 0, simhash.parity_print(np.empty(0, np.uint64)), 0, 0.8)
