@@ -213,14 +213,14 @@ def _marks(rows: DataFrame, size: int, similarity: float) -> DataFrame:
 
 
 def _buckets(marks: DataFrame) -> DataFrame:
-    """(part, node, leader): the texts of each part that several have, but for its leader, the one with the most common
-    shingles.  A bucket streams by in sorted order; the task holds none."""
-    keys = marks.select("lead", "node", F.explode("parts").alias("part")).repartition("part").sortWithinPartitions("part", F.desc("lead"), "node")
+    """(part, node, n, pos, leader): the texts of each part that several have, but for its leader, the one with the most
+    common shingles; pos: where the part stands in the text's order.  A bucket streams by in sorted order; the task holds none."""
+    keys = marks.select("lead", "node", "n", F.posexplode("parts").alias("pos", "part")).repartition("part").sortWithinPartitions("part", F.desc("lead"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple[int, int] | None = None  # part and leader of the last row
         for b in batches:
-            part, node = (c.to_numpy() for c in b.columns)
+            part, node = (b.column(i).to_numpy() for i in (0, 1))
             if not len(part):
                 continue
             new = np.ones(len(part), bool)
@@ -230,9 +230,15 @@ def _buckets(marks: DataFrame) -> DataFrame:
             if not new[0]:
                 leader[:len(part) if not new.any() else int(new.argmax())] = before[1]  # type: ignore[index]
             before = int(part[-1]), int(leader[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[~new]) for x in (part, node, leader)], ["part", "node", "leader"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(~new)) for c in (*b.columns, pa.array(leader))], ["part", "node", "n", "pos", "leader"])
 
-    return keys.select("part", "node").mapInArrow(run, "part long, node long, leader long")
+    return keys.select("part", "node", "n", "pos").mapInArrow(run, "part long, node long, n int, pos int, leader long")
+
+
+def _with_root(rows: DataFrame, roots: DataFrame, name: str, out: str) -> DataFrame:
+    """``rows`` with the group of the node in column ``name``; a node without links is its own."""
+    r = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    return rows.join(spread(r), F.col(name) == F.col("__n"), "left").withColumn(out, F.coalesce("__r", name)).drop("__n", "__r")
 
 
 def _alike(pairs: DataFrame, marks: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -261,23 +267,30 @@ def prefix_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): links among the distinct texts of ``rows`` (doc_id, node, text), where node stands for the text, that
     join exactly the texts which a chain of pairs with the similarity joins.
 
-    Two such texts share a part of their prefixes.  First each text meets the leaders of its buckets, which joins dense
-    groups by few pairs.  Then all other pairs of a bucket that are not yet in one group are compared, so nothing rests
-    on the leaders.  A pair passes the pigeonring filter on fingerprints, then the sets decide.
+    Two such texts share a part of their prefixes.  First each text meets the leader of most of its buckets, then those
+    of the others that are not yet in its group, which joins dense groups by few pairs.  Then the other pairs of a bucket
+    that are not yet in one group are compared, so nothing rests on the leaders.  Of the first part that a pair shares,
+    what stands behind it on both sides has to hold the overlap; so the smaller text has it among its first n (1 - s) / (1 + s)
+    shingles, where common ones do not stand.  A pair passes the pigeonring filter on fingerprints, then the sets decide.
     """
     marks = written(_marks(rows, shingle, similarity), "marks")
     live = written(_buckets(marks), "live")
-    met = live.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    links = written(_alike(met, marks, rows, shingle, similarity), "links")
-    rooted = live.join(components(links).withColumnRenamed("node", "a"), F.col("node") == F.col("a"), "left").select("part", "node", F.coalesce("root", "node").alias("root"))
-    groups = rooted.groupBy("part").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("part")
+    check = lambda pairs: written(_alike(pairs, marks, rows, shingle, similarity), "links")
+    links = check(live.groupBy("node").agg(F.mode("leader", deterministic=True).alias("b")).select(F.col("node").alias("a"), "b"))
+    roots = components(links)
+    met = _with_root(_with_root(live.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), roots, "a", "ra"), roots, "b", "rb")
+    links = written(links.unionByName(check(met.filter("ra <> rb").select("a", "b"))), "links")
+    rooted = _with_root(live, components(links), "node", "root").drop("leader")
+    share = similarity / (1 + similarity)
+    small = F.col("n") - F.col("pos") >= 2 * share * F.col("n") - 1e-6
+    groups = rooted.groupBy("part").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max(small).alias("any")).filter("x < y and any").select("part")
     rooted = written(rooted.join(spread(groups), "part"), "rooted")
-    roots = rooted.select("part", "root").distinct()
-    r, t = roots.select("part", F.col("root").alias("r")), roots.select("part", F.col("root").alias("t"))
-    a = rooted.select("part", F.col("root").alias("r"), F.col("node").alias("a"))
-    b = rooted.select("part", F.col("root").alias("t"), F.col("node").alias("b"))
-    apart = r.join(t, "part").filter("r < t").join(a, ["part", "r"]).join(b, ["part", "t"]).select("a", "b").distinct()
-    return links.unionByName(_alike(apart, marks, rows, shingle, similarity))
+    a = rooted.select("part", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "root")])
+    b = rooted.filter(small).select("part", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
+    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= share * (F.col("n_a") + F.col("n_b")) - 1e-6
+    apart = a.join(b, "part").filter((F.col("root_a") != F.col("root_b")) & (F.col("n_a") >= F.col("n_b")) & room)
+    apart = apart.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return links.unionByName(check(apart))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
