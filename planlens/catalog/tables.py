@@ -45,11 +45,18 @@ def _roundtrip(t, df, fmt):
     return f"{shared_folder(t.spark)}/planlens-{uuid.uuid4().hex}/{fmt}"
 
 
-@query("src1_csv_inferred", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("src1_csv_inferred", "SELECT * FROM orders")
 def _(t):
     path = _roundtrip(t, t.orders, "csv")
     sinks.write(t.orders, path, "csv")
-    return readers.read_csv(t.spark, path).drop("o_orderdate")
+    return readers.read_csv(t.spark, path)
+
+
+@query("src1_csv_line_breaks", "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents")
+def _(t):
+    path = _roundtrip(t, t.documents, "csv")
+    sinks.write(t.documents, path, "csv")
+    return readers.read_csv(t.spark, path)
 
 
 @query("src2_detected_types", """
@@ -78,11 +85,11 @@ def _(t):
     return t.spark.table("customer_source").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk1_csv_sink", "SELECT p_partkey, p_name, p_size::BIGINT AS p_size, p_retailprice FROM part")
+@query("snk1_csv_sink", "SELECT * REPLACE (p_size::BIGINT AS p_size) FROM part")
 def _(t):
     path = _roundtrip(t, t.part, "csv")
     sinks.write(t.part, path, "csv")
-    return readers.read_csv(t.spark, path).select("p_partkey", "p_name", "p_size", "p_retailprice")
+    return readers.read_csv(t.spark, path)
 
 
 @query("snk2_parquet_sink", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import parse
+from .records import csv_records, spans_lines
 
 BY_EXTENSION = {"csv": "csv", "txt": "csv", "tsv": "csv", "parquet": "parquet", "json": "json", "jsonl": "json"}
 BY_MIME = {"text/csv": "csv", "text/plain": "csv", "application/json": "json", "application/x-ndjson": "json",
@@ -16,13 +17,28 @@ BY_MIME = {"text/csv": "csv", "text/plain": "csv", "application/json": "json", "
 RECOGNIZED_SHARE = 0.7   # fixed value: share of dates or times that makes a column temporal
 
 
+def read_text_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """All columns as text, for ``detect_types``.  A quote inside of a quoted cell is doubled.
+
+    Spark's reader cuts a file at line ends, inside of quotes too; where a record has line breaks, the records are cut
+    by ``csv_records`` first, in parallel as well.  The first file names the columns.
+    """
+    rule = {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}
+    if not spans_lines(spark, path, sep):
+        return spark.read.csv(path, header=True, multiLine=False, **rule)
+    names = spark.read.csv(path, header=True, multiLine=True, **rule).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    row = F.from_csv("value", schema.toDDL(), {**rule, "multiLine": "true"})
+    return csv_records(spark, path, sep).select(row.alias("row")).select(*[F.col("row").getField(c).alias(c) for c in names])
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None) -> DataFrame:
     """CSV with header.  The schema is inferred from all rows in one aggregation, so every cell fits its type.
 
     Extra tokens on ragged lines are dropped and missing ones are null; '' is null.  With a ``schema`` of the
     caller's, a cell that does not fit is null; ``misfits`` counts such cells.
     """
-    text = spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE", emptyValue=None, multiLine=False)
+    text = read_text_csv(spark, path, sep)
     if schema is None:
         kinds = ["bigint", "double", "boolean", "timestamp_ntz"]
         tests = [F.count(F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`"))).alias(f"n{i}") for i, c in enumerate(text.columns)]
@@ -36,11 +52,6 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructTyp
                          for c, t in zip(text.columns, types)])
 
 
-def read_text_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """All columns as text, for ``detect_types``."""
-    return spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE")
-
-
 def detect_types(df: DataFrame) -> dict[str, str]:
     """number / date / datetime / time / string per column, from all its non-empty values.
 

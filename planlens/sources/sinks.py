@@ -19,7 +19,8 @@ ZSTD_LEVEL = "3"  # fixed value
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        # a quote in a cell is doubled, and blanks at its ends stay
+        w.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     elif fmt == "parquet":
         w.option("compression", "zstd").option("parquet.compression.codec.zstd.level", ZSTD_LEVEL).parquet(path)
     elif fmt == "json":
@@ -63,7 +64,7 @@ def export_csv(df: DataFrame, path: str, max_rows: int | None = None, headers: M
     out = export_columns(df, headers or {c: c for c in df.columns})
     first = out.columns[0]
     out = (out if max_rows is None else out.limit(max_rows)).withColumnRenamed(first, "﻿" + first)
-    out.write.mode("overwrite").options(header=True, lineSep="\r\n", emptyValue="").csv(path)
+    out.write.mode("overwrite").options(header=True, escape='"', lineSep="\r\n", emptyValue="").csv(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
