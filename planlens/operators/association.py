@@ -1,7 +1,7 @@
 """Correlation matrices and hypothesis tests for all column pairs at once.
 
-Rows are first counted per (pair, value, value); tests work on those counts, so a hot value or group is
-combined before any shuffle, and no pair of rows is ever formed.  P-values are computed on the result
+Equal rows are counted first; tests work on counts, so a hot value or group is combined before any shuffle, and no
+pair of rows is ever formed.  P-values are computed on the result
 tables, one row per test.
 """
 
@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +21,12 @@ from ..functions.tails import chi2_p, corr_p, f_p, fisher_p, normal_p, t_p
 from .ordered import scan
 from .ranking import systematic_sample, with_avg_rank
 
-MAX_TEST_COLUMNS = 50   # fixed value: widest table for all-pairs tests
 MIN_PAIRS = 5           # fixed value: fewest complete rows for a test
 KENDALL_POINTS = 3_000  # fixed value: points of the sampled Kendall test
 VIF_CAP = 9_999.0       # fixed value
 AGGS_PER_SCAN = 400
+#: Running counts of one ordered pass, and cells of the rank arrays that a task holds for its products.
+PARTNERS_PER_PASS, PRODUCT_CELLS = 64, 1 << 21
 
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
@@ -82,28 +84,77 @@ def pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]], left, right) ->
             .groupBy("col_a", "col_b", "x", "y").agg(F.count(F.lit(1)).alias("c")))
 
 
-def _mid_ranks(counts: DataFrame, value: str, out: str) -> DataFrame:
-    """Average-tie rank of each distinct value within a column pair, and the tie size."""
-    key = ["col_a", "col_b"]
-    per = counts.groupBy(*key, value).agg(F.sum("c").alias("t"))
-    ranked = scan(per, {"cum": ("sum", F.col("t"))}, [value], key)
-    return ranked.select(*key, value, "t", (F.col("cum") - F.col("t") + (F.col("t") + 1) / 2).alias(out))
+def _ranked(rows: DataFrame, partners: int, centred: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Ranks of each column under pairwise deletion, from ``rows`` (col, v, c, here array<boolean>, …).
+
+    One ordered pass per column carries a running count for every partner, of the rows in which that is present
+    (``here``): the rows gain ``r``, the average-tie rank of ``v`` beside each partner, and are never written once per pair.
+    ``centred`` ranks have their mean taken off, which keeps sums of products stable.  The second table has
+    (col, j, n, k, ties, squares): rows, distinct values, tie sum and sum of squared ranks beside partner ``j``.
+    """
+    ranked, totals = rows, []
+    for start in range(0, partners, PARTNERS_PER_PASS):
+        js = range(start, min(partners, start + PARTNERS_PER_PASS))
+        per = rows.groupBy("col", "v").agg(*[F.sum(F.when(F.col("here")[j], F.col("c")).otherwise(0)).alias(f"t{j}") for j in js])
+        whole = {f"n{j}": ("total", F.col(f"t{j}")) for j in js} if centred else {}
+        cum = scan(per, {f"m{j}": ("sum", F.col(f"t{j}")) for j in js} | whole, ["v"], ["col"])
+        rank = [F.col(f"m{j}") - (F.col(f"t{j}") + F.col(f"n{j}") if centred else F.col(f"t{j}") - 1) / 2 for j in js]
+        table = cum.select("col", "v", F.array(*[F.col(f"t{j}") for j in js]).alias("t"), F.array(*rank).alias(f"r{start}"))
+        ranked = ranked.join(dealt(table.drop("t")), ["col", "v"])
+        each = table.select("col", F.posexplode(F.arrays_zip(F.col("t"), F.col(f"r{start}").alias("r"))).alias("j", "s")).select("col", (F.col("j") + start).alias("j"), "s.t", "s.r")
+        totals.append(each.groupBy("col", "j").agg(F.sum("t").alias("n"), F.count_if(F.col("t") > 0).alias("k"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")).alias("ties"),
+                                                   F.sum(F.col("t") * F.col("r") * F.col("r")).alias("squares")))
+    parts = [f"r{start}" for start in range(0, partners, PARTNERS_PER_PASS)]
+    every = totals[0]
+    for t in totals[1:]:
+        every = every.unionByName(t)
+    return ranked.withColumn("r", F.concat(*parts)).drop(*parts), every
+
+
+def _cells(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Distinct rows of ``values`` and how often each occurs."""
+    return df.select(*[c.alias(n) for n, c in values.items()]).groupBy(*values).agg(F.count(F.lit(1)).alias("c"))
+
+
+def _names(of: Sequence[str], at: str, out: str) -> Column:
+    return F.get(F.array(*[F.lit(c) for c in of]), F.col(at)).alias(out)
 
 
 def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], min_n: int = MIN_PAIRS) -> DataFrame:
-    key = ["col_a", "col_b"]
-    counts = pair_counts(df, pairs, number, number)
-    rx = _mid_ranks(counts, "x", "rx").drop("t")
-    ry = _mid_ranks(counts, "y", "ry").drop("t")
-    j = counts.join(rx, [*key, "x"]).join(ry, [*key, "y"])
-    n, x, y, c = F.sum("c"), F.col("rx"), F.col("ry"), F.col("c")
-    # ranks have a known mean, so centring first keeps the sums stable
-    g = counts.groupBy(*key).agg(F.sum("c").alias("n"))
-    j = j.join(F.broadcast(g), key).withColumns({"dx": x - (F.col("n") + 1) / 2, "dy": y - (F.col("n") + 1) / 2})
-    s = j.groupBy(*key).agg(F.sum(c * F.col("dx") * F.col("dy")).alias("sxy"), F.sum(c * F.col("dx") * F.col("dx")).alias("sxx"),
-                            F.sum(c * F.col("dy") * F.col("dy")).alias("syy"), n.alias("n"))
-    return s.select(*key, F.when((F.col("n") >= min_n) & (F.col("sxx") > 0) & (F.col("syy") > 0),
-                                 F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))).alias("r"), "n")
+    """(col_a, col_b, r, n) of the ``pairs``, each ranked on its complete rows.
+
+    A row comes together again with the ranks of all its columns, one array a column; the products of the pairs are
+    summed up in the task.
+    """
+    cols = list(dict.fromkeys(c for pair in pairs for c in pair))
+    p, at = len(cols), {c: i for i, c in enumerate(cols)}
+    names = [f"x{i}" for i in range(p)]
+    cells = _cells(df, {n: number(c) for n, c in zip(names, cols)})
+    rows = cells.select(F.md5(F.to_json(F.struct(*names))).alias("id"), "c", F.array(*[F.col(n).isNotNull() for n in names]).alias("here"),
+                        F.posexplode(F.array(*names)).alias("col", "v")).filter("v IS NOT NULL")
+    ranked, totals = _ranked(rows, p, centred=True)
+    whole = ranked.groupBy("id").agg(F.min("c").alias("c"), F.collect_list(F.struct("col", "r")).alias("ranks")).select("c", "ranks")
+    first, second = (np.array([at[pair[k]] for pair in pairs]) for k in (0, 1))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(first))
+        for whole_batch in batches:
+            for start in range(0, whole_batch.num_rows, max(1, PRODUCT_CELLS // (p * p))):
+                b = whole_batch.slice(start, max(1, PRODUCT_CELLS // (p * p)))
+                entries, c = b.column(1).flatten(), b.column(0).to_numpy().astype(float)
+                row = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+                rank, seen = np.zeros((b.num_rows, p, p)), np.zeros((b.num_rows, p))
+                col = entries.field(0).to_numpy()
+                rank[row, col] = entries.field(1).flatten().to_numpy().reshape(-1, p)
+                seen[row, col] = 1
+                total += (rank[:, first, second] * rank[:, second, first] * seen[:, first] * seen[:, second] * c[:, None]).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, second, total)], ["i", "j", "xy"])
+
+    xy = whole.mapInArrow(sums, "i long, j long, xy double").groupBy("i", "j").agg(F.sum("xy").alias("xy"))
+    one = lambda i, j, end: totals.select(F.col("col").alias(i), F.col("j").alias(j), F.col("squares").alias(f"s{end}"), F.col("k").alias(f"k{end}"), "n")
+    t = xy.join(one("i", "j", "xx"), ["i", "j"]).join(one("j", "i", "yy").drop("n"), ["i", "j"]).filter("n > 0")
+    return t.select(_names(cols, "i", "col_a"), _names(cols, "j", "col_b"),
+                    F.when((F.col("n") >= min_n) & (F.col("kxx") > 1) & (F.col("kyy") > 1), F.col("xy") / F.sqrt(F.col("sxx") * F.col("syy"))).alias("r"), "n")
 
 
 # --- categorical ------------------------------------------------------------------------------
@@ -163,16 +214,20 @@ def chi2_or_fisher(df: DataFrame, pairs: Sequence[tuple[str, str]], yates: bool
 
 def group_rank_table(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """One row per (numeric, categorical) pair: k groups, n, sum R^2/n_g, ties, and the first group's n and R."""
-    key = ["col_a", "col_b"]
-    counts = pair_counts(df, pairs, number, text_value(df))
-    ranks = _mid_ranks(counts, "x", "rank")
-    groups = counts.join(ranks.select(*key, "x", "rank"), [*key, "x"]).groupBy(*key, "y").agg(
-        F.sum("c").alias("ng"), F.sum(F.col("c") * F.col("rank")).alias("rg"))
-    ties = ranks.groupBy(*key).agg(F.sum(F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")).alias("ties"))
-    g = groups.groupBy(*key).agg(
+    nums, cats = (list(dict.fromkeys(pair[k] for pair in pairs)) for k in (0, 1))
+    text, xs, ys = text_value(df), [f"x{i}" for i in range(len(nums))], [f"y{j}" for j in range(len(cats))]
+    cells = _cells(df, {**{x: number(c) for x, c in zip(xs, nums)}, **{y: text(c) for y, c in zip(ys, cats)}})
+    rows = cells.select("c", F.array(*ys).alias("ys"), F.array(*[F.col(y).isNotNull() for y in ys]).alias("here"),
+                        F.posexplode(F.array(*xs)).alias("col", "v")).filter("v IS NOT NULL")
+    ranked, totals = _ranked(rows, len(cats))
+    each = ranked.select("col", "c", F.posexplode(F.arrays_zip(F.col("ys").alias("y"), F.col("r"))).alias("j", "s")).select("col", "j", "c", "s.y", "s.r").filter("y IS NOT NULL")
+    if len(pairs) < len(nums) * len(cats):
+        each = each.filter(F.concat_ws(":", "col", "j").isin([f"{nums.index(a)}:{cats.index(b)}" for a, b in pairs]))
+    groups = each.groupBy("col", "j", "y").agg(F.sum("c").alias("ng"), F.sum(F.col("c") * F.col("r")).alias("rg"))
+    g = groups.groupBy("col", "j").agg(
         F.count(F.lit(1)).alias("k"), F.sum("ng").alias("n"), F.sum(F.col("rg") * F.col("rg") / F.col("ng")).alias("ss"),
         F.min_by("ng", "y").alias("n1"), F.min_by("rg", "y").alias("r1"))
-    return g.join(ties, key)
+    return g.join(totals.select("col", "j", "ties"), ["col", "j"]).select(_names(nums, "col", "col_a"), _names(cats, "j", "col_b"), "k", "n", "ss", "n1", "r1", "ties")
 
 
 def mann_whitney(df: DataFrame, pairs: Sequence[tuple[str, str]], corrected: bool = True) -> DataFrame:
@@ -286,14 +341,12 @@ def _result(d: DataFrame, test: str | Column, flip: bool = False) -> DataFrame:
 
 
 def pvalue_matrix(df: DataFrame, cols: Sequence[str] | None = None, method: str = "spearman", browser: bool = False) -> DataFrame:
-    """(col_a, col_b, n, stat, p_value, test) for every pair of at most 50 columns.
+    """(col_a, col_b, n, stat, p_value, test) for every pair of columns.
 
     num-num: Spearman or Kendall; cat-cat: chi2 (Yates on 2x2), Fisher on small 2x2 when ``browser``;
     num-cat: Mann-Whitney for two groups, else Kruskal-Wallis (``browser``: always Kruskal-Wallis).
     """
     cols = list(cols or df.columns)
-    if len(cols) > MAX_TEST_COLUMNS:
-        raise ValueError(f"{len(cols)} columns, at most {MAX_TEST_COLUMNS} are tested pairwise")
     nums = [c for c in cols if c in numeric_columns(df)]
     cats = [c for c in cols if c not in nums]
     out = []
