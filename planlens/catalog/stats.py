@@ -266,9 +266,9 @@ def _(t):
     return rounded(S.kendall(t.lineitem, "l_quantity", "l_discount"), 8, "tau").drop("z", "p_value")
 
 
-@query("sta19_kendall_sampled", KENDALL.format(a="o_totalprice", b="o_custkey", src="(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, ceil(count(*) OVER () / 3000.0) AS k FROM orders) WHERE i % k = 0)"))
+@query("sta19_kendall_continuous", KENDALL.format(a="o_totalprice", b="o_custkey", src="orders"))
 def _(t):
-    return rounded(S.kendall(t.orders, "o_totalprice", "o_custkey", sample=3000, order_by=["o_orderkey"]), 8, "tau").drop("z", "p_value")
+    return rounded(S.kendall(t.orders, "o_totalprice", "o_custkey"), 8, "tau").drop("z", "p_value")
 
 
 JB = """SELECT '{c}' AS "column", n, round(s, 6) AS skewness, round(k, 6) AS kurtosis, round(n / 6 * (s * s + k * k / 4), 3) AS stat, exp(-n / 12 * (s * s + k * k / 4)) >= 0.05 AS is_normal

@@ -22,7 +22,6 @@ from .ordered import scan
 from .ranking import systematic_sample, with_avg_rank
 
 MIN_PAIRS = 5           # fixed value: fewest complete rows for a test
-KENDALL_POINTS = 3_000  # fixed value: points of the sampled Kendall test
 VIF_CAP = 9_999.0       # fixed value
 AGGS_PER_SCAN = 400
 #: Running counts of one ordered pass, and cells of the rank arrays that a task holds for its products.
@@ -298,40 +297,45 @@ def anova(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 # --- Kendall ------------------------------------------------------------------------------------
 
-def kendall(df: DataFrame, a: str, b: str, sample: int | None = None, order_by: Sequence[str] = ()) -> DataFrame:
-    """One row (n_used, concordant, discordant, ties_a, ties_b, tau, z, p_value).
+def kendall_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(col_a, col_b, n_used, concordant, discordant, ties_a, ties_b, tau, z, p_value) of all ``pairs``, in one plan.
 
-    Exact over all rows.  Discordant pairs are counted like inversions, one bit of b's rank at a time:
-    among rows that share the higher bits, a row with bit 0 is discordant with every earlier row
-    (smaller a) with bit 1.  That is log2(distinct b) running sums instead of all pairs.  ``sample``
-    first takes the reference-size systematic sample in ``order_by`` order.
+    Exact over all rows that both columns have, at least four.  The values of a column are numbered once for all its
+    pairs; the bits of these numbers are the levels of a wavelet tree.  Among rows that share the higher bits, a row with
+    bit 0 is discordant with every earlier row (smaller a) with bit 1: running sums over as many levels as the column's
+    distinct values need, and no pair of rows.
     """
-    rows = df.select(number(a).alias("x"), number(b).alias("y"), *order_by).filter("x IS NOT NULL AND y IS NOT NULL")
-    if sample:
-        rows = systematic_sample(rows, sample, order_by)
-    cells = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-    dense = scan(cells.select("y").distinct(), {"ry": ("sum", F.lit(1).cast("long"))}, ["y"])
-    ranked = cells.join(dense, "y")
-    bits = max(1, int(cells.agg(F.count_distinct("y").alias("d")).head()["d"]).bit_length())
-    levels = ranked.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
-    levels = levels.select("x", "ry", "c", "lvl", F.expr("shiftright(ry, lvl + 1)").alias("prefix"), F.expr("shiftright(ry, lvl) & 1").alias("bit"))
-    seen = scan(levels, {"ones": ("sum_before", F.when(F.col("bit") == 1, F.col("c")).otherwise(0))}, ["x", "ry"], ["lvl", "prefix"])
-    pairs = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
-    dis = seen.filter("bit = 0").agg(F.coalesce(F.sum(F.col("c").cast("double") * F.coalesce("ones", F.lit(0))), F.lit(0.0)).alias("s")).scalar()
-    tx = cells.groupBy("x").agg(F.sum("c").alias("t")).agg(pairs("t").alias("s")).scalar()
-    ty = cells.groupBy("y").agg(F.sum("c").alias("t")).agg(pairs("t").alias("s")).scalar()
-    out = cells.agg(F.sum("c").alias("n_used"), pairs("c").alias("both")).withColumns({"dis": dis, "tx": tx, "ty": ty})
+    key = ["col_a", "col_b"]
+    cells = pair_counts(df, pairs, number, number)
+    second = list(dict.fromkeys(b for _, b in pairs))
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("col_b"), number(c).alias("y")) for c in second]))).filter("y IS NOT NULL").distinct()
+    codes = scan(values, {"ry": ("sum", F.lit(1).cast("long")), "most": ("total", F.lit(1).cast("long"))}, ["y"], ["col_b"])
+    ranked = cells.join(dealt(codes), ["col_b", "y"])
+    levels = ranked.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.length(F.bin("most")) - 1)))
+    levels = levels.select(*key, "x", "ry", "c", "lvl", F.expr("shiftright(ry, lvl + 1)").alias("prefix"), F.expr("shiftright(ry, lvl) & 1").alias("bit"))
+    seen = scan(levels, {"ones": ("sum_before", F.when(F.col("bit") == 1, F.col("c")).otherwise(0))}, ["x", "ry"], [*key, "lvl", "prefix"])
+    tied = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
+    out = cells.groupBy(*key).agg(F.sum("c").alias("n_used"), tied("c").alias("both"))
+    dis = seen.filter("bit = 0").groupBy(*key).agg(F.sum(F.col("c").cast("double") * F.coalesce("ones", F.lit(0))).alias("dis"))
+    ties = [cells.groupBy(*key, v).agg(F.sum("c").alias("t")).groupBy(*key).agg(tied("t").alias(f"t{v}")) for v in ("x", "y")]
+    for part in (dis, *ties):  # a row for each pair of columns
+        out = out.join(part, key, "left")
     m = F.col("n_used").cast("double")
-    n0 = m * (m - 1) / 2
-    out = out.withColumns({"n0": n0, "ties_a": F.col("tx") - F.col("both"), "ties_b": F.col("ty") - F.col("both")})
+    out = out.withColumns({"n0": m * (m - 1) / 2, "ties_a": F.col("tx") - F.col("both"), "ties_b": F.col("ty") - F.col("both"), "dis": F.coalesce("dis", F.lit(0.0))})
     out = out.withColumn("con", F.col("n0") - F.col("ties_a") - F.col("ties_b") - F.col("both") - F.col("dis"))
     den = F.sqrt((F.col("n0") - F.col("ties_a")) * (F.col("n0") - F.col("ties_b")))
     z = F.abs(F.col("con") - F.col("dis")) / F.sqrt(m * (m - 1) * (2 * m + 5) / 18)
-    out = out.filter("n_used >= 4").select("n_used", F.col("con").alias("concordant"), F.col("dis").alias("discordant"), "ties_a", "ties_b",
+    out = out.filter("n_used >= 4").select(*key, "n_used", F.col("con").alias("concordant"), F.col("dis").alias("discordant"), "ties_a", "ties_b",
                      F.when(den < 1e-10, 0.0).otherwise((F.col("con") - F.col("dis")) / F.nullif(den, F.lit(0.0))).alias("tau"), z.alias("z"))
     return out.withColumn("p_value", normal_p("z"))
 
 
+def kendall(df: DataFrame, a: str, b: str, sample: int | None = None, order_by: Sequence[str] = ()) -> DataFrame:
+    """One pair of ``kendall_pairs``, without the names; ``sample`` takes a systematic sample in ``order_by`` order first."""
+    rows = systematic_sample(df.filter(number(a).isNotNull() & number(b).isNotNull()), sample, order_by) if sample else df
+    return kendall_pairs(rows, [(a, b)]).drop("col_a", "col_b")
+
+
 # --- all pairs, target tests, adjustment ---------------------------------------------------------
 
 def _result(d: DataFrame, test: str | Column, flip: bool = False) -> DataFrame:
@@ -352,9 +356,7 @@ def pvalue_matrix(df: DataFrame, cols: Sequence[str] | None = None, method: str
     out = []
     if len(nums) > 1:
         if method == "kendall":
-            for a, b in _pairs(nums):
-                out.append(_result(kendall(df, a, b).select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col("n_used").alias("n"),
-                                                            F.col("tau").alias("stat"), "p_value"), "Kendall"))
+            out.append(_result(kendall_pairs(df, _pairs(nums)).withColumnsRenamed({"n_used": "n", "tau": "stat"}), "Kendall"))
         else:
             out.append(_result(corr_pvalues(spearman_pairs(df, _pairs(nums))).withColumnRenamed("r", "stat"), "Spearman"))
     if len(cats) > 1:
