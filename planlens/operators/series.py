@@ -19,9 +19,9 @@ from ..functions.parse import iso_week
 from .ordered import BLOCK_ROWS, ROW, framed, row_numbers, scan
 from .prepare import fill_along, impute, interpolate, scale
 from .quantiles import ranked_counts
+from .spectrum import power_spectrum
 
 EWM_MIN_ALPHA = 0.001  # fixed value: smallest smoothing factor
-SPECTRUM_STEP = 64
 
 
 def centred_frame(window: int) -> tuple[int, int]:
@@ -254,27 +254,13 @@ def stationarity(df: DataFrame, y: str, window: int, max_lag: int, order_by: Seq
 def periodogram(df: DataFrame, y: str, order_by: Sequence[str], first_k: int = 1, last_k: int | None = None) -> DataFrame:
     """(k, freq, period, power) for k = first_k..n / 2, or up to ``last_k`` if that is smaller.
 
-    Each batch of numbered rows gives its part of the two sums of every frequency, ``SPECTRUM_STEP`` frequencies
-    at a time; the parts are added up per k.  Rows are neither gathered nor multiplied by frequencies.
+    A fast transform over the cluster, in n log n work for any n.
     """
     rows = _numbered(df, y, order_by, ()).select((F.col(ROW) - 1).alias("i"), (F.col("__y") - F.col("__mean")).alias("d"), F.col("__n").alias("n"))
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            i, d, n = (c.to_numpy() for c in b.columns)
-            size = int(n[0])
-            end = size // 2 if last_k is None else min(last_k, size // 2)
-            for start in range(first_k, end + 1, SPECTRUM_STEP):
-                k = np.arange(start, min(end, start + SPECTRUM_STEP - 1) + 1)
-                # reduce the phase exactly before it becomes an angle
-                angle = i[:, None] * k % size * (2 * math.pi / size)
-                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(np.full(len(k), size)), pa.array(d @ np.cos(angle)), pa.array(d @ np.sin(angle))], ["k", "n", "c", "s"])
-
-    sums = rows.mapInArrow(parts, "k int, n long, c double, s double").groupBy("k", "n").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
-    return sums.select("k", (F.col("k") / F.col("n")).alias("freq"), (F.col("n") / F.col("k")).alias("period"),
-                       ((F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n")).alias("power"))
+    end = F.floor(F.col("n") / 2)
+    end = end if last_k is None else F.least(end, F.lit(last_k))
+    found = power_spectrum(rows).filter((F.col("k") >= first_k) & (F.col("k") <= end))
+    return found.select(F.col("k").cast("int").alias("k"), (F.col("k") / F.col("n")).alias("freq"), (F.col("n") / F.col("k")).alias("period"), "power")
 
 
 def top_periods(spectrum: DataFrame, n: int = 3) -> DataFrame:
