@@ -193,3 +193,66 @@ def framed(
     w = Window.partitionBy(*partition_by, "__blk").orderBy(ROW)
     out = spread.withColumns(dict(make(w))).filter(F.col("__blk") == F.col("__home")).drop("__blk", "__home")
     return out if keep_row else out.drop(ROW)
+
+
+def known_neighbours(
+    df: DataFrame, values: Mapping[str, Column], order_by: Sequence[str], partition_by: Sequence[str] = (), chunks: int | None = None
+) -> DataFrame:
+    """Add the row number ``__pos`` and, for each of ``values``, the two known points on either side of a row.
+
+    A point is (i, v): row number and value; ``__b1_x`` and ``__b2_x`` are the nearest and the second one before the row,
+    ``__a1_x`` and ``__a2_x`` those after it, null where there is none.  One scan: the state of a range (its rows, its
+    first two and last two points) is composed over the ranges as over the rows.
+    """
+    parts, names = list(partition_by), list(values)
+    base = with_chunk(df, order_by, parts, chunks).withColumns({f"__v_{x}": c for x, c in values.items()})
+    order = [sort_key(c) for c in order_by]
+    whole = Window.partitionBy(CHUNK, *parts)
+    ahead = whole.orderBy(*order)
+    # looking forward is looking back over the reversed order, as in ``scan``
+    sides = {"b": ahead.rowsBetween(Window.unboundedPreceding, -1), "a": whole.orderBy(*[k.desc() for k in order]).rowsBetween(Window.unboundedPreceding, -1)}
+    known = {x: F.col(f"__v_{x}").isNotNull() for x in names}
+    point = {x: F.when(known[x], F.struct(F.col("__i").alias("i"), F.col(f"__v_{x}").alias("v"))) for x in names}
+    local = base.withColumn("__i", F.row_number().over(ahead).cast("long"))
+    for side, window in sides.items():
+        local = local.withColumns({f"__l{side}1_{x}": F.last(point[x], ignorenulls=True).over(window) for x in names})
+        # the second point is the first one of the nearest known row
+        local = local.withColumns({f"__l{side}2_{x}": F.last(F.when(known[x], F.struct(F.col(f"__l{side}1_{x}").alias("p"))), ignorenulls=True).over(window)["p"] for x in names})
+
+    # what a range shows to its neighbours: the state behind its last row and before its first one
+    ends = [F.max("__i").alias("__n")]
+    for x in names:
+        for side, pick in (("b", F.max_by), ("a", F.min_by)):
+            one, two = F.col(f"__l{side}1_{x}"), F.col(f"__l{side}2_{x}")
+            edge = F.struct(F.when(known[x], point[x]).otherwise(one).alias("one"), F.when(known[x], one).otherwise(two).alias("two"))
+            ends.append(pick(edge, "__i").alias(f"__e{side}_{x}"))
+    per_chunk = local.groupBy(CHUNK, *parts).agg(*ends)
+    across = Window.partitionBy(*(parts or [F.lit(0)]))
+    before = across.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    after = across.orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+
+    def moved(p: Column, by: Column) -> Column:
+        return F.when(p.isNotNull(), F.struct((p["i"] + by).alias("i"), p["v"].alias("v")))
+
+    walked = per_chunk.withColumns({"__base": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__span": F.count(F.lit(1)).over(across)})
+    for side, window in (("b", before), ("a", after)):
+        walked = walked.withColumns({f"__m{side}{k}_{x}": moved(F.col(f"__e{side}_{x}")[f], F.col("__base")) for x in names for k, f in ((1, "one"), (2, "two"))})
+        walked = walked.withColumns({f"__c{side}1_{x}": F.last(f"__m{side}1_{x}", ignorenulls=True).over(window) for x in names})
+        walked = walked.withColumns({f"__c{side}2_{x}": F.last(F.when(
+            F.col(f"__m{side}1_{x}").isNotNull(), F.struct(F.coalesce(f"__m{side}2_{x}", f"__c{side}1_{x}").alias("p"))), ignorenulls=True).over(window)["p"] for x in names})
+    carried = [f"__c{side}{k}_{x}" for side in sides for k in (1, 2) for x in names]
+    # only a range's first and last partition can reach into another range: <= 2 rows per range
+    carry = walked.filter("__span > 1").select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate([CHUNK, *parts])], "__base", *carried)
+    cond = F.lit(True)
+    for i, c in enumerate([CHUNK, *parts]):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__p{i}"))
+    joined = local.join(F.broadcast(carry), cond, "left")
+    shift = F.coalesce("__base", F.lit(0))
+    out = [(F.col("__i") + shift).alias("__pos")]
+    for x in names:
+        for side in sides:
+            one, two = F.col(f"__l{side}1_{x}"), F.col(f"__l{side}2_{x}")
+            c1, c2 = F.col(f"__c{side}1_{x}"), F.col(f"__c{side}2_{x}")
+            out.append(F.coalesce(moved(one, shift), c1).alias(f"__{side}1_{x}"))
+            out.append(F.when(two.isNotNull(), moved(two, shift)).when(one.isNotNull(), c1).otherwise(c2).alias(f"__{side}2_{x}"))
+    return joined.select(*df.columns, *out)

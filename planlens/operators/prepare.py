@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.columns import collected_statistics, dealt, number, one_row, rnd, type_of
 from ..session import can_cut
 from .joins import lookup
-from .ordered import row_numbers, scan
+from .ordered import known_neighbours, scan
 from .quantiles import quantile_scalars
 
 Config = Mapping[str, Mapping[str, Any]]
@@ -62,12 +62,10 @@ def fill_along(df: DataFrame, cols: Sequence[str], direction: str, order_by: Seq
 def interpolate(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
     """Linear by row position; ends stay null."""
     names = df.columns
-    rows = row_numbers(df, order_by, partition_by, "__pos")
-    point = {c: F.when(number(c).isNotNull(), F.struct(F.col("__pos").alias("i"), number(c).alias("v"))) for c in cols}
-    out = scan(rows, {f"__{k}_{c}": ("last" if k == "l" else "first", point[c]) for c in cols for k in ("l", "r")}, ["__pos"], partition_by)
+    out = known_neighbours(df, {c: number(c) for c in cols}, order_by, partition_by)
 
     def filled(c: str) -> Column:
-        lo, hi = F.col(f"__l_{c}"), F.col(f"__r_{c}")
+        lo, hi = F.col(f"__b1_{c}"), F.col(f"__a1_{c}")
         step = (hi["v"] - lo["v"]) / F.nullif(hi["i"] - lo["i"], F.lit(0))
         return F.coalesce(number(c), lo["v"] + step * (F.col("__pos") - lo["i"]))
     return out.select(*[filled(c).alias(c) if c in cols else F.col(c) for c in names])

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import number
 from ..functions.parse import iso_week
-from .ordered import BLOCK_ROWS, ROW, framed, row_numbers, scan
+from .ordered import BLOCK_ROWS, ROW, framed, known_neighbours, row_numbers, scan
 from .prepare import fill_along, impute, interpolate, scale
 from .quantiles import ranked_counts
 from .spectrum import power_spectrum
@@ -94,29 +94,20 @@ def neighbour_fill(df: DataFrame, fields: Sequence[str], method: str, order_by:
     mirrored.  Ends stay null.
     """
     names = df.columns
-    rows = row_numbers(df, order_by, partition_by, "__pos")
-    pt = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.col("__pos").cast("double").alias("x"), F.col(f).alias("y")))
-    near = scan(rows, {f"__{k}_{f}": (kind, pt(f)) for f in fields for k, kind in (("b", "last_before"), ("a", "first_after"))}, ["__pos"], partition_by)
-    nested = {}
-    for f in fields:
-        known = F.col(f).isNotNull()
-        nested[f"__bb_{f}"] = ("last_before", F.when(known, F.struct(F.col(f"__b_{f}").alias("p"))))
-        nested[f"__aa_{f}"] = ("first_after", F.when(known, F.struct(F.col(f"__a_{f}").alias("p"))))
-    far = scan(near, nested, ["__pos"], partition_by)
+    far = known_neighbours(df, {f: F.col(f) for f in fields}, order_by, partition_by)
 
     def filled(f: str) -> Column:
         x = F.col("__pos").cast("double")
-        p1, p2 = F.col(f"__b_{f}"), F.col(f"__a_{f}")
-        p0, p3 = F.col(f"__bb_{f}")["p"], F.col(f"__aa_{f}")["p"]
-        x1, y1, x2, y2 = p1["x"], p1["y"], p2["x"], p2["y"]
+        p0, p1, p2, p3 = (F.col(f"__{k}_{f}") for k in ("b2", "b1", "a1", "a2"))
+        x1, y1, x2, y2 = p1["i"], p1["v"], p2["i"], p2["v"]
         line = y1 + (y2 - y1) * (x - x1) / (x2 - x1)
         if method == "polynomial_fill":
-            a, ya = p0["x"], p0["y"]
+            a, ya = p0["i"], p0["v"]
             e = (ya * ((x - x1) * (x - x2)) / ((a - x1) * (a - x2)) + y1 * ((x - a) * (x - x2)) / ((x1 - a) * (x1 - x2))
                  + y2 * ((x - a) * (x - x1)) / ((x2 - a) * (x2 - x1)))
             e = F.when(p0.isNotNull(), e).otherwise(line)
         else:
-            y0, y3 = F.coalesce(p0["y"], 2 * y1 - y2), F.coalesce(p3["y"], 2 * y2 - y1)
+            y0, y3 = F.coalesce(p0["v"], 2 * y1 - y2), F.coalesce(p3["v"], 2 * y2 - y1)
             t = (x - x1) / (x2 - x1)
             e = 0.5 * (2 * y1 + (y2 - y0) * t + (2 * y0 - 5 * y1 + 4 * y2 - y3) * t * t + (3 * y1 - y0 - 3 * y2 + y3) * t * t * t)
         return F.coalesce(F.col(f), F.when(p1.isNotNull() & p2.isNotNull(), e))

@@ -93,3 +93,25 @@ def test_narrowed_quantiles_are_exact(spark, method, fn):
         want = list(d.select(F.col(c).alias("x")).agg(*[F.expr(fn.format(p)) for p in probs]).head())
         assert got[c].n == d.filter(F.col(c).isNotNull()).count()
         assert [round(x, 9) for x in got[c].q] == [round(x, 9) for x in want]
+
+
+@pytest.mark.parametrize("chunks", [2, 7, 40])
+def test_known_neighbours(spark, chunks):
+    """The two known points on each side, over ranges without any known point, for one series and for many."""
+    import random
+
+    from planlens.operators.ordered import known_neighbours
+    r = random.Random(chunks)
+    rows = [(k, t, None if r.random() < 0.85 else float(t), None if t % 3 else t * 2.0) for k in ("a", None, "c") for t in range(90 if k else 7)]
+    d = spark.createDataFrame(rows, "k string, t long, x double, y double").repartition(6)
+    got = {(g["k"], g["t"]): g for g in known_neighbours(d, {"x": F.col("x"), "y": F.col("y")}, ["t"], ["k"], chunks=chunks).collect()}
+    assert len(got) == len(rows)
+    for k, t, *_ in rows:
+        g = got[k, t]
+        assert g["__pos"] == t + 1
+        for at, name in ((2, "x"), (3, "y")):
+            known = [(o[1] + 1, o[at]) for o in rows if o[0] == k and o[at] is not None]
+            left, right = [p for p in known if p[0] <= t][::-1], [p for p in known if p[0] > t + 1]
+            want = [(left + [None] * 2)[0], (left + [None] * 2)[1], (right + [None] * 2)[0], (right + [None] * 2)[1]]
+            have = [g[f"__{s}_{name}"] for s in ("b1", "b2", "a1", "a2")]
+            assert [p and tuple(p) for p in have] == want, (k, t, name)
