@@ -1,19 +1,18 @@
 """Exact quantiles without a per-group value map.
 
-``percentile`` keeps every distinct value of a group in one task.  Here values are counted with a
-normal partial aggregation, the counts get a running total by an ordered scan, and a quantile is
-the first value whose running total passes its position.  For whole columns of a large table a sketch
-first tells where each quantile lies, so that only values near it are counted one by one.
+``percentile`` keeps every distinct value of a group in one task.  Here values are counted with a normal partial
+aggregation, the counts get running totals, and a quantile is the first value whose running total passes its place.
+Buckets are counted first, then the values of those that hold a quantile.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import number, one_row
+from ..functions.columns import dealt, number, one_row
 from .ordered import scan
 
 
@@ -30,83 +29,78 @@ def ranked_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return scan(counts, {"cum": ("sum", F.col("c")), "n": ("total", F.col("c"))}, ["v"], [*by, "column"])
 
 
-def pick(p: float, method: str) -> Column:
-    """Aggregate over ``ranked_counts`` that yields the p-quantile."""
+#: Steps of a bucket number in an e-fold of the value, and the size below which values share the middle bucket.
+STEPS, LEAST = 2048, 2.0 ** -30
+#: Parts of a bucket between its smallest and its largest value.
+PARTS = 4096
+#: Rows of the picked buckets up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def bucket(v: Column) -> Column:
+    """A number that never falls when ``v`` rises: about half a thousandth of a value wide, the same at every scale."""
+    size = F.least(F.log1p(F.abs(v) / LEAST) * STEPS, F.lit(1e9))
+    return F.when(F.isnan(v), F.lit(1 << 40)).otherwise(F.floor(F.signum(v) * size).cast("long"))
+
+
+def _ranks(p: float, method: str) -> tuple[Column, Column]:
+    """The places, from 1, of the values on both sides of the p-quantile of ``n`` values."""
     if method == "disc":  # inverted CDF: smallest v with cum >= n * p
-        return F.min(F.when(F.col("cum") >= F.ceil(F.col("n") * p), F.col("v")))
+        at = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(float(p))))
+        return at, at
     h = (F.col("n") - 1) * F.lit(float(p))
-    lo = F.min(F.when(F.col("cum") > F.floor(h), F.col("v")))
-    hi = F.min(F.when(F.col("cum") > F.ceil(h), F.col("v")))
-    frac = F.max(h - F.floor(h))
-    return lo + (hi - lo) * frac
-
-
-ACCURACY = 10_000        # rank error of the sketch is n / ACCURACY
-MARGIN = 4               # band half-width in rank errors
-NARROW_FROM = 1_000_000  # below this many values the plain counting is cheaper
-
-
-def _bands(df: DataFrame, cols: Sequence[str], probs: Sequence[float], narrow_from: int) -> tuple[dict, dict] | None:
-    """Sketch every column once: ({column: n}, {column: [(lo, hi)…]}) around each quantile, or None for a small table."""
-    edges = [min(1.0, max(0.0, p + s * MARGIN / ACCURACY)) for p in probs for s in (-1, 1)]
-    nums = [number(c) for c in cols]
-    row = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(nums)],
-                 *[F.percentile_approx(v, F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias(f"e{i}") for i, v in enumerate(nums)]).head()
-    n = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    if max(n.values(), default=0) < narrow_from:
-        return None
-    # the ends are open: a sketch need not hold the smallest and the largest value
-    open_lo = [p - MARGIN / ACCURACY <= 0 for p in probs]
-    open_hi = [p + MARGIN / ACCURACY >= 1 for p in probs]
-    few = {c for c in cols if n[c] < narrow_from}
-    bands = {c: [(None if open_lo[j] or c in few else row[f"e{i}"][2 * j], None if open_hi[j] or c in few else row[f"e{i}"][2 * j + 1])
-                 for j in range(len(probs))] for i, c in enumerate(cols)}
-    return n, bands
-
-
-def _narrow_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str, n: dict, bands: dict) -> DataFrame:
-    """Exact quantiles from the few values near each of them.
-
-    Values inside a band are counted one by one, all values below it as a single null entry that sorts
-    first, so the running total is exact although almost nothing is shuffled.
-    """
-    def slot(c: str, j: int) -> Column:
-        lo, hi = bands[c][j]
-        v = number(c)
-        keep = v.isNotNull() if hi is None else v <= hi
-        return F.when(keep, F.struct(F.lit(c).alias("column"), F.lit(j).alias("j"), (v if lo is None else F.when(v >= lo, v)).alias("v")))
-    slots = F.array_compact(F.array(*[slot(c, j) for c in cols for j in range(len(probs))]))
-    counts = df.select(F.inline(slots)).groupBy("column", "j", "v").agg(F.count(F.lit(1)).alias("c"))
-    size = F.element_at(F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(n[c]))]), F.col("column"))
-    ranked = scan(counts, {"cum": ("sum", F.col("c"))}, ["v"], ["column", "j"]).withColumn("n", size)
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("j") + 1)
-    first = F.ceil(F.col("n") * prob) if method == "disc" else F.floor((F.col("n") - 1) * prob) + 1
-    last = F.ceil(F.col("n") * prob) if method == "disc" else F.ceil((F.col("n") - 1) * prob) + 1
-    per = ranked.withColumns({"first": first, "last": last}).groupBy("column", "j").agg(
-        F.max("n").alias("n"), F.max("first").alias("first"), F.max("last").alias("last"), F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("cum"))), F.lit(0)).alias("below"),
-        F.max("cum").alias("reach"), F.min(F.when(F.col("cum") >= F.col("first"), F.col("v"))).alias("lo"), F.min(F.when(F.col("cum") >= F.col("last"), F.col("v"))).alias("hi"))
-    h = (F.col("n") - 1) * prob
-    frac = F.lit(0.0) if method == "disc" else h - F.floor(h)
-    inside = (F.col("below") < F.greatest("first", F.lit(1))) & (F.col("reach") >= F.col("last"))
-    value = F.when(inside, F.col("lo") + (F.col("hi") - F.col("lo")) * frac).otherwise(F.raise_error(F.lit("quantile outside its band")).cast("double"))
-    return per.withColumn("x", value).groupBy("column").agg(
-        F.max("n").alias("n"), F.array(*[F.max(F.when(F.col("j") == j, F.col("x"))) for j in range(len(probs))]).alias("q"))
-
-
-def quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), method: str = "linear",
-    narrow_from: int = NARROW_FROM,
-) -> DataFrame:
+    return F.floor(h) + 1, F.ceil(h) + 1
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), method: str = "linear") -> DataFrame:
     """(by…, column, n, q array) of exact quantiles; ``method`` is ``linear`` or ``disc``.
 
-    Whole columns of a large table are sketched first, and only values near a quantile are shuffled;
-    groups and small tables count all values.
+    First the buckets of each group are counted, which combines in the tasks to a number that does not grow with the rows.
+    Running totals over them tell which buckets hold the places that are asked for; of these alone the values are
+    counted one by one, part by part, and of a bucket with a single value not even that.
     """
-    if not by and (found := _bands(df, cols, probs, narrow_from)):
-        return _narrow_quantiles(df, cols, probs, method, *found)
-    ranked = ranked_counts(value_counts(df, cols, by), by)
-    return ranked.groupBy(*by, "column").agg(
-        F.max("n").alias("n"), F.array(*[pick(p, method) for p in probs]).alias("q"))
+    key = [*by, "column"]
+    wide = df.select(*by, *[number(c).alias(c) for c in cols])
+    rows = wide.unpivot(list(by), list(cols), "column", "v") if len(cols) > 1 else wide.select(*by, F.lit(cols[0]).alias("column"), F.col(cols[0]).alias("v"))
+    rows = rows.filter("v IS NOT NULL").withColumn("b", bucket(F.col("v")))
+    buckets = rows.groupBy(*key, "b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # a group has as many buckets as the spread of its values, not its rows, asks for
+    walk = Window.partitionBy(*key).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    counted = buckets.withColumns({"cum": F.sum("c").over(walk), "n": F.sum("c").over(Window.partitionBy(*key))})
+    wanted = F.array_distinct(F.array(*[r.cast("long") for p in probs for r in _ranks(p, method)]))
+    held = F.filter(wanted, lambda r: (r > F.col("cum") - F.col("c")) & (r <= F.col("cum")))
+    picked = counted.withColumn("ranks", held).filter("size(ranks) > 0").select(*key, "b", "n", "lo", "hi", "ranks", (F.col("cum") - F.col("c")).alias("before"))
+    plain = picked.filter("lo = hi").select(*key, "n", F.explode("ranks").alias("rank"), F.col("lo").alias("v"))
+    wide_ones = picked.filter("lo <> hi").select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*key, "b"])], "n", "lo", "hi", "ranks", "before")
+    same = F.lit(True)
+    for i, c in enumerate([*key, "b"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    # two buckets at most for each quantile of a group: their number is known before they are
+    most = len(cols) * 2 * len(probs) * (df.agg(F.approx_count_distinct(F.struct(*by))).head()[0] * 1.2 if by else 1)
+    small = F.broadcast if most <= BROADCAST_ROWS else dealt
+    inside = [*key, "b", "sub"]
+    part = F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * PARTS)
+    values = rows.join(small(wide_ones), same).withColumn("sub", part).groupBy(*inside, "v").agg(
+        F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min("ranks").alias("ranks"), F.min("before").alias("before"))
+    # a bucket has PARTS parts of its own spread, of which again those with a wanted place are looked into
+    parts = values.groupBy(*inside).agg(F.sum("c").alias("t"), F.min("ranks").alias("ranks"), F.min("before").alias("before"))
+    below = F.col("before") + F.coalesce(F.sum("t").over(Window.partitionBy(*key, "b").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("below", below).withColumn("held", F.filter("ranks", lambda r: (r > F.col("below")) & (r <= F.col("below") + F.col("t")))).filter("size(held) > 0")
+    parts = parts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(inside)], "below", "held")
+    upto = F.col("below") + F.sum("c").over(Window.partitionBy(*inside).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = (values.join(small(parts), same & F.col("sub").eqNullSafe(F.col(f"__k{len(inside) - 1}"))).withColumn("upto", upto)
+             .withColumn("rank", F.explode(F.filter("held", lambda r: (r > F.col("upto") - F.col("c")) & (r <= F.col("upto"))))).select(*key, "n", "rank", "v"))
+    every = plain.unionByName(found)
+
+    def value(p: float) -> Column:
+        low, high = _ranks(p, method)
+        lo, hi = (F.max(F.when(F.col("rank") == r, F.col("v"))) for r in (low, high))
+        if method == "disc":
+            return lo
+        h = (F.col("n") - 1) * F.lit(float(p))
+        return lo + (hi - lo) * F.max(h - F.floor(h))
+
+    return every.groupBy(*key).agg(F.max("n").alias("n"), F.array(*[value(p) for p in probs]).alias("q"))
 
 
 def quantile_scalars(

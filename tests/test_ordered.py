@@ -83,13 +83,13 @@ def test_quantiles_match_builtin(skewed, method, fn):
 
 
 @pytest.mark.parametrize("method,fn", [("linear", "percentile(x, {})"), ("disc", "percentile_disc({}) WITHIN GROUP (ORDER BY x)")])
-def test_narrowed_quantiles_are_exact(spark, method, fn):
-    """Continuous, tied (a third of the rows share one value) and mostly-null columns, through the sketch path."""
+def test_quantiles_through_buckets_are_exact(spark, method, fn):
+    """Continuous, tied (a third of the rows share one value) and mostly-null columns; values of one bucket; signs."""
     d = spark.range(150_000).select(F.sin(F.col("id") * 1.7).alias("a"), F.when(F.col("id") % 3 == 0, 5.0).otherwise((F.col("id") * 31 % 1009).cast("double")).alias("b"),
-                                    F.when(F.col("id") % 700 == 0, F.col("id") * 1.0).alias("c"))
+                                    F.when(F.col("id") % 700 == 0, F.col("id") * 1.0).alias("c"), (1e9 + F.col("id") * 7919 % 150_001).alias("d"), ((F.col("id") * 31 % 2003 - 1000) * 1e-7).alias("e"))
     probs = [0.0, 0.0001, 0.05, 0.25, 0.5, 0.75, 0.9999, 1.0]
-    got = {r.column: r for r in Q.quantiles(d, ["a", "b", "c"], probs, (), method, narrow_from=50_000).collect()}
-    for c in "abc":
+    got = {r.column: r for r in Q.quantiles(d, list("abcde"), probs, (), method).collect()}
+    for c in "abcde":
         want = list(d.select(F.col(c).alias("x")).agg(*[F.expr(fn.format(p)) for p in probs]).head())
         assert got[c].n == d.filter(F.col(c).isNotNull()).count()
         assert [round(x, 9) for x in got[c].q] == [round(x, 9) for x in want]
