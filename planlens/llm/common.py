@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Bytes that part words: space and the controls 9 to 13; bytes.split() uses the same set.
 WORD = "[^\\x20\\x09-\\x0D]+"
 ROWS_PER_BATCH = 1000
-BYTES_PER_BATCH = 32 << 20
+BYTES_PER_BATCH = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

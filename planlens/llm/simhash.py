@@ -30,7 +30,7 @@ EDGES = (0, 13, 26, 39, 52, 64)
 SEGMENTS = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(EDGES, EDGES[1:])]
 #: Sizes of the counters that set the order of shingles in prefixes, in a task, from a task, in all; the links do not
 #: depend on it.
-HELD_SHINGLES, TASK_SHINGLES, COMMON_SHINGLES = 1 << 20, 50_000, 200_000
+HELD_SHINGLES, TASK_SHINGLES, COMMON_SHINGLES = 1 << 19, 50_000, 200_000
 #: Segments of the longest chain that is tested before the whole distance.
 CHAIN = 4
 
@@ -136,14 +136,28 @@ def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     order of shingles; any order gives the same links, this one keeps the buckets small."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for b in batches:
-            sets = [np.unique(shingle_hashes((t or b"").lower().split(), size)) for t in _texts(b, 0)]
-            new, back = np.unique(np.concatenate([keys, *sets]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, np.ones(len(back) - len(keys), np.int64)]), len(new)).astype(np.int64)
-            keys = new
+        held: list[np.ndarray] = []
+
+        def merge() -> None:
+            nonlocal keys, counts
+            new, back = np.unique(np.concatenate([keys, *held]), return_inverse=True)
+            added = np.ones(len(back), np.int64)
+            added[:len(keys)] = counts
+            keys, counts = new, np.bincount(back, added, len(new)).astype(np.int64)
+            held.clear()
             if len(keys) > HELD_SHINGLES:  # the rare ones go, as from a counter of fixed size
                 keep = np.sort(np.argsort(-counts, kind="stable")[:HELD_SHINGLES // 2])
                 keys, counts = keys[keep], counts[keep]
+
+        size_held = 0
+        for b in batches:
+            for t in _texts(b, 0):
+                held.append(np.unique(shingle_hashes((t or b"").lower().split(), size)))
+                size_held += len(held[-1])
+                if size_held > HELD_SHINGLES // 2:
+                    merge()
+                    size_held = 0
+        merge()
         keep = np.argsort(-counts, kind="stable")[:TASK_SHINGLES]
         keep = keep[counts[keep] > 1]
         yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], ["k", "c"])
