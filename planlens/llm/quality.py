@@ -22,6 +22,8 @@ BUCKETS, RANK = 1 << 14, 8
 FIT_ROWS, EPOCHS, STEP_ROWS = 8_000, 8, 64
 RATE, DECAY = 0.2, 1e-5
 THRESHOLD = 0.3
+#: Words whose buckets a task remembers at a time.
+KNOWN_WORDS = 100_000
 SCORE = "__quality"
 STRUCTURE = 16
 FEATURES = BUCKETS + STRUCTURE
@@ -52,7 +54,7 @@ def features(text: bytes | None, known: dict[bytes, int]) -> tuple[np.ndarray, n
     text = text or b""
     words = text.split()
     counts = Counter(text.lower().split())
-    if len(known) > 500_000:
+    if len(known) > KNOWN_WORDS:
         known.clear()
     at = np.empty(len(counts), np.int64)
     for i, x in enumerate(counts):
