@@ -281,9 +281,9 @@ def prefix_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): links among the distinct texts of ``rows`` (doc_id, node, text), where node stands for the text, that
     join exactly the texts which a chain of pairs with the similarity joins.
 
-    Two such texts share a part of their prefixes.  First each text meets the leader of most of its buckets, then those
-    of the others that are not yet in its group, which joins dense groups by few pairs.  Then the other pairs of a bucket
-    that are not yet in one group are compared, so nothing rests on the leaders.  Of the first part that a pair shares,
+    Two such texts share a part of their prefixes.  First each text meets the leader of most of its buckets, which joins
+    dense groups by few pairs.  Then the leaders of the others and the other pairs of a bucket are compared where they are
+    not yet in one group, so nothing rests on the leaders.  Of the first part that a pair shares,
     what stands behind it on both sides has to hold the overlap; so the smaller text has it among its first n (1 - s) / (1 + s)
     shingles, where common ones do not stand.  A pair passes the pigeonring filter on fingerprints, then the sets decide.
     """
@@ -291,10 +291,10 @@ def prefix_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     live = written(_buckets(marks), "live")
     check = lambda pairs: written(_alike(pairs, marks, rows, shingle, similarity), "links")
     links = check(live.groupBy("node").agg(F.mode("leader", deterministic=True).alias("b")).select(F.col("node").alias("a"), "b"))
-    roots = components(links)
+    roots = written(components(links), "roots")
     met = _with_root(_with_root(live.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), roots, "a", "ra"), roots, "b", "rb")
-    links = written(links.unionByName(check(met.filter("ra <> rb").select("a", "b"))), "links")
-    rooted = _with_root(live, components(links), "node", "root").drop("leader")
+    met = met.filter("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rooted = _with_root(live, roots, "node", "root").drop("leader")
     share = similarity / (1 + similarity)
     small = F.col("n") - F.col("pos") >= 2 * share * F.col("n") - 1e-6
     groups = rooted.groupBy("part").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max(small).alias("any")).filter("x < y and any").select("part")
@@ -303,8 +303,8 @@ def prefix_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     b = rooted.filter(small).select("part", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
     room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= share * (F.col("n_a") + F.col("n_b")) - 1e-6
     apart = a.join(b, "part").filter((F.col("root_a") != F.col("root_b")) & (F.col("n_a") >= F.col("n_b")) & room)
-    apart = apart.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    return links.unionByName(check(apart))
+    apart = apart.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return links.unionByName(check(apart.unionByName(met).distinct()))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
