@@ -423,13 +423,14 @@ def _(t):
     return G.missing_buildings(*register_inputs(t))
 
 
-LINES = "SELECT l_suppkey AS organization_oid, upper(p_brand) || ' «' || p_type || '»' AS nm, lower(p_brand || '_' || p_type) AS k, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE CAST(l_linenumber AS VARCHAR) END AS b FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 9 <> 0"
+LINES = "SELECT l_suppkey AS organization_oid, upper(p_brand) || ' «' || p_type || '»' AS nm, lower(p_brand || '_' || p_type) AS k, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE CAST(l_linenumber AS VARCHAR) END AS b, l_orderkey * 100 + l_linenumber AS row_no, 'House ' || l_quantity::INT AS bn, l_partkey || ' Main St' AS ba FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 9 <> 0"
 
 
 def interval_inputs(t):
     name = F.concat(F.upper("p_brand"), F.lit(" «"), "p_type", F.lit("»"))
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_suppkey").alias("organization_oid"), name.alias("document_type_name"), F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.col("l_linenumber").cast("string")).alias("building_id"), F.lit(1).alias("document_count"))
+        F.col("l_suppkey").alias("organization_oid"), name.alias("document_type_name"), F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.col("l_linenumber").cast("string")).alias("building_id"), F.lit(1).alias("document_count"),
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row_no"), F.concat(F.lit("House "), F.col("l_quantity").cast("int")).alias("building_name"), F.concat("l_partkey", F.lit(" Main St")).alias("building_address"))
     aliases = t.part.filter("p_type <> 'PROMO'").select(F.concat_ws(" ", "p_brand", "p_type").alias("alias"), F.concat_ws("/", "p_brand", "p_type").alias("type_id")).distinct()
     who = t.supplier.filter("s_suppkey % 9 <> 0").select(F.col("s_suppkey").alias("organization_oid"))
     return rows, who, who.filter("organization_oid % 10 <> 0"), aliases, name_key
@@ -441,10 +442,12 @@ def _(t):
     return out.select("organization_oid", F.upper(F.split("type_id", "/")[0]).alias("brand"), F.split("type_id", "/")[1].alias("part_type"), "document_count")
 
 
-@query("ind22_building_facts", f"SELECT organization_oid, b AS building_id, split_part(nm, ' ', 1) AS brand, split_part(split_part(nm, '«', 2), '»', 1) AS part_type, count(*) AS document_count FROM ({LINES}) WHERE organization_oid % 10 <> 0 AND nm NOT LIKE '%PROMO%' AND b <> '' GROUP BY 1, 2, 3, 4")
+@query("ind22_building_facts", f"SELECT organization_oid, b AS building_id, split_part(nm, ' ', 1) AS brand, split_part(split_part(nm, '«', 2), '»', 1) AS part_type, count(*) AS document_count, arg_min(bn, (row_no, bn, ba)) AS building_name, arg_min(ba, (row_no, bn, ba)) AS building_address FROM ({LINES}) WHERE organization_oid % 10 <> 0 AND nm NOT LIKE '%PROMO%' AND b <> '' GROUP BY 1, 2, 3, 4")
 def _(t):
-    out = G.aggregate_interval(*interval_inputs(t), by_building=True)
-    return out.select("organization_oid", "building_id", F.upper(F.split("type_id", "/")[0]).alias("brand"), F.split("type_id", "/")[1].alias("part_type"), "document_count")
+    rows, *others = interval_inputs(t)
+    ordered = rows.withColumn("row_no", F.struct("row_no", "building_name", "building_address"))  # a line number may occur twice in an order
+    out = G.aggregate_interval(ordered, *others, by_building=True, order_by="row_no")
+    return out.select("organization_oid", "building_id", "building_name", "building_address", F.upper(F.split("type_id", "/")[0]).alias("brand"), F.split("type_id", "/")[1].alias("part_type"), "document_count")
 
 
 @query("ind22_unmatched", f"SELECT DISTINCT 'organization' AS kind, CAST(organization_oid AS VARCHAR) AS value FROM ({LINES}) WHERE organization_oid % 10 = 0 UNION ALL SELECT DISTINCT 'document_type', nm FROM ({LINES}) WHERE organization_oid % 10 <> 0 AND nm LIKE '%PROMO%'")

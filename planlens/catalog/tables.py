@@ -14,6 +14,7 @@ from ..operators import joins as J
 from ..operators import predicates as P
 from ..operators import projection as R
 from ..operators import ranking as K
+from ..operators.ordered import row_numbers
 from ..session import shared_folder
 from ..sources import readers, sinks
 from .base import query
@@ -730,17 +731,31 @@ def _(t):
     return K.page(R.project_joined(_clinical(t), cols), "lineitem.l_quantity", "asc", 40, 20, cols[:2])
 
 
-@query("srt3_rank_orgs", "SELECT s_name AS organization_name, s_acctbal / 80 AS fact_value FROM supplier WHERE s_suppkey % 5 <> 0 AND s_acctbal / 80 >= 100")
+def _placed(t, ordered):
+    """The rows of an ordered table with their place in it, as the operator left them: written in that order, then numbered."""
+    kept = sinks.stage(ordered.withColumn("__at", F.monotonically_increasing_id()), _roundtrip(t, ordered, "ordered"))
+    return row_numbers(kept, ["__at"], out="place").drop("__at")
+
+
+@query("srt3_rank_orgs", "SELECT s_name AS organization_name, s_acctbal / 80 AS fact_value, row_number() OVER (ORDER BY s_acctbal / 80 DESC, s_name) AS place FROM supplier WHERE s_suppkey % 5 <> 0 AND s_acctbal / 80 >= 100")
+def _(t):
+    d = t.supplier.select(F.col("s_name").alias("organization_name"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal") / 80).alias("fact_value"))
+    return _placed(t, K.rank_orgs(d, "desc", "performed"))
+
+
+@query("srt3_rank_orgs_ascending", "SELECT s_name AS organization_name, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal / 80 END AS fact_value, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal / 80 END NULLS LAST, s_name) AS place FROM supplier")
 def _(t):
     d = t.supplier.select(F.col("s_name").alias("organization_name"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal") / 80).alias("fact_value"))
-    return K.rank_orgs(d, "desc", "performed")
+    return _placed(t, K.rank_orgs(d, "asc"))
 
 
-@query("srt4_rank_types", "SELECT p_partkey AS code, p_size % 4 = 0 AS is_problem FROM part")
+@query("srt4_rank_types", """
+SELECT p_partkey AS code, p_size % 4 = 0 AS is_problem, row_number() OVER (ORDER BY CASE WHEN p_size % 4 = 0 THEN 0 WHEN p_size % 5 = 0 THEN 1 WHEN p_size % 3 = 0 THEN 2 WHEN p_size % 7 = 0 THEN 4 ELSE 3 END, p_partkey) AS place FROM part""")
 def _(t):
     d = t.part.select(F.col("p_partkey").alias("code"), (F.col("p_size") % 4 == 0).alias("is_problem"), (F.col("p_size") % 5 == 0).alias("is_manual"),
-                      F.when(F.col("p_size") % 3 == 0, "required").otherwise("unknown").alias("requirement_status"))
-    return K.rank_types(d.withColumn("code", F.col("code").cast("string")), "code").select(F.col("code").cast("long").alias("code"), "is_problem")
+                      F.when(F.col("p_size") % 3 == 0, "required").when(F.col("p_size") % 7 == 0, "optional").otherwise("unknown").alias("requirement_status"))
+    out = K.rank_types(d.withColumn("code", F.col("code").cast("string")), "code")
+    return _placed(t, out.select(F.col("code").cast("long").alias("code"), "is_problem"))
 
 
 @query("srt5_top_k", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 10")
@@ -748,12 +763,16 @@ def _(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(10)
 
 
-@query("srt6_list_findings", "SELECT o_orderkey AS finding_id, o_orderpriority AS type_name FROM orders WHERE year(o_orderdate) = 1996 AND o_orderstatus = 'F'")
+@query("srt6_list_findings", """
+SELECT o_orderkey AS finding_id, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderpriority END AS type_name,
+ row_number() OVER (ORDER BY CASE WHEN o_totalprice > 300000 THEN 0 WHEN o_totalprice > 150000 THEN 1 ELSE 2 END, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderpriority END NULLS FIRST, o_orderdate, o_orderkey) AS place
+FROM orders WHERE year(o_orderdate) = 1996 AND o_orderstatus = 'F'""")
 def _(t):
+    severity = F.when(F.col("o_totalprice") > 300000, "error").when(F.col("o_totalprice") > 150000, "warning").otherwise("info")
     d = t.orders.select(F.col("o_orderkey").alias("finding_id"), F.year("o_orderdate").cast("string").alias("period_id"), (F.col("o_orderstatus") == "F").alias("is_active"),
-                        F.col("o_custkey").alias("organization_oid"), F.when(F.col("o_totalprice") > 300000, "critical").otherwise("info").alias("severity"),
-                        F.col("o_orderpriority").alias("type_name"), F.col("o_orderdate").alias("created_at"))
-    return K.list_findings(d, "1996").select("finding_id", "type_name")
+                        F.col("o_custkey").alias("organization_oid"), severity.alias("severity"),
+                        F.when(F.col("o_orderkey") % 6 != 0, F.col("o_orderpriority")).alias("type_name"), F.col("o_orderdate").alias("created_at"))
+    return _placed(t, K.list_findings(d, "1996").select("finding_id", "type_name"))
 
 
 # --- sets -------------------------------------------------------------------------------------

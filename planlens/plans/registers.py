@@ -73,15 +73,19 @@ def _matched(rows: DataFrame, targets: DataFrame, active: DataFrame, aliases: Da
 
 
 def aggregate_interval(rows: DataFrame, targets: DataFrame, active: DataFrame, aliases: DataFrame, name_key: Callable[[Column], Column],
-                       by_building: bool = False) -> DataFrame:
+                       by_building: bool = False, order_by: str | None = None) -> DataFrame:
     """Documents per (organization, type) or (organization, building, type); a row without building is not a building.
 
+    A building keeps the name and address of its first row in ``order_by``, or of the least pair without an order.
     A function of one batch, so a streaming ``foreachBatch`` can call it as well.
     """
     m = _matched(rows, targets, active, aliases, name_key).filter("__active AND type_id IS NOT NULL")
     if not by_building:
         return m.groupBy("organization_oid", "type_id").agg(F.sum("document_count").alias("document_count"))
-    return m.filter("building_id <> ''").groupBy("organization_oid", "building_id", "type_id").agg(F.sum("document_count").alias("document_count"))
+    about = F.struct(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("building_name", "building_address")])
+    first = F.min(about) if order_by is None else F.min_by(about, order_by)
+    sums = m.filter("building_id <> ''").groupBy("organization_oid", "building_id", "type_id").agg(F.sum("document_count").alias("document_count"), first.alias("about"))
+    return sums.select("organization_oid", "building_id", "about.building_name", "about.building_address", "type_id", "document_count")
 
 
 def unmatched(rows: DataFrame, targets: DataFrame, active: DataFrame, aliases: DataFrame, name_key: Callable[[Column], Column]) -> DataFrame:
