@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import rnd
@@ -118,6 +120,26 @@ def _(t):
     return rounded(P.column_stats(nulled(t), ["a", "b"]), 6, "mean", "std", "median")
 
 
+def upper_tail(density, lo, sides=1):
+    """Area under ``density`` of x from ``lo`` on, by Simpson's rule in s = (x - lo) / (1 + x - lo)."""
+    return (f"round(least(1, {sides} * (SELECT sum((CASE WHEN i = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({density}) / pow(1 - s, 2)) / 12000 "
+            f"FROM (SELECT i, i / 4000.0 AS s, greatest(({lo}) + (i / 4000.0) / (1 - i / 4000.0), 1e-300) AS x FROM (SELECT unnest(range(4000)) AS i)))), 7)")
+
+
+def with_p(sql, density, lo, sides=1):
+    """``sql`` with a p-value of its figures before they are rounded."""
+    digits = re.findall(r", (\d+)\) AS (stat|z|df|r)\b", sql)
+    exact = re.sub(r", \d+\) AS (stat|z|df|r)\b", r", 14) AS \1", sql)
+    shown = ", ".join(f"round({c}, {d}) AS {c}" for d, c in digits)
+    return f"SELECT *{f' REPLACE ({shown})' if digits else ''} FROM (SELECT q.*, {upper_tail(density, lo, sides)} AS p_value FROM ({exact}) q)"
+
+
+NORMAL = "exp(-x * x / 2) / sqrt(2 * pi())"
+STUDENT = "exp(lgamma((DF + 1) / 2) - lgamma(DF / 2)) / sqrt(DF * pi()) * pow(1 + x * x / DF, -(DF + 1) / 2)"
+CHI2 = "exp((DF / 2 - 1) * ln(x) - x / 2 - DF / 2 * ln(2) - lgamma(DF / 2))"
+FISHER_F = "exp(lgamma((D1 + D2) / 2) - lgamma(D1 / 2) - lgamma(D2 / 2) + D1 / 2 * ln(D1 / D2) + (D1 / 2 - 1) * ln(x) - (D1 + D2) / 2 * ln(1 + D1 * x / D2))"
+
+
 def pair_sql(cols, template):
     import itertools
     return " UNION ALL ".join(template.format(a=a, b=b) for a, b in itertools.combinations(cols, 2))
@@ -141,9 +163,12 @@ def _(t):
     return rounded(S.spearman_matrix(t.lineitem, LI), 8, "r")
 
 
-@query("sta10_corr_pvalues")
+CORR = pair_sql(LI, "SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS r, count(*) AS n FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
+
+
+@query("sta10_corr_pvalues", "SELECT * REPLACE (round(r, 8) AS r) FROM (" + with_p(CORR, STUDENT.replace("DF", "(q.n - 2)::DOUBLE"), "abs(q.r) * sqrt((q.n - 2) / (1 - q.r * q.r))", 2) + ")")
 def _(t):
-    return S.corr_pvalues(S.pearson_matrix(t.lineitem, LI))
+    return rounded(rounded(S.corr_pvalues(S.pearson_matrix(t.lineitem, LI)), 8, "r"), 7, "p_value")
 
 
 CHI = """SELECT '{a}' AS col_a, '{b}' AS col_b, CAST(any_value(n) AS BIGINT) AS n, RESULT FROM (
@@ -201,46 +226,46 @@ def _(t):
     return statistics(S.pvalue_matrix(nulled(t)))
 
 
-@query("sta15_mann_whitney", f"""
+@query("sta15_mann_whitney", with_p(f"""
 WITH x AS {RANKED.format(v='a', g='s', src=NULLED)}, g AS (SELECT min(g) AS g1 FROM x), q AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (g = g1)::DOUBLE AS n1, sum(r) FILTER (g = g1) AS r1, sum(t * t - 1)::DOUBLE AS ties FROM x, g),
  u AS (SELECT *, n - n1 AS n2, least(r1 - n1 * (n1 + 1) / 2, n1 * (n - n1) - r1 + n1 * (n1 + 1) / 2) AS u FROM q)
-SELECT 'a' AS col_a, 's' AS col_b, n::BIGINT AS n, u AS stat, round(-(abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM u""")
+SELECT 'a' AS col_a, 's' AS col_b, n::BIGINT AS n, u AS stat, round(-(abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM u""", NORMAL, 'abs(q.z)', 2))
 def _(t):
-    return rounded(S.mann_whitney(nulled(t), [("a", "s")]), 6, "z").drop("p_value")
+    return rounded(rounded(S.mann_whitney(nulled(t), [("a", "s")]), 6, "z"), 7, "p_value")
 
 
-@query("sta15_mann_whitney_plain", f"""
+@query("sta15_mann_whitney_plain", with_p(f"""
 WITH x AS {RANKED.format(v='a', g='s', src=NULLED)}, g AS (SELECT min(g) AS g1 FROM x), q AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (g = g1)::DOUBLE AS n1, sum(r) FILTER (g = g1) AS r1 FROM x, g),
  u AS (SELECT *, n - n1 AS n2, least(r1 - n1 * (n1 + 1) / 2, n1 * (n - n1) - r1 + n1 * (n1 + 1) / 2) AS u FROM q)
-SELECT 'a' AS col_a, 's' AS col_b, n::BIGINT AS n, u AS stat, round((u - n1 * n2 / 2) / sqrt(n1 * n2 * (n + 1) / 12), 6) AS z FROM u""")
+SELECT 'a' AS col_a, 's' AS col_b, n::BIGINT AS n, u AS stat, round((u - n1 * n2 / 2) / sqrt(n1 * n2 * (n + 1) / 12), 6) AS z FROM u""", NORMAL, 'abs(q.z)', 2))
 def _(t):
-    return rounded(S.mann_whitney(nulled(t), [("a", "s")], corrected=False), 6, "z").drop("p_value")
+    return rounded(rounded(S.mann_whitney(nulled(t), [("a", "s")], corrected=False), 6, "z"), 7, "p_value")
 
 
-@query("sta16_kruskal", f"""
+@query("sta16_kruskal", with_p(f"""
 WITH x AS {RANKED.format(v='b', g='f', src=NULLED)}, g AS (SELECT g, count(*)::DOUBLE AS n, sum(r) AS s FROM x GROUP BY 1), q AS (SELECT count(*)::DOUBLE AS n, sum(t * t - 1)::DOUBLE AS ties FROM x)
-SELECT 'b' AS col_a, 'f' AS col_b, any_value(q.n)::BIGINT AS n, count(*) AS groups, round((12 / (any_value(q.n) * (any_value(q.n) + 1)) * sum(s * s / g.n) - 3 * (any_value(q.n) + 1)) / (1 - any_value(ties) / (pow(any_value(q.n), 3) - any_value(q.n))), 4) AS stat, count(*) - 1 AS df FROM g, q""")
+SELECT 'b' AS col_a, 'f' AS col_b, any_value(q.n)::BIGINT AS n, count(*) AS groups, round((12 / (any_value(q.n) * (any_value(q.n) + 1)) * sum(s * s / g.n) - 3 * (any_value(q.n) + 1)) / (1 - any_value(ties) / (pow(any_value(q.n), 3) - any_value(q.n))), 4) AS stat, count(*) - 1 AS df FROM g, q""", CHI2.replace('DF', 'q.df::DOUBLE'), 'q.stat', 1))
 def _(t):
-    return rounded(S.kruskal(nulled(t), [("b", "f")]), 4, "stat").drop("p_value")
+    return rounded(rounded(S.kruskal(nulled(t), [("b", "f")]), 4, "stat"), 7, "p_value")
 
 
-@query("sta17_welch", f"""
+@query("sta17_welch", with_p(f"""
 WITH g AS (SELECT s, count(*) AS n, avg(a) AS m, var_samp(a) AS v FROM {NULLED} WHERE a IS NOT NULL AND s IS NOT NULL GROUP BY 1), p AS (SELECT x.n AS n1, x.m AS m1, x.v / x.n AS a, y.n AS n2, y.m AS m2, y.v / y.n AS b FROM g x, g y WHERE x.s < y.s)
-SELECT 'a' AS col_a, 's' AS col_b, n1 + n2 AS n, round((m1 - m2) / sqrt(a + b), 6) AS stat, round((a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)), 4) AS df FROM p""")
+SELECT 'a' AS col_a, 's' AS col_b, n1 + n2 AS n, round((m1 - m2) / sqrt(a + b), 6) AS stat, round((a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)), 4) AS df FROM p""", STUDENT.replace('DF', 'q.df'), 'abs(q.stat)', 2))
 def _(t):
-    return rounded(rounded(S.welch(nulled(t), [("a", "s")]), 6, "stat"), 4, "df").drop("p_value")
+    return rounded(rounded(rounded(S.welch(nulled(t), [("a", "s")]), 6, "stat"), 4, "df"), 7, "p_value")
 
 
-@query("sta17_anova", f"""
+@query("sta17_anova", with_p(f"""
 WITH d AS (SELECT b, f FROM {NULLED} WHERE b IS NOT NULL AND f IS NOT NULL), g AS (SELECT f, count(*) AS n, avg(b) AS m, var_samp(b) * (count(*) - 1) AS w FROM d GROUP BY 1), k AS (SELECT avg(b) AS gm FROM d)
-SELECT 'b' AS col_a, 'f' AS col_b, CAST(sum(n) AS BIGINT) AS n, count(*) AS groups, round((sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 6) AS stat FROM g, k""")
+SELECT 'b' AS col_a, 'f' AS col_b, CAST(sum(n) AS BIGINT) AS n, count(*) AS groups, round((sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 6) AS stat FROM g, k""", FISHER_F.replace('D1', '(q.groups - 1)::DOUBLE').replace('D2', '(q.n - q.groups)::DOUBLE'), 'q.stat', 1))
 def _(t):
-    return rounded(S.anova(nulled(t), [("b", "f")]), 6, "stat").drop("p_value")
+    return rounded(rounded(S.anova(nulled(t), [("b", "f")]), 6, "stat"), 7, "p_value")
 
 
-@query("sta18_chi2", CHI.replace("SRC", NULLED).replace("RESULT", "round(sum((o - e) * (o - e) / e), 4) AS stat, any_value((nr - 1) * (nc - 1)) AS df").format(a="f", b="g"))
+@query("sta18_chi2", with_p(CHI.replace("SRC", NULLED).replace("RESULT", "round(sum((o - e) * (o - e) / e), 4) AS stat, any_value((nr - 1) * (nc - 1)) AS df").format(a="f", b="g"), CHI2.replace('DF', 'q.df::DOUBLE'), 'q.stat', 1))
 def _(t):
-    return rounded(S.chi2_or_fisher(nulled(t), [("f", "g")]), 4, "stat").select("col_a", "col_b", "n", "stat", "df")
+    return rounded(rounded(S.chi2_or_fisher(nulled(t), [("f", "g")]), 4, "stat"), 7, "p_value").select("col_a", "col_b", "n", "stat", "df", "p_value")
 
 
 LOG_HYPER = "lgamma(c1 + 1) - lgamma(k + 1) - lgamma(c1 - k + 1) + lgamma(n - c1 + 1) - lgamma(r1 - k + 1) - lgamma(n - c1 - r1 + k + 1) - (lgamma(n + 1) - lgamma(r1 + 1) - lgamma(n - r1 + 1))"
@@ -258,17 +283,17 @@ def _(t):
 KENDALL = """WITH c AS (SELECT {a} AS x, {b} AS y, count(*)::DOUBLE AS c FROM {src} GROUP BY 1, 2), n AS (SELECT sum(c) AS m, sum(c * (c - 1) / 2) AS bo FROM c),
  p AS (SELECT sum(l.c * r.c) FILTER ((l.x - r.x) * (l.y - r.y) > 0) AS con, sum(l.c * r.c) FILTER ((l.x - r.x) * (l.y - r.y) < 0) AS dis FROM c l JOIN c r ON l.x < r.x),
  a AS (SELECT sum(t * (t - 1) / 2) AS ta FROM (SELECT sum(c) AS t FROM c GROUP BY x)), b AS (SELECT sum(t * (t - 1) / 2) AS tb FROM (SELECT sum(c) AS t FROM c GROUP BY y))
-SELECT m::BIGINT AS n_used, con AS concordant, dis AS discordant, ta - bo AS ties_a, tb - bo AS ties_b, round((con - dis) / sqrt((m * (m - 1) / 2 - ta + bo) * (m * (m - 1) / 2 - tb + bo)), 8) AS tau FROM n, p, a, b"""
+SELECT m::BIGINT AS n_used, con AS concordant, dis AS discordant, ta - bo AS ties_a, tb - bo AS ties_b, round(abs(con - dis) / sqrt(m * (m - 1) * (2 * m + 5) / 18), 6) AS z, round((con - dis) / sqrt((m * (m - 1) / 2 - ta + bo) * (m * (m - 1) / 2 - tb + bo)), 8) AS tau FROM n, p, a, b"""
 
 
-@query("sta19_kendall_exact", KENDALL.format(a="l_quantity", b="l_discount", src="lineitem"))
+@query("sta19_kendall_exact", with_p(KENDALL.format(a="l_quantity", b="l_discount", src="lineitem"), NORMAL, "q.z", 2))
 def _(t):
-    return rounded(S.kendall(t.lineitem, "l_quantity", "l_discount"), 8, "tau").drop("z", "p_value")
+    return rounded(S.kendall(t.lineitem, "l_quantity", "l_discount"), 8, "tau").transform(lambda d: rounded(rounded(d, 6, "z"), 7, "p_value"))
 
 
-@query("sta19_kendall_continuous", KENDALL.format(a="o_totalprice", b="o_custkey", src="orders"))
+@query("sta19_kendall_continuous", with_p(KENDALL.format(a="o_totalprice", b="o_custkey", src="orders"), NORMAL, "q.z", 2))
 def _(t):
-    return rounded(S.kendall(t.orders, "o_totalprice", "o_custkey"), 8, "tau").drop("z", "p_value")
+    return rounded(S.kendall(t.orders, "o_totalprice", "o_custkey"), 8, "tau").transform(lambda d: rounded(rounded(d, 6, "z"), 7, "p_value"))
 
 
 JB = """SELECT '{c}' AS "column", n, round(s, 6) AS skewness, round(k, 6) AS kurtosis, round(n / 6 * (s * s + k * k / 4), 3) AS stat, exp(-n / 12 * (s * s + k * k / 4)) >= 0.05 AS is_normal
