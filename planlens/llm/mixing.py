@@ -7,30 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from planlens.llm.common import WORD, text_batches, written
+from planlens.llm.common import WORD, spread, text_batches, written
 from planlens.operators.ordered import scan
 
 BLOCK, SHARD_SLOTS, SEED = 256, 4096, 11
+RUN, TASK_SLOTS = 4096, 1 << 20
 WEIGHTS, MOST = (5, 2, 1), 3
 
 
-def targets(sizes: np.ndarray, weights: np.ndarray, most: float = MOST) -> np.ndarray:
-    """Shares of all sizes by weight; what a share has above ``most`` times its size goes to the others by weight."""
-    out, held = np.zeros(len(sizes)), np.zeros(len(sizes), bool)
-    while not held.all():
-        level = (sizes.sum() - most * sizes[held].sum()) / weights[~held].sum()
-        out = np.where(held, most * sizes, level * weights)
-        over = ~held & (out > most * sizes)
-        if not over.any():
-            return out
-        held |= over
-    return most * sizes.astype(float)
-
-
 def permuted(at: np.ndarray, size: int, key: int) -> np.ndarray:
     """A pseudorandom permutation of 0 .. size - 1: four Feistel rounds, walked until the index is below size."""
     half = max(1, (int(size - 1).bit_length() + 1) // 2)
@@ -54,63 +42,98 @@ def _rows(docs: DataFrame) -> DataFrame:
                        F.xxhash64(text).alias("mark")).withColumn("order", F.xxhash64("doc_id", F.lit(SEED), "mark"))
 
 
-def _plan(rows: DataFrame, block: int) -> dict[str, np.ndarray]:
-    """One entry per source, by code point, null last.  The sources are those of a mix: a list that fits a page."""
-    found = sorted(((r[0], int(r[1])) for r in rows.groupBy("source").agg(F.sum("size")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    size = np.array([n for _, n in found], np.int64)
-    weight = np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))], float)
-    blocks = -(-size // block)
-    target = targets(size, weight) if len(found) else np.zeros(0)
-    want = np.where(size > 0, target * blocks / np.maximum(size, 1), 0.0)
-    return {"name": np.array([x for x, _ in found], object), "size": size, "target": target, "blocks": blocks, "want": want}
+def _level(sources: DataFrame) -> float:
+    """The target of a weight of 1, once sources that would pass ``MOST`` times their size stop there.
+
+    Each round is one aggregate over the sources; the level only rises, so the stopped ones stay stopped.
+    """
+    level, stopped = 0.0, -1
+    while True:
+        over = MOST * F.col("size") < F.lit(level) * F.col("weight")
+        r = sources.agg(F.sum("size").alias("all"), F.sum(F.when(over, F.col("size")).otherwise(0)).alias("held"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("free"), F.count_if(over).alias("n")).first()
+        if r["n"] == stopped or not r["free"]:
+            return level
+        level, stopped = (r["all"] - MOST * r["held"]) / r["free"], r["n"]
 
 
-def _slots(spark: SparkSession, plan: dict[str, np.ndarray], seed: int) -> DataFrame:
-    """(s int, block long, times long): how often the mix takes each block that it takes.
+def _sources(rows: DataFrame, block: int, seed: int) -> DataFrame:
+    """(name, s, size, blocks, target, due) of each source, numbered by code point, null last.
 
-    Each shard of the output draws its counts by itself: of the slots a source is due there, the whole ones are
-    fixed, and the fractions of all sources together are drawn from a multinomial.  A source's slots are numbered over the
-    shards; the number gives the pass over its blocks and the place in that pass's permutation.
+    ``due``: the slots of the mix that are its own, its target in blocks; of the fractions the running sum decides, in
+    whole numbers, so that all sources together get what they are due.  Nothing of it passes through the driver but sums.
     """
-    want, blocks = plan["want"], plan["blocks"]
-    shards = max(1, int(np.ceil(want.sum() / SHARD_SLOTS)))
-    fixed, part = np.floor(want / shards).astype(np.int64), want / shards - np.floor(want / shards)
+    found = rows.groupBy("source").agg(F.sum("size").alias("size")).withColumnsRenamed({"source": "name"})
+    found = written(found.withColumns({"nil": F.col("name").isNull().cast("int"), "key": F.coalesce("name", F.lit(""))}), "sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("s") % len(WEIGHTS) + 1).cast("int"))
+    ranked = scan(found, {"s": ("count", F.lit(1))}, ["nil", "key"]).withColumn("s", F.col("s").cast("long") - 1).withColumn("weight", weight)
+    ranked = written(ranked.drop("nil", "key"), "ranked")
+    target = F.least(F.lit(_level(ranked)) * F.col("weight"), MOST * F.col("size").cast("double"))
+    blocks = F.ceil(F.col("size") / block).cast("long")
+    want = F.when(F.col("size") > 0, F.least(F.col("target") * F.col("blocks") / F.col("size"), MOST * F.col("blocks").cast("double"))).otherwise(0.0)
+    unit = 1 << 32
+    parts = (ranked.withColumn("target", target).withColumn("blocks", blocks).withColumn("want", want).withColumn("whole", F.floor("want").cast("long"))
+             .withColumn("part", F.floor((F.col("want") - F.col("whole")) * unit).cast("long")))
+    run = scan(parts, {"upto": ("sum", F.col("part"))}, ["s"])
+    upto = F.col("upto") + F.lit(seed * 0x9E3779B1 % unit)
+    due = F.least(F.col("whole") + F.shiftright(upto, 32) - F.shiftright(upto - F.col("part"), 32), MOST * F.col("blocks"))
+    return written(run.select("name", "s", "size", "blocks", "target", due.alias("due")), "due")
+
+
+def _slots(sources: DataFrame, seed: int) -> DataFrame:
+    """(shard long, s long, block long) of every slot of the mix.
+
+    Every slot draws its output shard at random, none is fixed: a shard's counts of the sources are a multinomial draw at
+    the mix's shares, given that each source has the slots it is due.  A source's slots are numbered; the number gives
+    the pass over its blocks and the place in that pass's permutation.  Slots are dealt out in runs, so a source that holds
+    a third of the mix is drawn by many tasks.
+    """
+    slots = sources.agg(F.sum("due")).first()[0] or 0
+    shards = max(1, -(-slots // SHARD_SLOTS))
+    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), slots // TASK_SLOTS)
+    runs = sources.filter("due > 0").select("s", "blocks", "due", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("due") - 1) / RUN))).alias("run")).repartition(tasks, "s", "run")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            counts = np.empty((len(ids), len(want)), np.int64)
-            for i, shard in enumerate(ids):
-                rng = np.random.default_rng([seed, int(shard)])
-                n = int(np.floor(part.sum() + rng.random()))
-                counts[i] = fixed + (rng.multinomial(n, part / part.sum()) if n and part.sum() > 0 else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(want))), pa.array(np.tile(np.arange(len(want), dtype=np.int32), len(ids))), pa.array(counts.ravel())], ["shard", "s", "n"])
-
-    counts = written(spark.range(shards).mapInArrow(draw, "shard long, s int, n long"), "counts")
-    numbered = scan(counts, {"begin": ("sum_before", F.col("n"))}, ["shard"], ["s"]).filter("n > 0")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s, n, begin in zip(*(c.to_pylist() for c in b.columns)):
-                j = np.arange(begin or 0, (begin or 0) + n)
-                j = j[j < MOST * blocks[s]]
-                lap, at = j // max(1, int(blocks[s])), j % max(1, int(blocks[s]))
-                out = np.concatenate([permuted(at[lap == e], int(blocks[s]), int(seed + 1009 * s + e)) for e in np.unique(lap)] or [np.empty(0, np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), s, np.int32)), pa.array(out)], ["s", "block"])
+        def batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["shard", "s", "block"])
 
-    return numbered.select("s", "n", "begin").mapInArrow(place, "s int, block long").groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
-
-
-def _drawn(rows: DataFrame, plan: dict[str, np.ndarray], block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+        held, n = [], 0
+        for b in batches:
+            for s, blocks, due, run in zip(*(c.to_pylist() for c in b.columns)):
+                j = np.arange(run * RUN, min(due, (run + 1) * RUN))
+                lap, at = j // blocks, j % blocks
+                block = np.concatenate([permuted(at[lap == e], blocks, seed + 1009 * s + int(e)) for e in np.unique(lap)])
+                held.append((np.random.default_rng([seed, s, run]).integers(shards, size=len(j)), np.full(len(j), s), block))
+                n += len(j)
+                if n >= 1 << 18:
+                    yield batch(held)
+                    held, n = [], 0
+        if held:
+            yield batch(held)
+
+    return runs.mapInArrow(draw, "shard long, s long, block long")
+
+
+def _drawn(rows: DataFrame, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The rows with their source's number ``s`` and place ``begin`` in it, and (…, block, overlap, times) of each block of each row."""
-    spark = rows.sparkSession
-    names = spark.createDataFrame([(x, i, int(n), float(t)) for i, (x, n, t) in enumerate(zip(plan["name"], plan["size"], plan["target"]))], "name string, s int, source_size long, target double")
-    known = rows.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    sources = _sources(rows, block, seed)
+    names = sources.select("name", "s", F.col("size").alias("source_size"), "target")
+    known = rows.join(spread(names), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     placed = scan(known.withColumns({"no_id": F.col("doc_id").isNull().cast("int"), "id": F.coalesce("doc_id", F.lit(0))}), {"begin": ("sum_before", F.col("size"))}, ["order", "no_id", "id", "mark"], ["s"])
     placed = written(placed.withColumn("begin", F.coalesce("begin", F.lit(0))).drop("no_id", "id", "order"), "placed")
     cut = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
     overlap = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
-    return placed, cut.withColumn("overlap", overlap).join(_slots(spark, plan, seed), ["s", "block"], "left")
+    times = _slots(sources, seed).groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
+    return placed, cut.withColumn("overlap", overlap).join(times, ["s", "block"], "left")
+
+
+def shards(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """(shard, source, block, times): the mix as output shards of about ``SHARD_SLOTS`` slots, and how often each takes a block.
+
+    Blocks are numbered inside their source, as ``mix`` cuts them; a null source is one of its own; without words there is no row.
+    """
+    sources = _sources(written(_rows(docs), "sizes"), block, seed)
+    names = sources.select("s", F.col("name").alias("source"))
+    return _slots(sources, seed).groupBy("shard", "s", "block").agg(F.count(F.lit(1)).alias("times")).join(spread(names), "s").select("shard", "source", "block", "times")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -121,8 +144,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     come.  No block is taken more than three times.  The same rows give the same mix.
     """
     rows = written(_rows(docs), "sizes")
-    plan = _plan(rows, block)
-    placed, cut = _drawn(rows, plan, block, seed)
+    placed, cut = _drawn(rows, block, seed)
     taken = cut.groupBy("doc_id", "size", "source_size", "target", "s", "begin").agg(F.sum(F.col("overlap") * F.coalesce("times", F.lit(0))).alias("taken")).drop("s", "begin")
     return taken.unionByName(placed.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
 
@@ -134,7 +156,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     is.  Rows that repeat doc_id and text are one document here.  Documents without words are in no mix.
     """
     rows = written(_rows(docs).dropDuplicates(["doc_id", "mark", "source"]), "sizes")
-    placed, cut = _drawn(rows, _plan(rows, block), block, seed)
+    placed, cut = _drawn(rows, block, seed)
     takes = cut.filter("times > 0").groupBy("doc_id", "mark", "source", "size", "begin").agg(F.sort_array(F.collect_list(F.struct("block", "times"))).alias("takes"))
     takes = takes.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("source").alias("__source"), "size", "begin", "takes")
     text = F.col("text").cast("string")

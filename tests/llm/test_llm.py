@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import struct
 import subprocess
 import sys
 import zlib
@@ -414,33 +415,93 @@ def test_suffix(docs, rows, none, monkeypatch, group_bytes):
         assert suffix.digest_rows(none).count() == 0 and suffix.drop_repeats(none).count() == 0
 
 
-def test_mixing(docs, rows, none):
-    got = mixing.mix(docs, block=8).collect()
-    assert len(got) == len(rows) and Counter((r.doc_id, r.size) for r in got) == Counter((r[0], len(words(r[1]))) for r in rows)
+def mix_by_definition(rows, block, seed):
+    """(taken by row, target and slots by source): order, targets, slots and passes one by one."""
+    size, members = Counter(), {}
+    for r in rows:
+        n = len(words(r[1]))
+        mark = xxhash.xxh64_intdigest((r[1] or "").encode(), 42) if r[1] is not None else 42
+        h = 42 if r[0] is None else xxhash.xxh64_intdigest(struct.pack("<q", r[0]), 42)
+        for part in (struct.pack("<i", seed), struct.pack("<Q", mark)):
+            h = xxhash.xxh64_intdigest(part, h)
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        members.setdefault(r[3], []).append((signed(h), r[0] is None, r[0] or 0, signed(mark), n))
+        size[r[3]] += n
+    names = sorted(members, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    stopped = set()
+    while True:
+        free = sum(weight[s] for s in names if s not in stopped)
+        level = (sum(size.values()) - 3 * sum(size[s] for s in stopped)) / free
+        more = {s for s in names if s not in stopped and level * weight[s] > 3 * size[s]}
+        if not more:
+            break
+        stopped |= more
+    target = {s: 3.0 * size[s] if s in stopped else level * weight[s] for s in names}
+    taken, slots, upto = Counter(), {}, seed * 0x9E3779B1 % 2 ** 32
+    for i, s in enumerate(names):
+        blocks = -(-size[s] // block)
+        want = target[s] * blocks / size[s] if size[s] else 0.0
+        part = int((want - int(want)) * 2 ** 32)
+        slots[s] = int(want) + (upto + part) // 2 ** 32 - upto // 2 ** 32
+        upto += part
+        times = Counter(int(mixing.permuted(np.array([j % blocks]), blocks, seed + 1009 * i + j // blocks)[0]) for j in range(slots[s]))
+        begin = 0
+        for _, no_id, doc_id, _, n in sorted(members[s]):
+            taken[None if no_id else doc_id, n, sum(times[w // block] for w in range(begin, begin + n))] += 1
+            begin += n
+    return taken, target, slots
+
+
+@pytest.mark.parametrize("block", [8, 64])
+def test_mixing(docs, rows, none, block):
+    got = mixing.mix(docs, block=block).collect()
+    want, target, slots = mix_by_definition(rows, block, mixing.SEED)
+    assert Counter((r.doc_id, r.size, r.taken) for r in got) == want
     size = Counter()
     for r in rows:
         size[r[3]] += len(words(r[1]))
-    names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
-    target = dict(zip(names, mixing.targets(np.array([size[s] for s in names]), np.array([(5, 2, 1)[i % 3] for i in range(len(names))], float))))
-    assert abs(sum(target.values()) - sum(size.values())) < 1e-6
-    taken = Counter()
+    assert {(r.source_size, round(r.target, 6)) for r in got} == {(size[s], round(target[s], 6)) for s in size}
+    assert abs(sum(target.values()) - sum(size.values())) < 1e-6 and all(r.taken <= 3 * r.size for r in got)
+    assert all(slots[s] <= 3 * -(-size[s] // block) and abs(slots[s] - target[s] * -(-size[s] // block) / size[s]) < 1 for s in size)
+    if block == 8:
+        assert sorted(map(repr, mixing.mix(docs, block=8).collect())) == sorted(map(repr, got))
+        assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0 and mixing.shards(none).count() == 0
+        mixed = mixing.mixed_documents(docs, block=64)
+        assert mixed.columns == docs.columns
+        whole = {r[0]: r[1] for r in rows}
+        assert all(r.text in whole[r.doc_id] and r.n_chars == len(r.text) for r in mixed.collect())
+
+
+def test_mixing_deals_every_slot_to_a_shard(spark, docs, rows, monkeypatch):
+    """Runs and shards smaller than a source: the slots are those of the definition, and shards hold about their size."""
+    monkeypatch.setattr(mixing, "RUN", 64)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 500)
+    got = mixing.shards(docs, block=1).collect()
+    slots = mix_by_definition(rows, 1, mixing.SEED)[2]
+    of_source, of_shard = Counter(), Counter()
     for r in got:
-        source = next(s for s in names if abs(target[s] - r.target) < 1e-6)
-        assert r.source_size == size[source] and 0 <= r.taken <= 3 * r.size
-        taken[source] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 40 for s in names)
-    assert sorted(map(repr, mixing.mix(docs, block=8).collect())) == sorted(map(repr, got))
-    assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
-    mixed = mixing.mixed_documents(docs, block=64)
-    assert mixed.columns == docs.columns
-    whole = {r[0]: r[1] for r in rows}
-    assert all(r.text in whole[r.doc_id] and r.n_chars == len(r.text) for r in mixed.collect())
-
-
-def test_permutation_and_targets():
+        of_source[r.source] += r.times
+        of_shard[r.shard] += r.times
+    assert of_source == Counter(slots)
+    n = sum(slots.values())
+    assert len(of_shard) == -(-n // 500) and all(abs(k - n / len(of_shard)) < 6 * 500 ** 0.5 for k in of_shard.values())
+    share = slots["s1"] / n
+    per = [sum(r.times for r in got if r.shard == x and r.source == "s1") for x in of_shard]
+    assert all(abs(k - share * n / len(of_shard)) < 6 * 500 ** 0.5 for k in per) and len(set(per)) > 1
+
+
+def test_mixing_of_a_source_per_document(spark):
+    data = [(i, prose(i, 3 + i % 40), f"host{i}") for i in range(300)]
+    want, target, _ = mix_by_definition([(i, t, None, s) for i, t, s in data], 8, mixing.SEED)
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), block=8).collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in got) == want
+    assert abs(sum(r.taken for r in got) - sum(target.values())) < 0.2 * sum(target.values())
+
+
+def test_permutation():
     for n in (1, 2, 3, 7, 64, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
-    assert mixing.targets(np.array([10, 1000, 1000]), np.array([5.0, 2, 1])).tolist() == [30.0, 1980 * 2 / 3, 660.0]
 
 
 def test_quality(spark, none):
