@@ -6,9 +6,11 @@ import random
 import struct
 import subprocess
 import sys
+import textwrap
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -238,6 +240,75 @@ def test_licences(docs, none):
     assert licences.scan(none).count() == 0
 
 
+#: Public notices, as they are wrapped in files, and what must be found.
+NOTICES = {
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+""",
+    "BSD-3-Clause": """Copyright (c) 2020, A. Writer
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+}
+
+
+def wrapped_notice(ids, width, mark, end):
+    """The sentences as paragraphs of short lines behind a comment mark; a colon before a list, stops elsewhere."""
+    out = []
+    for i in ids:
+        text = licences.SENTENCES[i]
+        text += "" if text.endswith(" at") or i.startswith("spdx") else ":" if text.endswith(("conditions", "met", "restrictions")) else "."
+        out += [mark + line for line in textwrap.wrap(text.replace("license v 2.0", "license, v. 2.0"), width)] + ([mark.rstrip()] if text[-1] != "." else [])
+    return end.join(out) + end
+
+
+def test_licences_wrapped(spark):
+    """Public notices as files hold them, and every rule wrapped in lines, in comments, with both kinds of line end."""
+    cases = [(name, text) for name, text in NOTICES.items()]
+    cases += [(name, text.replace("\n", "\r\n")) for name, text in NOTICES.items()]
+    for name, ids in licences.RULES:
+        cases += [(name, wrapped_notice(ids, width, mark, end)) for width, mark, end in ((50, "", "\n"), (30, " * ", "\n"), (60, "// ", "\r\n"), (2000, "", "\n"))]
+    cases.append(("MIT", "int main();\nReleased under the MIT License\nreturn"))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(docs).collect()}
+    assert [(i, name, got[i].licenses) for i, (name, _) in enumerate(cases) if got[i].licenses != name] == []
+    assert all(r.n_unmatched <= (2 if "all rights" in cases[i][1].lower() else 0) for i, r in got.items())
+
+
+def test_licences_sql_agrees_on_odd_texts(spark, docs):
+    r = random.Random(8)
+    bits = ["\n", "\r\n", "\r", " ", "\t", ". ", ".", ":", ":\n", "\n\n", "\n \n", "# ", "// ", " * ", "/* ", "*/", "v. 2.0", "V. ", "été", "\u2028", "\u00a0", "!", "word", "Released under the MIT License", "all rights reserved", "See the GNU General Public License\nfor more details"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(400)]
+    frame = spark.createDataFrame([*enumerate(texts), (500, None)], "doc_id long, text string")
+    with duckdb.connect() as con:
+        con.register("documents", frame.toPandas())
+        want = con.execute(licences.sql()).fetchall()
+    assert Counter(map(tuple, licences.scan(frame).collect())) == Counter(want)
+
+
 def test_language_model(docs, rows, none):
     got = lm.score(docs).collect()
     train, n = Counter(), 0
