@@ -551,7 +551,25 @@ def _(t):
  SELECT organization_oid, type_id, st AS requirement_status, r IS NULL AS missing_rule, coalesce(m = 0 AND o = 0, false) AS closed_world, coalesce(ab AND st = 'not_required', false) AS waived, CASE WHEN r IS NULL THEN 0 WHEN r > 0 THEN r WHEN u > 0 THEN m ELSE n END AS evidence_rules FROM j""")
 def _(t):
     rules, orgs, subs, lists, plan, plan_rules = rule_inputs(t)
-    return A.applicability(t.part.select(F.col("p_brand").alias("type_id")), orgs, A.rule_verdicts(rules, orgs, subs, lists, plan, plan_rules))
+    return A.applicability(t.part.select(F.col("p_brand").alias("type_id")), orgs, rules, A.rule_hits(rules, orgs, subs, lists, plan, plan_rules), plan, plan_rules)
+
+
+@query("ind27_rule_hits", "WITH " + RULES + " SELECT rule_id, organization_oid, type_id, rs AS requirement_status, verdict FROM pa2 WHERE verdict <> 'not_matched'")
+def _(t):
+    return A.rule_hits(*rule_inputs(t))
+
+
+@query("ind27_applicability_cells", "WITH " + RULES + """, g AS (SELECT organization_oid, type_id, count(*) FILTER (verdict = 'matched' AND rs = 'required') AS r, count(*) FILTER (verdict = 'unknown' OR (verdict = 'matched' AND rs = 'unknown')) AS u, count(*) FILTER (verdict = 'matched') AS m,
+ count(*) FILTER (verdict = 'matched' AND rs = 'not_required') AS n FROM pa2 WHERE verdict <> 'not_matched' GROUP BY 1, 2) SELECT organization_oid, type_id, CASE WHEN r > 0 THEN 'required' WHEN u > 0 THEN 'unknown' ELSE 'not_required' END AS requirement_status, CASE WHEN r > 0 THEN r WHEN u > 0 THEN m ELSE n END AS evidence_rules FROM g""")
+def _(t):
+    return A.applicability_cells(A.rule_hits(*rule_inputs(t)))
+
+
+@query("ind27_type_defaults", "WITH " + RULES + """ SELECT b.type_id, CASE WHEN count(rule_id) > 0 THEN 'not_required' ELSE 'unknown' END AS requirement_status, count(rule_id) = 0 AS missing_rule, count(rule_id) > 0 AS closed_world, coalesce(bool_or(ground2 AND coalesce(z, false)), false) AS waivable
+ FROM (SELECT DISTINCT p_brand AS type_id FROM part) b LEFT JOIN ru ON ru.type_id = b.type_id LEFT JOIN zz ON zz.type_id = b.type_id GROUP BY 1""")
+def _(t):
+    rules, _, _, _, _, plan_rules = rule_inputs(t)
+    return A.type_defaults(t.part.select(F.col("p_brand").alias("type_id")), rules, plan_rules)
 
 
 @query("ind28_plan_rule", "WITH " + RULES + " SELECT organization_oid, type_id, ps AS plan_status, listed FROM pv")

@@ -17,11 +17,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import bounded_values
 from ..operators.aggregate import set_diff
 from ..operators.joins import grid
 
 PLAN_GROUND, ENTRY_GROUND = 2, 1  # fixed values: levels of the grounds of a rule
 INPATIENT, DAY, HOSPITAL = "стационарный", "дневн", "стационар"  # fixed values: words in subdivision types
+PLAIN_CODES = ("none", "custom", "inpatient_or_day_hospital", "day_hospital_group")  # fixed values: conditions without a list
 
 
 def norm(c: Column) -> Column:
@@ -75,35 +77,79 @@ def directory_override(comment_lists: DataFrame, directory_lists: DataFrame) ->
 
 
 def rule_verdicts(rules: DataFrame, orgs: DataFrame, subdivisions: DataFrame, rule_lists: DataFrame, plan: DataFrame, plan_rules: DataFrame) -> DataFrame:
-    """(rule, organization): verdict matched / not_matched / unknown and ``plan_absent``.
+    """(rule, organization): verdict matched / not_matched / unknown and ``plan_absent``, one row for every pair.
 
-    The rule table is a small coded workbook; each organization meets each rule once, so the work grows
-    with the organizations.
+    A listing of all pairs is for a coded workbook of at most 10,000 rules; ``rule_hits`` has no limit.
     """
-    dense = orgs.select("organization_oid").distinct().withColumn("rule_id", F.explode(_rule_ids(rules)))
-    r = rules.withColumns({"__type": norm(F.col("subdivision_type")), "__kind": norm(F.col("subdivision_kind"))})
+    pairs = orgs.select("organization_oid").distinct().withColumn("rule_id", F.explode(bounded_values(rules, "rule_id", 10_000)))
+    return _decided(pairs, rules, orgs, subdivisions, rule_lists, plan, plan_rules)
+
+
+def rule_hits(rules: DataFrame, orgs: DataFrame, subdivisions: DataFrame, rule_lists: DataFrame, plan: DataFrame, plan_rules: DataFrame) -> DataFrame:
+    """The rows of ``rule_verdicts`` that are matched or unknown; a pair without a row is not matched.
+
+    The pairs are looked up, not tried: by the subdivision pattern of the rule, by the resolved list of a rule that only its
+    list can match, and by type where the plan requires it.  Organizations never meet the rest of the rules.
+    """
+    known = orgs.select("organization_oid").distinct()
+    coded = _coded(rules).filter("rule_id IS NOT NULL").join(_resolved(rule_lists), "rule_id", "left")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    listed_only = ~F.coalesce(F.col("condition_code").isin(*PLAIN_CODES), F.lit(False)) & ~flag("excludes") & (flag("from_directory") | (flag("has_list") & flag("__resolved")))
+    coded = coded.select("rule_id", "type_id", "__type", "__kind", _on_plan().alias("__plan"), listed_only.alias("__listed_only"))
+    everywhere = known.withColumns({"__type": F.lit(""), "__kind": F.lit("")})
+    patterns = _patterns(_kinds(subdivisions)).select("organization_oid", "__type", "__kind").join(known, "organization_oid", "left_semi").unionByName(everywhere).distinct()
+    pairs = (patterns.join(coded.filter("NOT __listed_only"), ["__type", "__kind"]).select("rule_id", "organization_oid")
+             .unionByName(rule_lists.select("rule_id", "organization_oid").join(coded.filter("__listed_only").select("rule_id"), "rule_id", "left_semi").join(known, "organization_oid", "left_semi"))
+             .unionByName(plan_rule(orgs, plan, plan_rules).filter("plan_status = 'required'").join(coded.filter("__plan"), "type_id").select("rule_id", "organization_oid")).distinct())
+    return _decided(pairs, rules, orgs, subdivisions, rule_lists, plan, plan_rules).filter("verdict <> 'not_matched'").drop("plan_absent")
+
+
+def _coded(rules: DataFrame) -> DataFrame:
+    return rules.withColumns({"__type": norm(F.col("subdivision_type")), "__kind": norm(F.col("subdivision_kind"))})
+
+
+def _kinds(subdivisions: DataFrame) -> DataFrame:
     subs = subdivisions.select("organization_oid", norm(F.col("subdivision_type")).alias("__st"), norm(F.col("subdivision_kind")).alias("__sk"),
                                F.lower(F.concat_ws(" ", "subdivision_kind", "name")).alias("__text"))
     day = F.contains("__text", F.lit(DAY)) & F.contains("__text", F.lit(HOSPITAL))
-    kinds = subs.groupBy("organization_oid", "__st", "__sk").agg(F.bool_or(day).alias("__day"))
-    # each kind satisfies four patterns: exact, any kind, any type, anything; rules then look theirs up by key
+    return subs.groupBy("organization_oid", "__st", "__sk").agg(F.bool_or(day).alias("__day"))
+
+
+def _patterns(kinds: DataFrame) -> DataFrame:
+    """Each kind satisfies four patterns: exact, any kind, any type, anything; rules look theirs up by key."""
     patterns = F.array(*[F.struct(a.alias("__type"), b.alias("__kind")) for a in (F.col("__st"), F.lit("")) for b in (F.col("__sk"), F.lit(""))])
-    has = kinds.select("organization_oid", "__day", F.inline(patterns)).groupBy("organization_oid", "__type", "__kind").agg(
+    return kinds.select("organization_oid", "__day", F.inline(patterns)).groupBy("organization_oid", "__type", "__kind").agg(
         F.bool_or("__day").alias("__pattern_day")).withColumn("__base", F.lit(True))
+
+
+def _resolved(rule_lists: DataFrame) -> DataFrame:
+    return rule_lists.select("rule_id", F.lit(True).alias("__resolved")).distinct()
+
+
+def _on_plan() -> Column:
+    return F.coalesce(F.array_contains("grounds", PLAN_GROUND), F.lit(False))
+
+
+def _zero(plan_rules: DataFrame) -> DataFrame:
+    return plan_rules.groupBy("type_id").agg(F.bool_or("zero_means_not_required").alias("__zero"))
+
+
+def _decided(pairs: DataFrame, rules: DataFrame, orgs: DataFrame, subdivisions: DataFrame, rule_lists: DataFrame, plan: DataFrame, plan_rules: DataFrame) -> DataFrame:
+    """The verdict of each (rule_id, organization_oid) of ``pairs``."""
+    kinds = _kinds(subdivisions)
+    has = _patterns(kinds)
     of_type = has.filter("__kind = ''").select("organization_oid", "__type", F.col("__pattern_day").alias("__dayhosp"))
     inpatient = kinds.groupBy("organization_oid").agg(F.bool_or((F.col("__st") == INPATIENT) | F.col("__day")).alias("__inpatient"))
     listed = rule_lists.select("rule_id", "organization_oid", F.lit(True).alias("__listed")).distinct()
-    resolved = rule_lists.select("rule_id", F.lit(True).alias("__resolved")).distinct()
     by_plan = plan_rule(orgs, plan, plan_rules)
     present = plan.select("organization_oid", F.lit(True).alias("__present")).distinct()
-    zero = plan_rules.groupBy("type_id").agg(F.bool_or("zero_means_not_required").alias("__zero"))
-    j = (dense.join(F.broadcast(r), "rule_id")  # the coded rule table, at most 10,000 rows
+    j = (pairs.join(_coded(rules), "rule_id")
          .join(has.drop("__pattern_day"), ["organization_oid", "__type", "__kind"], "left")
          .join(of_type, ["organization_oid", "__type"], "left").join(inpatient, "organization_oid", "left")
-         .join(listed, ["rule_id", "organization_oid"], "left").join(resolved, "rule_id", "left")
-         .join(by_plan, ["organization_oid", "type_id"], "left").join(present, "organization_oid", "left").join(zero, "type_id", "left"))
+         .join(listed, ["rule_id", "organization_oid"], "left").join(_resolved(rule_lists), "rule_id", "left")
+         .join(by_plan, ["organization_oid", "type_id"], "left").join(present, "organization_oid", "left").join(_zero(plan_rules), "type_id", "left"))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    on_plan = F.coalesce(F.array_contains("grounds", PLAN_GROUND), F.lit(False))
+    on_plan = _on_plan()
     status = F.when(on_plan, F.coalesce("plan_status", F.lit("unknown"))).otherwise("unknown")
     waived = on_plan & (status == "not_required")
     absent = on_plan & (status == "unknown") & flag("__zero")
@@ -120,25 +166,39 @@ def rule_verdicts(rules: DataFrame, orgs: DataFrame, subdivisions: DataFrame, ru
     return j.select("rule_id", "organization_oid", "type_id", "requirement_status", verdict.alias("verdict"), (absent & ~flag("__present")).alias("plan_absent"))
 
 
-def _rule_ids(rules: DataFrame) -> Column:
-    from ..functions.columns import bounded_values
-    return bounded_values(rules, "rule_id", 10_000)
+def type_defaults(types: DataFrame, rules: DataFrame, plan_rules: DataFrame) -> DataFrame:
+    """(type, requirement_status, missing_rule, closed_world, waivable): what holds where no cell is stored.
+
+    A type without rules is unknown, any other not required (closed world).  ``waivable``: for organizations absent from
+    the plan, a requirement of the plan is dropped.
+    """
+    plans = rules.filter("rule_id IS NOT NULL").join(_zero(plan_rules), "type_id", "left").groupBy("type_id").agg(F.bool_or(_on_plan() & F.coalesce("__zero", F.lit(False))).alias("waivable"), F.lit(True).alias("__has"))
+    has = F.col("__has").isNotNull()
+    return types.select("type_id").distinct().join(plans, "type_id", "left").select(
+        "type_id", F.when(has, "not_required").otherwise("unknown").alias("requirement_status"), (~has).alias("missing_rule"), has.alias("closed_world"), F.coalesce("waivable", F.lit(False)).alias("waivable"))
 
 
-def applicability(types: DataFrame, orgs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(organization, type): required when any required rule matches, else unknown when a rule is undecided,
-    else not_required (closed world); a type without rules is unknown.  ``waived`` marks a requirement
-    dropped because the organization is absent from the plan."""
+def applicability_cells(hits: DataFrame) -> DataFrame:
+    """(organization, type) that some rule decides: required when any required rule matches, else unknown when a rule is
+    undecided, else not_required; ``evidence_rules`` counts the rules behind it.  All other pairs have their type's default."""
     m = F.col("verdict") == "matched"
     st = F.col("requirement_status")
-    g = verdicts.groupBy("organization_oid", "type_id").agg(
+    g = hits.groupBy("organization_oid", "type_id").agg(
         F.count_if(m & (st == "required")).alias("__req"), F.count_if((F.col("verdict") == "unknown") | (m & (st == "unknown"))).alias("__unk"),
-        F.count_if(m & (st == "not_required")).alias("__not"), F.count_if(m).alias("__matched"), F.count_if(F.col("verdict") == "unknown").alias("__open"),
-        F.bool_or("plan_absent").alias("__absent"))
-    j = grid(orgs.select("organization_oid").distinct(), types, "type_id").join(g, ["organization_oid", "type_id"], "left")
-    none = F.col("__req").isNull()
-    status = F.when(none, "unknown").when(F.col("__req") > 0, "required").when(F.col("__unk") > 0, "unknown").otherwise("not_required")
-    evidence = F.when(none, 0).when(F.col("__req") > 0, F.col("__req")).when(F.col("__unk") > 0, F.col("__matched")).otherwise(F.col("__not"))
-    return j.select("organization_oid", "type_id", status.alias("requirement_status"), none.alias("missing_rule"),
-                    F.coalesce((F.col("__matched") == 0) & (F.col("__open") == 0), F.lit(False)).alias("closed_world"),
-                    F.coalesce(F.col("__absent") & (status == "not_required"), F.lit(False)).alias("waived"), evidence.cast("long").alias("evidence_rules"))
+        F.count_if(m & (st == "not_required")).alias("__not"), F.count_if(m).alias("__matched"))
+    status = F.when(F.col("__req") > 0, "required").when(F.col("__unk") > 0, "unknown").otherwise("not_required")
+    evidence = F.when(F.col("__req") > 0, F.col("__req")).when(F.col("__unk") > 0, F.col("__matched")).otherwise(F.col("__not"))
+    return g.select("organization_oid", "type_id", status.alias("requirement_status"), evidence.cast("long").alias("evidence_rules"))
+
+
+def applicability(types: DataFrame, orgs: DataFrame, rules: DataFrame, hits: DataFrame, plan: DataFrame, plan_rules: DataFrame) -> DataFrame:
+    """Every (organization, type): its cell where one is stored, else the default of the type.  The product is formed in this
+    last step only.  ``waived`` marks a requirement dropped because the organization is absent from the plan."""
+    cells = applicability_cells(hits).withColumnRenamed("requirement_status", "__status")
+    present = plan.select("organization_oid", F.lit(True).alias("__present")).distinct()
+    everyone = orgs.select("organization_oid").distinct().join(present, "organization_oid", "left")
+    j = grid(everyone, types, "type_id").join(type_defaults(types, rules, plan_rules), "type_id").join(cells, ["organization_oid", "type_id"], "left")
+    stored = F.col("__status").isNotNull()
+    status = F.coalesce("__status", "requirement_status")
+    return j.select("organization_oid", "type_id", status.alias("requirement_status"), "missing_rule", (F.col("closed_world") & ~stored).alias("closed_world"),
+                    (F.col("waivable") & F.col("__present").isNull() & (status == "not_required")).alias("waived"), F.coalesce("evidence_rules", F.lit(0).cast("long")).alias("evidence_rules"))

@@ -130,10 +130,48 @@ def test_plan_rule_and_conditions(spark):
     assert [v[2, o][0] for o in "abc"] == ["matched", "matched", "not_matched"]
     assert [v[3, o][0] for o in "abc"] == ["not_matched", "matched", "matched"]
     types = spark.createDataFrame([("t",), ("u",), ("w",), ("z",)], "type_id string")
-    out = {(r.type_id, r.organization_oid): r for r in A.applicability(types, orgs, A.rule_verdicts(rules, orgs, subs, lists, plan, pr)).collect()}
+    hits = A.rule_hits(rules, orgs, subs, lists, plan, pr)
+    assert {(r.rule_id, r.organization_oid): r.verdict for r in hits.collect()} == {k: x for k, (x, _) in v.items() if x != "not_matched"}
+    out = {(r.type_id, r.organization_oid): r for r in A.applicability(types, orgs, rules, hits, plan, pr).collect()}
     assert out["t", "a"].requirement_status == "required" and out["t", "c"].waived and out["z", "a"].missing_rule
 
 
+def test_hits_are_the_decided_pairs(spark):
+    """Every condition, pattern, ground and list against the listing of all pairs, with nulls and unknown organizations; more rules than that listing takes."""
+    import itertools
+    import random
+    from planlens.plans import applicability as A
+    r = random.Random(4)
+    orgs = spark.createDataFrame([(f"o{i}",) for i in range(12)], "organization_oid string")
+    codes = ["none", "custom", "inpatient_or_day_hospital", "day_hospital_group", "licensed", None]
+    kinds = ["", "Стационарный", "дневной стационар", None]
+    cases = itertools.product(codes, kinds, kinds, [True, False, None], [True, False], [True, False], [[2], [1], None])
+    rules = [(i, f"t{i % 7}", r.choice(["required", "unknown", "not_required"]), t, k, c, e, h, d, g) for i, (c, t, k, e, h, d, g) in enumerate(cases)]
+    schema = "rule_id int, type_id string, requirement_status string, subdivision_type string, subdivision_kind string, condition_code string, excludes boolean, has_list boolean, from_directory boolean, grounds array<int>"
+    subs = spark.createDataFrame([(f"o{r.randrange(14)}", r.choice(kinds), r.choice(kinds), r.choice(["x", "дневной стационар", None])) for _ in range(20)], "organization_oid string, subdivision_type string, subdivision_kind string, name string")
+    lists = spark.createDataFrame([(r.randrange(len(rules) + 5), f"o{r.randrange(14)}") for _ in range(2500)], "rule_id int, organization_oid string")
+    plan = spark.createDataFrame([(f"o{r.randrange(9)}", f"s{r.randrange(5)}", r.choice([0.0, 5.0, None])) for _ in range(25)], "organization_oid string, sheet_code string, annual_value double")
+    plan_rules = spark.createDataFrame([(f"t{i}", f"s{i % 5}", i % 2 == 0) for i in range(5)], "type_id string, sheet_code string, zero_means_not_required boolean")
+    table = spark.createDataFrame(rules, schema)
+    rest = (orgs, subs, lists, plan, plan_rules)
+    pairs = A.rule_verdicts(table, *rest).collect()
+    hits = A.rule_hits(table, *rest)
+    got = sorted((x.rule_id, x.organization_oid, x.verdict) for x in hits.collect())
+    assert got == sorted((x.rule_id, x.organization_oid, x.verdict) for x in pairs if x.verdict != "not_matched") and {x[2] for x in got} == {"matched", "unknown"}
+    out = A.applicability(spark.createDataFrame([(f"t{i}",) for i in range(9)], "type_id string"), orgs, table, hits, plan, plan_rules).collect()
+    assert len(out) == 12 * 9
+    for x in out:
+        mine = [p for p in pairs if (p.organization_oid, p.type_id) == (x.organization_oid, x.type_id)]
+        matched = [p for p in mine if p.verdict == "matched"]
+        want = "unknown" if not mine else "required" if any(p.requirement_status == "required" for p in matched) else "unknown" if any(p.verdict == "unknown" or (p.verdict == "matched" and p.requirement_status == "unknown") for p in mine) else "not_required"
+        assert (x.requirement_status, x.missing_rule) == (want, not mine)
+        assert x.waived == (want == "not_required" and any(p.plan_absent for p in mine))
+    many = spark.range(10_001).select(F.col("id").cast("int").alias("rule_id"), F.lit("t1").alias("type_id"), F.lit("required").alias("requirement_status"), F.concat(F.lit("k"), F.col("id")).alias("subdivision_type"), F.lit("").alias("subdivision_kind"),
+                                      F.lit("none").alias("condition_code"), F.lit(False).alias("excludes"), F.lit(False).alias("has_list"), F.lit(False).alias("from_directory"), F.array(F.lit(1)).alias("grounds"))
+    one = spark.createDataFrame([("o1", "K77", "", "")], subs.schema)
+    assert [(x.rule_id, x.organization_oid) for x in A.rule_hits(many, orgs, one, lists.limit(0), plan.limit(0), plan_rules).collect()] == [(77, "o1")]
+
+
 def test_condition_text(spark):
     d = spark.createDataFrame([("Обязателен (строка 28: Амбулаторный · население; строка 29: x).",), ("Required (row 3)",), (None,), ("Required (row 3: day ward (adults)).",)], "r string")
     assert [r.c for r in d.select(G.stated_condition(F.col("r")).alias("c")).collect()] == ["Амбулаторный · население", "unconditional", "unconditional", "day ward (adults)"]
