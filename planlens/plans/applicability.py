@@ -92,16 +92,40 @@ def rule_hits(rules: DataFrame, orgs: DataFrame, subdivisions: DataFrame, rule_l
     list can match, and by type where the plan requires it.  Organizations never meet the rest of the rules.
     """
     known = orgs.select("organization_oid").distinct()
-    coded = _coded(rules).filter("rule_id IS NOT NULL").join(_resolved(rule_lists), "rule_id", "left")
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    by_plan = plan_rule(orgs, plan, plan_rules).drop("listed")
+    coded = (_coded(rules).filter("rule_id IS NOT NULL").withColumn("__plan", _on_plan())
+             .join(_resolved(rule_lists), "rule_id", "left").join(_zero(plan_rules), "type_id", "left"))
     listed_only = ~F.coalesce(F.col("condition_code").isin(*PLAIN_CODES), F.lit(False)) & ~flag("excludes") & (flag("from_directory") | (flag("has_list") & flag("__resolved")))
-    coded = coded.select("rule_id", "type_id", "__type", "__kind", _on_plan().alias("__plan"), listed_only.alias("__listed_only"))
-    everywhere = known.withColumns({"__type": F.lit(""), "__kind": F.lit("")})
-    patterns = _patterns(_kinds(subdivisions)).select("organization_oid", "__type", "__kind").join(known, "organization_oid", "left_semi").unionByName(everywhere).distinct()
-    pairs = (patterns.join(coded.filter("NOT __listed_only"), ["__type", "__kind"]).select("rule_id", "organization_oid")
-             .unionByName(rule_lists.select("rule_id", "organization_oid").join(coded.filter("__listed_only").select("rule_id"), "rule_id", "left_semi").join(known, "organization_oid", "left_semi"))
-             .unionByName(plan_rule(orgs, plan, plan_rules).filter("plan_status = 'required'").join(coded.filter("__plan"), "type_id").select("rule_id", "organization_oid")).distinct())
-    return _decided(pairs, rules, orgs, subdivisions, rule_lists, plan, plan_rules).filter("verdict <> 'not_matched'").drop("plan_absent")
+    # what the plan does not require is decided by the rule itself, unless the plan waives it for the whole type
+    own = coded.filter(~(F.col("__plan") & flag("__zero"))).withColumn("__listed_only", listed_only)
+    kinds = _kinds(subdivisions).join(known, "organization_oid", "left_semi")
+    has = _patterns(kinds)
+    generic = known.withColumns({"__type": F.lit(""), "__kind": F.lit("")})
+    patterns = has.select("organization_oid", "__type", "__kind").filter("__type <> '' OR __kind <> ''").unionByName(generic)
+    facts = patterns.join(_day_hospital(has), ["organization_oid", "__type"], "left").join(_inpatient(kinds), "organization_oid", "left")
+    lists = rule_lists.select("rule_id", "organization_oid", F.lit(True).alias("__listed")).distinct()
+    by_pattern = facts.join(own.filter("NOT __listed_only"), ["__type", "__kind"]).join(lists, ["rule_id", "organization_oid"], "left")
+    by_list = lists.join(own.filter("__listed_only"), "rule_id").join(facts, ["organization_oid", "__type", "__kind"])
+    out = ["rule_id", "organization_oid", "type_id", "requirement_status", "verdict"]
+    looked_up = by_pattern.unionByName(by_list).withColumn("verdict", _condition()).filter("verdict <> 'not_matched'").join(by_plan, ["organization_oid", "type_id"], "left")
+    required = by_plan.filter("plan_status = 'required'").join(coded.filter("__plan"), "type_id").withColumn("verdict", F.lit("matched"))
+    return looked_up.filter(~F.col("__plan") | (F.coalesce("plan_status", F.lit("unknown")) == "unknown")).select(*out).unionByName(required.select(*out))
+
+
+def flag(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(False))
+
+
+def _condition() -> Column:
+    """The verdict of a rule's condition where its subdivision pattern holds."""
+    code = F.col("condition_code")
+    orphan = flag("has_list") & ~flag("from_directory") & ~flag("__resolved")
+    return (F.when(code == "none", "matched").when(code == "custom", "unknown")
+            .when(code == "inpatient_or_day_hospital", F.when(flag("__inpatient"), "matched").otherwise("not_matched"))
+            .when(code == "day_hospital_group", F.when(flag("__dayhosp"), "matched").otherwise("not_matched"))
+            .when(~flag("from_directory") & ~flag("has_list"), "unknown").when(orphan & ~flag("excludes"), "unknown")
+            .when(flag("excludes"), F.when(flag("__listed"), "not_matched").otherwise("matched"))
+            .otherwise(F.when(flag("__listed"), "matched").otherwise("not_matched")))
 
 
 def _coded(rules: DataFrame) -> DataFrame:
@@ -134,35 +158,32 @@ def _zero(plan_rules: DataFrame) -> DataFrame:
     return plan_rules.groupBy("type_id").agg(F.bool_or("zero_means_not_required").alias("__zero"))
 
 
+def _day_hospital(patterns: DataFrame) -> DataFrame:
+    return patterns.filter("__kind = ''").select("organization_oid", "__type", F.col("__pattern_day").alias("__dayhosp"))
+
+
+def _inpatient(kinds: DataFrame) -> DataFrame:
+    return kinds.groupBy("organization_oid").agg(F.bool_or((F.col("__st") == INPATIENT) | F.col("__day")).alias("__inpatient"))
+
+
 def _decided(pairs: DataFrame, rules: DataFrame, orgs: DataFrame, subdivisions: DataFrame, rule_lists: DataFrame, plan: DataFrame, plan_rules: DataFrame) -> DataFrame:
     """The verdict of each (rule_id, organization_oid) of ``pairs``."""
     kinds = _kinds(subdivisions)
     has = _patterns(kinds)
-    of_type = has.filter("__kind = ''").select("organization_oid", "__type", F.col("__pattern_day").alias("__dayhosp"))
-    inpatient = kinds.groupBy("organization_oid").agg(F.bool_or((F.col("__st") == INPATIENT) | F.col("__day")).alias("__inpatient"))
     listed = rule_lists.select("rule_id", "organization_oid", F.lit(True).alias("__listed")).distinct()
     by_plan = plan_rule(orgs, plan, plan_rules)
     present = plan.select("organization_oid", F.lit(True).alias("__present")).distinct()
     j = (pairs.join(_coded(rules), "rule_id")
          .join(has.drop("__pattern_day"), ["organization_oid", "__type", "__kind"], "left")
-         .join(of_type, ["organization_oid", "__type"], "left").join(inpatient, "organization_oid", "left")
+         .join(_day_hospital(has), ["organization_oid", "__type"], "left").join(_inpatient(kinds), "organization_oid", "left")
          .join(listed, ["rule_id", "organization_oid"], "left").join(_resolved(rule_lists), "rule_id", "left")
          .join(by_plan, ["organization_oid", "type_id"], "left").join(present, "organization_oid", "left").join(_zero(plan_rules), "type_id", "left"))
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     on_plan = _on_plan()
     status = F.when(on_plan, F.coalesce("plan_status", F.lit("unknown"))).otherwise("unknown")
     waived = on_plan & (status == "not_required")
     absent = on_plan & (status == "unknown") & flag("__zero")
     base = ((F.col("__type") == "") & (F.col("__kind") == "")) | flag("__base")
-    code = F.col("condition_code")
-    orphan = flag("has_list") & ~flag("from_directory") & ~flag("__resolved")
-    cond = (F.when(code == "none", "matched").when(code == "custom", "unknown")
-            .when(code == "inpatient_or_day_hospital", F.when(flag("__inpatient"), "matched").otherwise("not_matched"))
-            .when(code == "day_hospital_group", F.when(flag("__dayhosp"), "matched").otherwise("not_matched"))
-            .when(~flag("from_directory") & ~flag("has_list"), "unknown").when(orphan & ~flag("excludes"), "unknown")
-            .when(flag("excludes"), F.when(flag("__listed"), "not_matched").otherwise("matched"))
-            .otherwise(F.when(flag("__listed"), "matched").otherwise("not_matched")))
-    verdict = F.when(status == "required", "matched").when(waived | absent, "not_matched").when(~base, "not_matched").otherwise(cond)
+    verdict = F.when(status == "required", "matched").when(waived | absent, "not_matched").when(~base, "not_matched").otherwise(_condition())
     return j.select("rule_id", "organization_oid", "type_id", "requirement_status", verdict.alias("verdict"), (absent & ~flag("__present")).alias("plan_absent"))
 
 
