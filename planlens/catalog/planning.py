@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import rnd
+from ..functions.columns import keyed, rnd
 from ..functions.text import name_key
 from ..operators.joins import grid
 from ..operators.ordered import framed
@@ -50,7 +50,7 @@ BASE = """WITH f AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS period_id, l_su
 
 
 def months(t):
-    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
+    return t.lineitem.join(keyed(t.part), F.col("l_partkey") == F.col("p_partkey")).groupBy(
         F.year("l_shipdate").cast("string").alias("period_id"), F.col("l_suppkey").alias("organization_oid"), F.col("p_brand").alias("type_code"),
         F.month("l_shipdate").alias("month")).agg(F.count(F.lit(1)).alias("document_count"))
 
@@ -65,7 +65,7 @@ def targets(t):
 
 
 def plans(t):
-    g = t.lineitem.filter("l_suppkey % 5 <> 0").join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
+    g = t.lineitem.filter("l_suppkey % 5 <> 0").join(keyed(t.part), F.col("l_partkey") == F.col("p_partkey")).groupBy(
         F.year("l_shipdate").cast("string").alias("period_id"), F.col("l_suppkey").alias("organization_oid"), F.col("p_type").alias("sheet_code")).agg(
         F.count(F.lit(1)).cast("double").alias("annual_value"))
     m = F.floor(F.col("annual_value") / 12).cast("double")
@@ -131,7 +131,7 @@ def _(t):
 
 @query("ind4_numerators", BASE + "SELECT period_id, organization_oid, indicator_id, num AS numerator FROM nu")
 def _(t):
-    return I.numerators(months(t).join(targets(t), ["period_id", "organization_oid"], "left_semi"), CONFIG)
+    return I.numerators(months(t).join(keyed(targets(t)), ["period_id", "organization_oid"], "left_semi"), CONFIG)
 
 
 @query("ind5_cumulative_plan", BASE + "SELECT period_id, organization_oid, sheet_code, cum AS cumulative_value, annual AS annual_value, fb AS used_annual_fallback FROM sp")
@@ -268,7 +268,7 @@ def pilot_inputs(t):
     n = brand_no()
     types = t.part.select(F.col("p_brand").alias("type_id")).distinct().select(
         "type_id", F.col("type_id").alias("name"), (n != 7).alias("in_reference"), F.when(n % 4 == 1, False).when(n % 4 != 0, True).alias("registry_visible"), (n % 8 == 0).alias("reference_visible"))
-    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.year("l_shipdate").cast("string").alias("period_id"), F.col("l_suppkey").alias("organization_oid"), F.col("p_brand").alias("type_id"), "l_quantity", "l_discount")
+    lines = t.lineitem.join(keyed(t.part), F.col("l_partkey") == F.col("p_partkey")).select(F.year("l_shipdate").cast("string").alias("period_id"), F.col("l_suppkey").alias("organization_oid"), F.col("p_brand").alias("type_id"), "l_quantity", "l_discount")
     org = lines.filter("l_quantity > 40").groupBy("period_id", "organization_oid", "type_id").agg(F.count(F.lit(1)).alias("document_count")).withColumn("scope_level", F.lit("organization"))
     reg = lines.filter("period_id < '1998' AND l_quantity > 49 AND l_discount > 0.08").groupBy("period_id", "type_id").agg(F.count(F.lit(1)).alias("document_count")).withColumns(
         {"scope_level": F.lit("region"), "organization_oid": F.lit(None).cast("long")})
@@ -428,7 +428,7 @@ LINES = "SELECT l_suppkey AS organization_oid, upper(p_brand) || ' «' || p_type
 
 def interval_inputs(t):
     name = F.concat(F.upper("p_brand"), F.lit(" «"), "p_type", F.lit("»"))
-    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+    rows = t.lineitem.join(keyed(t.part), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_suppkey").alias("organization_oid"), name.alias("document_type_name"), F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.col("l_linenumber").cast("string")).alias("building_id"), F.lit(1).alias("document_count"),
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row_no"), F.concat(F.lit("House "), F.col("l_quantity").cast("int")).alias("building_name"), F.concat("l_partkey", F.lit(" Main St")).alias("building_address"))
     aliases = t.part.filter("p_type <> 'PROMO'").select(F.concat_ws(" ", "p_brand", "p_type").alias("alias"), F.concat_ws("/", "p_brand", "p_type").alias("type_id")).distinct()
@@ -532,7 +532,7 @@ def rule_inputs(t):
         F.when((n + s) % 3 == 0, "").otherwise(F.col("p_type")).alias("subdivision_type"), F.when(s % 4 == 0, F.col("p_brand")).otherwise("").alias("subdivision_kind"),
         F.when(s % 5 == 0, "custom").when(s % 5 == 3, "empty").when(s % 5 == 4, "none").otherwise("listed").alias("condition_code"), (s % 5 == 2).alias("excludes"), (s % 5).isin(1, 2).alias("has_list"), F.lit(False).alias("from_directory"),
         F.when((n + s) % 2 == 0, F.array(F.lit(2))).otherwise(F.array(F.lit(1))).alias("grounds"))
-    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = t.lineitem.join(keyed(t.part), F.col("l_partkey") == F.col("p_partkey"))
     subs = lines.filter("l_quantity > 49").select(F.col("l_suppkey").alias("organization_oid"), F.col("p_type").alias("subdivision_type"), F.col("p_brand").alias("subdivision_kind"), F.lit("x").alias("name"))
     lists = lines.filter("p_size <= 9 AND p_size % 5 IN (1, 2) AND p_type NOT IN ('SMALL', 'MEDIUM')").select(number.alias("rule_id"), F.col("l_suppkey").alias("organization_oid")).distinct()
     plan = lines.filter("l_suppkey % 10 <> 0 AND p_type <> 'LARGE'").groupBy(F.col("l_suppkey").alias("organization_oid"), F.col("p_type").alias("sheet_code")).agg(F.count(F.lit(1)).alias("c")).select(
@@ -722,7 +722,7 @@ def _(t):
 
 @query("ind40_requirement_breakdown", """SELECT l_suppkey AS organization_oid, CASE WHEN p_size % 4 = 0 THEN 'unconditional' ELSE p_type END AS condition, count(*) AS types, count(*) FILTER (l_quantity > 25) AS registered FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' GROUP BY 1, 2""")
 def _(t):
-    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = t.lineitem.join(keyed(t.part), F.col("l_partkey") == F.col("p_partkey"))
     reason = F.when(F.col("p_size") % 4 == 0, "Required by the matrix (row 7).").otherwise(F.concat(F.lit("Required (row 28: "), "p_type", F.lit("; row 29: other)")))
     req = lines.select(F.col("l_suppkey").alias("organization_oid"), F.col("p_brand").alias("type_id"), F.when(F.col("l_returnflag") == "R", "required").otherwise("unknown").alias("status"), reason.alias("reason"), (F.col("l_quantity") > 25).alias("registered"))
     return G.requirement_breakdown(req)

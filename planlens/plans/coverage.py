@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import one_row, percent
+from ..functions.columns import keyed, one_row, percent
 from ..operators.joins import grid
 from ..operators.ranking import SEVERITIES, severity_rank
 
@@ -85,7 +85,8 @@ def classify_pairs(types: DataFrame, facts: DataFrame, targets: DataFrame, requi
     """Every (period, organization, target type): requirement, registration, availability, state."""
     dense = grid(targets.select(*ORG).distinct(), target_types(types), "type_id")
     live = facts.filter("scope_level = 'organization' AND document_count > 0").select(*ORG, "type_id", F.lit(True).alias("__reg")).distinct()
-    j = dense.join(requirements.select(*ORG, "type_id", "requirement_status", "available", "is_manual"), [*ORG, "type_id"], "left").join(live, [*ORG, "type_id"], "left")
+    stated = requirements.select(*ORG, "type_id", "requirement_status", "available", "is_manual")
+    j = dense.join(keyed(stated), [*ORG, "type_id"], "left").join(keyed(live), [*ORG, "type_id"], "left")
     if external is not None:
         j = j.join(external.select("type_id", F.lit(True).alias("__ext")).distinct(), "type_id", "left")
     else:

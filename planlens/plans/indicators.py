@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import bounded_values, number, percent
+from ..functions.columns import bounded_values, keyed, number, percent
 from ..operators.joins import grid
 
 DEFAULT_CRITICAL_POINTS = 10  # fixed value
@@ -86,7 +86,7 @@ def cumulative_plan(plans: DataFrame, targets: DataFrame) -> DataFrame:
     Without a monthly breakdown the annual plan stands in and is flagged.
     """
     keys = ["period_id", "organization_oid"]
-    rows = plans.join(targets.select(*keys, "through_month").distinct(), keys)
+    rows = plans.join(keyed(targets.select(*keys, "through_month").distinct()), keys)
     g = rows.groupBy(*keys, "sheet_code").agg(
         F.sum(F.coalesce(number("annual_value"), F.lit(0.0))).alias("annual_value"),
         F.sum(F.coalesce(month_sum("monthly_values", F.col("through_month")), F.lit(0.0))).alias("__cum"),
@@ -126,7 +126,7 @@ def plan_ratio_region(values: DataFrame) -> DataFrame:
 def type_breakdown(facts: DataFrame, targets: DataFrame, config: Sequence[Mapping[str, Any]], by_org: bool = False) -> DataFrame:
     """Documents per (period, indicator[, organization], type)."""
     keys = ["period_id", "organization_oid"]
-    f = facts.join(targets.select(*keys).distinct(), keys, "left_semi").join(_type_roles(facts.sparkSession, config), "type_code")
+    f = facts.join(keyed(targets.select(*keys).distinct()), keys, "left_semi").join(_type_roles(facts.sparkSession, config), "type_code")
     return f.groupBy(*(ORG_KEY if by_org else KEY), "type_code").agg(F.sum("document_count").alias("document_count"))
 
 
@@ -178,12 +178,12 @@ def _registered(facts: DataFrame, registry: DataFrame, targets: DataFrame, requi
     keys = ["period_id", "organization_oid"]
     reg = registry.select("type_id").distinct().withColumn("in_registry", F.lit(True))
     size = reg.agg(F.count(F.lit(1)).alias("n")).scalar()
-    live = facts.filter("document_count > 0").join(targets.select(*keys).distinct(), keys, "left_semi")
+    live = facts.filter("document_count > 0").join(keyed(targets.select(*keys).distinct()), keys, "left_semi")
     pairs = live.groupBy(*keys, "type_id").agg(F.sum("document_count").alias("documents")).join(reg, "type_id", "left").withColumn(
         "in_registry", F.coalesce("in_registry", F.lit(False)))
     req = None
     if requirements is not None:
-        req = requirements.join(reg.select("type_id"), "type_id", "left_semi").join(targets.select(*keys).distinct(), keys, "left_semi")
+        req = requirements.join(reg.select("type_id"), "type_id", "left_semi").join(keyed(targets.select(*keys).distinct()), keys, "left_semi")
     return reg, size, pairs, req
 
 
@@ -204,7 +204,7 @@ def _finish(out: DataFrame, keys: Sequence[str], size: Column, req: DataFrame |
         F.count_if(F.col("status") == "required").alias("required_types"),
         F.count_if((F.col("status") == "required") & F.col("__reg")).alias("registered_required_types"),
         F.count_if(F.col("status") == "unknown").alias("undefined_types"))
-    j = out.join(by_status, list(keys), "left")
+    j = out.join(keyed(by_status), list(keys), "left")
     r = {c: F.coalesce(c, zero) for c in ("required_types", "registered_required_types", "undefined_types")}
     return j.select(*cols, *[e.alias(c) for c, e in r.items()], percent(r["registered_required_types"], r["required_types"]).alias("plan_percent"))
 

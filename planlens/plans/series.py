@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import percent, rnd
+from ..functions.columns import keyed, percent, rnd
 from .indicators import KEY, ORG_KEY, _sheets, numerators, valid_months
 
 MONTHS = list(range(1, 13))
@@ -37,9 +37,9 @@ def monthly_series(
     who = targets.select(*org).distinct()
     base = (who if by_org else who.select("period_id").distinct()).withColumn("indicator_id", F.explode(ids))
     dense = base.withColumn("month", _every_month())
-    fact = numerators(facts.join(who, org, "left_semi"), config, ["period_id", "organization_oid", "month"]).groupBy(*key, "month").agg(
+    fact = numerators(facts.join(keyed(who), org, "left_semi"), config, ["period_id", "organization_oid", "month"]).groupBy(*key, "month").agg(
         F.sum("numerator").alias("__fact"))
-    rows = (plans.join(who, org, "left_semi").join(_sheets(spark, config), "sheet_code")
+    rows = (plans.join(keyed(who), org, "left_semi").join(_sheets(spark, config), "sheet_code")
             .select(*key, F.explode(valid_months()).alias("month", "v")).filter("v IS NOT NULL AND NOT isnan(v)"))
     plan = rows.groupBy(*key, "month").agg(F.sum("v").alias("__plan"))
     any_plan = rows.select(*key).distinct().withColumn("__any", F.lit(True))
@@ -54,7 +54,7 @@ def registry_series(facts: DataFrame, targets: DataFrame, loaded: DataFrame) ->
     """(period, month, fact): documents per month over the covered organizations, null where not loaded."""
     org = ["period_id", "organization_oid"]
     dense = targets.select("period_id").distinct().withColumn("month", _every_month())
-    f = facts.join(targets.select(*org).distinct(), org, "left_semi").groupBy("period_id", "month").agg(F.sum("document_count").alias("n"))
+    f = facts.join(keyed(targets.select(*org).distinct()), org, "left_semi").groupBy("period_id", "month").agg(F.sum("document_count").alias("n"))
     return (dense.join(f, ["period_id", "month"], "left")
             .join(loaded.select("period_id", "month", F.lit(True).alias("__l")).distinct(), ["period_id", "month"], "left")
             .select("period_id", "month", F.when(F.col("__l"), F.coalesce("n", F.lit(0))).alias("fact")))
@@ -63,7 +63,7 @@ def registry_series(facts: DataFrame, targets: DataFrame, loaded: DataFrame) ->
 def type_count_series(cumulative_facts: DataFrame, targets: DataFrame) -> DataFrame:
     """(period, month, unique_types) of cumulative slices; types are counted in the slice, not added up."""
     org = ["period_id", "organization_oid"]
-    return cumulative_facts.join(targets.select(*org).distinct(), org, "left_semi").groupBy("period_id", "month").agg(
+    return cumulative_facts.join(keyed(targets.select(*org).distinct()), org, "left_semi").groupBy("period_id", "month").agg(
         F.count_distinct("type_code").alias("unique_types"))
 
 
@@ -95,7 +95,7 @@ def org_breakdown(points: DataFrame, execution: DataFrame, slices: DataFrame) ->
     ratio = [F.max(F.when(F.col("month") == m, F.col("ratio"))) for m in MONTHS]
     g = j.groupBy(*ORG_KEY).agg(F.array(*ratio).alias("monthly_ratios"), has.alias("__has"),
                                 F.sum(F.when(inside, F.coalesce("fact", F.lit(0.0)))).alias("__docs"))
-    out = g.join(execution.select(*ORG_KEY, "case_fact"), ORG_KEY, "left")
+    out = g.join(keyed(execution.select(*ORG_KEY, "case_fact")), ORG_KEY, "left")
     docs = F.when(F.col("__has"), F.coalesce("__docs", F.lit(0.0)))
     return out.select(*ORG_KEY, "monthly_ratios", "case_fact", docs.alias("documents_in_slice"), percent(docs, F.col("case_fact")).alias("percent_of_fact"))
 

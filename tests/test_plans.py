@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from planlens.operators import joins as J
 from planlens.plans import applicability as A
 from planlens.plans import coverage as V
 from planlens.plans import indicators as I
@@ -187,3 +188,22 @@ def test_deviation_ties_go_up(spark):
     from planlens.plans.indicators import assess
     d = spark.createDataFrame([(10.0, 10.125), (10.125, 10.0)], "fact_value double, target_value double")
     assert [r.deviation_value for r in assess(d).collect()] == [-0.12, 0.13]
+
+
+def test_sides_that_explode_are_not_broadcast(spark):
+    """Planned sizes do not count what a grid multiplies: its rows met the pairs through a broadcast from the driver."""
+    n = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        orgs = spark.range(50).select(F.lit("p").alias("period_id"), F.col("id").alias("organization_oid"))
+        types = spark.range(8).select(F.col("id").alias("type_id"), F.lit(True).alias("in_reference"), F.lit(True).alias("registry_visible"), F.lit(True).alias("reference_visible"))
+        facts = orgs.select("*", F.lit("organization").alias("scope_level"), (F.col("organization_oid") % 8).alias("type_id"), F.lit(1).alias("document_count"), F.lit(1).alias("month"))
+        required = J.grid(orgs, types, "type_id").select("*", F.lit("required").alias("requirement_status"), F.lit(True).alias("available"), F.lit(False).alias("is_manual"))
+        pairs = V.classify_pairs(types, facts, orgs, required)
+        series = M.registry_series(facts, J.grid(spark.range(50).select(F.col("id").alias("organization_oid")), orgs, "period_id"), facts)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+        assert "ShuffledHashJoin" in series._jdf.queryExecution().executedPlan().toString()
+        assert pairs.groupBy("pair_status").count().orderBy("pair_status").collect() == [("required_missing", 350), ("required_registered", 50)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", n)
