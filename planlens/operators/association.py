@@ -195,6 +195,12 @@ def cramers_v(df: DataFrame, cols: Sequence[str], yates: bool = False) -> DataFr
     return t.select("col_a", "col_b", F.when(k > 0, F.sqrt(F.col("yates" if yates else "chi2") / (F.col("n") * F.nullif(k, F.lit(0))))).alias("v"), "n")
 
 
+def fisher_exact(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(col_a, col_b, n, p_value, test) of the pairs that form a 2x2 table, exact whatever the expected counts are."""
+    t = chi2_table(df, pairs).filter("rows = 2 AND cols = 2")
+    return t.select("col_a", "col_b", "n", fisher_p(*[F.col(c).cast("double") for c in ("a", "r1", "c1", "n")]).alias("p_value"), F.lit("Fisher").alias("test"))
+
+
 def chi2_or_fisher(df: DataFrame, pairs: Sequence[tuple[str, str]], yates: bool = False, fisher: bool = True) -> DataFrame:
     """(col_a, col_b, n, stat, df, p_value, test): Fisher when 2x2 and an expected count is below 5."""
     t = chi2_table(df, pairs)

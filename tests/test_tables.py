@@ -233,3 +233,10 @@ def test_charts_and_lists_show_all_rows(spark):
     assert charts.scatter(d, "id", ["v"], ["id"], limit=10).count() == 10
     assert aggregate.distinct_values(d, "id").count() == 6000 and aggregate.distinct_values(d, "id", 3).count() == 3
     assert tuple(aggregate.capped_count(d).head()) == (6000, False) and tuple(aggregate.capped_count(d, 10).head()) == (10, True)
+
+
+def test_fisher_exact_stays_fisher_on_large_tables(spark):
+    d = spark.range(400).select((F.col("id") % 2 == 0).alias("p"), (F.col("id") % 8 < 4).alias("q"))  # every expected count is 100
+    assert S.chi2_or_fisher(d, [("p", "q")]).head().test == "chi2"
+    r = S.fisher_exact(d, [("p", "q")]).head()
+    assert (r.test, r.n) == ("Fisher", 400) and math.isclose(r.p_value, 1.0, rel_tol=1e-9)
