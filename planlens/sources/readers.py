@@ -14,6 +14,9 @@ from .records import csv_records, spans_lines
 BY_EXTENSION = {"csv": "csv", "txt": "csv", "tsv": "csv", "parquet": "parquet", "json": "json", "jsonl": "json"}
 BY_MIME = {"text/csv": "csv", "text/plain": "csv", "application/json": "json", "application/x-ndjson": "json",
            "application/vnd.apache.parquet": "parquet"}
+#: All texts that a cast can accept, and some that it cannot.  A text that it rejects costs an exception, so most are kept from it.
+FITTING = {"bigint": r"^[^0-9A-Za-z.]*[0-9]+[^0-9A-Za-z.]*$", "boolean": r"(?i)^[^a-z0-9]*(true|t|yes|y|1|false|f|no|n|0)[^a-z0-9]*$",
+           "double": r"(?i)^[^a-z0-9.+-]*[+-]?(inf|infinity|nan|0x[0-9a-f.]+p[+-]?[0-9]+[fd]?|[0-9.]+(e[+-]?[0-9]+)?[fd]?)[^a-z0-9.+-]*$"}
 RECOGNIZED_SHARE = 0.7   # fixed value: share of dates or times that makes a column temporal
 
 
@@ -32,6 +35,11 @@ def read_text_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return csv_records(spark, path, sep).select(row.alias("row")).select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
+def fitting(c: Column, kind: str) -> Column:
+    """``try_cast`` behind a check of the text's shape."""
+    return F.when(c.rlike(FITTING[kind]), c.try_cast(kind)) if kind in FITTING else c.try_cast(kind)
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None) -> DataFrame:
     """CSV with header.  The schema is inferred from all rows in one aggregation, so every cell fits its type.
 
@@ -42,7 +50,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructTyp
     if schema is None:
         kinds = ["bigint", "double", "boolean", "timestamp_ntz"]
         tests = [F.count(F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`"))).alias(f"n{i}") for i, c in enumerate(text.columns)]
-        tests += [F.count(F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")).try_cast(k)).alias(f"{k}{i}") for i, c in enumerate(text.columns) for k in kinds]
+        tests += [F.count(fitting(F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")), k)).alias(f"{k}{i}") for i, c in enumerate(text.columns) for k in kinds]
         seen = text.agg(*tests).head()
         types = [next((k for k in kinds if seen[f"n{i}"] and seen[f"{k}{i}"] == seen[f"n{i}"]), "string")
                  for i in range(len(text.columns))]
@@ -60,10 +68,15 @@ def detect_types(df: DataFrame) -> dict[str, str]:
     """
     cells = (df.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])).alias("i", "v"))
              .filter("v <> ''").withColumn("k", parse.classify(F.col("v"))))
-    rows = cells.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.count(parse.parse_number(F.col("v"))).alias("num"),
-                                  *[F.count_if(F.col("k") == k).alias(k) for k in ("time", "date", "datetime")]).collect()
+    # a cell is classified once, as a key; at most eight rows a column come back
+    counts = cells.groupBy("i", "k", parse.parse_number(F.col("v")).isNotNull().alias("num")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = {r["i"]: dict.fromkeys(("n", "num", "time", "date", "datetime"), 0) for r in counts}
+    for r in counts:
+        for name in ("n", r["k"], "num" if r["num"] else None):
+            if name:
+                rows[r["i"]][name] += r["n"]
     out = dict.fromkeys(df.columns, "string")
-    for r in rows:
+    for i, r in rows.items():
         found = r["time"] + r["date"] + r["datetime"]
         if r["num"] == r["n"]:
             kind = "number"
@@ -73,7 +86,7 @@ def detect_types(df: DataFrame) -> dict[str, str]:
             kind = "time"
         else:
             kind = "datetime" if r["datetime"] >= r["date"] else "date"
-        out[df.columns[r["i"]]] = kind
+        out[df.columns[i]] = kind
     return out
 
 

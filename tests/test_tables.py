@@ -240,3 +240,19 @@ def test_fisher_exact_stays_fisher_on_large_tables(spark):
     assert S.chi2_or_fisher(d, [("p", "q")]).head().test == "chi2"
     r = S.fisher_exact(d, [("p", "q")]).head()
     assert (r.test, r.n) == ("Fisher", 400) and math.isclose(r.p_value, 1.0, rel_tol=1e-9)
+
+
+SHAPED = ["2020-01-02", "+12345-01-02", "-2020-01-02", "02.01.2020", "2.1.2020", "002.01.2020", "2/1/2020", "13/12/2020", "12-13-2020", "2020.01.02", "2020-01-02 03:04:05", "2020-01-02T03:04", "2020-01-02t03:04:05",
+          "2020-01-02T03:04:05Z", "2020-01-02T03:04:05z", "2020-01-02T03:04:05+03:00", "02.01.2020 03:04", "02/01/2020 03:04:05", "2020-01-02 03:04:05.6", "2020-13-02", "31.02.2020", "02.01.20", "x", "1.5", "1e5", "5-LOW", "",
+          " 7", "7 ", "+7", "-7", "7.", ".7", "7d", "7F", "0x1p3", "NaN", "-inf", "Infinity", "+Infinity", "true", "T", "yes", " no ", "0", "truex", "1998-09-27T00:00:00.000", "99999999999999999999", "\t8\n", "--1", "1 2"]
+
+
+def test_shape_checks_keep_every_text_that_parses(spark):
+    d = spark.createDataFrame([(v,) for v in SHAPED], "v string")
+    for fmt in [*parse.DATE_FORMATS, *parse.DATETIME_FORMATS]:
+        odd = d.filter(~F.try_to_timestamp("v", F.lit(fmt)).eqNullSafe(parse._timestamp(F.col("v"), fmt)) | (F.try_to_timestamp("v", F.lit(fmt)).isNotNull() & ~F.col("v").rlike(parse.TEMPORAL)))
+        assert odd.collect() == [], fmt
+    for kind in readers.FITTING:
+        plain, checked = F.col("v").try_cast(kind).cast("string"), readers.fitting(F.col("v"), kind).cast("string")
+        assert d.filter(~plain.eqNullSafe(checked)).collect() == [], kind
+    assert not d.filter(F.col("v") == "5-LOW").filter(F.col("v").rlike(parse.shape("yyyy-MM-dd")) | F.col("v").rlike(readers.FITTING["double"])).collect()
