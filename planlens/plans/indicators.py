@@ -54,6 +54,17 @@ def _sheets(spark: SparkSession, config: Sequence[Mapping[str, Any]]) -> DataFra
     return F.broadcast(spark.createDataFrame(rows, "indicator_id string, sheet_code string"))  # a few config entries
 
 
+def of_types(facts: DataFrame, config: Sequence[Mapping[str, Any]]) -> DataFrame:
+    """Facts of the types that the config names.  The join with the roles keeps no others, but it stands behind the aggregation
+    that ``facts`` often are; this filter moves in front of that."""
+    return facts.filter(F.col("type_code").isin(sorted({t for c in config for t in (*c["types"], *c.get("additional", []))})))
+
+
+def of_sheets(plans: DataFrame, config: Sequence[Mapping[str, Any]]) -> DataFrame:
+    """Plans of the sheets that the config names, as ``of_types``."""
+    return plans.filter(F.col("sheet_code").isin(sorted({s for c in config for s in c["sheets"]})))
+
+
 def _max_rule(config: Sequence[Mapping[str, Any]]) -> Column:
     return F.col("indicator_id").isin([c["indicator_id"] for c in config if c.get("aggregate", "sum") == "max"])
 
@@ -61,7 +72,7 @@ def _max_rule(config: Sequence[Mapping[str, Any]]) -> Column:
 def numerators(facts: DataFrame, config: Sequence[Mapping[str, Any]], keys: Sequence[str] = ("period_id", "organization_oid")) -> DataFrame:
     """Numerator per key and indicator: sum of the main types, or their largest, plus the additional ones."""
     spark = facts.sparkSession
-    per_type = facts.join(_type_roles(spark, config), "type_code").groupBy(*keys, "indicator_id", "role", "type_code").agg(
+    per_type = of_types(facts, config).join(_type_roles(spark, config), "type_code").groupBy(*keys, "indicator_id", "role", "type_code").agg(
         F.sum(F.coalesce(number("document_count"), F.lit(0.0))).alias("n"))
     main, extra = F.when(F.col("role") == "main", F.col("n")), F.when(F.col("role") == "additional", F.col("n"))
     zero = F.lit(0.0)
@@ -102,7 +113,7 @@ def plan_ratio(facts: DataFrame, plans: DataFrame, targets: DataFrame, config: S
     keys = ["period_id", "organization_oid"]
     ids = F.array(*[F.lit(c["indicator_id"]) for c in config])
     dense = targets.select(*keys).distinct().withColumn("indicator_id", F.explode(ids))
-    den = cumulative_plan(plans, targets).join(_sheets(spark, config), "sheet_code").groupBy(*keys, "indicator_id").agg(
+    den = cumulative_plan(of_sheets(plans, config), targets).join(_sheets(spark, config), "sheet_code").groupBy(*keys, "indicator_id").agg(
         F.sum("cumulative_value").alias("__cum"), F.sum("annual_value").alias("__ann"), F.bool_or("used_annual_fallback").alias("__fb"))
     j = dense.join(numerators(facts, config), [*keys, "indicator_id"], "left").join(den, [*keys, "indicator_id"], "left")
     num, has = F.coalesce("numerator", F.lit(0.0)), F.coalesce(F.col("__ann") > 0, F.lit(False))
@@ -126,13 +137,13 @@ def plan_ratio_region(values: DataFrame) -> DataFrame:
 def type_breakdown(facts: DataFrame, targets: DataFrame, config: Sequence[Mapping[str, Any]], by_org: bool = False) -> DataFrame:
     """Documents per (period, indicator[, organization], type)."""
     keys = ["period_id", "organization_oid"]
-    f = facts.join(keyed(targets.select(*keys).distinct()), keys, "left_semi").join(_type_roles(facts.sparkSession, config), "type_code")
+    f = of_types(facts, config).join(keyed(targets.select(*keys).distinct()), keys, "left_semi").join(_type_roles(facts.sparkSession, config), "type_code")
     return f.groupBy(*(ORG_KEY if by_org else KEY), "type_code").agg(F.sum("document_count").alias("document_count"))
 
 
 def sheet_breakdown(plans: DataFrame, targets: DataFrame, config: Sequence[Mapping[str, Any]], by_org: bool = False) -> DataFrame:
     """Cumulative and annual plan per (period, indicator[, organization], sheet)."""
-    p = cumulative_plan(plans, targets).join(_sheets(plans.sparkSession, config), "sheet_code")
+    p = cumulative_plan(of_sheets(plans, config), targets).join(_sheets(plans.sparkSession, config), "sheet_code")
     return p.groupBy(*(ORG_KEY if by_org else KEY), "sheet_code").agg(
         F.sum("cumulative_value").alias("cumulative_value"), F.sum("annual_value").alias("annual_value"),
         F.bool_or("used_annual_fallback").alias("used_annual_fallback"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import keyed, percent, rnd
-from .indicators import KEY, ORG_KEY, _sheets, numerators, valid_months
+from .indicators import KEY, ORG_KEY, _sheets, numerators, of_sheets, of_types, valid_months
 
 MONTHS = list(range(1, 13))
 # fixed values: thresholds of the conclusion rules
@@ -37,9 +37,9 @@ def monthly_series(
     who = targets.select(*org).distinct()
     base = (who if by_org else who.select("period_id").distinct()).withColumn("indicator_id", F.explode(ids))
     dense = base.withColumn("month", _every_month())
-    fact = numerators(facts.join(keyed(who), org, "left_semi"), config, ["period_id", "organization_oid", "month"]).groupBy(*key, "month").agg(
+    fact = numerators(of_types(facts, config).join(keyed(who), org, "left_semi"), config, ["period_id", "organization_oid", "month"]).groupBy(*key, "month").agg(
         F.sum("numerator").alias("__fact"))
-    rows = (plans.join(keyed(who), org, "left_semi").join(_sheets(spark, config), "sheet_code")
+    rows = (of_sheets(plans, config).join(keyed(who), org, "left_semi").join(_sheets(spark, config), "sheet_code")
             .select(*key, F.explode(valid_months()).alias("month", "v")).filter("v IS NOT NULL AND NOT isnan(v)"))
     plan = rows.groupBy(*key, "month").agg(F.sum("v").alias("__plan"))
     any_plan = rows.select(*key).distinct().withColumn("__any", F.lit(True))

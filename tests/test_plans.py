@@ -207,3 +207,11 @@ def test_sides_that_explode_are_not_broadcast(spark):
         assert pairs.groupBy("pair_status").count().orderBy("pair_status").collect() == [("required_missing", 350), ("required_registered", 50)]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", n)
+
+
+def test_types_outside_the_config_leave_before_the_aggregation(spark, inputs):
+    facts, plans, targets = inputs
+    counted = facts.groupBy("period_id", "organization_oid", "type_code").agg(F.sum("document_count").alias("document_count"))
+    plan = I.numerators(counted, [SUM, MAX])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("type_code#", 0, plan.rindex("Filter")) < plan.rindex("Filter") and " IN (" in plan[plan.rindex("Filter"):] and plan.rindex("Filter") > plan.rindex("Aggregate")
+    assert I.numerators(facts, [SUM, MAX]).count() == 3
