@@ -12,12 +12,11 @@ Tables
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bounded_values
 from ..operators.aggregate import set_diff
 from ..operators.joins import grid
 
@@ -79,10 +78,35 @@ def directory_override(comment_lists: DataFrame, directory_lists: DataFrame) ->
 def rule_verdicts(rules: DataFrame, orgs: DataFrame, subdivisions: DataFrame, rule_lists: DataFrame, plan: DataFrame, plan_rules: DataFrame) -> DataFrame:
     """(rule, organization): verdict matched / not_matched / unknown and ``plan_absent``, one row for every pair.
 
-    A listing of all pairs is for a coded workbook of at most 10,000 rules; ``rule_hits`` has no limit.
+    A listing of all pairs is for a coded workbook of at most 65,536 rules; ``rule_hits`` has no limit.  Until the last step
+    an organization has one row for every 64 rules, with a bit for each decided one: single pairs are never shuffled.
     """
-    pairs = orgs.select("organization_oid").distinct().withColumn("rule_id", F.explode(bounded_values(rules, "rule_id", 10_000)))
-    return _decided(pairs, rules, orgs, subdivisions, rule_lists, plan, plan_rules)
+    numbered = _workbook(rules)
+    # hits carry the number of the rule's row: rule_id may repeat
+    at = F.expr("shiftleft(1L, CAST(__at % 64 AS INT))")
+    bits = lambda verdict: F.bit_or(F.when(F.col("verdict") == verdict, at).otherwise(F.lit(0).cast("long")))
+    packed = _hits(numbered, orgs, subdivisions, rule_lists, plan, plan_rules, ["__at"]).groupBy(
+        F.col("organization_oid").alias("__org"), F.expr("CAST(__at DIV 64 AS INT)").alias("__of")).agg(bits("matched").alias("__matched"), bits("unknown").alias("__unknown"))
+    coded = numbered.join(_zero(plan_rules), "type_id", "left").select(
+        F.expr("CAST(__at DIV 64 AS INT)").alias("__block"), F.struct("__at", "rule_id", "type_id", "requirement_status", (_on_plan() & flag("__zero")).alias("__waivable")).alias("rule"))
+    blocks = coded.groupBy("__block").agg(F.sort_array(F.collect_list("rule")).alias("rules")).agg(F.sort_array(F.collect_list(F.struct("__block", "rules"))).alias("b"))
+    blocks = blocks.select(F.struct(F.col("b.__block").alias("no"), F.col("b.rules").alias("rules"))).scalar()
+    present = plan.select("organization_oid", F.lit(True).alias("__present")).distinct()
+    rows = orgs.select("organization_oid").distinct().join(present, "organization_oid", "left").withColumn("__block", F.explode(blocks["no"]))
+    j = rows.join(packed, rows["organization_oid"].eqNullSafe(F.col("__org")) & (F.col("__block") == F.col("__of")), "left")
+    j = j.select("organization_oid", "__present", "__matched", "__unknown", F.inline(F.get(blocks["rules"], F.col("__block"))))
+    has = lambda name: F.getbit(F.coalesce(F.col(name), F.lit(0).cast("long")), F.expr("CAST(__at % 64 AS INT)")) == 1
+    # who is absent from the plan has no status there either
+    return j.select("rule_id", "organization_oid", "type_id", "requirement_status", F.when(has("__matched"), "matched").when(has("__unknown"), "unknown").otherwise("not_matched").alias("verdict"),
+                    (F.col("__waivable") & ~flag("__present")).alias("plan_absent"))
+
+
+def _workbook(rules: DataFrame, limit: int = 65_536) -> DataFrame:
+    """The rules with the number ``__at`` of their row; fails, never cuts, when there are more than ``limit``."""
+    cols = ["rule_id", "type_id", "requirement_status", "subdivision_type", "subdivision_kind", "condition_code", "excludes", "has_list", "from_directory", "grounds"]
+    whole = rules.filter("rule_id IS NOT NULL").select(F.struct(*cols).alias("r")).limit(limit + 1).agg(F.sort_array(F.collect_list("r")).alias("a"))
+    checked = F.when(F.size("a") > limit, F.raise_error(F.lit(f"more than {limit} rules")).cast(whole.schema["a"].dataType)).otherwise(F.col("a"))
+    return whole.select(F.posexplode(checked).alias("__at", "r")).select("__at", "r.*")
 
 
 def rule_hits(rules: DataFrame, orgs: DataFrame, subdivisions: DataFrame, rule_lists: DataFrame, plan: DataFrame, plan_rules: DataFrame) -> DataFrame:
@@ -91,6 +115,11 @@ def rule_hits(rules: DataFrame, orgs: DataFrame, subdivisions: DataFrame, rule_l
     The pairs are looked up, not tried: by the subdivision pattern of the rule, by the resolved list of a rule that only its
     list can match, and by type where the plan requires it.  Organizations never meet the rest of the rules.
     """
+    return _hits(rules, orgs, subdivisions, rule_lists, plan, plan_rules)
+
+
+def _hits(rules: DataFrame, orgs: DataFrame, subdivisions: DataFrame, rule_lists: DataFrame, plan: DataFrame, plan_rules: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """``rule_hits`` with the columns ``kept`` of the rules."""
     known = orgs.select("organization_oid").distinct()
     by_plan = plan_rule(orgs, plan, plan_rules).drop("listed")
     coded = (_coded(rules).filter("rule_id IS NOT NULL").withColumn("__plan", _on_plan())
@@ -106,7 +135,7 @@ def rule_hits(rules: DataFrame, orgs: DataFrame, subdivisions: DataFrame, rule_l
     lists = rule_lists.select("rule_id", "organization_oid", F.lit(True).alias("__listed")).distinct()
     by_pattern = facts.join(own.filter("NOT __listed_only"), ["__type", "__kind"]).join(lists, ["rule_id", "organization_oid"], "left")
     by_list = lists.join(own.filter("__listed_only"), "rule_id").join(facts, ["organization_oid", "__type", "__kind"])
-    out = ["rule_id", "organization_oid", "type_id", "requirement_status", "verdict"]
+    out = ["rule_id", "organization_oid", "type_id", "requirement_status", "verdict", *kept]
     looked_up = by_pattern.unionByName(by_list).withColumn("verdict", _condition()).filter("verdict <> 'not_matched'").join(by_plan, ["organization_oid", "type_id"], "left")
     required = by_plan.filter("plan_status = 'required'").join(coded.filter("__plan"), "type_id").withColumn("verdict", F.lit("matched"))
     return looked_up.filter(~F.col("__plan") | (F.coalesce("plan_status", F.lit("unknown")) == "unknown")).select(*out).unionByName(required.select(*out))
@@ -166,27 +195,6 @@ def _inpatient(kinds: DataFrame) -> DataFrame:
     return kinds.groupBy("organization_oid").agg(F.bool_or((F.col("__st") == INPATIENT) | F.col("__day")).alias("__inpatient"))
 
 
-def _decided(pairs: DataFrame, rules: DataFrame, orgs: DataFrame, subdivisions: DataFrame, rule_lists: DataFrame, plan: DataFrame, plan_rules: DataFrame) -> DataFrame:
-    """The verdict of each (rule_id, organization_oid) of ``pairs``."""
-    kinds = _kinds(subdivisions)
-    has = _patterns(kinds)
-    listed = rule_lists.select("rule_id", "organization_oid", F.lit(True).alias("__listed")).distinct()
-    by_plan = plan_rule(orgs, plan, plan_rules)
-    present = plan.select("organization_oid", F.lit(True).alias("__present")).distinct()
-    j = (pairs.join(_coded(rules), "rule_id")
-         .join(has.drop("__pattern_day"), ["organization_oid", "__type", "__kind"], "left")
-         .join(_day_hospital(has), ["organization_oid", "__type"], "left").join(_inpatient(kinds), "organization_oid", "left")
-         .join(listed, ["rule_id", "organization_oid"], "left").join(_resolved(rule_lists), "rule_id", "left")
-         .join(by_plan, ["organization_oid", "type_id"], "left").join(present, "organization_oid", "left").join(_zero(plan_rules), "type_id", "left"))
-    on_plan = _on_plan()
-    status = F.when(on_plan, F.coalesce("plan_status", F.lit("unknown"))).otherwise("unknown")
-    waived = on_plan & (status == "not_required")
-    absent = on_plan & (status == "unknown") & flag("__zero")
-    base = ((F.col("__type") == "") & (F.col("__kind") == "")) | flag("__base")
-    verdict = F.when(status == "required", "matched").when(waived | absent, "not_matched").when(~base, "not_matched").otherwise(_condition())
-    return j.select("rule_id", "organization_oid", "type_id", "requirement_status", verdict.alias("verdict"), (absent & ~flag("__present")).alias("plan_absent"))
-
-
 def type_defaults(types: DataFrame, rules: DataFrame, plan_rules: DataFrame) -> DataFrame:
     """(type, requirement_status, missing_rule, closed_world, waivable): what holds where no cell is stored.
 

@@ -215,3 +215,46 @@ def test_types_outside_the_config_leave_before_the_aggregation(spark, inputs):
     plan = I.numerators(counted, [SUM, MAX])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("type_code#", 0, plan.rindex("Filter")) < plan.rindex("Filter") and " IN (" in plan[plan.rindex("Filter"):] and plan.rindex("Filter") > plan.rindex("Aggregate")
     assert I.numerators(facts, [SUM, MAX]).count() == 3
+
+
+def test_listing_of_all_pairs_moves_blocks_of_rules(spark):
+    """Against each pair decided on its own: rules that repeat a rule_id, more of them than a block has, an organization without a key."""
+    import itertools
+    import random
+    from planlens.plans import applicability as A
+    r = random.Random(8)
+    names = [*(f"o{i}" for i in range(7)), None]
+    text = ["", "A", "b"]
+    cases = list(itertools.product(["none", "custom", "listed", "empty"], text, text, [True, False], [[2], [1]]))
+    rules = [(i // 2, f"t{i % 5}", "required", t, k, c, e, c == "listed", False, g) for i, (c, t, k, e, g) in enumerate(cases)] * 2
+    subs = [(f"o{r.randrange(6)}", r.choice(text), r.choice(text), "x") for _ in range(9)]
+    lists = {(r.randrange(40), f"o{r.randrange(7)}") for _ in range(90)}
+    plan = [(f"o{r.randrange(5)}", f"s{r.randrange(4)}", r.choice([0.0, 5.0])) for _ in range(9)]
+    sections = [(f"t{i}", f"s{i}", i % 2 == 0) for i in range(4)]
+    frames = [spark.createDataFrame(rules, "rule_id int, type_id string, requirement_status string, subdivision_type string, subdivision_kind string, condition_code string, excludes boolean, has_list boolean, from_directory boolean, grounds array<int>"),
+              spark.createDataFrame([(o,) for o in names], "organization_oid string"), spark.createDataFrame(subs, "organization_oid string, subdivision_type string, subdivision_kind string, name string"),
+              spark.createDataFrame(list(lists), "rule_id int, organization_oid string"), spark.createDataFrame(plan, "organization_oid string, sheet_code string, annual_value double"),
+              spark.createDataFrame(sections, "type_id string, sheet_code string, zero_means_not_required boolean")]
+    resolved = {i for i, _ in lists}
+
+    def decided(o, i, t, st, sk, code, excludes, has_list, grounds):
+        volumes = [v for w, sheet, v in plan for u, x, _ in sections if (w, u) == (o, t) and x == sheet]
+        zero, on_plan = any(z for u, _, z in sections if u == t), grounds == [2]
+        absent = on_plan and zero and o not in {w for w, *_ in plan}
+        if on_plan and volumes and max(volumes) > 0:
+            return "matched", absent
+        held = (st, sk) == ("", "") or any(w == o and st.lower() in ("", a.lower()) and sk.lower() in ("", b.lower()) for w, a, b, _ in subs)
+        if (on_plan and zero) or not held:
+            return "not_matched", absent
+        if code in ("none", "custom") or not has_list:
+            return "matched" if code == "none" else "unknown", absent
+        if i not in resolved and not excludes:
+            return "unknown", absent
+        return "matched" if ((i, o) in lists) != excludes else "not_matched", absent
+
+    want = sorted((i, str(o), t, *decided(o, i, t, st, sk, c, e, h, g)) for i, t, _, st, sk, c, e, h, _, g in rules for o in names)
+    out = A.rule_verdicts(*frames)
+    assert sorted((x.rule_id, str(x.organization_oid), x.type_id, x.verdict, x.plan_absent) for x in out.collect()) == want
+    assert {w[3] for w in want} == {"matched", "unknown", "not_matched"}
+    plan_text = out._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in plan_text and plan_text.index("Generate inline") < plan_text.index("Join")  # pairs are formed after the last join
