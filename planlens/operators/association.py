@@ -26,6 +26,8 @@ VIF_CAP = 9_999.0       # fixed value
 AGGS_PER_SCAN = 400
 #: Running counts of one ordered pass, and cells of the rank arrays that a task holds for its products.
 PARTNERS_PER_PASS, PRODUCT_CELLS = 64, 1 << 21
+#: Rows of a strip in which discordant pairs are counted at once.
+STRIP = 1 << 18
 
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
@@ -303,26 +305,88 @@ def anova(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 # --- Kendall ------------------------------------------------------------------------------------
 
-def kendall_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(col_a, col_b, n_used, concordant, discordant, ties_a, ties_b, tau, z, p_value) of all ``pairs``, in one plan.
+def _strips(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Column → (smallest value of each strip, its number); odd numbers are strips of one value.
 
-    Exact over all rows that both columns have, at least four.  The values of a column are numbered once for all its
-    pairs; the bits of these numbers are the levels of a wavelet tree.  Among rows that share the higher bits, a row with
-    bit 0 is discordant with every earlier row (smaller a) with bit 1: running sums over as many levels as the column's
-    distinct values need, and no pair of rows.
+    Strips grow with the root of the rows beyond some 10^9, so cells stay far fewer than rows.
     """
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("col"), number(c).alias("v")) for c in cols]))).filter("v IS NOT NULL")
+    counts = values.groupBy("col", "v").agg(F.count(F.lit(1)).alias("t"))
+    cum = scan(counts, {"upto": ("sum", F.col("t")), "whole": ("total", F.col("t"))}, ["v"], ["col"])
+    size = F.greatest(F.lit(STRIP), F.ceil(F.sqrt(F.col("whole").cast("double"))) * 8)
+    strip = F.floor((F.col("upto") - F.col("t")) / size) * 2 + F.when(F.col("t") > size, 1).otherwise(0)
+    found: dict[str, list] = {c: [] for c in cols}
+    for row in cum.groupBy("col", strip.alias("s")).agg(F.min("v").alias("lo")).collect():  # one row a strip
+        found[row["col"]].append((row["lo"], row["s"]))
+    return {c: (np.array([lo for lo, _ in sorted(f)], dtype=float), np.array([s for _, s in sorted(f)], dtype=np.int64)) for c, f in found.items()}
+
+
+def _placed(cells: DataFrame, strips: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Adds ``i`` and ``j``, the strips of x and y."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for name, value in (("col_a", "x"), ("col_b", "y")):
+                names, v = b.column(name).dictionary_encode(), b.column(value).to_numpy(zero_copy_only=False)
+                code, at = names.indices.to_numpy(zero_copy_only=False), np.zeros(len(v), dtype=np.int64)
+                for k, c in enumerate(names.dictionary.to_pylist()):
+                    lows, numbers = strips[c]
+                    here = code == k
+                    at[here] = numbers[np.searchsorted(lows, v[here], side="right") - 1]
+                out.append(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, "i", "j"])
+    return cells.mapInArrow(place, "col_a string, col_b string, x double, y double, c long, i long, j long")
+
+
+def _strip_discordant():
+    """Discordant rows among those of one strip: by the bits of the rank of y, highest first.  Among rows that share the
+    higher bits, one with bit 0 is discordant with every earlier one with bit 1."""
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        x, y, c = (table.column(n).to_numpy() for n in ("x", "y", "c"))
+        order = np.lexsort((y, x))
+        rank, c = np.unique(y, return_inverse=True)[1].reshape(-1)[order], c[order].astype(float)
+        total = 0.0
+        for level in range(int(rank.max()).bit_length() - 1, -1, -1):
+            one, prefix = (rank >> level) & 1 == 1, rank >> (level + 1)
+            ones = np.cumsum(np.where(one, c, 0.0))
+            first = np.flatnonzero(np.diff(prefix, prepend=-1))
+            before = np.repeat(np.concatenate(([0.0], ones))[first], np.diff(first, append=len(rank)))
+            total += float((c * (ones - before))[~one].sum())
+            order = np.argsort(rank >> level, kind="stable")
+            rank, c = rank[order], c[order]
+        return pa.table({"col_a": [key[0].as_py()], "col_b": [key[1].as_py()], "dis": [total]})
+    return count
+
+
+def _wavelet(cells: DataFrame) -> DataFrame:
+    """(col_a, col_b, dis) of counted (x, y), distributed: the bits of the numbered y are the levels of a wavelet tree, counted
+    as in a strip by running sums."""
     key = ["col_a", "col_b"]
-    cells = pair_counts(df, pairs, number, number)
-    second = list(dict.fromkeys(b for _, b in pairs))
-    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("col_b"), number(c).alias("y")) for c in second]))).filter("y IS NOT NULL").distinct()
-    codes = scan(values, {"ry": ("sum", F.lit(1).cast("long")), "most": ("total", F.lit(1).cast("long"))}, ["y"], ["col_b"])
+    codes = scan(cells.select("col_b", "y").distinct(), {"ry": ("sum", F.lit(1).cast("long")), "most": ("total", F.lit(1).cast("long"))}, ["y"], ["col_b"])
     ranked = cells.join(dealt(codes), ["col_b", "y"])
     levels = ranked.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.length(F.bin("most")) - 1)))
     levels = levels.select(*key, "x", "ry", "c", "lvl", F.expr("shiftright(ry, lvl + 1)").alias("prefix"), F.expr("shiftright(ry, lvl) & 1").alias("bit"))
     seen = scan(levels, {"ones": ("sum_before", F.when(F.col("bit") == 1, F.col("c")).otherwise(0))}, ["x", "ry"], [*key, "lvl", "prefix"])
+    return seen.filter("bit = 0").groupBy(*key).agg(F.sum(F.col("c").cast("double") * F.coalesce("ones", F.lit(0))).alias("dis"))
+
+
+def kendall_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(col_a, col_b, n_used, concordant, discordant, ties_a, ties_b, tau, z, p_value) of all ``pairs``, in one plan.
+
+    Exact over all rows that both columns have, at least four.  Values are cut into strips of about ``STRIP`` rows; a value with more
+    is a strip of its own.  Discordant are: two rows of one x strip, counted inside it; two rows of one y strip in different x
+    strips, counted inside that; and all rows of two cells (x strip, y strip) that are discordant, counted on the table of cells.
+    A row moves twice whatever the number of values, and no pair of rows is formed.
+    """
+    key = ["col_a", "col_b"]
+    cells = pair_counts(df, pairs, number, number)
+    placed = _placed(cells, _strips(df, list(dict.fromkeys(c for pair in pairs for c in pair))))
+    inside = lambda strip, x: placed.filter(F.col(strip) % 2 == 0).select(*key, F.col(strip).alias("strip"), F.col(x).cast("double").alias("x"), "y", "c").groupBy(*key, "strip").applyInArrow(
+        _strip_discordant(), "col_a string, col_b string, dis double")
+    coarse = placed.groupBy(*key, F.col("i").alias("x"), F.col("j").alias("y")).agg(F.sum("c").alias("c"))
+    dis = inside("i", "x").unionByName(inside("j", "i")).unionByName(_wavelet(coarse)).groupBy(*key).agg(F.sum("dis").alias("dis"))
     tied = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
     out = cells.groupBy(*key).agg(F.sum("c").alias("n_used"), tied("c").alias("both"))
-    dis = seen.filter("bit = 0").groupBy(*key).agg(F.sum(F.col("c").cast("double") * F.coalesce("ones", F.lit(0))).alias("dis"))
     ties = [cells.groupBy(*key, v).agg(F.sum("c").alias("t")).groupBy(*key).agg(tied("t").alias(f"t{v}")) for v in ("x", "y")]
     for part in (dis, *ties):  # a row for each pair of columns
         out = out.join(part, key, "left")

@@ -158,6 +158,23 @@ def test_kendall_exact_against_all_pairs(spark):
     assert (k.concordant, k.discordant, k.ties_a, k.ties_b) == (con, dis, ta, tb)
 
 
+def test_kendall_over_strips_against_all_pairs(spark, monkeypatch):
+    """Several strips, a value that fills one of its own, nulls and two pairs; rows used to be written once for every bit of a rank."""
+    import random
+    import numpy as np
+    monkeypatch.setattr(S, "STRIP", 8)
+    r = random.Random(5)
+    rows = [(r.choice([r.gauss(0, 1), 0.25, 0.25]), r.choice([r.gauss(0, 1), -0.5, None]), float(r.randrange(400))) for _ in range(900)]
+    out = S.kendall_pairs(spark.createDataFrame(rows, "a double, b double, c double"), [("a", "b"), ("c", "a")])
+    got = {(k.col_a, k.col_b): (k.n_used, k.concordant, k.discordant) for k in out.collect()}
+    for i, j, names in ((0, 1, ("a", "b")), (2, 0, ("c", "a"))):
+        x, y = (np.array([p[k] for p in rows if p[i] is not None and p[j] is not None]) for k in (i, j))
+        signs = np.sign(np.subtract.outer(x, x)) * np.sign(np.subtract.outer(y, y))
+        assert got[names] == (len(x), (signs > 0).sum() / 2, (signs < 0).sum() / 2)
+    assert len(S._strips(spark.createDataFrame(rows, "a double, b double, c double"), ["c"])["c"][0]) > 3
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fisher_on_small_table(spark):
     d = spark.createDataFrame([("a", "x")] * 3 + [("a", "y")] + [("b", "x")] + [("b", "y")] * 3, "p string, q string")
     r = S.chi2_or_fisher(d, [("p", "q")]).head()
