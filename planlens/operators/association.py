@@ -26,6 +26,8 @@ VIF_CAP = 9_999.0       # fixed value
 AGGS_PER_SCAN = 400
 #: Running counts of one ordered pass, and cells of the rank arrays that a task holds for its products.
 PARTNERS_PER_PASS, PRODUCT_CELLS = 64, 1 << 21
+#: Most columns whose ranks are joined to whole rows one column after the other; more are brought together again by row.
+WIDE_COLUMNS = 12
 #: Rows of a strip in which discordant pairs are counted at once.
 STRIP = 1 << 18
 
@@ -121,16 +123,49 @@ def _names(of: Sequence[str], at: str, out: str) -> Column:
     return F.get(F.array(*[F.lit(c) for c in of]), F.col(at)).alias(out)
 
 
+def _wide_products(cells: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """Sums of products and totals, as in ``spearman_pairs``, where a row stays whole and looks its ranks up column by column.
+
+    Only a column of very many values moves the rows; the ranks of the others are broadcast at run time.
+    """
+    partners = [[j for j in range(len(names)) if (i, j) in pairs or (j, i) in pairs] for i in range(len(names))]
+    ranked, totals = cells, []
+    for i, name in enumerate(names):
+        js = partners[i]
+        per = cells.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(*[F.sum(F.when(F.col(names[j]).isNotNull(), F.col("c")).otherwise(0)).alias(f"t{j}") for j in js])
+        cum = scan(per, {f"m{j}": ("sum", F.col(f"t{j}")) for j in js} | {f"n{j}": ("total", F.col(f"t{j}")) for j in js}, ["v"])
+        table = cum.select("v", *[F.col(f"t{j}") for j in js], *[(F.col(f"m{j}") - (F.col(f"t{j}") + F.col(f"n{j}")) / 2).alias(f"r{j}") for j in js])
+        ranked = ranked.join(dealt(table.select(F.col("v").alias(name), *[F.col(f"r{j}").alias(f"r{i}_{j}") for j in js])), name, "left")
+        sums = [F.struct(F.lit(i).cast("long").alias("col"), F.lit(j).cast("long").alias("j"), F.sum(f"t{j}").alias("n"), F.count_if(F.col(f"t{j}") > 0).alias("k"),
+                         F.sum(F.col(f"t{j}") * F.col(f"r{j}") * F.col(f"r{j}")).alias("squares")) for j in js]
+        totals.append(table.agg(F.array(*sums).alias("s")).select(F.inline("s")).filter("n IS NOT NULL"))
+    every = totals[0]
+    for t in totals[1:]:
+        every = every.unionByName(t)
+    # a missing value has no rank, and its products are null
+    products = [F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.coalesce(F.sum(F.col(f"r{i}_{j}") * F.col(f"r{j}_{i}") * F.col("c")), F.lit(0.0)).alias("xy")) for i, j in pairs]
+    return ranked.agg(F.array(*products).alias("s")).select(F.inline("s")), every
+
+
+def _with_r(xy: DataFrame, totals: DataFrame, cols: Sequence[str], min_n: int) -> DataFrame:
+    one = lambda i, j, end: totals.select(F.col("col").alias(i), F.col("j").alias(j), F.col("squares").alias(f"s{end}"), F.col("k").alias(f"k{end}"), "n")
+    t = xy.join(one("i", "j", "xx"), ["i", "j"]).join(one("j", "i", "yy").drop("n"), ["i", "j"]).filter("n > 0")
+    return t.select(_names(cols, "i", "col_a"), _names(cols, "j", "col_b"),
+                    F.when((F.col("n") >= min_n) & (F.col("kxx") > 1) & (F.col("kyy") > 1), F.col("xy") / F.sqrt(F.col("sxx") * F.col("syy"))).alias("r"), "n")
+
+
 def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], min_n: int = MIN_PAIRS) -> DataFrame:
     """(col_a, col_b, r, n) of the ``pairs``, each ranked on its complete rows.
 
-    A row comes together again with the ranks of all its columns, one array a column; the products of the pairs are
-    summed up in the task.
+    Of few columns a row stays whole.  Of many a row comes together again with the ranks of all its columns, one array a
+    column; the products of the pairs are summed up in the task.
     """
     cols = list(dict.fromkeys(c for pair in pairs for c in pair))
     p, at = len(cols), {c: i for i, c in enumerate(cols)}
     names = [f"x{i}" for i in range(p)]
     cells = _cells(df, {n: number(c) for n, c in zip(names, cols)})
+    if p <= WIDE_COLUMNS:
+        return _with_r(*_wide_products(cells, names, [(at[a], at[b]) for a, b in pairs]), cols, min_n)
     rows = cells.select(F.md5(F.to_json(F.struct(*names))).alias("id"), "c", F.array(*[F.col(n).isNotNull() for n in names]).alias("here"),
                         F.posexplode(F.array(*names)).alias("col", "v")).filter("v IS NOT NULL")
     ranked, totals = _ranked(rows, p, centred=True)
@@ -152,10 +187,7 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], min_n: int =
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, second, total)], ["i", "j", "xy"])
 
     xy = whole.mapInArrow(sums, "i long, j long, xy double").groupBy("i", "j").agg(F.sum("xy").alias("xy"))
-    one = lambda i, j, end: totals.select(F.col("col").alias(i), F.col("j").alias(j), F.col("squares").alias(f"s{end}"), F.col("k").alias(f"k{end}"), "n")
-    t = xy.join(one("i", "j", "xx"), ["i", "j"]).join(one("j", "i", "yy").drop("n"), ["i", "j"]).filter("n > 0")
-    return t.select(_names(cols, "i", "col_a"), _names(cols, "j", "col_b"),
-                    F.when((F.col("n") >= min_n) & (F.col("kxx") > 1) & (F.col("kyy") > 1), F.col("xy") / F.sqrt(F.col("sxx") * F.col("syy"))).alias("r"), "n")
+    return _with_r(xy, totals, cols, min_n)
 
 
 # --- categorical ------------------------------------------------------------------------------
@@ -222,10 +254,11 @@ def chi2_or_fisher(df: DataFrame, pairs: Sequence[tuple[str, str]], yates: bool
 def group_rank_table(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """One row per (numeric, categorical) pair: k groups, n, sum R^2/n_g, ties, and the first group's n and R."""
     nums, cats = (list(dict.fromkeys(pair[k] for pair in pairs)) for k in (0, 1))
-    text, xs, ys = text_value(df), [f"x{i}" for i in range(len(nums))], [f"y{j}" for j in range(len(cats))]
-    cells = _cells(df, {**{x: number(c) for x, c in zip(xs, nums)}, **{y: text(c) for y, c in zip(ys, cats)}})
-    rows = cells.select("c", F.array(*ys).alias("ys"), F.array(*[F.col(y).isNotNull() for y in ys]).alias("here"),
-                        F.posexplode(F.array(*xs)).alias("col", "v")).filter("v IS NOT NULL")
+    text, ys = text_value(df), [f"y{j}" for j in range(len(cats))]
+    # values of one column are counted on their own: where they are few, their rows are combined before the shuffle
+    each_value = df.select(*[text(c).alias(y) for y, c in zip(ys, cats)], F.posexplode(F.array(*[number(c) for c in nums])).alias("col", "v")).filter("v IS NOT NULL")
+    cells = each_value.groupBy("col", "v", *ys).agg(F.count(F.lit(1)).alias("c"))
+    rows = cells.select("col", "v", "c", F.array(*ys).alias("ys"), F.array(*[F.col(y).isNotNull() for y in ys]).alias("here"))
     ranked, totals = _ranked(rows, len(cats))
     each = ranked.select("col", "c", F.posexplode(F.arrays_zip(F.col("ys").alias("y"), F.col("r"))).alias("j", "s")).select("col", "j", "c", "s.y", "s.r").filter("y IS NOT NULL")
     if len(pairs) < len(nums) * len(cats):

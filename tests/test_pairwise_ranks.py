@@ -79,3 +79,20 @@ def test_group_ranks_of_many_columns(spark, table):
         assert math.isclose(have["ties"], sum(values.count(v) ** 3 - values.count(v) for v in set(values)), abs_tol=1e-9)
         assert (have["n1"], have["r1"]) == (len(by[min(by)]), sum(by[min(by)]))
     assert len(got) == len([1 for a, b in pairs if (a, b) in got])
+
+
+def test_spearman_of_few_columns_keeps_rows_whole(spark, table):
+    """The path without a name for every row; the rows used to be written once a column and grouped again."""
+    some = [0, 1, 2, 5, 6, 7, 9]
+    d = spark.createDataFrame([tuple(row[i] for i in some) for row in table], ", ".join(f"c{i} double" for i in some))
+    out = S.spearman_matrix(d)
+    got = {(r["col_a"], r["col_b"]): (r["n"], r["r"]) for r in out.collect()}
+    for k, i in enumerate(some):
+        for j in some[k + 1:]:
+            want, have = plain(table, i, j), got.get((f"c{i}", f"c{j}"))
+            assert (want is None) == (have is None), (i, j)
+            if want:
+                assert want[0] == have[0] and (want[1] is None) == (have[1] is None), (i, j, want, have)
+                assert want[1] is None or abs(want[1] - have[1]) < 1e-9
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan and "collect_list" not in plan
