@@ -49,10 +49,14 @@ BASE = """WITH f AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS period_id, l_su
 """
 
 
-def months(t):
-    return t.lineitem.join(keyed(t.part), F.col("l_partkey") == F.col("p_partkey")).groupBy(
+def documents(t):
+    return t.lineitem.join(keyed(t.part), F.col("l_partkey") == F.col("p_partkey")).select(
         F.year("l_shipdate").cast("string").alias("period_id"), F.col("l_suppkey").alias("organization_oid"), F.col("p_brand").alias("type_code"),
-        F.month("l_shipdate").alias("month")).agg(F.count(F.lit(1)).alias("document_count"))
+        F.month("l_shipdate").alias("month"))
+
+
+def months(t):
+    return documents(t).groupBy("period_id", "organization_oid", "type_code", "month").agg(F.count(F.lit(1)).alias("document_count"))
 
 
 def periods(t):
@@ -74,7 +78,7 @@ def plans(t):
 
 
 def loaded(t):
-    return months(t).select("period_id", "month").distinct().filter("month <> 5 AND NOT (period_id = '2000' AND month > 9)")
+    return documents(t).select("period_id", "month").distinct().filter("month <> 5 AND NOT (period_id = '2000' AND month > 9)")
 
 
 def values(t):
@@ -96,7 +100,7 @@ def execution(t):
 
 
 def breakdown(t):
-    return M.org_breakdown(points(t, True), execution(t), slices(t))
+    return M.org_breakdown(M.monthly_table(months(t), plans(t), targets(t), CONFIG, loaded(t), True), execution(t), slices(t))
 
 
 # --- ratios -----------------------------------------------------------------------------------

@@ -8,8 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import keyed, percent, rnd
-from .indicators import KEY, ORG_KEY, _sheets, numerators, of_sheets, of_types, valid_months
+from ..functions.columns import keyed, number, percent, rnd
+from .indicators import KEY, ORG_KEY, _max_rule, _sheets, _type_roles, of_sheets, of_types
 
 MONTHS = list(range(1, 13))
 # fixed values: thresholds of the conclusion rules
@@ -30,24 +30,49 @@ def monthly_series(
     loaded month without documents is 0; without any monthly plan the plan is null.  The numerator is
     taken per organization and then summed.
     """
+    table = monthly_table(facts, plans, targets, config, loaded, by_org)
+    return table.select(*(ORG_KEY if by_org else KEY), F.inline("months"))
+
+
+def monthly_table(
+    facts: DataFrame, plans: DataFrame, targets: DataFrame, config: Sequence[Mapping[str, Any]], loaded: DataFrame, by_org: bool = False
+) -> DataFrame:
+    """``monthly_series`` with one row per key: ``months`` holds the twelve (month, plan, fact, ratio).
+
+    Organizations, documents and plans meet in one aggregation over their union, the months side by side.  Joined one after the
+    other, each of them is hashed or sorted once more in the same task, and the exploded months twelve times as often.
+    """
     spark = facts.sparkSession
     org = ["period_id", "organization_oid"]
-    key = ORG_KEY if by_org else KEY
+    count = F.coalesce(number("document_count"), F.lit(0.0))
+    given = [F.try_element_at("monthly_values", F.lit(m)) for m in MONTHS]
+    values = [f"v{m}" for m in MONTHS]
     ids = F.array(*[F.lit(c["indicator_id"]) for c in config])
-    who = targets.select(*org).distinct()
-    base = (who if by_org else who.select("period_id").distinct()).withColumn("indicator_id", F.explode(ids))
-    dense = base.withColumn("month", _every_month())
-    fact = numerators(of_types(facts, config).join(keyed(who), org, "left_semi"), config, ["period_id", "organization_oid", "month"]).groupBy(*key, "month").agg(
-        F.sum("numerator").alias("__fact"))
-    rows = (of_sheets(plans, config).join(keyed(who), org, "left_semi").join(_sheets(spark, config), "sheet_code")
-            .select(*key, F.explode(valid_months()).alias("month", "v")).filter("v IS NOT NULL AND NOT isnan(v)"))
-    plan = rows.groupBy(*key, "month").agg(F.sum("v").alias("__plan"))
-    any_plan = rows.select(*key).distinct().withColumn("__any", F.lit(True))
-    j = (dense.join(fact, [*key, "month"], "left").join(plan, [*key, "month"], "left").join(any_plan, key, "left")
-         .join(loaded.select("period_id", "month", F.lit(True).alias("__loaded")).distinct(), ["period_id", "month"], "left"))
-    p = F.when(F.col("__any"), F.coalesce("__plan", F.lit(0.0)))
-    f = F.when(F.col("__loaded"), F.coalesce("__fact", F.lit(0.0)))
-    return j.select(*key, "month", p.alias("plan"), f.alias("fact")).withColumn("ratio", percent(F.col("fact"), F.col("plan")))
+    who = targets.select(*org, F.explode(ids).alias("indicator_id"), F.lit("target").alias("part"), *[F.lit(None).cast("double").alias(v) for v in values])
+    documents = of_types(facts, config).dropna(subset=org).join(_type_roles(spark, config), "type_code").groupBy(*ORG_KEY, F.col("role").alias("part"), "type_code").agg(
+        *[F.sum(F.when(F.col("month") == m, count)).alias(v) for m, v in zip(MONTHS, values)]).drop("type_code")
+    planned = of_sheets(plans, config).dropna(subset=org).join(_sheets(spark, config), "sheet_code").select(
+        *ORG_KEY, F.lit("plan").alias("part"), *[F.when(~F.isnan(x), x).cast("double").alias(v) for x, v in zip(given, values)])
+    of = lambda part, v: F.when(F.col("part") == part, F.col(v))
+    sums = [x for m, v in zip(MONTHS, values) for x in (F.sum(of("main", v)).alias(f"__s{m}"), F.max(of("main", v)).alias(f"__m{m}"),
+                                                        F.sum(of("additional", v)).alias(f"__a{m}"), F.sum(of("plan", v)).alias(f"__p{m}"))]
+    g = who.unionByName(documents).unionByName(planned).groupBy(*ORG_KEY).agg(F.bool_or(F.col("part") == "target").alias("__target"), *sums).filter("__target")
+    zero = F.lit(0.0)
+    fact = {m: F.when(_max_rule(config), F.greatest(zero, F.coalesce(f"__m{m}", zero))).otherwise(F.coalesce(f"__s{m}", zero)) + F.coalesce(f"__a{m}", zero) for m in MONTHS}
+    g = g.select(*ORG_KEY, *[f.alias(f"__f{m}") for m, f in fact.items()], *[f"__p{m}" for m in MONTHS])
+    if not by_org:
+        g = g.groupBy(*KEY).agg(*[F.sum(f"__{x}{m}").alias(f"__{x}{m}") for x in "fp" for m in MONTHS])
+    j = g.join(F.broadcast(_loaded_months(loaded)), "period_id", "left")
+    any_plan = F.coalesce(*[F.col(f"__p{m}") for m in MONTHS]).isNotNull()
+    p = {m: F.when(any_plan, F.coalesce(f"__p{m}", zero)) for m in MONTHS}
+    f = {m: F.when(F.array_contains("__loaded", m), F.col(f"__f{m}")) for m in MONTHS}
+    cells = [F.struct(F.lit(m).alias("month"), p[m].alias("plan"), f[m].alias("fact"), percent(f[m], p[m]).alias("ratio")) for m in MONTHS]
+    return j.select(*(ORG_KEY if by_org else KEY), F.array(*cells).alias("months"))
+
+
+def _loaded_months(loaded: DataFrame) -> DataFrame:
+    """One row per period with at most twelve months."""
+    return loaded.filter(F.col("month").between(1, 12)).groupBy("period_id").agg(F.collect_set(F.col("month").cast("int")).alias("__loaded"))
 
 
 def registry_series(facts: DataFrame, targets: DataFrame, loaded: DataFrame) -> DataFrame:
@@ -85,18 +110,21 @@ def execution_summary(points: DataFrame, slices: DataFrame) -> DataFrame:
 def org_breakdown(points: DataFrame, execution: DataFrame, slices: DataFrame) -> DataFrame:
     """(period, indicator, organization): monthly_ratios[12], case_fact, documents_in_slice, percent_of_fact.
 
-    points: ``monthly_series(by_org=True)``; execution: period_id, indicator_id, organization_oid, case_fact;
-    an organization that is absent has a null case_fact, not 0.
+    points: ``monthly_series(by_org=True)``, or the ``monthly_table`` it is made of, which needs no grouping;
+    execution: period_id, indicator_id, organization_oid, case_fact; an organization that is absent has a null case_fact, not 0.
     """
-    s = slices.select(*KEY, F.col("from_month").alias("__a"), F.col("to_month").alias("__b"))
-    j = points.join(s, KEY, "left")
-    inside = F.col("month").between(F.col("__a"), F.col("__b"))
-    has = F.max(F.coalesce(F.col("__a") <= F.col("__b"), F.lit(False)))
-    ratio = [F.max(F.when(F.col("month") == m, F.col("ratio"))) for m in MONTHS]
-    g = j.groupBy(*ORG_KEY).agg(F.array(*ratio).alias("monthly_ratios"), has.alias("__has"),
-                                F.sum(F.when(inside, F.coalesce("fact", F.lit(0.0)))).alias("__docs"))
-    out = g.join(keyed(execution.select(*ORG_KEY, "case_fact")), ORG_KEY, "left")
-    docs = F.when(F.col("__has"), F.coalesce("__docs", F.lit(0.0)))
+    a, b = F.col("from_month"), F.col("to_month")
+    # one row per (period, indicator): in how many slices each month lies
+    s = slices.groupBy(*KEY).agg(F.max(F.coalesce(a <= b, F.lit(False))).alias("__has"), F.array(*[F.count_if(F.lit(m).between(a, b)) for m in MONTHS]).alias("__in"))
+    if "months" in points.columns:
+        at = [F.col("months")[m - 1] for m in MONTHS]
+        g = points.select(*ORG_KEY, F.array(*[c["ratio"] for c in at]).alias("monthly_ratios"), F.array(*[F.coalesce(c["fact"], F.lit(0.0)) for c in at]).alias("__facts"))
+    else:
+        month = [F.when(F.col("month") == m, F.struct("ratio", F.coalesce("fact", F.lit(0.0)).alias("fact"))) for m in MONTHS]
+        g = points.groupBy(*ORG_KEY).agg(F.array(*[F.max(c["ratio"]) for c in month]).alias("monthly_ratios"), F.array(*[F.sum(c["fact"]) for c in month]).alias("__facts"))
+    out = g.join(F.broadcast(s), KEY, "left").join(keyed(execution.select(*ORG_KEY, "case_fact")), ORG_KEY, "left")
+    inside = [F.when(F.col("__in")[i] > 0, F.col("__in")[i] * F.coalesce(F.col("__facts")[i], F.lit(0.0))).otherwise(0.0) for i in range(len(MONTHS))]
+    docs = F.when(F.col("__has"), sum(inside[1:], inside[0]))
     return out.select(*ORG_KEY, "monthly_ratios", "case_fact", docs.alias("documents_in_slice"), percent(docs, F.col("case_fact")).alias("percent_of_fact"))
 
 

@@ -62,6 +62,29 @@ def test_monthly_null_against_zero(spark, inputs):
     assert s["m", 1].plan is None and s["m", 1].ratio is None
 
 
+def test_months_of_organizations_meet_in_one_aggregation(spark, inputs):
+    """Each join hashed or sorted the table once more in one task; missing keys meet nobody, slices may overlap."""
+    n = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        facts = inputs[0].unionByName(spark.createDataFrame([("p", None, "37", 8)], inputs[0].schema)).withColumn("month", F.lit(1))
+        targets = inputs[2].unionByName(spark.createDataFrame([("p", None, 2)], inputs[2].schema))
+        loaded = spark.createDataFrame([("p", 1), ("p", 2)], "period_id string, month int")
+        args = facts, inputs[1], targets, [SUM, MAX], loaded, True
+        series = M.monthly_series(*args)
+        plan = series._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        s = {(r.indicator_id, r.organization_oid, r.month): (r.plan, r.fact, r.ratio) for r in series.collect()}
+        assert len(s) == 2 * 4 * 12
+        assert s["s", "a", 1] == (10, 16, 160) and s["s", "a", 12] == (100, None, None) and s["m", "b", 1] == (None, 11, None) and s["s", None, 1] == (None, 0, None)
+        slices = spark.createDataFrame([("p", "s", 1, 2), ("p", "s", 1, 1), ("p", "m", 5, 4)], "period_id string, indicator_id string, from_month int, to_month int")
+        case = spark.createDataFrame([("p", "s", "a", 8.0)], "period_id string, indicator_id string, organization_oid string, case_fact double")
+        of = [{(r.indicator_id, r.organization_oid): r[3:] for r in M.org_breakdown(p, case, slices).collect()} for p in (series, M.monthly_table(*args))]
+        assert of[0] == of[1] and of[0]["s", "a"] == ([160, 0, *[None] * 10], 8, 32, 400) and of[0]["m", "b"] == ([None] * 12, None, None, None)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", n)
+
+
 def points(spark, facts, plan=100.0):
     return spark.createDataFrame([("p", "i", m, plan, float(f) if f is not None else None, None) for m, f in zip(range(1, 13), facts + [None] * (12 - len(facts)))],
                                  "period_id string, indicator_id string, month int, plan double, fact double, ratio double")
