@@ -230,7 +230,7 @@ def _(t):
 
 @query("ind12_registry_series", BASE + "SELECT period_id, month, CASE WHEN (period_id, month) IN (SELECT (period_id, month) FROM ld) THEN coalesce(n, 0) END AS fact FROM (SELECT * FROM (SELECT DISTINCT period_id FROM tg), mo) LEFT JOIN (SELECT period_id, month, CAST(sum(document_count) AS BIGINT) AS n FROM f JOIN tg USING (period_id, organization_oid) GROUP BY 1, 2) USING (period_id, month)")
 def _(t):
-    return M.registry_series(months(t), targets(t), loaded(t))
+    return M.registry_series(documents(t).withColumn("document_count", F.lit(1)), targets(t), loaded(t))
 
 
 @query("ind12_type_counts", BASE + "SELECT period_id, month, count(DISTINCT type_code) AS unique_types FROM f JOIN tg USING (period_id, organization_oid) GROUP BY 1, 2")

@@ -76,10 +76,13 @@ def _loaded_months(loaded: DataFrame) -> DataFrame:
 
 
 def registry_series(facts: DataFrame, targets: DataFrame, loaded: DataFrame) -> DataFrame:
-    """(period, month, fact): documents per month over the covered organizations, null where not loaded."""
+    """(period, month, fact): documents per month over the covered organizations, null where not loaded.
+
+    facts need no aggregation by organization or type before: they are added up by month alone.
+    """
     org = ["period_id", "organization_oid"]
     dense = targets.select("period_id").distinct().withColumn("month", _every_month())
-    f = facts.join(keyed(targets.select(*org).distinct()), org, "left_semi").groupBy("period_id", "month").agg(F.sum("document_count").alias("n"))
+    f = facts.join(keyed(targets.select(*org)), org, "left_semi").groupBy("period_id", "month").agg(F.sum("document_count").alias("n"))
     return (dense.join(f, ["period_id", "month"], "left")
             .join(loaded.select("period_id", "month", F.lit(True).alias("__l")).distinct(), ["period_id", "month"], "left")
             .select("period_id", "month", F.when(F.col("__l"), F.coalesce("n", F.lit(0))).alias("fact")))

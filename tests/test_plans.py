@@ -85,6 +85,13 @@ def test_months_of_organizations_meet_in_one_aggregation(spark, inputs):
         spark.conf.set("spark.sql.adaptive.enabled", n)
 
 
+def test_registry_series_is_not_grouped_by_organization(spark):
+    from planlens.catalog import QUERIES
+    plan = QUERIES["ind12_registry_series"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("[")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert keys and not any("organization" in k or "type" in k for k in keys)
+
+
 def points(spark, facts, plan=100.0):
     return spark.createDataFrame([("p", "i", m, plan, float(f) if f is not None else None, None) for m, f in zip(range(1, 13), facts + [None] * (12 - len(facts)))],
                                  "period_id string, indicator_id string, month int, plan double, fact double, ratio double")
