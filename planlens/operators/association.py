@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import dealt, number, numeric_columns, present
 from ..functions.tails import chi2_p, corr_p, f_p, fisher_p, normal_p, t_p
 from .ordered import scan
-from .ranking import systematic_sample, with_avg_rank
+from .ranking import avg_rank, systematic_sample
 
 MIN_PAIRS = 5           # fixed value: fewest complete rows for a test
 VIF_CAP = 9_999.0       # fixed value
@@ -74,8 +74,9 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     nums = df.select(*[number(c).alias(c) for c in cols])
     if not has_nulls(nums, cols):
         ranked = nums
-        for c in cols:
-            ranked = with_avg_rank(ranked, c, out=f"__r_{c}")
+        for c in cols:  # ranks come from the plain columns: from the rows joined so far, each column would join all earlier ones again
+            ranks = avg_rank(nums, c).select(F.col("v").alias(c), F.col("avg_rank").alias(f"__r_{c}"))
+            ranked = ranked.join(dealt(ranks), c, "left")
         return pearson_matrix(ranked.select(*[F.col(f"__r_{c}").alias(c) for c in cols]), cols)
     return spearman_pairs(nums, _pairs(cols))
 

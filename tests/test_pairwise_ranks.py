@@ -96,3 +96,14 @@ def test_spearman_of_few_columns_keeps_rows_whole(spark, table):
                 assert want[1] is None or abs(want[1] - have[1]) < 1e-9
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "md5" not in plan and "collect_list" not in plan
+
+
+def test_ranks_of_complete_columns_join_once_each(spark):
+    """Each column's ranks were taken from the rows joined so far, so every column doubled the joins."""
+    from pyspark.sql import functions as F
+    d = spark.range(40).select(*[(F.col("id") * k % 17).cast("double").alias(f"c{k}") for k in (3, 5, 7, 11)])
+    joins = [S.spearman_matrix(d, [f"c{k}" for k in ks])._jdf.queryExecution().optimizedPlan().toString().count("Join ") for ks in ((3, 5), (3, 5, 7, 11))]
+    assert joins[1] == 2 * joins[0]
+    want = d.toPandas().corr("spearman")
+    for r in S.spearman_matrix(d).collect():
+        assert r["n"] == 40 and abs(r["r"] - want.loc[r["col_a"], r["col_b"]]) < 1e-9
