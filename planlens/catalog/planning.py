@@ -273,7 +273,7 @@ def pilot_inputs(t):
     types = t.part.select(F.col("p_brand").alias("type_id")).distinct().select(
         "type_id", F.col("type_id").alias("name"), (n != 7).alias("in_reference"), F.when(n % 4 == 1, False).when(n % 4 != 0, True).alias("registry_visible"), (n % 8 == 0).alias("reference_visible"))
     lines = t.lineitem.join(keyed(t.part), F.col("l_partkey") == F.col("p_partkey")).select(F.year("l_shipdate").cast("string").alias("period_id"), F.col("l_suppkey").alias("organization_oid"), F.col("p_brand").alias("type_id"), "l_quantity", "l_discount")
-    org = lines.filter("l_quantity > 40").groupBy("period_id", "organization_oid", "type_id").agg(F.count(F.lit(1)).alias("document_count")).withColumn("scope_level", F.lit("organization"))
+    org = lines.filter("l_quantity > 40").select("period_id", "organization_oid", "type_id", F.lit(1).cast("long").alias("document_count"), F.lit("organization").alias("scope_level"))
     reg = lines.filter("period_id < '1998' AND l_quantity > 49 AND l_discount > 0.08").groupBy("period_id", "type_id").agg(F.count(F.lit(1)).alias("document_count")).withColumns(
         {"scope_level": F.lit("region"), "organization_oid": F.lit(None).cast("long")})
     facts = org.unionByName(reg)
@@ -293,7 +293,7 @@ def pilot_pairs(t):
 
 def pilot_orgs(t):
     types, facts, tg, req, external = pilot_inputs(t)
-    return V.pilot_org(V.classify_pairs(types, facts, tg, req, external), V.readiness(types, facts, periods(t)))
+    return V.assess_org(V.packed_counts(types, facts, tg, req, external), V.readiness(types, facts, periods(t)))
 
 
 @query("ind15_regional_coverage", PILOT + """, a AS (SELECT period_id, count(*) FILTER (type_id IN (SELECT type_id FROM tt)) AS actual_types FROM ft GROUP BY 1)

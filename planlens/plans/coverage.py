@@ -15,13 +15,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import keyed, one_row, percent
+from ..functions.columns import bounded_values, keyed, one_row, percent
 from ..operators.joins import grid
 from ..operators.ranking import SEVERITIES, severity_rank
 
 TARGET_TYPES = 35              # fixed value: regional target
 REGION_CRITICAL_TYPES = 10     # fixed value
 ORG_CRITICAL_SHARE = 0.25      # fixed value
+MAX_TYPES = 10_000             # size up to which a type directory is exploded, as in ``joins.grid``
 ORG = ["period_id", "organization_oid"]
 
 
@@ -96,21 +97,80 @@ def classify_pairs(types: DataFrame, facts: DataFrame, targets: DataFrame, requi
                     F.coalesce("__ext", F.lit(False)).alias("external"), pair_status(req, reg, F.col("available")).alias("pair_status"))
 
 
-def pilot_org(pairs: DataFrame, readiness_table: DataFrame) -> DataFrame:
-    """Per (period, organization): counts by requirement and reason, coverage, readiness, assessment.
-
-    Coverage is preliminary while some rules are missing or undefined and at least one type is required.
-    """
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """Per (period, organization): number of pairs by requirement and reason."""
     st, req = F.col("pair_status"), F.col("requirement_status")
     missing_here = (st == "required_missing")
-    g = pairs.groupBy(*ORG).agg(
+    return pairs.groupBy(*ORG).agg(
         F.count_if(req == "required").alias("required_types"), F.count_if(req == "not_required").alias("not_required_types"),
         F.count_if(req == "missing").alias("missing_rules"), F.count_if(req == "unknown").alias("unknown_rules"),
         F.count_if("is_manual").alias("manual_overrides"), F.count_if("registered").alias("registered_types"),
         F.count_if(st == "required_registered").alias("__actual"), F.count_if(st == "required_unavailable").alias("blocked"),
         F.count_if(missing_here & ~F.col("external")).alias("missing_at_organization"), F.count_if(missing_here & F.col("external")).alias("handled_externally"),
         F.count_if(st == "required_unknown").alias("unknown_capability"), F.count_if(st == "not_required_registered").alias("unexpected"))
-    j = g.join(readiness_table.select("period_id", F.col("readiness").alias("__ready")), "period_id", "left")
+
+
+def packed_counts(types: DataFrame, facts: DataFrame, targets: DataFrame, requirements: DataFrame, external: DataFrame | None = None) -> DataFrame:
+    """``pair_counts`` over the pairs of ``classify_pairs``, in one aggregation: a row has a bit for each of 64 target types.
+
+    Single pairs are neither listed nor joined.  A pair whose requirement is stated twice alike counts once.
+    """
+    at = F.expr("shiftleft(1L, CAST(__at % 64 AS INT))")
+    place = types.sparkSession.range(1).select(F.posexplode(bounded_values(target_types(types), "type_id", MAX_TYPES)).alias("__at", "type_id")).select(
+        "type_id", F.expr("CAST(__at DIV 64 AS INT)").alias("__block"), at.alias("__bit"))
+    out = place.join(external.select("type_id").distinct(), "type_id", "left_semi") if external is not None else place.limit(0)
+    blocks = place.select("__block", F.col("__bit").alias("__all")).unionByName(out.select("__block", F.col("__bit").alias("__ext")), allowMissingColumns=True).groupBy("__block").agg(
+        F.bit_or("__all").alias("__all"), F.bit_or("__ext").alias("__ext")).agg(F.collect_list(F.struct("__block", "__all", "__ext")).alias("b"))
+    known = lambda df: df.filter("period_id IS NOT NULL AND organization_oid IS NOT NULL").join(F.broadcast(place), "type_id")
+    bit = lambda c, name: F.when(c, F.col("__bit")).alias(name)
+    req, has = F.coalesce("requirement_status", F.lit("missing")), F.col("available")
+    stated = known(requirements).select(
+        *ORG, "__block", bit((req == "required") & has, "__has"), bit((req == "required") & ~has, "__lacks"), bit((req == "required") & has.isNull(), "__open"),
+        bit(req == "not_required", "__not"), bit(req == "unknown", "__unknown"), bit(req == "missing", "__missing"), bit(~req.isin("required", "not_required", "unknown", "missing"), "__other"), bit(F.col("is_manual"), "__manual"))
+    live = known(facts.filter("scope_level = 'organization' AND document_count > 0")).select(*ORG, "__block", F.col("__bit").alias("__reg"))
+    rows = targets.select(*ORG, F.inline(blocks.scalar())).unionByName(stated, allowMissingColumns=True).unionByName(live, allowMissingColumns=True)
+    packed = rows.groupBy(*ORG, "__block").agg(*[F.bit_or(c).alias(c) for c in rows.columns if c not in (*ORG, "__block")]).filter("__all IS NOT NULL")
+
+    def some(*names: str) -> Column:
+        bits = F.lit(0).cast("long")
+        for c in names:
+            bits = bits.bitwiseOR(F.coalesce(c, F.lit(0).cast("long")))
+        return bits
+
+    def count(*parts: Column) -> Column:
+        n = F.bit_count(parts[0])
+        for c in parts[1:]:
+            n = n + F.bit_count(c)
+        return F.sum(n)
+
+    reg, ext = some("__reg"), some("__ext")
+    free = F.bitwise_not(reg)
+    missing_here = some("__has").bitwiseAND(free)
+    ruled = some("__has", "__lacks", "__open", "__not", "__unknown", "__missing", "__other")
+    required = [some(c) for c in ("__has", "__lacks", "__open")]
+    return packed.groupBy(*ORG).agg(
+        count(*required).alias("required_types"), count(some("__not")).alias("not_required_types"),
+        count(some("__all").bitwiseAND(F.bitwise_not(ruled)), some("__missing")).alias("missing_rules"), count(some("__unknown")).alias("unknown_rules"),
+        count(some("__manual")).alias("manual_overrides"), count(reg).alias("registered_types"),
+        count(*[c.bitwiseAND(reg) for c in required]).alias("__actual"), count(some("__lacks").bitwiseAND(free)).alias("blocked"),
+        count(missing_here.bitwiseAND(F.bitwise_not(ext))).alias("missing_at_organization"), count(missing_here.bitwiseAND(ext)).alias("handled_externally"),
+        count(some("__open").bitwiseAND(free)).alias("unknown_capability"), count(some("__not").bitwiseAND(reg)).alias("unexpected")).withColumns(
+        {c: F.col(c).cast(targets.schema[c].dataType) for c in ORG})
+
+
+def pilot_org(pairs: DataFrame, readiness_table: DataFrame) -> DataFrame:
+    """``assess_org`` over the pairs of ``classify_pairs``."""
+    return assess_org(pair_counts(pairs), readiness_table)
+
+
+def assess_org(counts: DataFrame, readiness_table: DataFrame) -> DataFrame:
+    """Per (period, organization): counts by requirement and reason, coverage, readiness, assessment.
+
+    counts: ``pair_counts`` or ``packed_counts``.  Coverage is preliminary while some rules are missing or undefined
+    and at least one type is required.  The readiness table has one row per period and is broadcast: by a join
+    on the period all organizations of a period would meet in one task.
+    """
+    j = counts.join(F.broadcast(readiness_table.select("period_id", F.col("readiness").alias("__ready"))), "period_id", "left")
     ready = F.col("__ready") == "ready"
     complete = (F.col("missing_rules") == 0) & (F.col("unknown_rules") == 0)
     preliminary = ready & ~complete & (F.col("required_types") > 0)

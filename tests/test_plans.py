@@ -288,3 +288,38 @@ def test_listing_of_all_pairs_moves_blocks_of_rules(spark):
     assert {w[3] for w in want} == {"matched", "unknown", "not_matched"}
     plan_text = out._jdf.queryExecution().executedPlan().toString()
     assert "bit_or" in plan_text and plan_text.index("Generate inline") < plan_text.index("Join")  # pairs are formed after the last join
+
+
+def test_packed_counts_are_the_counts_of_the_pairs(spark):
+    """More types than a word has bits, keys that are null, facts and rules outside the targets, rules stated twice unlike."""
+    import random
+    r = random.Random(5)
+    types = spark.createDataFrame([(f"t{i}", i % 10 != 3, r.choice([True, True, False, None]), r.choice([True, False])) for i in range(150)], "type_id string, in_reference boolean, registry_visible boolean, reference_visible boolean")
+    orgs = [(p, o) for p in ("1", "2", None) for o in (*range(6), None)]
+    pick = lambda: (r.choice(["1", "2", "3", None]), r.choice([*range(8), None]))
+    facts = spark.createDataFrame([(*pick(), r.choice(["organization"] * 5 + ["region"]), f"t{r.randrange(155)}", r.choice([0, 1, 2, None])) for _ in range(1500)], "period_id string, organization_oid long, scope_level string, type_id string, document_count long")
+    rules = {(*pick(), f"t{r.randrange(155)}", r.choice(["required"] * 3 + ["not_required", "unknown", "missing", "other", None]), r.choice([True, False, None])): r.choice([True, False, None]) for _ in range(1200)}
+    rules |= {(p, o, t, "not_required", True): False for p, o, t, s, _ in list(rules)[:100] if s == "required"}
+    required = spark.createDataFrame([(*k, v) for k, v in rules.items()], "period_id string, organization_oid long, type_id string, requirement_status string, available boolean, is_manual boolean").withColumn("s", F.coalesce("requirement_status", F.lit("missing"))).dropDuplicates(
+        ["period_id", "organization_oid", "type_id", "s"]).drop("s").localCheckpoint()
+    external = spark.createDataFrame([(f"t{i}",) for i in range(0, 150, 4)] * 2, "type_id string")
+    targets = spark.createDataFrame(orgs * 2, "period_id string, organization_oid int")
+    once = required.groupBy("period_id", "organization_oid", "type_id").count().filter("count > 1").drop("count")
+    single = required.join(once, ["period_id", "organization_oid", "type_id"], "left_anti")
+    for ext in (external, None):
+        want = V.pair_counts(V.classify_pairs(types, facts, targets, single, ext))
+        got = V.packed_counts(types, facts, targets, single, ext)
+        assert got.schema.names == want.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 21
+        twice = V.packed_counts(types, facts, targets, required, ext).drop("registered_types", "manual_overrides")
+        assert sorted(map(str, twice.collect())) == sorted(map(str, V.pair_counts(V.classify_pairs(types, facts, targets, required, ext)).drop("registered_types", "manual_overrides").collect()))
+    assert V.packed_counts(types.limit(0), facts, targets, required, external).count() == 0
+
+
+@pytest.mark.parametrize("name", ["ind16_organization_coverage", "ind37_flags"])
+def test_counts_of_organizations_join_no_pairs(spark, name):
+    """Pairs met in two hash joins and three aggregations of one task, and all organizations of a period in one sort."""
+    import re
+    from planlens.catalog import QUERIES
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Join \[[^\]]*organization_oid", plan) and not re.search(r"Sort \[period_id", plan[:plan.index("Subquery")])
