@@ -121,7 +121,7 @@ def search(index: dict, asks: dict, k: int) -> tuple:
     """The k nearest found for each query but its own row; distances in double precision."""
     x, q = index["x"], asks["x"]
     width = max(x.shape[1], q.shape[1])
-    x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
+    x, q = (np.pad(m.astype(np.float64), ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
     begins = np.concatenate([[0], index["ends"][:-1]])
     out: list[list] = [[], [], []]
     for at in range(0, len(q), BATCH):
@@ -151,5 +151,5 @@ def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, shard_rows: in
     vectors = written(usable(embeddings, keep_zero=False), "vectors")
     index, shards = sharded(vectors, shard_rows, index_of)
     blocks, n = blocked(vectors.filter(F.col("vec_id") % every == 0))
-    found = visits(index, blocks, lambda i, a: search(i, a, k), "query_id long, vec_id long, score double", 0, shards - 1, n * shards)
+    found = visits(index, blocks, lambda i, a: search(i, a, k), "query_id long, vec_id long, score double", 0, shards - 1, n, k, 1)
     return best(found, k, F.col("score").asc())

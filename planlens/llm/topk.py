@@ -45,7 +45,7 @@ def search(tree: dict, asks: dict, k: int) -> tuple:
     """
     ids, x, q = tree["ids"], tree["x"], asks["x"]
     width = max(x.shape[1], q.shape[1])
-    x, q, c = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q, tree["c"]))
+    x, q, c = (np.pad(m.astype(np.float64), ((0, 0), (0, width - m.shape[1]))) for m in (x, q, tree["c"]))
     exact = np.float64 if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * width < 2 ** 53 else np.int64
     xi, qi, norm = x.astype(exact), q.astype(exact), np.sqrt((q * q).sum(1))
     top, who = np.full((len(q), k), NONE), np.full((len(q), k), -1)
@@ -91,7 +91,7 @@ def top_inner(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: in
     index, shards = sharded(vectors, shard_rows, ball_tree)
     blocks, n = blocked(queries)
     schema = "query_id long, vec_id long, score long"
-    found = written(visits(index, blocks, lambda t, a: search(t, a, k), schema, 0, 0, n), "first")
+    found = written(visits(index, blocks, lambda t, a: search(t, a, k), schema, 0, 0, n, k, -1), "first")
     if shards > 1:
         kth = found.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
         floors = written(queries.join(kth, queries["vec_id"] == kth["query_id"], "left").select("vec_id", F.array_append("vec", F.coalesce("floor", F.lit(NONE)).cast("double")).alias("vec")), "floors")
@@ -100,7 +100,7 @@ def top_inner(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: in
         def rest(tree: dict, asks: dict) -> tuple:
             return search(tree, {"ids": asks["ids"], "x": asks["x"][:, :-1], "floor": asks["x"][:, -1]}, k)
 
-        found = found.unionByName(visits(index, blocks, rest, schema, 1, shards - 1, n * (shards - 1)))
+        found = found.unionByName(visits(index, blocks, rest, schema, 1, shards - 1, n, k, -1))
     return best(found, k, F.col("score").desc())
 
 

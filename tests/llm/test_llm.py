@@ -233,6 +233,40 @@ def test_graph(spark, vectors):
     assert graph.nearest(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+@pytest.mark.parametrize("held, tiles", [(64 << 20, 128), (64 << 20, 2), (1, 1), (64 << 20, 1)])
+def test_blocks_meet_shards_without_copies_in_a_broadcast(spark, vectors, monkeypatch, held, tiles):
+    from planlens.llm import vectors as v
+    df, x = vectors
+    monkeypatch.setattr(v, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(v, "HOLD_BYTES", held, raising=False)
+    monkeypatch.setattr(v, "TILES", tiles, raising=False)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", str(3 << 19))
+    try:
+        got = {(r.query_id, r["rank"]): r.score for r in graph.nearest(df, every=1, shard_rows=20).collect()}
+        ints = spark.createDataFrame([(i, np.floor(256 * u.astype(float)).tolist()) for i, u in enumerate(x)], "vec_id long, vec array<double>")
+        top = {(r.query_id, r["rank"]): (-r.score, r.vec_id) for r in topk.top_inner(ints, ints, 5, shard_rows=20).collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    body = x.astype(float)
+    d = np.sqrt(((body[:, None, :] - body[None, :, :]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    d.sort(axis=1)
+    assert set(got) == {(i, r) for i in range(600) for r in range(1, 11)}
+    assert np.mean([abs(got[i, r] - d[i, r - 1]) < 1e-12 for i, r in got]) >= 0.99
+    q = np.floor(256 * body).astype(int)
+    for i in range(600):
+        assert [top[i, r] for r in range(1, 6)] == sorted((-int(s), j) for j, s in enumerate(q @ q[i]) if j != i)[:5]
+
+
+def test_kept_floats_are_lossless():
+    from planlens.llm import vectors as v
+    floats, doubles = np.float32([[0.1, -0.0, 1e-45, 3e38]]).astype(float), np.array([[0.1, 1e300, -2.0, 2.0 ** -1074]])
+    back = v.unpacked(v.packed(floats=floats, doubles=doubles, ids=np.array([2 ** 62 + 1]), none=np.empty((0, 3))))
+    assert back["floats"].dtype == np.float32 and back["floats"].astype(float).tobytes() == floats.tobytes()
+    assert back["doubles"].dtype == np.float64 and back["doubles"].tobytes() == doubles.tobytes()
+    assert back["ids"].tolist() == [2 ** 62 + 1] and back["none"].shape == (0, 3)
+
+
 def test_licences(docs, none):
     got = {r.doc_id: r for r in licences.scan(docs).collect()}
     assert got[13].sentence_ids == "apache-notice mit-notice reserved" and got[13].licenses == "Apache-2.0,MIT" and got[13].n_unmatched == 1 and got[13].n_sentences == 4
