@@ -16,29 +16,43 @@ BUILD_BEAM, SEARCH_BEAM, BATCH = 48, 64, 256
 
 def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: int, width: int) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
     """Greedy best-first search of all rows of ``q`` at once: ids and squared distances of the beam, and the
-    nodes each one opened, as (rows, node) steps.  The id len(x) stands for none."""
+    nodes each one opened, as (rows, node) steps.  The id len(x) stands for none.  A distance is taken once, when a node
+    is first seen: one that has left the beam cannot come back.  ``left``: distances of the nodes not yet opened."""
     none, m = len(x), len(q)
     norm, qn = (x * x).sum(1), (q * q).sum(1)
-    ids, dist, done = np.full((m, width), none), np.full((m, width), np.inf), np.ones((m, width), bool)
-    ids[:, 0], done[:, 0] = entry, False
-    dist[:, 0] = ((q - x[entry]) ** 2).sum(1)
+    ids, dist, left = np.full((m, width), none), np.full((m, width), np.inf), np.full((m, width), np.inf)
+    ids[:, 0] = entry
+    dist[:, 0] = left[:, 0] = ((q - x[entry]) ** 2).sum(1)
+    seen = np.zeros((m, none + 1), bool)
+    seen[:, [entry, none]] = True
     active, steps = np.arange(m), []
-    padded, padded_norm = np.vstack([x, np.zeros((1, x.shape[1]), x.dtype)]), np.append(norm, np.inf)
     while len(active):
-        at = np.where(done[active], np.inf, dist[active]).argmin(1)
+        at = left[active].argmin(1)
         node = ids[active, at]
-        done[active, at] = True
+        left[active, at] = np.inf
         steps.append((active, node))
         near = links[node]
-        mine = ids[active]
-        d = padded_norm[near] + qn[active, None] - 2 * np.einsum("mrd,md->mr", padded[near], q[active])
-        d[(near[:, :, None] == mine[:, None, :]).any(2)] = np.inf
-        every = np.hstack([dist[active], d])
-        first = np.argsort(every, axis=1, kind="stable")[:, :width]
-        ids[active] = np.take_along_axis(np.hstack([mine, near]), first, 1)
-        done[active] = np.take_along_axis(np.hstack([done[active], np.zeros(near.shape, bool)]), first, 1)
-        dist[active] = np.take_along_axis(every, first, 1)
-        active = active[(~done[active] & np.isfinite(dist[active])).any(1)]
+        row, slot = np.nonzero(~seen[active[:, None], near])
+        who, to = active[row], near[row, slot]
+        seen[who, to] = True
+        d = norm[to] + qn[who] - 2 * np.einsum("kd,kd->k", x[to], q[who])
+        come = d < dist[who, -1]
+        if come.any():
+            who, to, d = who[come], to[come], d[come]
+            rows, start, many = np.unique(who, return_index=True, return_counts=True)
+            row = np.repeat(np.arange(len(rows)), many)
+            slot = width + np.arange(len(who)) - np.repeat(start, many)
+
+            def joined(old: np.ndarray, new: np.ndarray, gap: float) -> np.ndarray:
+                out = np.full((len(rows), width + int(many.max())), gap, old.dtype)
+                out[:, :width], out[row, slot] = old[rows], new
+                return out
+
+            every = joined(dist, d, np.inf)
+            first = np.argsort(every, axis=1, kind="stable")[:, :width]
+            ids[rows], left[rows] = (np.take_along_axis(c, first, 1) for c in (joined(ids, to, none), joined(left, d, np.inf)))
+            dist[rows] = np.take_along_axis(every, first, 1)
+        active = active[np.isfinite(left[active]).any(1)]
     return ids, dist, steps
 
 

@@ -258,6 +258,26 @@ def test_blocks_meet_shards_without_copies_in_a_broadcast(spark, vectors, monkey
         assert [top[i, r] for r in range(1, 6)] == sorted((-int(s), j) for j, s in enumerate(q @ q[i]) if j != i)[:5]
 
 
+@pytest.mark.parametrize("width", [4, 64])
+def test_beam_is_a_plain_best_first_search(width):
+    r = np.random.default_rng(9)
+    x, asks = np.unique(r.integers(0, 4, (300, 5)).astype(float), axis=0), r.integers(0, 4, (40, 5)).astype(float)
+    links, entry = graph.build(x)
+    ids, dist, steps = graph.beam(x, links, asks, entry, width)
+    opened = [[] for _ in asks]
+    for rows, node in steps:
+        for row, one in zip(rows, node):
+            opened[row].append(one)
+    for i, ask in enumerate(asks):
+        far = ((x - ask) ** 2).sum(1)
+        kept, done = [entry], []
+        while rest := [j for j in kept if j not in done]:
+            done.append(min(rest, key=lambda j: far[j]))
+            kept += [j for j in links[done[-1]] if j < len(x) and j not in kept]
+            kept = sorted(kept, key=lambda j: far[j])[:width]
+        assert ids[i][:len(kept)].tolist() == kept and dist[i][:len(kept)].tolist() == far[kept].tolist() and opened[i] == done
+
+
 def test_kept_floats_are_lossless():
     from planlens.llm import vectors as v
     floats, doubles = np.float32([[0.1, -0.0, 1e-45, 3e38]]).astype(float), np.array([[0.1, 1e300, -2.0, 2.0 ** -1074]])
