@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlens.llm.common import written
-from planlens.llm.vectors import best, blocked, packed, sharded, usable, visits
+from planlens.llm.vectors import best, blocked, firsts, packed, sharded, usable, visits
 
 SHARD_ROWS = 4096
 DEGREE, SLACK, ALPHA = 24, 40, 1.2
@@ -137,22 +137,22 @@ def search(index: dict, asks: dict, k: int) -> tuple:
     width = max(x.shape[1], q.shape[1])
     x, q = (np.pad(m.astype(np.float64), ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
     begins = np.concatenate([[0], index["ends"][:-1]])
-    out: list[list] = [[], [], []]
+    many = np.minimum(index["ends"] - begins, k + 1)
+    out = []
     for at in range(0, len(q), BATCH):
-        ids, _, _ = beam(x, index["links"], q[at:at + BATCH], int(index["entry"]), SEARCH_BEAM)
-        for row, own, ask in zip(ids, asks["ids"][at:at + BATCH], q[at:at + BATCH]):
-            row = row[row < len(x)]
-            d = np.sqrt(((x[row] - ask) ** 2).sum(1))
-            near = row[np.argsort(d, kind="stable")[:k + 1]]
-            hits = []
-            for node in near:
-                far = float(np.sqrt(((x[node] - ask) ** 2).sum()))
-                hits += [(far, int(i)) for i in index["ids"][begins[node]:index["ends"][node]][:k + 1] if i != own]
-            hits = sorted(hits)[:k]
-            out[0] += [int(own)] * len(hits)
-            out[1] += [i for _, i in hits]
-            out[2] += [d for d, _ in hits]
-    return tuple(out)
+        own, ask = asks["ids"][at:at + BATCH], q[at:at + BATCH]
+        ids, _, _ = beam(x, index["links"], ask, int(index["entry"]), SEARCH_BEAM)
+        far = np.sqrt(((x[np.minimum(ids, len(x) - 1)] - ask[:, None, :]) ** 2).sum(2))
+        far[ids == len(x)] = np.nan
+        near = np.argsort(far, axis=1, kind="stable")[:, :k + 1]
+        node, far = (np.take_along_axis(c, near, 1) for c in (ids, far))
+        row, slot = np.nonzero(node < len(x))
+        node, far = node[row, slot], far[row, slot]
+        copies = many[node]
+        found = index["ids"][np.repeat(begins[node] + copies - copies.cumsum(), copies) + np.arange(copies.sum())]
+        cols = [np.repeat(c, copies) for c in (own[row], far)]
+        out.append(firsts([c[found != cols[0]] for c in (cols[0], found, cols[1])], k, 1))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, shard_rows: int = SHARD_ROWS) -> DataFrame:
